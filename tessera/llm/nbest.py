@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-N, CACHE, BYTE_PENALTY = 4, 600_000, 10.0
+N, CACHE, BYTE_PENALTY = 4, 1_000_000, 10.0
 MARK, NONE = "▁", float("-inf")
 
 
@@ -100,8 +100,8 @@ class Pieces:
                 ids, score = edge
                 single = single or end == at + 1
                 value = here + score
-                if value > best[end]:
-                    second[end] = max(best[end], behind + score)
+                if value > (old := best[end]):
+                    second[end] = old if old > (other := behind + score) else other
                     best[end], back[end] = value, (at, ids)
                 elif value > second[end]:
                     second[end] = value
@@ -151,15 +151,16 @@ class Pieces:
             return [(0.0, b"")]
         if len(memory) > CACHE:
             memory.clear()
-        found = []
-        for x in parts:
-            got = memory.get(x)
-            if got is None:
-                got = memory[x] = self.first(x)
-            found.append(got)
-        whole = [x[0] for x in found]
-        total = float(sum(x[1] for x in found))
-        more = np.fromiter((x[2] for x in found), float, len(found))
+        found = list(map(memory.get, parts))
+        if None in found:
+            for k, x in enumerate(parts):
+                if found[k] is None:
+                    got = memory.get(x)
+                    if got is None:
+                        got = memory[x] = self.first(x)
+                    found[k] = got
+        whole, scores, more = zip(*found, strict=True)
+        total, more = float(sum(scores)), np.array(more)
         open_at = sorted(np.argsort(more, kind="stable")[: n - 1].tolist())
         ranked, ways = [(0.0, ())], {}
         for k in open_at:
