@@ -98,7 +98,8 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     takes = F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)
     rows = rows.withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), takes)))
     short = (F.col("_take") > F.col("_epochs")) & (F.col("_part") < F.col("_size"))
-    begin = F.regexp_extract(docs[text], F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_part"), F.lit("}")), 0)
+    words = F.regexp_extract_all(docs[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    begin = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")
     return rows.select(*[F.when(short, begin).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
 
 
