@@ -92,7 +92,7 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
         F.max("epochs").alias("_epochs"), F.max("part").alias("_part")
     )
-    plan = stored(plan, "plan")
+    plan = stored(plan, "plan").hint("shuffle_hash")  # one plan at every size
     size = word_count(docs[text])
     rows = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]) & docs[source].eqNullSafe(plan["_source"]) & (size == plan["_size"]))
     takes = F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)

@@ -125,8 +125,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: st
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The rows of docs that the rules keep, whole."""
-    rejected = judged(docs, id_col, text, host, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), ).distinct()
-    rejected = stored(rejected, "rejected")
+    rejected = judged(docs, id_col, text, host, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rejected = stored(rejected, "rejected").hint("shuffle_hash")  # one plan at every size
     return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_id"]) & (F.xxhash64(docs[text]) == rejected["_hash"]), "left_anti")
 
 

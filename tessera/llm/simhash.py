@@ -121,7 +121,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     labels = near_duplicates(docs, id_col, text)
     kept = labels.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     row = F.struct(*[F.col(c) for c in docs.columns])
-    chosen = docs.join(kept, id_col, "left_semi").groupBy(id_col).agg(F.min_by(row, F.xxhash64(text)).alias("_row"))
+    chosen = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").groupBy(id_col).agg(F.min_by(row, F.xxhash64(text)).alias("_row"))
     return chosen.select("_row.*").union(docs.where(F.col(id_col).isNull()))
 
 
