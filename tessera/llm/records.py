@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_dir, stored, table
 
 END_ID, CACHE = 0, 600_000
-HEAD, PAYLOAD, ENTRY = struct.Struct("<QI"), struct.Struct("<BqBI"), struct.Struct("<QQq")
+HEAD, PAYLOAD, ENTRY = "<QI", "<BqBI", "<QQq"
 
 
 def masked_crc(data: bytes) -> int:
@@ -54,20 +54,20 @@ def framed(payload: bytes) -> bytes:
 
 
 def payload_of(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    return PAYLOAD.pack(doc_id is not None, doc_id or 0, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack(PAYLOAD, doc_id is not None, doc_id or 0, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
 
 
 def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
-    has, doc_id, width, n = PAYLOAD.unpack_from(payload)
-    return doc_id if has else None, np.frombuffer(payload, f"<u{width}", n, PAYLOAD.size)
+    has, doc_id, width, n = struct.unpack_from(PAYLOAD, payload)
+    return doc_id if has else None, np.frombuffer(payload, f"<u{width}", n, struct.calcsize(PAYLOAD))
 
 
 def unframed(read, offset: int = 0) -> bytes | None:
     """The next record's payload, checked; None at the end. read(n) gives up to n bytes."""
-    head = read(HEAD.size)
+    head = read(struct.calcsize(HEAD))
     if not head:
         return None
-    length, crc = HEAD.unpack(head)
+    length, crc = struct.unpack(HEAD, head)
     if masked_crc(head[:8]) != crc:
         raise ValueError(f"bad length checksum near byte {offset}")
     payload = read(length)
@@ -80,8 +80,8 @@ def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:
     """One record of a shard by its place, through the index."""
     fs, at = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(at[: -len(".rec")] + ".idx") as index:
-        index.seek(number * ENTRY.size)
-        offset, length, _ = ENTRY.unpack(index.read(ENTRY.size))
+        index.seek(number * struct.calcsize(ENTRY))
+        offset, length, _ = struct.unpack(ENTRY, index.read(struct.calcsize(ENTRY)))
     with fs.open_input_file(at) as records:
         records.seek(offset)
         return parsed(unframed(lambda n: records.read(n)))
@@ -170,9 +170,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                     for key, own in zip(keys[k : k + 256], encoder.encode(texts[k : k + 256]), strict=True):
                         own += end
                         n = len(own) // encoder.width
-                        frame = framed(PAYLOAD.pack(key is not None, key or 0, encoder.width, n) + own)
+                        frame = framed(struct.pack(PAYLOAD, key is not None, key or 0, encoder.width, n) + own)
                         out.write(frame)
-                        index.write(ENTRY.pack(at, len(frame), key or 0))
+                        index.write(struct.pack(ENTRY, at, len(frame), key or 0))
                         records, ids, at = records + 1, ids + n, at + len(frame)
                 batch = next(batches, None)
         if records:
