@@ -1,4 +1,283 @@
 """Registered queries of the image-coding operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import expressions as X
+from tessera.functions.tables import BASE_QUANT, sql_values, standard_codes, zigzag_order
+from tessera.operators import coding as C
+from tessera.sources import containers, fixtures
+
+QUALITY = 75
+
+
+def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.transformed(fixtures.blocks(spark, sf_dir))
+
+
+def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.levels(coefficients(spark, sf_dir), C.quantizer(spark, QUALITY).where("qidx = 0"))
+
+
+def every_quality(spark: SparkSession) -> DataFrame:
+    return spark.range(101).select(F.col("id").cast("int").alias("quality"))
+
+
+def quant_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both matrices at all qualities, with reciprocals, rounding and thresholds."""
+    return C.quantizer(spark, every_quality(spark)).select("quality", "qidx", "pos", "q", "iq", "ib", "thr")
+
+
+def reduced_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices at quality 75 for a size reduction of 80 %, and the least entries under a tolerance of 100."""
+    q = C.quantizer(spark, QUALITY)
+    return q.select("qidx", "pos", X.reduced(F.col("q"), 80.0).alias("reduced"), X.least_quant(F.col("q"), 100).alias("least"))
+
+
+def quality_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality found again from each quality's own matrix."""
+    keys = C.quantizer(spark, every_quality(spark)).select((F.col("quality") * 2 + F.col("qidx")).alias("key"), "qidx", "pos", F.col("q").alias("m"))
+    return C.estimated_quality(keys)
+
+
+def colour_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.to_planes(fixtures.pixels(spark, sf_dir), "444")
+
+
+def chroma_420(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.to_planes(fixtures.pixels(spark, sf_dir), "420").where("comp > 0")
+
+
+def edge_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over rows of the luma plane after its edges are repeated up to multiples of 16."""
+    grown = C.replicated(C.to_planes(fixtures.pixels(spark, sf_dir), "400"), 16)
+    return grown.groupBy("y").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
+
+
+def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.aggregate("s", F.lit(0), lambda a, x: a + x)
+    return fixtures.blocks(spark, sf_dir).select("image_id", "scan_idx", F.shiftright(total + 32, 6).alias("mean"))
+
+
+def forward_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = coefficients(spark, sf_dir).select("scan_idx", F.posexplode("v").alias("pos", "v"))
+    return flat.select("scan_idx", "pos", F.col("v").cast("int").alias("v"))
+
+
+def quantized_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leveled(spark, sf_dir).select("scan_idx", "pos", "zz", "level")
+
+
+def block_coding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero levels and squared error of each image at quality 75."""
+    return C.error_sums(leveled(spark, sf_dir))
+
+
+def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = C.error_sums(leveled(spark, sf_dir))
+    return sums.select("image_id", F.round(X.psnr(F.col("error"), F.col("samples")), 6).alias("psnr"))
+
+
+def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.run_levels(leveled(spark, sf_dir)).select("scan_idx", "zz", "run", "size", "suffix")
+
+
+def dc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.dc_differences(leveled(spark, sf_dir)).select("image_id", "scan_idx", "diff", "size", "suffix")
+
+
+def symbol_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.symbol_counts(C.symbols(leveled(spark, sf_dir))).select("image_id", "cls", F.col("sym").cast("int").alias("sym"), "n")
+
+
+def scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each image's scan with the standard codes."""
+    return C.coded_size(C.symbol_counts(C.symbols(leveled(spark, sf_dir))))
+
+
+def coefficient_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.histogram(coefficients(spark, sf_dir)).select("image_id", "pos", "bin", "n")
+
+
+def step_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distortion and rate of 25 candidate steps at each position of each image."""
+    quant = C.quantizer(spark, QUALITY).where("qidx = 0")
+    return C.adapted(C.histogram(coefficients(spark, sf_dir)), quant).select("image_id", "pos", "delta", "dq", "distortion", "rate")
+
+
+def step_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quant = C.quantizer(spark, QUALITY).where("qidx = 0")
+    best = C.best_step(C.adapted(C.histogram(coefficients(spark, sf_dir)), quant))
+    return best.select("image_id", "pos", "delta", "dq")
+
+
+def chroma_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much chroma subsampling would blur, on a synthetic sharpness table."""
+    return C.riskiness(fixtures.pixels(spark, sf_dir)).select("image_id", "visited", "scored", "total", "gray", "risk", "mode")
+
+
+def sample_error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Luma against its own block-wise copy shifted by one pixel: the error map of two images."""
+    y = C.to_planes(fixtures.pixels(spark, sf_dir), "400")
+    return C.error_map(y, y.withColumn("x", F.col("x") + 1), ["image_id", "y", "x"])
+
+
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper-case MD5 and length of byte strings."""
+    rows = fixtures.contents(spark, sf_dir)
+    return rows.select("doc_id", F.upper(F.md5("content")).alias("md5"), F.octet_length("content").cast("long").alias("n"))
+
+
+def crc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.contents(spark, sf_dir).select("doc_id", F.crc32("content").alias("crc"))
+
+
+def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's blocks as a gray baseline image of one column of blocks, and what its headers say."""
+    files = containers.gray_files(leveled(spark, sf_dir), QUALITY)
+    return containers.inspected(files).select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.md5("jpeg").alias("md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
+        block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
+        chroma_risk, sample_error_map, checksums, crc_checksums, encoded_images,
+    )
+}
+
+# ---- the same in SQL ------------------------------------------------------------------
+
+QUANT_ROWS = [(k, pos, m) for k, values in BASE_QUANT.items() for pos, m in enumerate(values)]
+SCALE = "CASE WHEN quality <= 0 THEN 5000 WHEN quality < 50 THEN 5000 // quality WHEN quality < 100 THEN 2 * (100 - quality) ELSE 0 END"
+
+
+def quant_sql(qualities: str) -> str:
+    """CTEs zz and quant for a table expression of qualities."""
+    return f"""
+zz AS {sql_values([(pos, k) for k, pos in enumerate(zigzag_order())], "pos, zz")},
+base AS {sql_values(QUANT_ROWS, "qidx, pos, m")},
+q0 AS (SELECT quality, qidx, pos, greatest(1, least(255, (m * ({SCALE}) + 50) // 100))::INT AS q FROM base, {qualities}),
+q1 AS (SELECT *, CASE WHEN q = 1 THEN 65535 ELSE (65536 + q // 2) // q END AS iq,
+              ((CASE WHEN q = 1 OR pos = 0 THEN 128 ELSE 120 END * q * 16 + 128) >> 8) AS ib FROM q0),
+quant AS (SELECT *, (1048576 + iq - 1) // iq - ib AS thr FROM q1)"""
+
+
+ALL = "(SELECT unnest(range(101))::INT AS quality)"
+ONE = f"(SELECT {QUALITY} AS quality)"
+
+
+def dct_sql() -> str:
+    """CTEs b (samples) and v (coefficients in long form)."""
+    column = [
+        "(a0 + a3 + a1 + a2) << 3",
+        "((h1 * 13036) >> 16) + h2 + 1",
+        "((((a1 - a2) << 3) * 27146) >> 16) + ((a0 - a3) << 3)",
+        "h0 - g",
+        "(a0 + a3 - a1 - a2) << 3",
+        "h3 + ((h0 * -21746) >> 16) + h0",
+        "((((a0 - a3) << 3) * 27146) >> 16) - ((a1 - a2) << 3)",
+        "((h2 * 13036) >> 16) - h1",
+    ]
+    from tessera.functions.expressions import row_matrix
+
+    sums = ", ".join(f"s[{8 * i}+x+1] + s[{8 * (7 - i)}+x+1] AS a{i}, s[{8 * i}+x+1] - s[{8 * (7 - i)}+x+1] AS d{i}" for i in range(4)).replace("<<", "*")
+    weights = [(r, k, i, w) for r in range(8) for k, line in enumerate(row_matrix(r)) for i, w in enumerate(line)]
+    shift = [c.replace("<< 3", "* 8") for c in column]
+    return f"""
+b AS (SELECT label AS image_id, vec_id AS scan_idx, list_transform(embedding, lambda e: greatest(-128, least(127, floor(e::DOUBLE * 256)::INT))) AS s FROM embeddings),
+c0 AS (SELECT image_id, scan_idx, x, {sums} FROM b, (SELECT unnest(range(8)) AS x)),
+c1 AS (SELECT *, (((d1 - d2) * 16 * 23170) >> 16) AS f1, (((d1 + d2) * 16 * 23170) >> 16) AS f2 FROM c0),
+c2 AS (SELECT *, d3 * 8 - f1 AS h3, d3 * 8 + f1 AS h1, d0 * 8 - f2 AS h0, d0 * 8 + f2 AS h2 FROM c1),
+c3 AS (SELECT *, ((h3 * -21746) >> 16) + h3 + 1 AS g FROM c2),
+mid AS (SELECT image_id, scan_idx, x, unnest([{", ".join(shift)}]) AS m, unnest(range(8)) AS y FROM c3),
+w AS {sql_values(weights, "y, k, x, weight")},
+v AS (SELECT image_id, scan_idx, (y * 8 + k)::INT AS pos, (sum(m * weight)::BIGINT >> 16)::INT AS v FROM mid JOIN w USING (y, x) GROUP BY image_id, scan_idx, y, k)"""
+
+
+def bits_sql(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE length(bin({x})) END)"
+
+
+LEVELS = f"""
+lv AS (SELECT image_id, scan_idx, pos, zz, v, q,
+              (CASE WHEN v < 0 THEN -1 ELSE 1 END * ((((abs(v) + ib)::BIGINT * iq) >> 16) >> 4))::INT AS level
+       FROM v JOIN quant USING (pos) JOIN zz USING (pos) WHERE qidx = 0)"""
+CODED = f"WITH {quant_sql(ONE)}, {dct_sql()}, {LEVELS}"
+SUFFIX = "(CASE WHEN {0} >= 0 THEN {0} ELSE ({0} - 1) & ((1 << length(bin(abs({0})))) - 1) END)::INT"
+RUNS = f""",
+ac AS (SELECT image_id, scan_idx, zz, (zz - lag(zz, 1, 0) OVER (PARTITION BY image_id, scan_idx ORDER BY zz) - 1)::INT AS run,
+              length(bin(abs(level)))::INT AS size, {SUFFIX.format("level")} AS suffix
+       FROM lv WHERE level != 0 AND zz > 0)"""
+DC = """,
+d0 AS (SELECT image_id, scan_idx, (level - lag(level, 1, 0) OVER (PARTITION BY image_id ORDER BY scan_idx))::INT AS diff FROM lv WHERE zz = 0),
+dc AS (SELECT *, (CASE WHEN diff = 0 THEN 0 ELSE length(bin(abs(diff))) END)::INT AS size FROM d0)"""
+SYMS = """,
+syms AS (
+  SELECT image_id, 'dc' AS cls, size AS sym, 1 AS n FROM dc
+  UNION ALL SELECT image_id, 'ac', run % 16 * 16 + size, 1 FROM ac
+  UNION ALL SELECT image_id, 'ac', 240, run // 16 FROM ac WHERE run >= 16
+  UNION ALL SELECT image_id, 'ac', 0, 1 FROM (SELECT image_id, scan_idx, max(CASE WHEN level != 0 AND zz > 0 THEN zz ELSE 0 END) AS e FROM lv GROUP BY ALL) WHERE e < 63),
+counts AS (SELECT image_id, cls, sym::INT AS sym, sum(n)::BIGINT AS n FROM syms GROUP BY ALL)"""
+HIST = """,
+hist AS (SELECT image_id, pos, (abs(v) >> 4) >> 2 AS bin, count(*)::BIGINT AS n FROM v GROUP BY ALL HAVING (abs(v) >> 4) >> 2 < 128)"""
+STEPS = """,
+st AS (SELECT image_id, pos, delta::INT AS delta, (q + delta)::INT AS dq, bin * 4 + 2 AS x, n,
+              (((bin * 4 + 2)::BIGINT * ((65536 + q + delta - 1) // (q + delta)) + 32768) >> 16) AS qv
+       FROM hist JOIN (SELECT * FROM quant WHERE qidx = 0) USING (pos), (SELECT unnest(range(-12, 13)) AS delta)
+       WHERE q + delta BETWEEN 1 AND 255),
+cand AS (SELECT image_id, pos, delta, dq, sum(n * (x - qv * dq) * (x - qv * dq))::BIGINT AS distortion,
+                sum(n * CASE WHEN qv = 0 THEN 0 ELSE length(bin(qv)) END)::BIGINT AS rate FROM st GROUP BY ALL)"""
+PIX = """
+px AS (SELECT 0 AS image_id, event_id // 100 AS y, event_id % 100 AS x, (user_id * 17 % 256)::INT AS r, (event_id * 7 % 256)::INT AS g, (floor(value)::BIGINT % 256)::INT AS b FROM events)"""
+LUMA, U, V = (
+    "((19595 * r + 38469 * g + 7471 * b + 32768 - 8388608) >> 16)::INT",
+    "((-11059 * r - 21709 * g + 32768 * b + {0}) >> {1})::INT",
+    "((32768 * r - 27439 * g - 5329 * b + {0}) >> {1})::INT",
+)
+BUCKET = "((greatest(0, least(255, {0} + 128)) * 1542) >> 16)"
+APART = "abs({0} % 7 - {1} % 7) + 3 * abs({0} // 7 % 7 - {1} // 7 % 7) + 3 * abs({0} // 49 - {1} // 49)"
+
+ORACLE = {
+    "quant_matrices": f"WITH {quant_sql(ALL)} SELECT quality, qidx, pos, q, iq::INT AS iq, ib::INT AS ib, thr::INT AS thr FROM quant",
+    "reduced_matrices": f"WITH {quant_sql(ONE)} SELECT qidx, pos, greatest(1, least(255, floor(q * 100.0::DOUBLE / 80 + 0.5)))::INT AS reduced, greatest(1, (q * 156) >> 8)::INT AS least FROM quant",
+    "quality_estimates": f"""WITH {quant_sql(ALL)},
+d AS (SELECT a.quality * 2 + a.qidx AS key, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS distance FROM quant a JOIN quant b USING (qidx, pos) GROUP BY 1, 2)
+SELECT key::INT AS key, quality, distance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, quality) AS k FROM d) WHERE k = 1""",
+    "colour_planes": f"""WITH {PIX}
+SELECT image_id, 0 AS comp, y, x, {LUMA} AS s FROM px UNION ALL SELECT image_id, 1, y, x, {U.format(32768, 16)} FROM px UNION ALL SELECT image_id, 2, y, x, {V.format(32768, 16)} FROM px""",
+    "chroma_420": f"""WITH {PIX},
+four AS (SELECT image_id, y // 2 AS y, x // 2 AS x, (sum(r) * 4 // count(*))::INT AS r, (sum(g) * 4 // count(*))::INT AS g, (sum(b) * 4 // count(*))::INT AS b FROM px GROUP BY image_id, y // 2, x // 2)
+SELECT image_id, 1 AS comp, y, x, {U.format(131072, 18)} AS s FROM four UNION ALL SELECT image_id, 2, y, x, {V.format(131072, 18)} FROM four""",
+    "edge_replication": f"""WITH {PIX}, e AS (SELECT max(x) AS w, max(y) AS h FROM px),
+g AS (SELECT unnest(range(0, (h + 16) // 16 * 16)) AS y, w, h FROM e), gx AS (SELECT y, unnest(range(0, (w + 16) // 16 * 16)) AS x, w, h FROM g)
+SELECT gx.y, count(*)::BIGINT AS n, sum({LUMA})::BIGINT AS total FROM gx JOIN px ON px.x = least(gx.x, w) AND px.y = least(gx.y, h) GROUP BY gx.y""",
+    "block_means": f"WITH {dct_sql()} SELECT image_id, scan_idx, ((list_sum(s) + 32)::BIGINT >> 6)::INT AS mean FROM b",
+    "forward_dct": f"WITH {dct_sql()} SELECT scan_idx, pos, v FROM v",
+    "quantized_levels": f"{CODED} SELECT scan_idx, pos, zz, level FROM lv",
+    "block_coding_summary": f"{CODED} SELECT image_id, sum(((abs(v) >> 4) - q * abs(level)) * ((abs(v) >> 4) - q * abs(level)))::BIGINT AS error, count(*)::BIGINT AS samples, count(*) FILTER (level != 0)::BIGINT AS nonzero FROM lv GROUP BY image_id",
+    "image_psnr": f"""{CODED}, e AS (SELECT image_id, sum(((abs(v) >> 4) - q * abs(level)) * ((abs(v) >> 4) - q * abs(level)))::BIGINT AS error, count(*) AS n FROM lv GROUP BY image_id)
+SELECT image_id, round(CASE WHEN error > 0 THEN 4.3429448::DOUBLE * ln(n * 65025.0::DOUBLE / error) ELSE 99.0 END, 6) AS psnr FROM e""",
+    "zero_runs": f"{CODED} {RUNS} SELECT scan_idx, zz, run, size, suffix FROM ac",
+    "dc_codes": f"{CODED} {DC} SELECT image_id, scan_idx, diff, size, {SUFFIX.format('diff')} AS suffix FROM dc",
+    "symbol_frequencies": f"{CODED} {RUNS} {DC} {SYMS} SELECT image_id, cls, sym, n FROM counts",
+    "scan_bits": f"""{CODED} {RUNS} {DC} {SYMS}, codes AS {sql_values([(a, s, n) for a, q, s, n, _ in standard_codes() if q == 0], "cls, sym, len")}
+SELECT image_id, sum(n * (len + CASE WHEN cls = 'dc' THEN sym ELSE sym % 16 END))::BIGINT AS bits FROM counts JOIN codes USING (cls, sym) GROUP BY image_id""",
+    "coefficient_histogram": f"WITH {dct_sql()} {HIST} SELECT image_id, pos, bin::INT AS bin, n FROM hist",
+    "step_candidates": f"WITH {quant_sql(ONE)}, {dct_sql()} {HIST} {STEPS} SELECT image_id, pos, delta, dq, distortion, rate FROM cand",
+    "step_choice": f"""WITH {quant_sql(ONE)}, {dct_sql()} {HIST} {STEPS}
+SELECT image_id, pos, delta, dq FROM (SELECT *, row_number() OVER (PARTITION BY image_id, pos ORDER BY distortion + 128 * rate, delta) AS k FROM cand) WHERE k = 1""",
+    "chroma_risk": f"""WITH {PIX},
+ix AS (SELECT image_id, y, x, {BUCKET.format(LUMA)} + 7 * {BUCKET.format(U.format(32768, 16))} + 49 * {BUCKET.format(V.format(32768, 16))} AS i FROM px),
+nb AS (SELECT *, lead(i) OVER (PARTITION BY image_id, y ORDER BY x) AS e, lead(i) OVER (PARTITION BY image_id, x ORDER BY y) AS s FROM ix),
+sc AS (SELECT *, least(62, 2 * ({APART.format("i", "e")})) + least(62, 2 * ({APART.format("i", "s")})) + least(62, 2 * ({APART.format("e", "s")})) AS score FROM nb WHERE e IS NOT NULL AND s IS NOT NULL),
+su AS (SELECT image_id, count(*)::BIGINT AS visited, count(*) FILTER (score > 4)::BIGINT AS scored, coalesce(sum(score) FILTER (score > 4), 0)::BIGINT AS total,
+              count(*) FILTER (i // 7 % 7 = 3 AND i // 49 = 3)::BIGINT AS gray FROM sc GROUP BY image_id),
+ri AS (SELECT *, CASE WHEN scored * 100 < (SELECT count(*) FROM px) THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, total::DOUBLE / scored * 4) END AS risk FROM su)
+SELECT *, CASE WHEN gray > 0.995 * visited THEN '400' WHEN risk < 40 THEN '420' WHEN risk < 70 THEN 'sharp' ELSE '444' END AS mode FROM ri""",
+    "sample_error_map": f"WITH {PIX}, l AS (SELECT image_id, y, x, {LUMA} AS s FROM px) SELECT a.image_id, a.y, a.x, least(255, 4 * abs(a.s - b.s))::INT AS error FROM l a JOIN l b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x + 1",
+    "checksums": "SELECT doc_id, upper(md5(text)) AS md5, strlen(text)::BIGINT AS n FROM documents",
+}
