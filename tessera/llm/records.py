@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, stored, table
 
-END_ID, CACHE = 0, 600_000
+END_ID, CACHE = 0, 1_200_000
 HEAD, PAYLOAD, ENTRY = "<QI", "<BqBI", "<QQq"
 
 
