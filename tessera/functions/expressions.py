@@ -92,28 +92,17 @@ def suffix(value: Column) -> Column:
     return F.when(value >= 0, value).otherwise((value - 1).bitwiseAND(F.pow(F.lit(2), n).cast("int") - 1))
 
 
-def _high(a: Column, c: int) -> Column:
-    return F.shiftright(a * c, 16)
-
-
-def dct_columns(s: list[Column]) -> list[Column]:
-    """One 8-point column pass (scaled by 8) of the integer forward transform."""
+def dct_columns(s: list) -> list:
+    """One 8-point column pass (scaled by 8) of the integer forward transform, over numpy integers."""
+    high = lambda a, c: (a * c) >> 16
     a, d = [s[i] + s[7 - i] for i in range(4)], [s[i] - s[7 - i] for i in range(4)]
-    p, q = F.shiftleft(a[0] - a[3], 3), F.shiftleft(a[1] - a[2], 3)
-    f1, f2 = _high(F.shiftleft(d[1] - d[2], 4), 23170), _high(F.shiftleft(d[1] + d[2], 4), 23170)
-    d0, d3 = F.shiftleft(d[0], 3), F.shiftleft(d[3], 3)
+    p, q = (a[0] - a[3]) << 3, (a[1] - a[2]) << 3
+    f1, f2 = high((d[1] - d[2]) << 4, 23170), high((d[1] + d[2]) << 4, 23170)
+    d0, d3 = d[0] << 3, d[3] << 3
     h3, h1, h0, h2 = d3 - f1, d3 + f1, d0 - f2, d0 + f2
-    g = _high(h3, -21746) + h3 + 1
-    return [
-        F.shiftleft(a[0] + a[3] + a[1] + a[2], 3),
-        _high(h1, 13036) + h2 + 1,
-        _high(q, 27146) + p,
-        h0 - g,
-        F.shiftleft(a[0] + a[3] - a[1] - a[2], 3),
-        h3 + _high(h0, -21746) + h0,
-        _high(p, 27146) - q,
-        _high(h2, 13036) - h1,
-    ]
+    g = high(h3, -21746) + h3 + 1
+    total, other = a[0] + a[3], a[1] + a[2]
+    return [(total + other) << 3, high(h1, 13036) + h2 + 1, high(q, 27146) + p, h0 - g, (total - other) << 3, h3 + high(h0, -21746) + h0, high(p, 27146) - q, high(h2, 13036) - h1]
 
 
 #: The four sets of row-pass cosine weights C1..C7, for rows (0, 4), (1, 7), (2, 6), (3, 5).
@@ -142,14 +131,3 @@ def row_matrix(row: int) -> list[list[int]]:
         return 0 if at == 8 else sign * c[at]
 
     return [[weight(k, x) for x in range(8)] for k in range(8)]
-
-
-def dct_row(s: list[Column], row: int) -> list[Column]:
-    """One 8-point row pass: dot products, 16 bits dropped."""
-    out = []
-    for weights in row_matrix(row):
-        total = None
-        for w, x in zip(weights, s, strict=True):
-            total = w * x if total is None else total + w * x
-        out.append(F.shiftright(total, 16))
-    return out

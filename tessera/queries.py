@@ -223,7 +223,7 @@ syms AS (
   UNION ALL SELECT image_id, 'ac', 0, 1 FROM (SELECT image_id, scan_idx, max(CASE WHEN level != 0 AND zz > 0 THEN zz ELSE 0 END) AS e FROM lv GROUP BY ALL) WHERE e < 63),
 counts AS (SELECT image_id, cls, sym::INT AS sym, sum(n)::BIGINT AS n FROM syms GROUP BY ALL)"""
 HIST = """,
-hist AS (SELECT image_id, pos, (abs(v) >> 4) >> 2 AS bin, count(*)::BIGINT AS n FROM v GROUP BY ALL HAVING (abs(v) >> 4) >> 2 < 128)"""
+hist AS (SELECT image_id, pos, (abs(v) >> 4) >> 2 AS bin, count(*)::BIGINT AS n FROM v WHERE (abs(v) >> 4) >> 2 < 128 GROUP BY image_id, pos, (abs(v) >> 4) >> 2)"""
 STEPS = """,
 st AS (SELECT image_id, pos, delta::INT AS delta, (q + delta)::INT AS dq, bin * 4 + 2 AS x, n,
               (((bin * 4 + 2)::BIGINT * ((65536 + q + delta - 1) // (q + delta)) + 32768) >> 16) AS qv
