@@ -66,8 +66,7 @@ def transformed(blocks: DataFrame, samples: str = "s") -> DataFrame:
     """blocks with v: 64 coefficients scaled by 16, from the integer column and row passes.
 
     Arrow batches of whole blocks, as vectorised integer arithmetic: no explode, no
-    shuffle. As column expressions the 64 x 64 terms outgrow generated code. A block that
-    is null, or lacks samples, has null coefficients.
+    shuffle. A block that is null, or lacks samples, has null coefficients.
     """
     keep = [c for c in blocks.columns if c not in (samples, "v")]
     weights = np.array([X.row_matrix(row) for row in range(8)], np.int64)
