@@ -13,11 +13,12 @@ in `salts` parts for each host and then across the parts; each fold reads a sort
 and holds one wrapper, so a host with a third of all pages is no group in memory.
 
 In a wrapper, slots count as main text if they lie in an article or main element (in the
-body, if the host has neither) and in no menu, header, footer, sidebar, notice, advert,
+body, on pages that have neither) and in no menu, header, footer, sidebar, notice, advert,
 form or comment region. A page's slots are found by their label path in its host's wrapper.
 
 A null html is empty and gives an empty text; a null url belongs to one host of its own;
-pages without any markup are their text; unclosed and stray tags are repaired as browsers
+pages without any markup are their text; blocks nested over DEPTH deep are siblings, as in
+browsers, with their text kept; unclosed and stray tags are repaired as browsers
 do for paragraphs and list items; repeated rows are extracted alike; very long pages are
 read whole; an empty table gives an empty result.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
 
-SALTS, TEXT = 16, "#"
+SALTS, TEXT, DEPTH = 16, "#", 200
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
 )
@@ -66,7 +67,7 @@ def label(tag: str, attributes: str) -> str:
 def tree(html: str) -> list:
     """[label, children]; a child is a text or another such list."""
     root: list = ["", []]
-    opened, text, at = [root], [], 0
+    opened, text, at, deeper = [root], [], 0, 0
 
     def flush():
         if text:
@@ -86,6 +87,9 @@ def tree(html: str) -> list:
             continue
         flush()
         if m[2]:
+            if deeper:
+                deeper -= 1
+                continue
             for depth in range(len(opened) - 1, 0, -1):
                 if opened[depth][0].split(".", 1)[0] == tag:
                     del opened[depth:]
@@ -97,7 +101,10 @@ def tree(html: str) -> list:
         node = [label(tag, m[4]), []]
         opened[-1][1].append(node)
         if tag not in VOID and not m[4].endswith("/"):
-            opened.append(node)
+            if len(opened) > DEPTH:
+                deeper += 1
+            else:
+                opened.append(node)
     text.append(html[at:])
     flush()
     return root
@@ -165,14 +172,12 @@ def aligned(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], merged]
 
 
-def regions(wrapper: list) -> dict[str, bool]:
-    """Label paths of text slots, and whether each is main text."""
+def regions(wrapper: list) -> dict[str, tuple[bool, bool]]:
+    """Label paths of text slots and elements: whether each lies in an article, and in a region beside the main text."""
     found: dict[str, tuple[bool, bool]] = {}
 
     def walk(node: list, path: str, inside: bool, aside: bool):
         if node[0] == TEXT:
-            was = found.get(path, (False, True))
-            found[path] = (was[0] or inside, was[1] and aside)
             return
         if node[0] != "()":
             tag, *names = node[0].split(".")
@@ -181,32 +186,34 @@ def regions(wrapper: list) -> dict[str, bool]:
             top = tag == "header" or bool(words & HEAD_WORDS) or "banner" in words
             aside = aside or tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) or (top and not inside)
             inside = inside or tag in ("article", "main") or bool(words & {"article", "main"})
+            found.setdefault(path, (inside, aside))
         for child in node[3]:
             walk(child, path, inside, aside)
 
     walk(wrapper, "", False, False)
-    scoped = any(inside and not aside for inside, aside in found.values())
-    return {path: not aside and (inside or not scoped) for path, (inside, aside) in found.items()}
-
-
-def main_text(html: str, marked: dict[str, bool]) -> str:
-    """The blocks of html whose paths are marked as main text."""
-    blocks: list[str] = []
+    return found
 
-    def walk(node: list, path: str):
-        for child in node[1]:
-            if isinstance(child, str):
-                if marked.get(path, False) and (text := " ".join(entities.unescape(child).split())):
-                    blocks.append(text)
-            else:
-                walk(child, f"{path}/{child[0]}")
 
-    walk(tree(html), "/")
-    return "\n\n".join(blocks)
+def main_text(html: str, marked: dict[str, tuple[bool, bool]]) -> str:
+    """The blocks of html whose paths are main text: inside its articles, or of all the page if it has none."""
+    blocks: list[tuple[bool, str]] = []
+    scoped, todo = False, [(tree(html), "/")]
+    while todo:  # depth first, children in page order
+        node, path = todo.pop()
+        inside, aside = marked.get(path, (False, True))
+        if aside:
+            continue
+        if isinstance(node, str):
+            if text := " ".join(entities.unescape(node).split()):
+                blocks.append((inside, text))
+            continue
+        scoped = scoped or inside
+        todo += [(child, path if isinstance(child, str) else f"{path}/{child[0]}") for child in reversed(node[1])]
+    return "\n\n".join(text for inside, text in blocks if inside or not scoped)
 
 
 @lru_cache(maxsize=4096)
-def marks(wrapper: str) -> dict[str, bool]:
+def marks(wrapper: str) -> dict[str, tuple[bool, bool]]:
     return regions(json.loads(wrapper))
 
 

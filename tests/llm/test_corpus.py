@@ -232,11 +232,14 @@ def test_wrappers(spark):
         (3, None, None),
         (4, "http://c.x", "bare <script>no</script>text"),
         (4, "http://c.x", "bare <script>no</script>text"),
+        (5, "http://a.x/3", page("m", "<div><p>no article here</p></div>")),
+        (6, "http://a.x/4", page("m", "<article></article>", "<div><p>beside</p></div>")),
+        (7, "http://d.x", "<div>" * 3000 + "deep" + "</div>" * 3000 + "<nav>m</nav>after"),
     ]
     out = wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     texts = {r["page_id"]: r["text"] for r in out}
-    assert len(out) == 6
-    assert texts == {0: "T & t\n\none two\n\nthree", 1: "only", 2: "kept text", 3: "", 4: "bare text"}
+    assert len(out) == 9
+    assert texts == {0: "T & t\n\none two\n\nthree", 1: "only", 2: "kept text", 3: "", 4: "bare text", 5: "no article here", 6: "", 7: "deep\n\nafter"}
 
 
 def test_repeated_groups_are_found():
