@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import expressions as X
 from tessera.functions.tables import BASE_QUANT, sql_values, standard_codes, zigzag_order
 from tessera.operators import coding as C
-from tessera.sources import containers, fixtures
+from tessera.operators import huffman as H
+from tessera.sources import containers, fixtures, metadata
 
 QUALITY = 75
 
@@ -140,12 +141,52 @@ def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.inspected(files).select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.md5("jpeg").alias("md5"))
 
 
+def fitted_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code tables fitted to each image's own symbols."""
+    return H.fitted_codes(C.symbol_counts(C.symbols(leveled(spark, sf_dir)))).select("image_id", "cls", "sym", "len", "code")
+
+
+def fitted_scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each image's scan with standard and with fitted codes, and the bytes that the fitted tables take."""
+    counts = C.symbol_counts(C.symbols(leveled(spark, sf_dir)))
+    standard = C.coded_size(counts).withColumnRenamed("bits", "standard_bits")
+    return H.fitted_size(counts, H.fitted_codes(counts)).join(standard, "image_id")
+
+
+def exif_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as EXIF segments: their size and first ten bytes; null where a segment can't hold them."""
+    rows = fixtures.contents(spark, sf_dir).select("doc_id", metadata.exif_segment(F.col("content")).alias("s"))
+    return rows.select("doc_id", F.octet_length("s").cast("long").alias("n_bytes"), F.hex(F.substring("s", 1, 10)).alias("head"))
+
+
+def extended_xmp_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as extended XMP of 1,000 bytes a part."""
+    parts = metadata.extended_xmp_parts(fixtures.contents(spark, sf_dir), "content", "doc_id", 1000)
+    return parts.select("doc_id", "guid", F.col("at").cast("long").alias("at"), F.octet_length("segment").cast("long").alias("n_bytes"))
+
+
+def text_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as text profiles and read again; every fifth states a wrong length."""
+    rows = fixtures.contents(spark, sf_dir).withColumn("t", metadata.profile_text("exif", F.col("content")))
+    rows = rows.withColumn("t", F.when(F.col("doc_id") % 5 == 0, F.concat("t", F.lit("00"))).otherwise(F.col("t")))
+    return rows.select("doc_id", F.md5(metadata.text_profile(F.col("t"))).alias("md5"))
+
+
+def pixmap_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over the pixels of pixmaps ten wide whose samples are the bytes of texts."""
+    rows = fixtures.contents(spark, sf_dir).withColumn("h", F.expr("octet_length(content) div 30"))
+    head = F.encode(F.concat(F.lit("P6\n# ten wide\n10 "), F.col("h").cast("string"), F.lit("\n255\n")), "UTF-8")
+    pixels = metadata.pixmap_pixels(rows.select("doc_id", F.concat(head, F.col("content")).alias("content")), key="doc_id")
+    return pixels.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "rgb"], F.max("y").alias("last_y"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
         block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
         chroma_risk, sample_error_map, checksums, crc_checksums, encoded_images,
+        fitted_codes, fitted_scan_bits, exif_segments, extended_xmp_parts, text_profiles, pixmap_sums,
     )
 }
 
@@ -280,4 +321,13 @@ ri AS (SELECT *, CASE WHEN scored * 100 < (SELECT count(*) FROM px) THEN 0.0::DO
 SELECT *, CASE WHEN gray > 0.995 * visited THEN '400' WHEN risk < 40 THEN '420' WHEN risk < 70 THEN 'sharp' ELSE '444' END AS mode FROM ri""",
     "sample_error_map": f"WITH {PIX}, l AS (SELECT image_id, y, x, {LUMA} AS s FROM px) SELECT a.image_id, a.y, a.x, least(255, 4 * abs(a.s - b.s))::INT AS error FROM l a JOIN l b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x + 1",
     "checksums": "SELECT doc_id, upper(md5(text)) AS md5, strlen(text)::BIGINT AS n FROM documents",
+    "exif_segments": """SELECT doc_id, CASE WHEN strlen(text) + 8 <= 65535 THEN strlen(text) + 10 END::BIGINT AS n_bytes,
+CASE WHEN strlen(text) + 8 <= 65535 THEN 'FFE1' || upper(printf('%04x', strlen(text) + 8)) || '457869660000' END AS head FROM documents""",
+    "extended_xmp_parts": """SELECT doc_id, upper(md5(text)) AS guid, k AS "at", (least(1000, n - k) + 79)::BIGINT AS n_bytes
+FROM (SELECT doc_id, text, strlen(text)::BIGINT AS n, unnest(range(0, strlen(text)::BIGINT, 1000)) AS k FROM documents)""",
+    "text_profiles": "SELECT doc_id, CASE WHEN doc_id % 5 != 0 THEN md5(text) END AS md5 FROM documents",
+    "pixmap_sums": """WITH o AS (SELECT doc_id, strlen(text) // 30 AS h, regexp_extract_all(hex(encode(text)), '..') AS x FROM documents WHERE strlen(text) >= 30),
+e AS (SELECT doc_id, h, unnest(x[1:30 * h]) AS v, unnest(range(30 * h)) AS i FROM o)
+SELECT doc_id, count(*) // 3 AS n, (sum(('0x' || v)::BIGINT) FILTER (i % 3 = 0))::BIGINT AS r, (sum(('0x' || v)::BIGINT) FILTER (i % 3 = 1))::BIGINT AS g,
+       (sum(('0x' || v)::BIGINT) FILTER (i % 3 = 2))::BIGINT AS b, (any_value(h) - 1)::BIGINT AS last_y FROM e GROUP BY doc_id""",
 }
