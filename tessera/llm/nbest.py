@@ -11,16 +11,19 @@ goes backward from the end: a hypothesis' priority is its own score plus the for
 of the place it has reached. That estimate is exact, so A-star completes segmentations in
 order of score and expands little beside the N best paths.
 
-No piece continues from another character to a space mark or across a newline, so
-every path passes the places before runs of space marks and beside newlines; the lattice
-is searched segment by segment. The N best of the text are the N best sums of the
-segments': only the N - 1 segments (first places win ties) whose second-best path costs
-least can differ from their best path there, and those go through A-star. Segments recur,
-so what is found for one is remembered, up to a bounded number.
+Where no piece of the vocabulary continues from another character to a space mark or
+across a newline, every path passes the places before runs of space marks and beside
+newlines; the lattice is then searched segment by segment (with any other vocabulary, the
+text is one segment). The N best of the text are the N best sums of the segments': only
+the N - 1 segments (first places win ties) whose second-best path costs least can differ
+from their best path there, and those go through A-star. Short segments recur, so what is
+found for one is remembered, up to a bounded number. Of equal priorities the hypothesis
+nearest to the start goes first, and hypotheses share their tails, so a segment of any
+length costs time and memory in proportion to it.
 
 Texts are encoded whole: null counts as empty; an empty text has one empty segmentation;
 spaces become U+2581 with one put in front, as the model's normaliser does; every list
-decodes to the text. Repeated rows are encoded alike; other columns pass through.
+decodes to the text, but for U+2581 in it, which comes back as a space (decoded is false). Repeated rows are encoded alike; other columns pass through.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-N, CACHE, BYTE_PENALTY = 4, 1_000_000, 10.0
+N, CACHE, REMEMBERED, BYTE_PENALTY = 4, 1_000_000, 64, 10.0
 MARK, NONE = "▁", float("-inf")
 
 
@@ -62,6 +65,7 @@ class Pieces:
         self.known = dict.fromkeys(self.prefixes) | {p: (i.to_bytes(4, "little"), s) for p, (i, s) in self.ids.items()}
         self.raw = [self.byte_of.get(i, x.encode()) for i, x in enumerate(self.names)]
         self.memory: dict[str, tuple[bytes, float, float]] = {}
+        self.cuttable = not any(MARK in x.lstrip(MARK) or ("\n" in x and len(x) > 1) for x in self.ids)
 
     @classmethod
     def at(cls, path: str) -> Pieces:
@@ -129,26 +133,37 @@ class Pieces:
             for end, score, ids in self.edges(text, at):
                 into[end].append((at, score, ids))
                 forward[end] = max(forward[end], forward[at] + score)
-        agenda, out = [(-forward[size], (), size, 0.0)], []
+        agenda, out, made = [(-forward[size], size, 0, 0.0, None)], [], 0
         while agenda and len(out) < n:
-            _, tail, at, own = heapq.heappop(agenda)
+            _, at, _, own, tail = heapq.heappop(agenda)
             if not at:
-                out.append((own, list(tail[::-1])))
+                ids = []
+                while tail:
+                    some, tail = tail
+                    ids += some
+                out.append((own, ids))
                 continue
             for before, score, ids in into[at]:
-                heapq.heappush(agenda, (-(own + score + forward[before]), tail + ids[::-1], before, own + score))
+                made += 1
+                heapq.heappush(agenda, (-round(own + score + forward[before], 6), before, made, own + score, (ids, tail)))
         return out
 
     def segments(self, text: str) -> list[str]:
         if not text:
             return []
-        return SEGMENT.findall(MARK + text.replace(" ", MARK))
+        marked = MARK + text.replace(" ", MARK)
+        return SEGMENT.findall(marked) if self.cuttable else [marked]
 
     def encode(self, text: str | None, n: int = N) -> list[tuple[float, bytes]]:
         """(score, ids as little-endian int32) of the n best segmentations, best first."""
+        return self.searched(text, n)[0]
+
+    def searched(self, text: str | None, n: int) -> tuple[list[tuple[float, bytes]], bool]:
+        """encode(), and whether all of it decodes to the text: the best as a whole, the
+        others where they differ from it, as decoding joins the pieces' bytes."""
         parts, memory = self.segments(text or ""), self.memory
         if not parts:
-            return [(0.0, b"")]
+            return [(0.0, b"")], True
         if len(memory) > CACHE:
             memory.clear()
         found = list(map(memory.get, parts))
@@ -157,7 +172,9 @@ class Pieces:
                 if found[k] is None:
                     got = memory.get(x)
                     if got is None:
-                        got = memory[x] = self.first(x)
+                        got = self.first(x)
+                        if len(x) <= REMEMBERED:
+                            memory[x] = got
                     found[k] = got
         whole, scores, more = zip(*found, strict=True)
         total, more = float(sum(scores)), np.array(more)
@@ -175,7 +192,13 @@ class Pieces:
             for k, j in chosen:
                 own[k] = ways[k][j][1]
             out.append((total - cost, b"".join(own)))
-        return out
+        sound = MARK not in text and self.joined(out[0][1]) == (MARK + text.replace(" ", MARK)).encode("utf-8", "surrogatepass")
+        return out, sound and all(self.joined(raw) == parts[k].encode("utf-8", "surrogatepass") for k, own in ways.items() for _, raw in own)
+
+    def joined(self, ids: bytes) -> bytes:
+        """The bytes of the pieces of little-endian int32 ids, space marks kept."""
+        raw = self.raw
+        return b"".join([raw[i] for i in np.frombuffer(ids, "<i4").tolist()])
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids."""
@@ -199,11 +222,10 @@ def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N, keep: l
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
                 texts = some.column(0).to_pylist()
-                found = [pieces.encode(x, n) for x in texts]
+                found, sound = zip(*(pieces.searched(x, n) for x in texts), strict=True)
                 best = [f[0][1] for f in found]
                 flat = pa.array(np.frombuffer(b"".join(best), "<i4"))
                 ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in best)]).astype(np.int32), flat)
-                sound = [all(pieces.decode(np.frombuffer(raw, "<i4").tolist()) == (x or "") for _, raw in f[:1]) for x, f in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *some.columns[1:],

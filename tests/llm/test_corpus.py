@@ -200,6 +200,29 @@ def test_n_best_equals_brute_force():
         assert all(pieces.decode(np.frombuffer(raw, "<i4").tolist()) == text for _, raw in found)
 
 
+def test_long_segments_and_ties():
+    pieces = nbest.Pieces.at(P.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    for text in ("a" * 100_000, "".join(rng.choice("abcdefghij☃") for _ in range(100_000)), "ab " * 50_000):
+        found, sound = pieces.searched(text, 4)
+        assert sound and len({raw for _, raw in found}) == 4
+        assert all(pieces.decode(np.frombuffer(raw, "<i4").tolist()) == text for _, raw in found)
+        assert sorted((s for s, _ in found), reverse=True) == [s for s, _ in found]
+    assert all(len(x) <= nbest.REMEMBERED for x in pieces.memory)
+
+
+def test_space_marks_in_a_text_are_reported():
+    assert nbest.Pieces.at(P.path("piece_bpe_32k.model")).searched("a▁b", 2)[1] is False
+
+
+def test_other_vocabularies_are_not_cut():
+    pieces = nbest.Pieces(P.path("piece_bpe_32k.model"))
+    pieces.cuttable = False
+    for text in ("the cat sat on the mat", "a\nb  c", ""):
+        whole = nbest.Pieces.at(P.path("piece_bpe_32k.model")).encode(text, 4)
+        assert np.allclose([s for s, _ in pieces.encode(text, 4)], [s for s, _ in whole])
+
+
 def test_n_best_edge_cases(spark, odd):
     rows = nbest.encoded(odd, P.path("piece_bpe_32k.model")).collect()
     assert len(rows) == odd.count() and all(r["decoded"] for r in rows)
