@@ -3,18 +3,22 @@
 A page becomes a tree of block elements (label: tag and classes); scripts, styles,
 comments and inline markup vanish or join the text around them. Its own wrapper is the
 tree with runs of equal siblings, or of equal short sequences of siblings, made into
-repeated groups and texts made into slots. Two wrappers of a host are aligned child by
-child along a longest common subsequence of labels: what matches is aligned further
-down, what doesn't becomes optional. The result is again union-free, and alignment is
-repeated until one wrapper describes every page of the host.
-
-Wrappers are first made distinct by host (most pages of a host share a few), then folded
-in `salts` parts for each host and then across the parts; each fold reads a sorted stream
-and holds one wrapper, so a host with a third of all pages is no group in memory.
-
-In a wrapper, slots count as main text if they lie in an article or main element (in the
-body, on pages that have neither) and in no menu, header, footer, sidebar, notice, advert,
-form or comment region. A page's slots are found by their label path in its host's wrapper.
+repeated groups, and each text as a set of hashed strings (several where it repeats). Two
+wrappers of a host are aligned child by child along a longest common subsequence of
+labels: what matches is aligned further down, what doesn't becomes optional, and a text
+keeps the strings that both sides hold; one that keeps none is a slot. The result is again
+union-free, and alignment is repeated until one wrapper describes every page of the host.
+
+Equal pages of a host count once. Pages of one host and structure first agree on their
+strings, in any order and by partial results, then their wrappers are folded in `salts`
+parts for each host and then across the parts; each fold reads a sorted stream and holds
+one wrapper, so a host with a third of all pages is no group in memory.
+
+Texts count as main text if they lie in an article or main element (in the body, on pages
+that have neither), in no menu, header, footer, sidebar, notice, advert, form or comment
+region, and aren't fixed: a string that all pages hold which have the element (for an
+optional one, those that have it) is the template's, if they are `FIXED` distinct pages or
+more. A page's texts are found by their label path in its host's wrapper.
 
 A null html is empty and gives an empty text; a null url belongs to one host of its own;
 pages without any markup are their text; blocks nested over DEPTH deep are siblings, as in
@@ -30,13 +34,15 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
 
-SALTS, TEXT, DEPTH = 16, "#", 200
+SALTS, TEXT, DEPTH, FIXED = 16, "#", 200, 4
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
 )
@@ -110,48 +116,87 @@ def tree(html: str) -> list:
     return root
 
 
-# A wrapper is [label, repeated, optional, children]; a text slot has the label TEXT, a group of siblings "()".
+# A wrapper is [label, repeated, optional, children]; a group of siblings has the label "()", a text the label TEXT
+# and two more fields: the number of distinct pages that have it, and the hashes of the strings all of them hold.
+
+
+def plain(text: str) -> str:
+    return " ".join(entities.unescape(text).split())
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def collapsed(children: list, own: bool = False) -> list:
+    """children with runs of siblings, and of sequences of two or three of them, as repeated groups.
 
+    own: they are of one page, where what is optional in a repeated element still stands on the page.
+    """
+
+    def merged(a: list, b: list, inside: bool = True) -> list:
+        return aligned(a, b, (own or (inside and not a[2]), own or not b[2]), own)
 
-def collapsed(children: list) -> list:
-    """children with runs of siblings, and of sequences of two or three of them, as repeated groups."""
     out: list = []
     for child in children:
         if out and out[-1][0] == child[0]:
-            out[-1] = aligned(out[-1], child)
+            out[-1] = merged(out[-1], child)
             out[-1][1] = True
             continue
-        if out and out[-1][0] == "()" and out[-1][3][0][0] == child[0]:
-            out.append(child)  # may begin another turn of the group
-        else:
-            out.append(child)
+        out.append(child)
         for width in (2, 3):
             if len(out) > width and out[-width - 1][0] == "()" and [x[0] for x in out[-width - 1][3]] == [x[0] for x in out[-width:]]:
                 group = out[-width - 1]
-                group[3] = [aligned(a, b) for a, b in zip(group[3], out[-width:], strict=True)]
+                group[3] = [merged(a, b, not group[2]) for a, b in zip(group[3], out[-width:], strict=True)]
                 del out[-width:]
                 break
             if len(out) >= 2 * width and [x[0] for x in out[-width:]] == [x[0] for x in out[-2 * width : -width]]:
-                group = ["()", True, False, [aligned(a, b) for a, b in zip(out[-2 * width : -width], out[-width:], strict=True)]]
+                group = ["()", True, False, [merged(a, b) for a, b in zip(out[-2 * width : -width], out[-width:], strict=True)]]
                 out[-2 * width :] = [group]
                 break
     return out
 
 
 def own_wrapper(node: list) -> list:
-    children = [[TEXT, False, False, []] if isinstance(x, str) else own_wrapper(x) for x in node[1] if not isinstance(x, str) or x.strip()]
-    return [node[0], False, False, collapsed(children)]
+    children = [[TEXT, False, False, [], 1, [hashed(plain(x))]] if isinstance(x, str) else own_wrapper(x) for x in node[1] if not isinstance(x, str) or x.strip()]
+    return [node[0], False, False, collapsed(children, own=True)]
+
+
+def texts_of(w: list) -> list[list]:
+    """The text nodes of a wrapper, in order."""
+    return [w] if w[0] == TEXT else [x for child in w[3] for x in texts_of(child)]
 
 
 def key(w: list) -> str:
     return f"({' '.join(x[0] for x in w[3])})" if w[0] == "()" else w[0]
 
 
-def aligned(a: list, b: list) -> list:
-    """The wrapper of what two wrappers of one label describe."""
+def common(a: list, b: list, sure: tuple[bool, bool] | None) -> list:
+    """The number of pages and the strings of a text that two texts become."""
+    if sure is None:
+        return [a[4] + b[4], sorted(set(a[5]) & set(b[5]))]
+    if all(sure):
+        return [max(a[4], b[4]), sorted(set(a[5]) | set(b[5]))]
+    if any(sure):
+        return (a if sure[0] else b)[4:]
+    return [max(a[4], b[4]), sorted(set(a[5]) & set(b[5]))]
+
+
+def aligned(a: list, b: list, sure: tuple[bool, bool] | None = None, own: bool = False) -> list:
+    """The wrapper of what two wrappers of one label describe.
+
+    sure: None for wrappers of different pages; for siblings, whether each stands on all
+    pages that their parent is on. own: siblings of one page.
+    """
+    if a[0] == TEXT:
+        return [TEXT, a[1] or b[1], a[2] or b[2], [], *common(a, b, sure)]
+
+    def down(p: list, q: list) -> list:
+        return aligned(p, q, sure and (sure[0] and (own or not p[2]), sure[1] and (own or not q[2])), own)
+
     x, y = a[3], b[3]
     if len(x) == len(y) and all(key(p) == key(q) for p, q in zip(x, y, strict=True)):
-        merged = [aligned(p, q) for p, q in zip(x, y, strict=True)]
+        merged = [down(p, q) for p, q in zip(x, y, strict=True)]
     else:
         length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
@@ -160,24 +205,26 @@ def aligned(a: list, b: list) -> list:
         merged, i, j = [], 0, 0
         while i < len(x) or j < len(y):
             if i < len(x) and j < len(y) and key(x[i]) == key(y[j]):
-                merged.append(aligned(x[i], y[j]))
+                merged.append(down(x[i], y[j]))
                 i, j = i + 1, j + 1
             elif j == len(y) or (i < len(x) and length[i + 1][j] >= length[i][j + 1]):
-                merged.append([x[i][0], x[i][1], True, x[i][3]])
+                merged.append([*x[i][:2], True, *x[i][3:]])
                 i += 1
             else:
-                merged.append([y[j][0], y[j][1], True, y[j][3]])
+                merged.append([*y[j][:2], True, *y[j][3:]])
                 j += 1
-        merged = collapsed(merged)
+        merged = collapsed(merged, own)
     return [a[0], a[1] or b[1], a[2] or b[2], merged]
 
 
-def regions(wrapper: list) -> dict[str, tuple[bool, bool]]:
-    """Label paths of text slots and elements: whether each lies in an article, and in a region beside the main text."""
-    found: dict[str, tuple[bool, bool]] = {}
+def regions(wrapper: list) -> dict[str, tuple[bool, bool, set[int]]]:
+    """Label paths of elements: whether each lies in an article, and in a region beside the main text; its fixed strings."""
+    found: dict[str, tuple[bool, bool, set[int]]] = {}
 
     def walk(node: list, path: str, inside: bool, aside: bool):
         if node[0] == TEXT:
+            if node[4] >= FIXED:
+                found.setdefault(path, (inside, aside, set()))[2].update(node[5])
             return
         if node[0] != "()":
             tag, *names = node[0].split(".")
@@ -186,7 +233,7 @@ def regions(wrapper: list) -> dict[str, tuple[bool, bool]]:
             top = tag == "header" or bool(words & HEAD_WORDS) or "banner" in words
             aside = aside or tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) or (top and not inside)
             inside = inside or tag in ("article", "main") or bool(words & {"article", "main"})
-            found.setdefault(path, (inside, aside))
+            found.setdefault(path, (inside, aside, set()))
         for child in node[3]:
             walk(child, path, inside, aside)
 
@@ -194,17 +241,17 @@ def regions(wrapper: list) -> dict[str, tuple[bool, bool]]:
     return found
 
 
-def main_text(html: str, marked: dict[str, tuple[bool, bool]]) -> str:
-    """The blocks of html whose paths are main text: inside its articles, or of all the page if it has none."""
+def main_text(html: str, marked: dict[str, tuple[bool, bool, set[int]]]) -> str:
+    """The blocks of html that aren't fixed and whose paths are main text: inside its articles, or of all the page if it has none."""
     blocks: list[tuple[bool, str]] = []
     scoped, todo = False, [(tree(html), "/")]
     while todo:  # depth first, children in page order
         node, path = todo.pop()
-        inside, aside = marked.get(path, (False, True))
+        inside, aside, fixed = marked.get(path, (False, True, ()))
         if aside:
             continue
         if isinstance(node, str):
-            if text := " ".join(entities.unescape(node).split()):
+            if (text := plain(node)) and not (fixed and hashed(text) in fixed):
                 blocks.append((inside, text))
             continue
         scoped = scoped or inside
@@ -213,7 +260,7 @@ def main_text(html: str, marked: dict[str, tuple[bool, bool]]) -> str:
 
 
 @lru_cache(maxsize=4096)
-def marks(wrapper: str) -> dict[str, tuple[bool, bool]]:
+def marks(wrapper: str) -> dict[str, tuple[bool, bool, set[int]]]:
     return regions(json.loads(wrapper))
 
 
@@ -244,17 +291,76 @@ def folded(rows: DataFrame, by: list[str]) -> DataFrame:
     return ordered.mapInArrow(run, "host string, wrapper string")
 
 
-def wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(host, wrapper) for all pages (host, html)."""
+def packed(sets: list[list[int]]) -> bytes:
+    return np.array([len(sets), *map(len, sets), *(h for some in sets for h in some)], "<i8").tobytes()
+
+
+def unpacked(raw: bytes) -> list[list[int]]:
+    flat = np.frombuffer(raw, "<i8")
+    ends = np.cumsum(flat[: flat[0] + 1])
+    return [flat[1 + a : 1 + b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def agreed(rows: DataFrame) -> DataFrame:
+    """rows (host, wrapper, n, texts), sorted by host and wrapper in each partition: those that are equal as one, with the strings all hold."""
 
     def run(batches):
+        now, n, sets, out = None, 0, [], []
         for batch in batches:
-            own = [json.dumps(own_wrapper(tree(x or ""))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string())], names=["host", "wrapper"])
+            for host, wrapper, count, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, wrapper) != now:
+                    if now is not None:
+                        out.append((*now, n, packed([sorted(x) for x in sets])))
+                    now, n, sets = (host, wrapper), 0, [set(x) for x in unpacked(raw)]
+                else:
+                    sets = [x.intersection(y) if x else x for x, y in zip(sets, unpacked(raw), strict=True)]
+                n += count
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(("host", "wrapper", "n", "texts"), x, strict=True)) for x in out], kinds)
+                out = []
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([{"host": now[0], "wrapper": now[1], "n": n, "texts": packed([sorted(x) for x in sets])}], kinds)
 
-    each = pages.select("host", "html").mapInArrow(run, "host string, wrapper string").distinct()
+    kinds = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("n", pa.int64()), ("texts", pa.binary())])
+    return rows.mapInArrow(run, "host string, wrapper string, n long, texts binary")
+
+
+def wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(host, wrapper) for all pages (host, html); strings of fewer than FIXED pages are left out."""
+
+    def structures(batches):
+        for batch in batches:
+            own = [own_wrapper(tree(x or "")) for x in batch.column(1).to_pylist()]
+            texts = [packed([x[5] for x in texts_of(w)]) for w in own]
+            for w in own:
+                for x in texts_of(w):
+                    del x[4:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(json.dumps, own), pa.string()), pa.array(texts, pa.binary())], names=["host", "wrapper", "texts"])
+
+    def filled(batches):
+        for batch in batches:
+            out = []
+            for wrapper, n, raw in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                w = json.loads(wrapper)
+                for x, strings in zip(texts_of(w), unpacked(raw), strict=True):
+                    x += [n, strings]
+                out.append(json.dumps(w))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
+
+    def told(batches):
+        for batch in batches:
+            out = [json.loads(x) for x in batch.column(1).to_pylist()]
+            for w in out:
+                for x in texts_of(w):
+                    x[5] = x[5] if x[4] >= FIXED else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(json.dumps, out), pa.string())], names=["host", "wrapper"])
+
+    each = pages.select("host", "html").mapInArrow(structures, "host string, wrapper string, texts binary").distinct()
+    each = each.select("host", "wrapper", F.lit(1).cast("long").alias("n"), "texts").sortWithinPartitions("host", "wrapper")
+    each = agreed(agreed(each).repartition("host", "wrapper").sortWithinPartitions("host", "wrapper"))
+    each = each.mapInArrow(filled, "host string, wrapper string")
     salted = each.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    return folded(folded(salted, ["host", "salt"]), ["host"])
+    return folded(folded(salted, ["host", "salt"]), ["host"]).mapInArrow(told, "host string, wrapper string")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", salts: int = SALTS) -> DataFrame:

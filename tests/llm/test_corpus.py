@@ -265,6 +265,23 @@ def test_wrappers(spark):
     assert texts == {0: "T & t\n\none two\n\nthree", 1: "only", 2: "kept text", 3: "", 4: "bare text", 5: "no article here", 6: "", 7: "deep\n\nafter"}
 
 
+def test_texts_fixed_on_a_host_are_no_main_text(spark):
+    def own(k):
+        side = "<section><p>Read on paper</p></section>" if k % 2 else ""
+        return f"<body><div><p>All rights reserved</p></div><div><p>own {k}</p><p>more {k}</p><p>Send to a friend</p></div>{side}</body>"
+
+    def run(rows):
+        return {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    whole = "All rights reserved\n\nown {0}\n\nmore {0}\n\nSend to a friend"
+    alone = run([(0, "http://a.x/0", own(0)), (2, "http://b.x/0", own(2)), *((100 + k, "http://a.x/copy", own(0)) for k in range(9))])
+    assert alone == {k: whole.format(2 if k == 2 else 0) for k in alone}  # copies of one page tell nothing
+    many = run([(k, f"http://a.x/{k}", own(k)) for k in range(12)] + [(50, "http://b.x/", own(50))])
+    assert many == {**{k: f"own {k}\n\nmore {k}" for k in range(12)}, 50: whole.format(50)}
+    mixed = run([(k, f"http://a.x/{k}", own(k)) for k in range(12)] + [(60, "http://a.x/60", "<body><div><p>other</p></div></body>")])
+    assert mixed[60] == "other"
+
+
 def test_repeated_groups_are_found():
     w = wrappers.own_wrapper(wrappers.tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"))
     assert w[3][0][3][0][:3] == ["()", True, False]
