@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled by the largest norm and get one more coordinate that makes their norm
-one (queries: their direction and zero), so the largest inner product becomes the
-smallest angle. Each of `tables` pseudo-rotations (three rounds of random signs and a fast
+Vectors are indexed in ranges of norms, powers of two whose bounds lie between them, so that
+a few long vectors don't hide the directions of the others. In a range they are scaled by
+its largest norm and get one more coordinate that makes their norm one (queries: their
+direction and zero), so the largest inner product becomes the smallest angle; queries go
+to every range. Each of `tables` pseudo-rotations (three rounds of random signs and a fast
 Hadamard transform, padded to a power of two) assigns a vector to its nearest signed
 axis; a query probes the `probes` nearest axes of each table. Candidates are scored by
-their exact inner product in double precision on the original vectors.
+their exact inner product in double precision on the original vectors. Queries that find
+fewer than k, though there are more, probe again: four times the axes, then every axis of
+one table, which is every entry.
 
 Equal vectors are one index entry with their k + 1 smallest ids, as ties go to smaller
-ids. Entries of a table and axis form a unit; a unit of more than `unit_rows` entries is
+ids. Entries of a range, table and axis form a unit; a unit of more than `unit_rows` entries is
 split by a hash of the id, and queries go to every part, so no task gathers a hot unit.
 Units arrive sorted and are scored in blocks; a task keeps the k best for each query and
 sends only those.
@@ -52,8 +56,15 @@ def axes(unit: np.ndarray, number: int, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
-def hashed(rows: DataFrame, most: float, tables: int, probes: int, query: bool) -> DataFrame:
-    """rows (id, vec, ids) dealt to (dim, t, axis)."""
+def norm_of(vec):
+    """The norm, by way of the largest component, so that no square over- or underflows."""
+    top = F.array_max(F.transform(vec, F.abs))
+    # a lambda over one element takes top once, not for each component
+    return F.transform(F.array(top), lambda t: t * F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + (x / t) * (x / t))))[0]
+
+
+def hashed(rows: DataFrame, tables: int, probes: int, query: bool) -> DataFrame:
+    """rows (id, vec, ids; most, the norm to scale by, but for queries) dealt to (dim, t, axis)."""
 
     def run(batches):
         for batch in batches:
@@ -63,8 +74,12 @@ def hashed(rows: DataFrame, most: float, tables: int, probes: int, query: bool)
                 for dim in np.unique(sizes):
                     part = some.take(pa.array(np.nonzero(sizes == dim)[0]))
                     vec = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-                    norm = np.linalg.norm(vec, axis=1, keepdims=True)
-                    unit = np.concatenate([vec / norm, np.zeros_like(norm)], 1) if query else np.concatenate([vec / most, np.sqrt(np.maximum(0, 1 - (norm / most) ** 2))], 1)
+                    if query:
+                        vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+                        unit = np.concatenate([vec / np.linalg.norm(vec, axis=1, keepdims=True), np.zeros((len(vec), 1))], 1)
+                    else:
+                        vec = vec / part.column("most").to_numpy()[:, None]
+                        unit = np.concatenate([vec, np.sqrt(np.maximum(0, 1 - (vec**2).sum(axis=1, keepdims=True)))], 1)
                     for t in range(tables):
                         found = axes(unit, t, probes)
                         again = pa.array(np.repeat(np.arange(len(vec)), found.shape[1]))
@@ -113,16 +128,36 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector:
 
     entries = sound(rows).distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = entries.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("id"), "vec", "ids")
+    entries = entries.withColumn("norm", norm_of(F.col("vec"))).withColumn("range", F.round(F.log2("norm")).cast("int"))
     entries = stored(entries, "entries")
-    most = entries.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
-    index = stored(hashed(entries, most, tables, 1, False), "index")
-    parts = index.groupBy("dim", "t", "axis").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
-    asked = sound(queries).distinct().withColumn("ids", F.array("id"))
-    asked = hashed(asked, most, tables, probes, True).join(stored(parts, "units"), ["dim", "t", "axis"])
-    asked = asked.select("dim", "t", "axis", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec", "ids")
-    given = index.join(stored(parts, "units"), ["dim", "t", "axis"])
-    given = given.select("dim", "t", "axis", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)").alias("part"), F.lit(0).alias("kind"), "id", "vec", "ids")
-    dealt = given.union(asked).repartition("dim", "t", "axis", "part").sortWithinPartitions("dim", "t", "axis", "part", "kind")
+    most = stored(entries.groupBy("range").agg(F.max("norm").alias("most")), "ranges")
+    index = stored(hashed(entries.join(F.broadcast(most), "range").select("id", "vec", "ids", "range", "most"), tables, 1, False).drop("most"), "index")
+    unit_of = ["dim", "range", "t", "axis"]
+    units = stored(index.groupBy(*unit_of).agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts")), "units")
+    sought = sound(queries).distinct().withColumn("ids", F.array("id"))
+    there = F.broadcast(stored(entries.groupBy(F.size("vec").alias("dim")).agg(F.sum(F.size("ids")).alias("there")), "there"))
+
+    hits, asking = None, sought
+    for some, axes_each in ((tables, probes), (tables, 4 * probes), (1, 1 << 30)):
+        asked = hashed(asking, some, axes_each, True).join(units, ["dim", "t", "axis"])
+        found = stored(probed(index.where(F.col("t") < some).join(units, unit_of), asked, unit_of, k), "hits")
+        hits = found if hits is None else hits.union(found)
+        had = hits.groupBy("query_id").agg(F.count_distinct("vec_id").alias("had"))
+        short = sought.join(had, sought["id"] == had["query_id"], "left").join(there, F.size("vec") == F.col("dim"))
+        asking = stored(short.where(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), "there")).select("id", "vec", "ids"), "short")
+        if asking.isEmpty():
+            break
+
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    hits = hits.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+    return hits.groupBy("query_id", "rank").agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))
+
+
+def probed(index: DataFrame, asked: DataFrame, unit_of: list[str], k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each task for each query, from the units (dim, range, t, axis; in parts) it was dealt to."""
+    asked = asked.select(*unit_of, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec", "ids")
+    given = index.select(*unit_of, F.expr("CAST(pmod(xxhash64(id), parts) AS INT)").alias("part"), F.lit(0).alias("kind"), "id", "vec", "ids")
+    dealt = given.union(asked).repartition(*unit_of, "part").sortWithinPartitions(*unit_of, "part", "kind")
 
     def run(batches):
         unit, ids, vecs, block, found, held = None, [], [], None, [], 0
@@ -132,21 +167,21 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector:
             return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
             cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 some, dim = batch.slice(a, b - a), int(keys[a, 0])
-                if (now := tuple(keys[a, :4])) != unit:
+                if (now := tuple(keys[a, :5])) != unit:
                     unit, ids, vecs, block = now, [], [], None
-                vec = some.column(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                if not keys[a, 4]:
+                vec = some.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                if not keys[a, 5]:
                     vecs.append(vec)
-                    ids += [np.array(x) for x in some.column(7).to_pylist()]
+                    ids += [np.array(x) for x in some.column(8).to_pylist()]
                 elif vecs:
                     block = np.concatenate(vecs) if block is None else block
-                    asking = some.column(5).to_numpy()
+                    asking = some.column(6).to_numpy()
                     for low in range(0, len(vec), 1024):
                         found.append(scored(asking[low : low + 1024], vec[low : low + 1024], ids, block, k))
                         held += len(found[-1][0])
@@ -156,10 +191,7 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector:
         if found:
             yield out()
 
-    hits = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    hits = hits.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
-    return hits.groupBy("query_id", "rank").agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,6 +353,32 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [1.0, 100.0])
+def test_neighbours_with_one_long_vector(spark, longest):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= longest
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df.where("vec_id % 30 = 0"), df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) == 100 and all(len(v) == 20 for v in got.values())
+    hit = 0
+    for q, v in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(v & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 2000
+
+
+def test_neighbours_are_found_however_few_axes_are_probed(spark):
+    x = np.random.default_rng(5).normal(size=(400, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df.where("vec_id % 20 = 0"), df, tables=1, probes=1)
+    assert out.count() == 20 * 20
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, SF)
