@@ -22,7 +22,7 @@ more. A page's texts are found by their label path in its host's wrapper.
 
 A null html is empty and gives an empty text; a null url belongs to one host of its own;
 pages without any markup are their text; blocks nested over DEPTH deep are siblings, as in
-browsers, with their text kept; unclosed and stray tags are repaired as browsers
+browsers, with their text and its region kept; unclosed and stray tags are repaired as browsers
 do for paragraphs and list items; repeated rows are extracted alike; very long pages are
 read whole; an empty table gives an empty result.
 """
@@ -32,6 +32,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -46,8 +47,8 @@ SALTS, TEXT, DEPTH, FIXED = 16, "#", 200, 4
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
 )
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that an opening tag of the same row closes, if they are the innermost open block.
@@ -58,22 +59,67 @@ ASIDE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising banner promo sponsor sponsored cookie cookies consent notice notices gdpr popup modal newsletter subscribe social share sharing related comment comments disqus replies respond login search widget pagination pager skip hidden".split()
 )
 HEAD_WORDS = frozenset("header masthead topbar".split())
+#: Words that may stand beside such a word in a class name; names with others ("has-sidebar", "no-comments") tell nothing.
+LAYOUT_WORDS = frozenset(
+    "box block list form area section container wrapper wrap inner outer bar top bottom left right main primary secondary site page global mobile desktop link links icon icons button buttons post posts item items text title label policy overlay slot unit sticky fixed toggle group panel row col column".split()
+)
+#: First words of names that are side regions whatever follows, but for words of state.
+PREFIXES = frozenset("widget sidebar breadcrumb breadcrumbs cookie newsletter pagination disqus gdpr advert advertisement navbar sponsored ads".split())
+STATES = frozenset("enabled disabled open opened closed active inactive visible on off collapsed expanded has with without no not is".split())
+#: Elements that no class name makes a side region.
+KEPT_TAGS = frozenset("html body main article".split())
+HIDDEN = "!hidden"
 
 
 def label(tag: str, attributes: str) -> str:
     """tag, then the names in class, id and role, digits left out, in order of the alphabet."""
     names = set()
-    for m in NAMED.finditer(attributes):
-        names |= {re.sub(r"\d+", "", x).lower() for x in (m[2] or m[3] or m[4] or "").split()}
-    if HIDDEN.search(attributes):
-        names.add("hidden")
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            names |= {re.sub(r"\d+", "", x).lower() for x in value.split()}
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            names.add(HIDDEN)
     return ".".join([tag, *sorted(x for x in names if x)])
 
 
+def named(name: str, words: frozenset, prefixes: frozenset = frozenset()) -> bool:
+    """Whether a class name as a whole says one of the words."""
+    parts = [x for x in re.split(r"[-_:]+", name) if len(x) > 1]
+    if not parts or STATES & set(parts):
+        return False
+    return parts[0] in prefixes or (any(x in words for x in parts) and all(x in words or x in LAYOUT_WORDS for x in parts))
+
+
+@lru_cache(maxsize=65536)
+def kind(label: str) -> tuple[bool, bool, bool]:
+    """Whether an element is an article, a region beside the main text, and a page's head."""
+    tag, *names = label.split(".")
+    article = tag in ("article", "main") or any(x in ("article", "main") for n in names for x in re.split(r"[-_:]+", n))
+    if tag in KEPT_TAGS:
+        return article, HIDDEN in names and tag in ("article", "main"), False
+    side = tag in ASIDE_TAGS or HIDDEN in names or any(named(n, ASIDE_WORDS, PREFIXES) for n in names)
+    return article, side, tag == "header" or any(named(n, HEAD_WORDS) for n in names)
+
+
+def marked_by(label: str, inside: bool, aside: bool) -> tuple[bool, bool]:
+    """Whether what an element holds lies in an article, and beside the main text, from the same of the element's place."""
+    article, side, top = kind(label)
+    return inside or article, aside or side or (top and not inside)
+
+
 def tree(html: str) -> list:
-    """[label, children]; a child is a text or another such list."""
+    """[label, children]; a child is a text or another such list.
+
+    Beyond DEPTH only elements are opened that begin an article or a side region, so each
+    text keeps its marks; of the others the names are held until they close.
+    """
     root: list = ["", []]
-    opened, text, at, deeper = [root], [], 0, 0
+    opened, text, at = [root], [], 0
+    marks, deeper = [(False, False)], [([], Counter())]
+
+    def close(depth: int):
+        del opened[depth:], marks[depth:], deeper[depth:]
 
     def flush():
         if text:
@@ -93,24 +139,32 @@ def tree(html: str) -> list:
             continue
         flush()
         if m[2]:
-            if deeper:
-                deeper -= 1
-                continue
-            for depth in range(len(opened) - 1, 0, -1):
-                if opened[depth][0].split(".", 1)[0] == tag:
-                    del opened[depth:]
+            for depth in range(len(opened) - 1, -1, -1):
+                names, held = deeper[depth]
+                if held[tag]:
+                    close(depth + 1)
+                    while (last := names.pop()) != tag:
+                        held[last] -= 1
+                    held[tag] -= 1
+                    break
+                if depth and opened[depth][0].split(".", 1)[0] == tag:
+                    close(depth)
                     break
             continue
         closing = CLOSES.get(tag, {"p"} if tag in NO_P_INSIDE else set())
-        while len(opened) > 1 and opened[-1][0].split(".", 1)[0] in closing:
-            opened.pop()
+        while len(opened) > 1 and not deeper[-1][0] and opened[-1][0].split(".", 1)[0] in closing:
+            close(len(opened) - 1)
         node = [label(tag, m[4]), []]
         opened[-1][1].append(node)
         if tag not in VOID and not m[4].endswith("/"):
-            if len(opened) > DEPTH:
-                deeper += 1
+            mark = marked_by(node[0], *marks[-1])
+            if len(opened) > DEPTH and (mark == marks[-1] or marks[-1][1]):
+                deeper[-1][0].append(tag)
+                deeper[-1][1][tag] += 1
             else:
                 opened.append(node)
+                marks.append(mark)
+                deeper.append(([], Counter()))
     text.append(html[at:])
     flush()
     return root
@@ -227,12 +281,8 @@ def regions(wrapper: list) -> dict[str, tuple[bool, bool, set[int]]]:
                 found.setdefault(path, (inside, aside, set()))[2].update(node[5])
             return
         if node[0] != "()":
-            tag, *names = node[0].split(".")
-            words = {x for n in names for x in re.split(r"[-_:]+", n)}
             path = f"{path}/{node[0]}"
-            top = tag == "header" or bool(words & HEAD_WORDS) or "banner" in words
-            aside = aside or tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) or (top and not inside)
-            inside = inside or tag in ("article", "main") or bool(words & {"article", "main"})
+            inside, aside = marked_by(node[0], inside, aside)
             found.setdefault(path, (inside, aside, set()))
         for child in node[3]:
             walk(child, path, inside, aside)

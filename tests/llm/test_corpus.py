@@ -282,6 +282,20 @@ def test_texts_fixed_on_a_host_are_no_main_text(spark):
     assert mixed[60] == "other"
 
 
+def test_class_names_and_depth_do_not_lose_articles():
+    def text(html):
+        return wrappers.main_text(html, wrappers.regions(wrappers.own_wrapper(wrappers.tree(html))))
+
+    for begin, end in (("<body class='has-sidebar'>", ""), ("<body class='search-enabled header-fixed'>", ""), ("<main class='with-ads'>", "</main>"), ("<div class='content no-comments'>", "</div>")):
+        assert text(f"{begin}<article class='post no-comments'><p>kept</p></article>{end}") == "kept"
+    assert text("<article title='The hidden valley' data-class='ad'><p>kept</p></article>") == "kept"
+    for gone in ("<p hidden>x</p>", "<p aria-hidden=true>x</p>", "<p style='display: none'>x</p>", "<div class='cookie-notice'>x</div>", "<div class='widget_recent'>x</div>", "<div class='site-footer'>x</div>", "<div class='ad-300x250'>x</div>"):
+        assert text(f"<body>{gone}<p>kept</p></body>") == "kept"
+    deep, back = "<div>" * 300, "</div>" * 300
+    assert text(f"{deep}<nav><ul><li>m<li>n</ul></nav>kept<form>q</form>{back}after") == "kept\n\nafter"
+    assert text(f"{deep}<article><div>kept<aside>side</aside></div></article>beside{back}after") == "kept"
+
+
 def test_repeated_groups_are_found():
     w = wrappers.own_wrapper(wrappers.tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"))
     assert w[3][0][3][0][:3] == ["()", True, False]
