@@ -120,6 +120,14 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(out[200 + k]["kept"] for k in range(40)) and out[300]["kept"]  # copies aren't boilerplate; another host
 
 
+def test_depleted_documents_of_a_hot_host_are_rejected(spark):
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    shared = " ".join(f"common{i}" for i in range(70))
+    rows = [(k, f"{own(k)}\n{shared}" if k < 40 else own(k), "a") for k in range(300)] + [(1000, f"{shared}\nonly", "a")]
+    out = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[1000]["kept"] is False and not out[1000]["base_failed"] and all(out[k]["kept"] for k in range(300))
+
+
 def test_mixing_meets_targets(spark, odd):
     rows = [(s * 1000 + k, "w " * (k % 9 + 1), f"s{s}") for s in range(5) for k in range(200 if s else 4)]
     out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
