@@ -13,6 +13,10 @@ from tessera.functions.tables import STD_HUFFMAN, zigzag_order
 from tessera.operators import coding as C
 
 
+#: Blocks on a side of 65,535 samples, the most that a frame header states.
+MOST_BLOCKS = 65535 // 8
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of whole files."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
@@ -25,8 +29,8 @@ def kind(content: Column) -> Column:
 
 
 def be(value: Column, octets: int) -> Column:
-    """A non-negative integer as big-endian hexadecimal text."""
-    return F.lpad(F.hex(value), 2 * octets, "0")
+    """A non-negative integer as big-endian hexadecimal text; null if it doesn't fit."""
+    return F.when(F.length(F.hex(value)) <= 2 * octets, F.lpad(F.hex(value), 2 * octets, "0"))
 
 
 def huffman_segment() -> str:
@@ -39,17 +43,30 @@ def huffman_segment() -> str:
     return out.upper()
 
 
-def gray_files(leveled: DataFrame, quality: int) -> DataFrame:
-    """(image_id, jpeg): baseline files of one-component levels; blocks stand in one column, in scan order."""
+def gray_files(leveled: DataFrame, quality: int, most: int = MOST_BLOCKS) -> DataFrame:
+    """(image_id, jpeg): baseline files of one-component levels; blocks stand in one column, in scan order.
+
+    Where that would be over `most` blocks high, rows are as many blocks wide as it takes,
+    and the last row is filled with flat blocks of the last level; null if the width doesn't fit either.
+    """
     spark = leveled.sparkSession
+    dc = leveled.where("zz = 0")
+    rest = [c for c in ("comp", "qidx") if c in leveled.columns]
+    sizes = dc.groupBy("image_id").agg(F.count("*").alias("n"), F.max("scan_idx").alias("last"), F.max_by("level", "scan_idx").alias("level"), *(F.min(c).alias(c) for c in rest))
+    sizes = sizes.withColumn("across", F.ceil(F.col("n") / most)).withColumn("down", F.ceil(F.col("n") / F.col("across")))
+    spare = sizes.withColumn("spare", F.col("across") * F.col("down") - F.col("n")).where("spare > 0")
+    if not spare.isEmpty():
+        names = ["image_id", "scan_idx", *rest, "zz", "level"]
+        fill = spare.select("image_id", F.explode(F.sequence(F.col("last") + 1, F.col("last") + F.col("spare"))).alias("scan_idx"), *rest, F.lit(0).alias("zz"), "level")
+        leveled = leveled.select(*names).unionByName(fill.select(*names))
     scan = C.scan_bytes(C.code_strings(C.symbols(leveled)))
-    height = leveled.where("zz = 0").groupBy("image_id").agg((F.count("*") * 8).alias("height"))
+    sides = sizes.select("image_id", (F.col("across") * 8).alias("width"), (F.col("down") * 8).alias("height"))
     matrix = C.quantizer(spark, quality).where("qidx = 0").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("m"))
     order = F.array(*map(F.lit, zigzag_order()))
     dqt = matrix.select(F.array_join(F.transform(order, lambda p: F.lpad(F.hex(F.element_at("m.q", p + 1)), 2, "0")), "").alias("dqt"))
-    rows = scan.join(height, "image_id").crossJoin(F.broadcast(dqt))
+    rows = scan.join(sides, "image_id").crossJoin(F.broadcast(dqt))
     start = F.lit("FFD8FFE000104A46494600010100000100010000")
-    frame = F.concat(F.lit("FFC0000B08"), be(F.col("height"), 2), F.lit("000801011100"))
+    frame = F.concat(F.lit("FFC0000B08"), be(F.col("height"), 2), be(F.col("width"), 2), F.lit("01011100"))
     text = F.concat(start, F.lit("FFDB004300"), F.col("dqt"), frame, F.lit(huffman_segment() + "FFDA0008010100003F00"))
     return rows.select("image_id", F.concat(F.unhex(text), F.col("scan"), F.unhex(F.lit("FFD9"))).alias("jpeg"))
 

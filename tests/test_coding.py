@@ -126,6 +126,27 @@ def test_files_decode_to_their_levels(spark):
         assert decoded(bytes(r["jpeg"])) == [b for _, b in sorted(want[r["image_id"]].items())]
 
 
+def test_long_files_are_laid_out_in_rows(spark):
+    leveled = Q.leveled(spark, SF)
+    want = {}
+    for r in leveled.select("image_id", "scan_idx", "zz", "level").collect():
+        want.setdefault(r["image_id"], {}).setdefault(r["scan_idx"], [0] * 64)[r["zz"]] = r["level"]
+    files = containers.gray_files(leveled, Q.QUALITY, most=4).collect()
+    assert {r["image_id"] for r in files} == set(want) and any(len(b) > 4 for b in want.values())
+    for r in files:
+        jpeg, blocks = bytes(r["jpeg"]), [b for _, b in sorted(want[r["image_id"]].items())]
+        at = jpeg.index(b"\xff\xc0") + 5
+        height, width = int.from_bytes(jpeg[at : at + 2], "big"), int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        assert height <= 32 and 0 <= height * width // 64 - len(blocks) < width // 8
+        column = jpeg[:at] + (height * width // 8).to_bytes(2, "big") + jpeg[at + 2 :]
+        assert decoded(column) == blocks + [[blocks[-1][0]] + [0] * 63] * (height * width // 64 - len(blocks))
+
+
+def test_numbers_that_do_not_fit_are_null(spark):
+    out = spark.range(1).select(containers.be(F.lit(65535), 2).alias("a"), containers.be(F.lit(65536), 2).alias("b"), containers.be(F.lit(8), 2).alias("c")).first()
+    assert tuple(out) == ("FFFF", None, "0008")
+
+
 def test_headers_of_truncated_files_are_never_wrong(spark):
     jpeg = bytes(containers.gray_files(Q.leveled(spark, SF), 75).first()["jpeg"])
     cut = [(n, jpeg[:n]) for n in range(0, 700, 7)] + [(9999, jpeg)]
