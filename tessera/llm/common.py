@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and return.
@@ -14,24 +14,50 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that is an
+    error, as executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables and files."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the application's intermediate tables and files, once results that read them are written."""
+    removed(spark, run_dir(spark))
+
+
+def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back.
 
     Cuts the lineage, outlives lost executors, is computed once however often it is read,
-    and gives the planner a measured size to decide on broadcasts by.
+    and gives the planner a measured size to decide on broadcasts by. instead: a stored
+    table that nothing needs once df is written; its files go.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        removed(spark, instead.stored_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +83,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFr
     at = "_position"
     placed = stored(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_within", F.col(at).bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(F.broadcast(counts.select(F.col("_part").alias("_p"), F.col("_n").alias("_m"))), F.col("_p") < F.col("_part"), "left")
-    offsets = before.groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_offset"))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
     out = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_within"))
     return out.drop(at, "_part", "_within", "_offset")
 
@@ -70,7 +95,3 @@ def free_name(wanted: str, taken: list[str]) -> str:
     while wanted.lower() in low:
         wanted = f"_{wanted}"
     return wanted
-
-
-def sql_columns(names: list[str]) -> str:
-    return ", ".join("`" + re.sub("`", "``", x) + "`" for x in names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; component is the smallest node reachable.
 
     edges: two columns of one non-null orderable type; loops and repeats are harmless.
@@ -21,20 +21,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     now = stored(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
-    seen = None
-    for _ in range(rounds):
+    seen, rounds, most = None, 0, None
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
+        # rounds are about the square of the logarithm of the edges; many more mean that the input isn't one table
+        most = most or 20 + 4 * mark[0].bit_length() ** 2
+        if (rounds := rounds + 1) > most:
+            raise RuntimeError(f"no fixed point after {most} rounds")
         seen = mark
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u"), F.least("u", "_m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
+        now = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", instead=now)
     stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(roots)
