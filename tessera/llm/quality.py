@@ -5,15 +5,17 @@ base_failed: under 50 words, or over half of the words stand in 3-word windows t
 text holds twice or more.
 
 Line frequency: lines are normalised (lower case, one space between words), hashed to 64
-bits and counted by distinct documents of a host. Exact copies of a text are one document
-here, so that a text isn't judged boilerplate for being copied. A line is removed if over
-max(line_floor, line_share x the host's distinct documents) documents hold it. A document
-that this leaves with fewer than `left_words` words or less than `left_share` of its words
-is depleted and is rejected.
+bits and counted by distinct documents of a host. A line is removed if over
+max(line_floor, line_share x the host's documents) of them hold it: the share is small, as
+boilerplate stands in a tenth or so of a host's documents, whatever their number. A
+document that this leaves with fewer than `left_words` words or less than `left_share` of
+its words is depleted and is rejected. With `copies_once` exact copies of a text count as
+one document of the host, for corpora that are deduplicated afterwards.
 
 Null texts and texts without words have no lines and fail the base rules; a null host is
-a host of its own; repeated rows are judged alike and all returned; an empty table gives
-an empty result. Columns of the input never clash, as only id, text and host are read.
+a host of its own; rows that repeat an id are one document (those without id: one for each
+text), judged alike and all returned; an empty table gives an empty result. Columns of the
+input never clash, as only id, text and host are read, and rows pass through whole.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
 
-LINE_FLOOR, LINE_SHARE, LEFT_WORDS, LEFT_SHARE = 20, 0.10, 20, 0.3
+LINE_FLOOR, LINE_SHARE, LEFT_WORDS, LEFT_SHARE = 20, 0.01, 20, 0.3
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -88,28 +90,38 @@ def measures(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, f"row_id long, doc_id {kinds['doc_id']}, host {kinds['host']}, text_hash long, {COUNTS}, lines array<struct<h: long, w: long>>")
 
 
-def frequent_lines(measured_docs: DataFrame, floor: int, share: float) -> DataFrame:
-    """(host, h) of lines that too many distinct texts of a host hold.
+def frequent_lines(measured_docs: DataFrame, floor: int, share: float, copies_once: bool = False) -> DataFrame:
+    """(host, h) of lines that too many documents of a host hold.
 
-    Lines are first counted with repeats of a text, which only needs sums combined before
-    the shuffle; what can't pass the floor goes there, so exact distinct counts are taken
-    of few lines.
+    Lines are first counted by rows, which only needs sums combined before the shuffle;
+    what can't pass the floor goes there, so exact distinct counts are taken of few lines.
     """
-    lines = measured_docs.select("host", "text_hash", F.explode("lines.h").alias("h"))
+    document = F.struct(F.when(F.lit(not copies_once), F.col("doc_id")).alias("id"), F.when(F.col("doc_id").isNull() | F.lit(copies_once), F.col("text_hash")).alias("hash"))
+    lines = measured_docs.select("host", document.alias("document"), F.explode("lines.h").alias("h"))
     likely = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > floor).select(F.col("host").alias("lh"), "h")
     likely = stored(likely, "likely-lines")
-    texts = lines.join(likely, (lines["host"].eqNullSafe(likely["lh"])) & (lines["h"] == likely["h"])).select("host", lines["h"], "text_hash")
-    counted = texts.distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
-    hosts = measured_docs.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "hh")
+    held = lines.join(likely, (lines["host"].eqNullSafe(likely["lh"])) & (lines["h"] == likely["h"])).select("host", lines["h"], "document")
+    counted = held.distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
+    hosts = measured_docs.select("host", document.alias("document")).distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "hh")
     limit = F.greatest(F.lit(floor).cast("double"), F.col("host_docs") * share)
     return counted.join(hosts, counted["host"].eqNullSafe(hosts["hh"])).where(F.col("docs") > limit).select("host", "h", "docs")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", line_floor: int = LINE_FLOOR, line_share: float = LINE_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
+def judged(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+    line_floor: int = LINE_FLOOR,
+    line_share: float = LINE_SHARE,
+    left_words: int = LEFT_WORDS,
+    left_share: float = LEFT_SHARE,
+    copies_once: bool = False,
+) -> DataFrame:
     """One row for each row of docs: ids, base counts, n_removed_words, base_failed, kept."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     seen = stored(measures(given), "measures")
-    often = stored(frequent_lines(seen, line_floor, line_share).select(F.col("host").alias("fh"), F.col("h").alias("fl")), "frequent-lines")
+    often = stored(frequent_lines(seen, line_floor, line_share, copies_once).select(F.col("host").alias("fh"), F.col("h").alias("fl")), "frequent-lines")
     lines = seen.select("row_id", "host", F.explode("lines").alias("l"))
     removed = lines.join(often, lines["host"].eqNullSafe(often["fh"]) & (F.col("l.h") == often["fl"]))
     removed = removed.groupBy("row_id").agg(F.sum("l.w").alias("removed"), F.count("*").alias("lines_gone"))
@@ -123,11 +135,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: st
     )
 
 
-def passing(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+def passing(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **how) -> DataFrame:
     """The rows of docs that the rules keep, whole."""
-    rejected = judged(docs, id_col, text, host, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rejected = judged(docs, id_col, text, host, **how).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
     rejected = stored(rejected, "rejected").hint("shuffle_hash")  # one plan at every size
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_id"]) & (F.xxhash64(docs[text]) == rejected["_hash"]), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"))
+    at = F.col("row")
+    return rows.join(rejected, at[id_col].eqNullSafe(rejected["doc_id"]) & (F.xxhash64(at[text]) == rejected["text_hash"]), "left_anti").select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +167,10 @@ lines AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
 worded AS (SELECT * FROM lines WHERE n > 0),
 dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM worded GROUP BY ALL) GROUP BY doc_id),
-host AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+host AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source),
 often AS (
-  SELECT x.source, norm FROM worded x JOIN d USING (doc_id) JOIN host h ON x.source = h.source
-  GROUP BY x.source, norm, h.n HAVING count(DISTINCT d.text) > greatest(20, 0.10 * h.n)),
+  SELECT x.source, norm FROM worded x JOIN host h ON x.source = h.source
+  GROUP BY x.source, norm, h.n HAVING count(DISTINCT doc_id) > greatest(20::DOUBLE, 0.01::DOUBLE * h.n)),
 gone AS (
   SELECT doc_id, sum(n) AS w, count(DISTINCT norm) AS l FROM worded SEMI JOIN often USING (source, norm) GROUP BY doc_id),
 base AS (
