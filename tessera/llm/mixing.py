@@ -8,21 +8,23 @@ A source takes whole epochs first: every document as often as the target covers
 source. The rest of the budget goes to documents in ascending order of their exponential
 keys -ln(u) / quality, until the budget is full; the one document at the edge gives only
 as many of its words as still fit, so a source misses its target by under one word. u
-comes from an MD5 of the id, so reruns agree. Quality is the share of a text's characters
-that aren't symbols, 0.05 at least.
+comes from an MD5 of the id, so reruns agree. Quality is a column of the caller's (0.05 at
+least; null: 0.05); by default the share of a text's characters that aren't symbols.
 
 No source is sorted as a whole: keys fall into `slots` equal slices of the unit interval,
 the slices' sizes (sums, combined before the shuffle) are prefix-summed for each source,
 and only the one slice where a source's budget ends is sorted.
 
 Null texts have size 0 and take nothing; a null source is a source of its own; equal keys
-(repeated rows) come in order of size and are cut as if they were one list; an empty
-table gives an empty result.
+(repeated rows) come in order of size and are cut as if they were one list, so rows of one
+id, source and size share their words: copies are numbered, and so many first ones get the
+whole, the next one the rest. An empty table gives an empty result; rows pass through
+whole, so no column clashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import numbered, stored, table, word_count
@@ -30,11 +32,15 @@ from tessera.llm.common import numbered, stored, table, word_count
 WEIGHTS, REPEATS, SLOTS = (5, 2, 1), 3, 4096
 
 
-def sizes(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+def clean_share(text: Column) -> Column:
+    """The share of a text's characters that aren't symbols."""
+    given = F.coalesce(text, F.lit(""))
+    return 1 - (F.length(given) - F.length(F.translate(given, "#*$%&|<>", ""))) / F.greatest(F.length(given), F.lit(1))
+
+
+def sizes(docs: DataFrame, id_col: str, text: str, source: str, quality: Column | None = None) -> DataFrame:
     """(doc_id, source, size, key, slot) of all rows."""
-    given = F.coalesce(F.col(text), F.lit(""))
-    symbols = F.length(given) - F.length(F.translate(given, "#*$%&|<>", ""))
-    quality = F.greatest(F.lit(0.05), 1 - symbols / F.greatest(F.length(given), F.lit(1)))
+    quality = F.greatest(F.lit(0.05), clean_share(F.col(text)) if quality is None else quality.cast("double"))
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
     key = -F.log((bits + F.lit(0.5)) / F.lit(2.0**52)) / quality
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))
@@ -57,12 +63,12 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS)
     return sources.select("source", "source_size", F.least(F.col("weight") * F.lit(share or 0.0), F.col("most").cast("double")).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS, quality: Column | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, epochs, part, taken.
 
     epochs: whole takes; part: words of one more take; taken: epochs x size + part.
     """
-    sized = stored(sizes(docs, id_col, text, source), "sizes")
+    sized = stored(sizes(docs, id_col, text, source, quality), "sizes")
     goal = targets(sized, weights, repeats)
     safe = F.greatest(F.col("source_size"), F.lit(1))
     goal = goal.withColumn("epochs", F.floor(F.col("target") / safe).cast("long"))
@@ -88,19 +94,32 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken; a part comes cut after its words."""
-    plan = mixed(docs, id_col, text, source, **how).where("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.max("epochs").alias("_epochs"), F.max("part").alias("_part")
-    )
-    plan = stored(plan, "plan").hint("shuffle_hash")  # one plan at every size
-    size = word_count(docs[text])
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]) & docs[source].eqNullSafe(plan["_source"]) & (size == plan["_size"]))
-    takes = F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)
-    rows = rows.withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), takes)))
-    short = (F.col("_take") > F.col("_epochs")) & (F.col("_part") < F.col("_size"))
-    words = F.regexp_extract_all(docs[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    begin = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")
-    return rows.select(*[F.when(short, begin).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+    by = ["doc_id", "source", "size"]
+    plan = mixed(docs, id_col, text, source, **how).groupBy(*by).agg(F.max("epochs").alias("epochs"), F.min("part").alias("low"), F.max("part").alias("part"), F.sum("part").alias("parts"))
+    plan = stored(plan.where((F.col("epochs") > 0) | (F.col("part") > 0)).where("size > 0"), "plan")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("n_words", word_count(F.col("row")[text]))
+    mine = F.col("row")[id_col].eqNullSafe(plan["doc_id"]) & F.col("row")[source].eqNullSafe(plan["source"]) & (F.col("n_words") == plan["size"])
+    even = rows.join(plan.where("low = part").hint("shuffle_hash"), mine).select("row", "size", "epochs", "part")  # one plan at every size
+
+    # where copies straddle a source's edge they are numbered: by the stored partition, then inside it
+    split = plan.where("low < part")
+    if not split.isEmpty():
+        copies = stored(rows.join(split, mine).select("row", *by, "epochs", "parts", F.monotonically_increasing_id().alias("at")), "copies").withColumn("place", F.shiftright("at", 33))
+        counts = copies.groupBy(*by, "place").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*by).orderBy("place")) - F.col("n")).select(*(F.col(c).alias(f"c_{c}") for c in by), F.col("place").alias("c_place"), "before")
+        number = F.row_number().over(Window.partitionBy(*by, "place").orderBy("at"))
+        same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in [*by, "place"]]
+        copies = copies.withColumn("number", number).join(counts, same)
+        given = F.col("parts") - (F.col("before") + F.col("number") - 1) * F.col("size")
+        even = even.unionByName(copies.select("row", "size", "epochs", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), given)).alias("part")))
+
+    takes = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    out = even.where(takes > 0).withColumn("take", F.explode(F.sequence(F.lit(1).cast("long"), takes)))
+    short = (F.col("take") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    whole = F.col("row")[text]
+    words = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    begin = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
+    return out.select(*[(F.when(short, begin).otherwise(whole) if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
