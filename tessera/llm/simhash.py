@@ -16,6 +16,7 @@ link between components is lost.
 
 Empty tables give empty results; rows with a null id are linked and labelled like others,
 and a component without any id has a null component_id; repeated rows are all returned.
+Rows pass through deduplicated() whole, so no column clashes.
 """
 
 from __future__ import annotations
@@ -113,16 +114,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with its smallest id (rows without any id stay).
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """docs with one row of each component: the one of the smallest id (rows without id last), then of the least text hash.
 
-    Of rows that repeat that id, the one with the least text hash stays, once.
+    A component is that of its fingerprints, so an id that stands for several texts neither joins their components nor loses one.
     """
-    labels = near_duplicates(docs, id_col, text)
-    kept = labels.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    chosen = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").groupBy(id_col).agg(F.min_by(row, F.xxhash64(text)).alias("_row"))
-    return chosen.select("_row.*").union(docs.where(F.col(id_col).isNull()))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    fps = fingerprints(given, shingle=shingle)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    nodes = stored(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "nodes")
+    groups = linked(nodes.select("fp", "n"), distance, blocks)
+    kept = nodes.join(groups, "fp").groupBy("group").agg(F.min("first").alias("k")).select("k.doc_id", "k.hash").distinct()
+    kept = stored(kept, "kept").hint("shuffle_hash")  # one plan at every size
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("own"))
+    chosen = rows.join(kept, F.col("row")[id_col].eqNullSafe(kept["doc_id"]) & (F.col("own") == kept["hash"]), "left_semi")
+    # repeated rows: the one of least hash over all columns that can be hashed
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    chosen = chosen.groupBy(F.col("row")[id_col].alias("id"), "own").agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in plain))).alias("row"))
+    return chosen.select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
