@@ -1,7 +1,8 @@
 """Token ids as length-delimited binary records, with a separate offset index.
 
-A shard is a file of records in ascending order of document id (null ids first), shards
-are numbered in the same order:
+A shard is a file of records in ascending order of document id (null ids first; rows of one
+id by a hash of the text, so that no id has to fit one shard), shards are numbered in the
+same order:
 
     u64 payload length | u32 masked CRC-32 of the length | payload | u32 masked CRC-32 of the payload
 
@@ -15,16 +16,19 @@ Each task writes its shard under a name of its own and reports it as a manifest
 rows of tasks that Spark committed reach the manifest, so retries and lost executors leave
 no wrong file in it. Files go through pyarrow's file systems to the shared folder.
 
-Texts are encoded whole by the tokenizers library (strings of special tokens count as
-ordinary text) and end with end_id; a null text is the end id alone; repeated rows are
-records of their own; an empty table makes no shard. As no pre-token crosses from a
-non-space to a following space, texts are encoded in pieces that begin at single spaces,
-each distinct piece once per worker while a bounded memory holds; texts with other runs
-of white space beside a space are encoded in one go.
+Ids are those that the tokenizers library gives for the whole text (a special token's string
+is that token, or ordinary text with `plain`), and end_id; a null text is the end id alone;
+repeated rows are records of their own; an empty table makes no shard; only the id and the
+text are read, so no column clashes. Where the tokenizer file has nothing but the byte-level
+pre-tokenizer with its usual pattern, no pre-token crosses from a non-space to a following
+space: texts are then encoded in pieces that begin at single spaces, each distinct piece
+once per worker while a memory of `MEMORY` bytes holds it; texts with other runs of white
+space beside a space, and all texts of any other tokenizer, are encoded in one go.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -37,9 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, stored, table
+from tessera.llm.common import run_dir, stored, table
 
-END_ID, CACHE = 0, 1_200_000
+#: Bytes of pieces that a worker remembers (with `OVERHEAD` for each), and the longest piece it does.
+END_ID, MEMORY, OVERHEAD, REMEMBERED = 0, 320 << 20, 240, 64
 HEAD, PAYLOAD, ENTRY = "<QI", "<BqBI", "<QQq"
 
 
@@ -90,29 +95,40 @@ def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:
 class Encoder:
     """A tokenizer file's ids of whole texts, with a bounded memory of pieces."""
 
-    own: dict[str, Encoder] = {}
+    own: dict[tuple[str, bool], Encoder] = {}
     #: A space beside other white space: there a piece may not begin.
     odd = re.compile(r" \s|\s | $")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         #: Byte-level vocabularies write each byte as one character.
         self.sizes = np.array([len(x) for x, _ in names])
         self.memory: dict[str, bytes] = {}
+        self.held = 0
+        made = json.loads(self.tokenizer.to_str())
+        before, special = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+        self.cuttable = (
+            before.get("type") == "ByteLevel"
+            and not before.get("add_prefix_space")
+            and before.get("use_regex", True)
+            and not made.get("normalizer")
+            and [i for _, i in names] == list(range(len(names)))
+            and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in special)
+        )
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        if path not in cls.own:
-            cls.own[path] = cls(path)
-        return cls.own[path]
+    def at(cls, path: str, plain: bool = False) -> Encoder:
+        if (path, plain) not in cls.own:
+            cls.own[path, plain] = cls(path, plain)
+        return cls.own[path, plain]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
@@ -130,31 +146,41 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        plain, split, missing = [], [], {}
-        if len(self.memory) > CACHE:
-            self.memory.clear()
+        whole, split, missing, memory = [], [], {}, self.memory
+        if self.held > MEMORY:
+            memory.clear()
+            self.held = 0
         for k, text in enumerate(texts):
-            if self.odd.search(text):
-                plain.append(k)
+            if not self.cuttable or self.odd.search(text):
+                whole.append(k)
             else:
                 first, *rest = text.split(" ")
                 split.append((k, pieces := [first, *[" " + x for x in rest]]))
-                missing.update((x, None) for x in pieces if x not in self.memory)
+                missing.update((x, None) for x in pieces if x not in memory)
         new, first = [x for x in missing if x[:1] == " "], [x for x in missing if x[:1] != " "]
-        self.memory.update(zip(new, self.spaced(new), strict=True))
-        self.memory.update(zip(first, self.batch(first), strict=True))
+        long = {}
+        for some, raws in ((new, self.spaced(new)), (first, self.batch(first))):
+            for x, raw in zip(some, raws, strict=True):
+                if len(x) <= REMEMBERED:
+                    memory[x] = raw
+                    self.held += len(x) + len(raw) + OVERHEAD
+                else:
+                    long[x] = raw
         for k, pieces in split:
-            out[k] = b"".join([self.memory[x] for x in pieces])
-        for k, ids in zip(plain, self.batch([texts[k] for k in plain]), strict=True):
+            out[k] = b"".join([memory[x] if x in memory else long[x] for x in pieces]) if long else b"".join([memory[x] for x in pieces])
+        for k, ids in zip(whole, self.batch([texts[k] for k in whole]), strict=True):
             out[k] = ids
         return out
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
-    """Writes (doc_id, text) as shards to folder; the manifest: shard, path, records, ids."""
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shards: int | None = None, plain: bool = False) -> DataFrame:
+    """Writes (doc_id, text) as shards to folder; the manifest: shard, path, records, ids.
+
+    shards: by default as many as docs has partitions, whatever adaptive execution would merge.
+    """
 
     def run(batches):
-        encoder, shard, records, ids, at = Encoder.at(tokenizer), TaskContext.get().partitionId(), 0, 0, 0
+        encoder, shard, records, ids, at = Encoder.at(tokenizer, plain), TaskContext.get().partitionId(), 0, 0, 0
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         first = next(batches, None)
         if first is None:
@@ -178,8 +204,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
         if records:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [base + ".rec"], "records": [records], "ids": [ids]})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(shards or max(1, rows.rdd.getNumPartitions()), *order)
+    ordered = dealt.sortWithinPartitions(*order, "text")
     return stored(ordered.mapInArrow(run, "shard long, path string, records long, ids long"), "manifest")
 
 
@@ -207,7 +235,7 @@ def read(manifest: DataFrame) -> DataFrame:
         names = ["shard", "number", "doc_id", "start", "n_tokens", "ids_crc32"]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
 
-    spread = manifest.select("shard", "path").repartition("shard")
+    spread = manifest.select("shard", "path").repartitionByRange(max(1, manifest.count()), "shard")  # a task for each shard
     return spread.mapInArrow(run, "shard long, number long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -222,7 +250,7 @@ def indexed(manifest: DataFrame) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/tessera/records-{uuid.uuid4().hex}"
+    folder = f"{run_dir(spark)}/records-{uuid.uuid4().hex}"
     manifest = write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return indexed(manifest)
 
