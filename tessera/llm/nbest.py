@@ -3,8 +3,10 @@
 The lattice of a text has an edge for every vocabulary piece found in it, scored with the
 piece's score, and byte edges (one for each UTF-8 byte) for characters that are no piece,
 scored `BYTE_PENALTY` below the lowest piece score for each character. A segmentation is
-a path, its score the sum of its edges' scores. Of equal scores the first that the forward
-pass meets is the best; the others' order is fixed, but has no meaning.
+a path, its score the sum of its edges' scores. Scores are kept as integers over the least
+common denominator of the model's (binary) fractions, so sums and comparisons are exact. Of
+equal scores the first that the forward pass meets is the best; the others' order is fixed,
+but has no meaning.
 
 Forward Viterbi scores give the best score from the start to every place. The search then
 goes backward from the end: a hypothesis' priority is its own score plus the forward score
@@ -23,21 +25,26 @@ length costs time and memory in proportion to it.
 
 Texts are encoded whole: null counts as empty; an empty text has one empty segmentation;
 spaces become U+2581 with one put in front, as the model's normaliser does; every list
-decodes to the text, but for U+2581 in it, which comes back as a space (decoded is false). Repeated rows are encoded alike; other columns pass through.
+decodes to the text, but for U+2581 in it, which comes back as a space (decoded is false).
+Repeated rows are encoded alike; other columns pass through, and a result column whose name
+one of them has gets an underscore in front.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import table
+from tessera.llm.common import free_name, table
 
 N, CACHE, REMEMBERED, BYTE_PENALTY = 4, 1_000_000, 64, 10.0
 MARK, NONE = "▁", float("-inf")
@@ -57,14 +64,16 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in every]
         # user-defined pieces (runs of marks) have a nominal score far below all others
         low = min(model.get_score(i) for i in usable if model.get_score(i) > -1e8)
-        self.ids = {self.names[i]: (i, max(float(model.get_score(i)), low)) for i in usable}
+        scores = {i: Fraction(max(float(model.get_score(i)), low)) for i in usable}
+        self.unit = max(math.lcm(*(x.denominator for x in scores.values())), 1)
+        self.ids = {self.names[i]: (i, int(x * self.unit)) for i, x in scores.items()}
         self.bytes = {int(self.names[i][1:-1], 16): i for i in every if model.is_byte(i)}
         self.byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.penalty = low - BYTE_PENALTY
+        self.penalty = int((Fraction(low) - BYTE_PENALTY) * self.unit)
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.known = dict.fromkeys(self.prefixes) | {p: (i.to_bytes(4, "little"), s) for p, (i, s) in self.ids.items()}
         self.raw = [self.byte_of.get(i, x.encode()) for i, x in enumerate(self.names)]
-        self.memory: dict[str, tuple[bytes, float, float]] = {}
+        self.memory: dict[str, tuple[bytes, int, float]] = {}
         self.cuttable = not any(MARK in x.lstrip(MARK) or ("\n" in x and len(x) > 1) for x in self.ids)
 
     @classmethod
@@ -73,7 +82,7 @@ class Pieces:
             cls.own[path] = cls(path)
         return cls.own[path]
 
-    def edges(self, text: str, start: int) -> list[tuple[int, float, tuple[int, ...]]]:
+    def edges(self, text: str, start: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """(end, score, ids) of the edges that begin at start."""
         ids, prefixes, found = self.ids, self.prefixes, []
         for end in range(start + 1, len(text) + 1):
@@ -88,11 +97,11 @@ class Pieces:
             found.append((start + 1, self.penalty, tuple(self.bytes[b] for b in raw)))
         return found
 
-    def first(self, text: str) -> tuple[bytes, float, float]:
-        """The best ids (little-endian int32), their score, and what the second-best path costs more (inf: none)."""
+    def first(self, text: str) -> tuple[bytes, int, float]:
+        """The best ids (little-endian int32), their score in units, and what the second-best path costs more (inf: none)."""
         size, get = len(text), self.known.get
         best, second, back = [NONE] * (size + 1), [NONE] * (size + 1), [None] * (size + 1)
-        best[0] = 0.0
+        best[0] = 0
         for at in range(size):
             here, behind, single = best[at], second[at], False
             for end in range(at + 1, size + 1):
@@ -125,15 +134,15 @@ class Pieces:
     def as_bytes(self, character: str) -> bytes:
         return np.array([self.bytes[b] for b in character.encode("utf-8", "surrogatepass")], "<i4").tobytes()
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of one segment: forward Viterbi, then A-star from the end."""
+    def n_best(self, text: str, n: int) -> list[tuple[int, list[int]]]:
+        """The n best segmentations of one segment, scores in units: forward Viterbi, then A-star from the end."""
         size = len(text)
-        forward, into = [0.0] + [-np.inf] * size, [[] for _ in range(size + 1)]
+        forward, into = [0] + [NONE] * size, [[] for _ in range(size + 1)]
         for at in range(size):
             for end, score, ids in self.edges(text, at):
                 into[end].append((at, score, ids))
                 forward[end] = max(forward[end], forward[at] + score)
-        agenda, out, made = [(-forward[size], size, 0, 0.0, None)], [], 0
+        agenda, out, made = [(-forward[size], size, 0, 0, None)], [], 0
         while agenda and len(out) < n:
             _, at, _, own, tail = heapq.heappop(agenda)
             if not at:
@@ -145,7 +154,7 @@ class Pieces:
                 continue
             for before, score, ids in into[at]:
                 made += 1
-                heapq.heappush(agenda, (-round(own + score + forward[before], 6), before, made, own + score, (ids, tail)))
+                heapq.heappush(agenda, (-(own + score + forward[before]), before, made, own + score, (ids, tail)))
         return out
 
     def segments(self, text: str) -> list[str]:
@@ -177,21 +186,24 @@ class Pieces:
                             memory[x] = got
                     found[k] = got
         whole, scores, more = zip(*found, strict=True)
-        total, more = float(sum(scores)), np.array(more)
-        open_at = sorted(np.argsort(more, kind="stable")[: n - 1].tolist())
-        ranked, ways = [(0.0, ())], {}
+        total = sum(scores)
+        if max(map(abs, scores)) < 1 << 50:  # then costs are exact as doubles
+            open_at = sorted(np.argsort(np.array(more, float), kind="stable")[: n - 1].tolist())
+        else:
+            open_at = sorted(heapq.nsmallest(n - 1, range(len(more)), key=more.__getitem__))
+        ranked, ways = [(0, ())], {}
         for k in open_at:
-            if more[k] < np.inf:
+            if more[k] < math.inf:
                 own = self.n_best(parts[k], n)
                 top = own[0][0]
-                ways[k] = [(0.0, whole[k])] + [(top - score, raw) for score, ids in own if (raw := np.array(ids, "<i4").tobytes()) != whole[k]]
+                ways[k] = [(0, whole[k])] + [(top - score, raw) for score, ids in own if (raw := np.array(ids, "<i4").tobytes()) != whole[k]]
                 ranked = sorted(((c + d, (*chosen, (k, j))) for c, chosen in ranked for j, (d, _) in enumerate(ways[k][:n])), key=lambda x: x)[:n]
         out = []
         for cost, chosen in ranked:
             own = list(whole)
             for k, j in chosen:
                 own[k] = ways[k][j][1]
-            out.append((total - cost, b"".join(own)))
+            out.append(((total - cost) / self.unit, b"".join(own)))
         sound = MARK not in text and self.joined(out[0][1]) == (MARK + text.replace(" ", MARK)).encode("utf-8", "surrogatepass")
         return out, sound and all(self.joined(raw) == parts[k].encode("utf-8", "surrogatepass") for k, own in ways.items() for _, raw in own)
 
@@ -210,35 +222,44 @@ class Pieces:
 SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
+def listed(raws: list[bytes]) -> pa.Array:
+    """Little-endian int32 ids as an Arrow list each."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in raws)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+
+
 def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N, keep: list[str] | None = None) -> DataFrame:
-    """keep (default: all columns but the text) with ids of the best segmentation, scores and checksums of the n best, and whether all decode to the text."""
+    """keep (default: all columns but the text) with ids and n_pieces of the best segmentation; others, the ids of
+    the next n - 1; scores and crcs (checksums of the ids) of all n; decoded, whether all decode to the text."""
     rest = [c for c in docs.columns if c != text] if keep is None else keep
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "ids array<int>, n_pieces long, scores array<double>, crcs array<long>, decoded boolean"])
+    fields = {"ids": "array<int>", "n_pieces": "bigint", "others": "array<array<int>>", "scores": "array<double>", "crcs": "array<bigint>", "decoded": "boolean"}
+    names = [*rest, *(free_name(c, rest) for c in fields)]
+    added = StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in zip(names[len(rest) :], fields.values(), strict=True)))
+    schema = StructType([*(docs.schema[c] for c in rest), *added])
+    at = [f"c{k}" for k in range(len(rest))]
 
     def run(batches):
         pieces = Pieces.at(model)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                texts = some.column(0).to_pylist()
-                found, sound = zip(*(pieces.searched(x, n) for x in texts), strict=True)
+                found, sound = zip(*(pieces.searched(x, n) for x in some.column(0).to_pylist()), strict=True)
                 best = [f[0][1] for f in found]
-                flat = pa.array(np.frombuffer(b"".join(best), "<i4"))
-                ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in best)]).astype(np.int32), flat)
+                spans = np.cumsum([0, *(len(f) - 1 for f in found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *some.columns[1:],
-                        ids,
+                        listed(best),
                         pa.array([len(x) // 4 for x in best], pa.int64()),
+                        pa.ListArray.from_arrays(spans, listed([raw for f in found for _, raw in f[1:]])),
                         pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
                         pa.array([[zlib.crc32(raw) for _, raw in f] for f in found], pa.list_(pa.int64())),
                         pa.array(sound, pa.bool_()),
                     ],
-                    names=[*rest, "ids", "n_pieces", "scores", "crcs", "decoded"],
+                    names=names,
                 )
 
-    return docs.select(text, *rest).mapInArrow(run, schema)
+    given = docs.select(F.col(text).alias("text"), *(F.col(c).alias(a) for c, a in zip(rest, at, strict=True)))
+    return given.mapInArrow(run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
