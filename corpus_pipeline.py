@@ -13,8 +13,11 @@ from tessera.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or line frequencies reject go."""
-    return quality.passing(docs)
+    """Documents that the base rules or line frequencies reject go.
+
+    Exact copies count once here: the next stage takes them down to one, so a text isn't template for being copied.
+    """
+    return quality.passing(docs, copies_once=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document's best segmentation, with the scores of the n best; the columns but the text stay."""
+    """Ids of each document's n best segmentations, with their scores; the columns but the text stay."""
     import public_tokenizers
 
     return nbest.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
