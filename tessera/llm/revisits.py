@@ -102,18 +102,25 @@ def resolved(records: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def captures(pages: DataFrame, lag: int = 1000) -> DataFrame:
-    """Crawl records of pages: each page's full response at its page_id, and a later
-    not-modified answer, lag ticks on, to a request that named the page's validators."""
-    digest = F.md5(F.coalesce("html", F.lit("")))
+    """Crawl records of pages: each page's full response at its page_id, and one not-modified answer.
+
+    What the answer names goes by page_id modulo 6: 0 and 1 the page's ETag, 2 its Last-Modified,
+    3 another Last-Modified, 4 nothing; all come `lag` ticks later. 5: its ETag, before any response.
+    """
+    digest, kind = F.md5(F.coalesce("html", F.lit(""))), F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(6))
     size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
-    etag = F.concat(F.lit('"'), digest, F.lit('"'))
-    full = F.create_map(F.lit("ETag"), etag, F.lit("Content-Length"), size, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Content-Type"), F.lit("text/html"))
-    short = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag), F.lit("content-length"), F.lit("0"), F.lit("date"), (F.col("page_id") + lag).cast("string"), F.lit("cache-control"), F.lit("max-age=60"))
+    etag, day = F.concat(F.lit('"'), digest, F.lit('"')), F.concat(F.lit("day "), F.substring(digest, 1, 2))
+    later = F.when(kind == 5, F.lit(-1).cast("long") - F.col("page_id")).otherwise(F.col("page_id") + lag)
+    full = F.create_map(F.lit("ETag"), etag, F.lit("Last-Modified"), day, F.lit("Content-Length"), size, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Content-Type"), F.lit("text/html"))
+    short = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"), F.lit("cache-control"), F.lit("max-age=60"))
+    named = F.when(kind.isin(0, 1, 5), F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag)))
+    named = named.when(kind.isin(2, 3), F.create_map(F.lit("last-modified"), F.concat(day, F.when(kind == 3, "?").otherwise(""))))
+    short = F.map_concat(short, F.coalesce(named, F.create_map().cast("map<string,string>")))
     return pages.select(
         F.explode(
             F.array(
                 F.struct((F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"), full.alias("headers"), digest.alias("digest")),
-                F.struct((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") + lag).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), short.alias("headers"), F.lit(None).cast("string").alias("digest")),
+                F.struct((F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), short.alias("headers"), F.lit(None).cast("string").alias("digest")),
             )
         ).alias("r")
     ).select("r.*")
@@ -135,10 +142,16 @@ q AS (
   SELECT page_id, digest, size,
          regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^(www|m)[.]', ''), ':(80|443)$', '')
          || regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS key
-  FROM p)
-SELECT r.page_id * 2 + 1 AS record_id, r.key AS url_key, r.page_id + 1000 AS ts, f.page_id * 2 AS target_id, f.page_id AS target_ts, f.digest AS target_digest,
-       CASE WHEN f.digest = r.digest THEN 'resolved' ELSE 'mismatch' END AS outcome,
-       CASE WHEN f.digest = r.digest THEN 'cache-control=max-age=60;content-length=' || f.size || ';content-type=text/html;date=' || (r.page_id + 1000)::VARCHAR || ';etag="' || f.digest || '"' END AS merged
-FROM q r ASOF JOIN q f ON r.key = f.key AND r.page_id + 1000 >= f.page_id
+  FROM p),
+r AS (SELECT *, page_id % 6 AS kind, CASE WHEN page_id % 6 = 5 THEN -1 - page_id ELSE page_id + 1000 END AS seen FROM q),
+m AS (
+  SELECT r.*, f.page_id AS found, f.digest AS digest_of, f.size AS size_of,
+         CASE WHEN f.page_id IS NULL THEN 'missing' WHEN kind = 4 THEN 'unvalidated'
+              WHEN kind IN (0, 1, 5) AND f.digest = r.digest OR kind = 2 AND f.digest[1:2] = r.digest[1:2] THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM r ASOF LEFT JOIN q f ON r.key = f.key AND r.seen >= f.page_id)
+SELECT page_id * 2 + 1 AS record_id, key AS url_key, seen AS ts, found * 2 AS target_id, found AS target_ts, digest_of AS target_digest, outcome,
+       CASE WHEN outcome IN ('resolved', 'unvalidated') THEN 'cache-control=max-age=60;content-length=' || size_of || ';content-type=text/html;date=' || seen::VARCHAR
+            || ';etag="' || digest_of || '";last-modified=day ' || digest_of[1:2] END AS merged
+FROM m
 """
 ORACLE = {"op1_revisit_resolution": OP1_SQL}
