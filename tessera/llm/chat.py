@@ -46,8 +46,8 @@ def unescaped(text: Column) -> Column:
 
 def reaches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(tree, key, total, n) of all messages that reach a root: the score and number of those from it up to the root;
-    and for each k the 2^k-th ancestors (tree, key, to). nodes: tree, key, up (the parent's key, or null), score."""
-    now = stored(nodes.select("tree", "key", F.col("up").alias("to"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("n")), "reach-0")
+    and for each k the 2^k-th ancestors (tree, key, to), if there. nodes: tree, key, up (the key of the named parent, or null), score."""
+    now = nodes.select("tree", "key", F.col("up").alias("to"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("n"))
     hops, done = [], -1
     while True:
         rooted = now.where("to IS NULL").count()
@@ -55,20 +55,22 @@ def reaches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         done = rooted
         hops.append(now.where("to IS NOT NULL").select("tree", "key", "to"))
-        next_up = now.select("tree", F.col("key").alias("to"), F.col("to").alias("to2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
-        further = now.where("to IS NOT NULL").join(next_up, ["tree", "to"]).select("tree", "key", F.col("to2").alias("to"), (F.col("total") + F.col("total2")).alias("total"), (F.col("n") + F.col("n2")).alias("n"))
+        above = now.select("tree", F.col("key").alias("to"), F.struct("to", "total", "n").alias("above"))
+        further = now.where("to IS NOT NULL").join(above, ["tree", "to"], "left")  # a parent that isn't there ends the path
+        more = lambda c: (F.col(c) + F.coalesce(F.col(f"above.{c}"), F.lit(0))).alias(c)
+        further = further.select("tree", "key", F.col("above.to").alias("to"), more("total"), more("n"))
         now = stored(now.where("to IS NULL").unionByName(further), f"reach-{len(hops)}")
     return now.where("to IS NULL").select("tree", "key", "total", "n"), hops
 
 
 def laid_out(leaves: DataFrame, hops: list[DataFrame]) -> DataFrame:
-    """(tree, leaf, key, up) of the paths from leaves (tree, leaf, n) to their roots; up: steps from the leaf."""
-    found = leaves.select("tree", "leaf", F.col("leaf").alias("key"), F.lit(0).cast("long").alias("up"))
+    """(tree, leaf, branch, key, up) of the paths from leaves (tree, leaf, branch, n) to their roots; up: steps from the leaf."""
+    found = leaves.select("tree", "leaf", "branch", F.col("leaf").alias("key"), F.lit(0).cast("long").alias("up"))
     longest = leaves.agg(F.max("n")).first()[0] or 0
     for k, hop in enumerate(hops):
         if 1 << k >= longest:
             break
-        further = found.join(hop, ["tree", "key"]).select("tree", "leaf", F.col("to").alias("key"), (F.col("up") + (1 << k)).alias("up"))
+        further = found.join(hop, ["tree", "key"]).select("tree", "leaf", "branch", F.col("to").alias("key"), (F.col("up") + (1 << k)).alias("up"))
         found = stored(found.union(further), "paths")
     return found
 
@@ -78,22 +80,19 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     rows = messages.select(F.struct("tree_id").alias("tree"), F.col("node_id").alias("node"), F.struct(F.col("parent_id").alias("parent"), "role", "text", F.col("score").cast("double").alias("score")).alias("m"))
     named = rows.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("m").alias("m")).withColumn("key", F.struct("node", F.lit(0).cast("long").alias("again")))
     nameless = rows.where("node IS NULL").withColumn("key", F.struct("node", F.monotonically_increasing_id().alias("again")))
-    nodes = stored(named.unionByName(nameless).select("tree", "key", "m.*"), "messages")
-    parents = nodes.where("key.node IS NOT NULL").select("tree", F.col("key.node").alias("parent"), F.col("key").alias("up"))
-    nodes = nodes.join(parents, ["tree", "parent"], "left")
-    linked = stored(nodes.select("tree", "key", "up", "score"), "links")
-    reach, hops = reaches(linked)
-    replied = linked.where("up IS NOT NULL").select("tree", F.col("up").alias("key")).distinct()
+    up = F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("node"), F.lit(0).cast("long").alias("again")))
+    nodes = stored(named.unionByName(nameless).select("tree", "key", "m.*").withColumn("up", up), "messages")
+    reach, hops = reaches(nodes)
+    replied = nodes.where("up IS NOT NULL").select("tree", F.col("up").alias("key")).distinct()
     scored = reach.join(replied, ["tree", "key"], "left_anti").withColumnRenamed("key", "leaf")
     best = Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("n").desc(), "leaf")
     chosen = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
     counts = scored.groupBy("tree").agg(F.count("*").alias("of"))
-    chosen = stored(chosen.join(counts, "tree"), "chosen")
+    chosen = stored(chosen.join(counts, "tree").select("tree", "leaf", "n", F.struct("rank", "of", "total").alias("branch")), "chosen")
 
-    turns = laid_out(chosen, hops).join(chosen, ["tree", "leaf"]).join(nodes.select("tree", "key", "role", "text"), ["tree", "key"])
+    turns = laid_out(chosen, hops).join(nodes.select("tree", "key", "role", "text"), ["tree", "key"])
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    branch = F.struct("rank", "of", "total").alias("branch")
-    turns = turns.select("tree", "leaf", branch, "up", (role == "assistant").alias("own"), F.concat(F.lit(TURN), escaped(role), F.lit(TEXT)).alias("head"), escaped(text).alias("body"))
+    turns = turns.select("tree", "leaf", "branch", "up", (role == "assistant").alias("own"), F.concat(F.lit(TURN), escaped(role), F.lit(TEXT)).alias("head"), escaped(text).alias("body"))
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit(END)))
     before = Window.partitionBy("tree", "leaf").orderBy(F.col("up").desc()).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + len(BEGIN) + F.length("head")
@@ -129,22 +128,20 @@ def masked(formatted: Column, mask: Column) -> Column:
 
 
 def threads(rows: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as reply trees, tree_id (conv_id, rivals).
+    """Conversations (conv_id, turn, role, text) as reply trees of that tree_id.
 
-    rivals false: each turn replies to the one before. rivals true: the same, and each turn
-    but the first has a rival, an assistant's reply that repeats the turn before it in
-    reverse. A message scores its text's length modulo 7, a rival's that of its own modulo 11.
+    Each turn replies to the one before, and each but the first has a rival: a reply that
+    gives the text before it in reverse. A turn scores 1 and its text's length modulo 7, a
+    rival a sixteenth of its own modulo 11, so of all branches the one without a rival is best.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     at = rows.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("k"), F.lag("text").over(order).alias("before"))
     size = lambda x: F.length(F.coalesce(x, F.lit("")))
-    score = (size(F.col("text")) % 7).cast("double")
-    parent = F.when(F.col("k") > 1, F.col("k") - 1)
-    message = lambda rivals, node, role, text, score: F.struct(F.lit(rivals).alias("rivals"), node.alias("node_id"), parent.alias("parent_id"), role.alias("role"), text.alias("text"), score.alias("score"))
-    own = [message(rivals, 2 * F.col("k"), F.col("role"), F.col("text"), score) for rivals in (False, True)]
-    rival = message(True, 2 * F.col("k") + 1, F.lit("assistant"), F.reverse(F.coalesce("before", F.lit(""))), (size(F.col("before")) % 11).cast("double"))
-    every = at.select("conv_id", F.explode(F.when(F.col("k") > 1, F.array(*own, rival)).otherwise(F.array(*own))).alias("m"))
-    return every.select(F.struct("conv_id", "m.rivals").alias("tree_id"), "m.node_id", (2 * F.col("m.parent_id")).alias("parent_id"), "m.role", "m.text", "m.score")
+    message = lambda node, role, text, score: F.struct(node.alias("node_id"), role.alias("role"), text.alias("text"), score.cast("double").alias("score"))
+    own = message(2 * F.col("k"), F.col("role"), F.col("text"), size(F.col("text")) % 7 + 1)
+    rival = message(2 * F.col("k") + 1, F.lit("assistant"), F.reverse(F.coalesce("before", F.lit(""))), size(F.col("before")) % 11 / 16)
+    every = at.select("conv_id", "k", F.explode(F.when(F.col("k") > 1, F.array(own, rival)).otherwise(F.array(own))).alias("m"))
+    return every.select(F.col("conv_id").alias("tree_id"), "m.node_id", F.when(F.col("k") > 1, 2 * F.col("k") - 2).alias("parent_id"), "m.role", "m.text", "m.score")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,22 +151,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns_of(F.col("formatted"))
     out = out.withColumn("turns", turns).withColumn("loss", masked(F.col("formatted"), F.col("mask")))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = out.select(
-        F.col("tree_id.conv_id").alias("conv_id"),
-        F.col("tree_id.rivals").alias("rivals"),
-        F.struct(
-            F.size("turns").cast("long").alias("n_turns"),
-            F.sha2(flat, 256).alias("turns_sha256"),
-            F.length("loss").cast("long").alias("loss_chars"),
-            F.sha2("loss", 256).alias("loss_sha256"),
-            F.length("formatted").cast("long").alias("formatted_chars"),
-            F.col("of").alias("branches"),
-            F.col("leaf").alias("best_leaf"),
-            F.col("total").alias("best_score"),
-        ).alias("r"),
+    return out.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(flat, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("of").alias("branches"),
+        F.col("total").alias("best_score"),
     )
-    both = read.groupBy(F.struct("conv_id").alias("c")).agg(F.max(F.when(~F.col("rivals"), F.col("r"))).alias("r"), F.max(F.when(F.col("rivals"), F.col("r"))).alias("v"))
-    return both.select("c.conv_id", *(f"r.{x}" for x in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")), *(F.col(f"v.{x}").alias(x) for x in ("branches", "best_leaf", "best_score")), F.col("v.turns_sha256").alias("best_sha256"))
 
 
 QUERIES = {"op3_reply_trees": op3}
@@ -179,26 +170,13 @@ WITH c AS (
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (
   SELECT *, 20 + length(regexp_replace(replace(role, '\', '\\'), '(<|\[)(/?s>|\|(?:turn|text)\|>|/?INST\]|</?SYS>>)', '\1#\2', 'g'))
-              + length(regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?s>|\|(?:turn|text)\|>|/?INST\]|</?SYS>>)', '\1#\2', 'g')) AS n,
-         row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS turns, sum(length(text) % 7) OVER w AS upto, lag(text) OVER w AS before
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-leaves AS (
-  SELECT conv_id, 2 * k AS leaf, k, upto AS total FROM e WHERE k = turns
-  UNION ALL SELECT conv_id, 2 * k + 1, k, upto - length(text) % 7 + length(before) % 11 FROM e WHERE k > 1),
-best AS (
-  SELECT conv_id, count(*) OVER (PARTITION BY conv_id) AS branches, leaf, k, total,
-         row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, k DESC, leaf) AS place FROM leaves),
-chain AS (
-  SELECT b.conv_id, sha256(string_agg(CASE WHEN 2 * e.k < b.leaf AND e.k = b.k THEN 'assistant' || chr(10) || reverse(before) ELSE role || chr(10) || text END || chr(10), '' ORDER BY e.k)) AS best_sha256
-  FROM best b JOIN e ON e.conv_id = b.conv_id AND e.k <= b.k WHERE place = 1 GROUP BY b.conv_id),
-flat AS (
-  SELECT conv_id, count(*)::BIGINT AS n_turns,
-         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
-         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-         sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
-         (3 + sum(n))::BIGINT AS formatted_chars
-  FROM e GROUP BY conv_id)
-SELECT flat.*, branches, leaf AS best_leaf, total::DOUBLE AS best_score, best_sha256
-FROM flat JOIN best USING (conv_id) JOIN chain USING (conv_id) WHERE place = 1
+              + length(regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?s>|\|(?:turn|text)\|>|/?INST\]|</?SYS>>)', '\1#\2', 'g')) AS n
+  FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(n))::BIGINT AS formatted_chars, count(*)::BIGINT AS branches, sum(1 + length(text) % 7)::DOUBLE AS best_score
+FROM e GROUP BY conv_id
 """
 ORACLE = {"op3_reply_trees": OP3_SQL}
