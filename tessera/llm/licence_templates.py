@@ -68,6 +68,13 @@ TEMPLATES = [
         """This work is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>terms
         of the<<endOptional>> Creative Commons Attribution <<var;limit=6>> License""",
     ),
+    ("mit-notice", "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
+    ("apache-notice", "Licensed under the Apache License, Version <<var;limit=1>> <<beginOptional>>0<<endOptional>>"),
+    (
+        "gpl-version",
+        "This work is licensed under the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License, version 3",
+    ),
+    ("cc-by-nc", "Licensed under CC BY-NC <<var;limit=1>> <<beginOptional>>0<<endOptional>>"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("rights-notice", "All rights reserved. <<var;limit=10>> No part of this <<var;limit=4>> may be reproduced"),
 ]
