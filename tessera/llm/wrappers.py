@@ -1,13 +1,16 @@
 """Main text of web pages by union-free wrappers inferred for each host.
 
-A page becomes a tree of block elements (label: tag and classes); scripts, styles,
-comments and inline markup vanish or join the text around them. Its own wrapper is the
-tree with runs of equal siblings, or of equal short sequences of siblings, made into
-repeated groups, and each text as a set of hashed strings (several where it repeats). Two
-wrappers of a host are aligned child by child along a longest common subsequence of
-labels: what matches is aligned further down, what doesn't becomes optional, and a text
-keeps the strings that both sides hold; one that keeps none is a slot. The result is again
-union-free, and alignment is repeated until one wrapper describes every page of the host.
+A page is a stream of tokens: the opening and closing tokens of block elements (label: tag
+and classes) and the texts between them; scripts, styles, comments and inline markup vanish
+or join the text around them. As blocks are balanced, a stream is kept nested, an element
+with the stream inside it. Its own wrapper is the stream with runs of equal elements, or of
+equal short sequences of elements, made into repeated groups, and each text as a set of
+hashed strings (several where it repeats). Two wrappers of a host are aligned token by token
+along a longest common subsequence of labels: what matches is aligned further inside, a
+mismatch of tokens becomes optional or a repeated group, and a mismatch of strings a slot,
+as a text keeps the strings that both sides hold. The result is again a regular expression
+without unions (`expression` writes it out), and alignment is repeated until one wrapper
+accepts every page of the host.
 
 Equal pages of a host count once. Pages of one host and structure first agree on their
 strings, in any order and by partial results, then their wrappers are folded in `salts`
@@ -45,7 +48,7 @@ from tessera.llm.common import stored, table
 
 SALTS, TEXT, DEPTH, FIXED = 16, "#", 200, 4
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
+    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S | re.I
 )
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -211,9 +214,18 @@ def collapsed(children: list, own: bool = False) -> list:
     return out
 
 
-def own_wrapper(node: list) -> list:
-    children = [[TEXT, False, False, [], 1, [hashed(plain(x))]] if isinstance(x, str) else own_wrapper(x) for x in node[1] if not isinstance(x, str) or x.strip()]
-    return [node[0], False, False, collapsed(children, own=True)]
+def own_wrapper(page: list) -> list:
+    """The wrapper of one page's tree."""
+
+    def made(node: list) -> list:
+        # strings are sets that grow in place until the page is done, so that long runs take linear time
+        children = [[TEXT, False, False, [], 1, {hashed(plain(x))}] if isinstance(x, str) else made(x) for x in node[1] if not isinstance(x, str) or x.strip()]
+        return [node[0], False, False, collapsed(children, own=True)]
+
+    wrapper = made(page)
+    for x in texts_of(wrapper):
+        x[5] = sorted(x[5])
+    return wrapper
 
 
 def texts_of(w: list) -> list[list]:
@@ -230,10 +242,14 @@ def common(a: list, b: list, sure: tuple[bool, bool] | None) -> list:
     if sure is None:
         return [a[4] + b[4], sorted(set(a[5]) & set(b[5]))]
     if all(sure):
+        if isinstance(a[5], set):
+            a[5].update(b[5])
+            return [max(a[4], b[4]), a[5]]
         return [max(a[4], b[4]), sorted(set(a[5]) | set(b[5]))]
     if any(sure):
         return (a if sure[0] else b)[4:]
-    return [max(a[4], b[4]), sorted(set(a[5]) & set(b[5]))]
+    both = set(a[5]) & set(b[5])
+    return [max(a[4], b[4]), both if isinstance(a[5], set) else sorted(both)]
 
 
 def aligned(a: list, b: list, sure: tuple[bool, bool] | None = None, own: bool = False) -> list:
@@ -271,6 +287,25 @@ def aligned(a: list, b: list, sure: tuple[bool, bool] | None = None, own: bool =
     return [a[0], a[1] or b[1], a[2] or b[2], merged]
 
 
+def stream(node: list) -> str:
+    """The token stream of a page's tree, a text by its hash."""
+    inner = "".join(f"#{hashed(plain(x))};" if isinstance(x, str) else stream(x) for x in node[1] if not isinstance(x, str) or x.strip())
+    return f"<{node[0]}>{inner}</{node[0]}>"
+
+
+def expression(w: list, many: bool = False) -> str:
+    """The regular expression over token streams that a wrapper stands for. many: it is in a repeated group, where strings are slots."""
+    many = many or w[1]
+    if w[0] == TEXT:
+        one = f"#{w[5][0]};" if len(w[5]) == 1 and not many else "#-?[0-9]+;"
+    else:
+        one = "".join(expression(x, many) for x in w[3])
+        if w[0] != "()":
+            one = f"<{re.escape(w[0])}>{one}</{re.escape(w[0])}>"
+    one = f"(?:{one})+" if w[1] else one
+    return f"(?:{one})?" if w[2] else one
+
+
 def regions(wrapper: list) -> dict[str, tuple[bool, bool, set[int]]]:
     """Label paths of elements: whether each lies in an article, and in a region beside the main text; its fixed strings."""
     found: dict[str, tuple[bool, bool, set[int]]] = {}
