@@ -100,6 +100,13 @@ def test_simhash_edge_cases(spark, odd):
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 1
 
 
+def test_each_component_keeps_one_row(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, words(1), 1), (5, words(2), 2), (None, words(3), 3), (None, words(3), 3), (9, words(3), 4), (None, words(4), 5), (None, words(4), 5), (6, words(2), 6)]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, own int")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in out) == [(0, "w4x0"), (5, "w1x0"), (5, "w2x0"), (9, "w3x0")]
+
+
 def test_quality_edge_cases(spark, odd):
     rows = quality.judged(odd).collect()
     assert len(rows) == odd.count()
@@ -117,7 +124,15 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     out = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(out[k]["kept"] and out[k]["n_removed_words"] == 70 for k in range(30))
     assert not any(out[100 + k]["kept"] for k in range(3))
-    assert all(out[200 + k]["kept"] for k in range(40)) and out[300]["kept"]  # copies aren't boilerplate; another host
+    assert not any(out[200 + k]["kept"] for k in range(40)) and out[300]["kept"]  # 40 documents of one text; another host
+    once = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), copies_once=True).collect()}
+    assert all(once[200 + k]["kept"] for k in range(40)) and all(once[k]["kept"] == out[k]["kept"] for k in out if k < 200)
+
+
+def test_lines_are_counted_by_documents(spark):
+    rows = [(7, "one line of a document\n" + " ".join(f"w{i}" for i in range(60)), "a")] * 50 + [(k, f"common line\n{' '.join(f'x{k}y{i}' for i in range(60))}", "b") for k in range(21)]
+    out = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["n_removed_lines"] == (0 if r["doc_id"] == 7 and r["n_words"] == 65 else 1) for r in out) and len(out) == 71
 
 
 def test_depleted_documents_of_a_hot_host_are_rejected(spark):
@@ -139,6 +154,24 @@ def test_mixing_meets_targets(spark, odd):
     assert mixing.sampled(odd).columns == odd.columns
 
 
+def test_repeated_rows_at_a_budget_edge(spark):
+    rows = [(5, "w " * 50, "a", 1, "p")] * 9 + [(k, "v " * 20, "b", 2, "q") for k in range(9)] + [(None, "u " * 7, None, 3, "r")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _take int, parts string")
+    plan = {r["source"]: r["n"] for r in mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    out = mixing.sampled(docs)
+    got = {}
+    for r in out.collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert out.columns == docs.columns and got == plan and plan["a"] % 50
+
+
+def test_quality_weights_are_an_argument(spark):
+    docs = spark.createDataFrame([(k, "w " * 10, "ab"[k % 2], float(k < 200)) for k in range(400)], "doc_id long, text string, source string, q double")
+    out = mixing.mixed(docs, quality=F.col("q")).where("source = 'b'").groupBy(F.col("doc_id") < 200).agg(F.sum("part").alias("n")).collect()
+    good, bad = (next(r["n"] for r in out if r[0] is x) for x in (True, False))
+    assert good > 4 * bad
+
+
 def test_mix_rows_hold_the_words_taken(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = {r["source"]: r["n"] for r in mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
@@ -148,9 +181,13 @@ def test_mix_rows_hold_the_words_taken(spark):
 
 
 def test_records_round_trip(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
     path = P.path("byte_bpe_50k.json")
-    tokenizer = records.Encoder.at(path).tokenizer
-    manifest = records.write(odd, path, f"file://{tmp_path}")
+    tokenizer = Tokenizer.from_file(path)
+    odd = odd.union(odd.limit(1).select(F.lit(70).alias("doc_id"), F.lit("a <|endoftext|> b<|endoftext|>c"), *odd.columns[2:]))
+    manifest = records.write(odd, path, f"file://{tmp_path}", shards=5)
+    assert records.read(manifest).select(F.spark_partition_id().alias("p"), "shard").distinct().groupBy("p").count().where("count > 1").count() == 0
     got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in records.indexed(manifest).collect()), key=lambda x: x[2])
     assert [x[:2] for x in got] == sorted(x[:2] for x in got)
     texts, at = {}, 0
@@ -165,6 +202,19 @@ def test_records_round_trip(spark, odd, tmp_path):
     assert records.write(odd.limit(0), path, f"file://{tmp_path}").count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = P.path(name)
+        encoder, plain, library = records.Encoder(path), records.Encoder(path, plain=True), Tokenizer.from_file(path)
+        texts = ["Some words here.", "a <|endoftext|> b", "x" * 300, ""]
+        ids = [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.encode(texts)]
+        assert ids == [library.encode(x, add_special_tokens=False).ids for x in texts]
+        assert encoder.cuttable == name.startswith("byte") and len(plain.encode(texts)[1]) > len(encoder.encode(texts)[1])
+        assert all(len(x) <= records.REMEMBERED for x in encoder.memory)
+
+
 def test_broken_records_are_noticed():
     frame = records.framed(b"payload")
     for k in range(len(frame)):
@@ -232,8 +282,30 @@ def test_other_vocabularies_are_not_cut():
 
 
 def test_n_best_edge_cases(spark, odd):
-    rows = nbest.encoded(odd, P.path("piece_bpe_32k.model")).collect()
-    assert len(rows) == odd.count() and all(r["decoded"] for r in rows)
+    docs = odd.withColumn("ids", F.lit("own")).withColumn("Scores", F.lit(1))
+    out = nbest.encoded(docs, P.path("piece_bpe_32k.model"))
+    rows = out.collect()
+    assert out.columns[-8:] == ["ids", "Scores", "_ids", "n_pieces", "others", "_scores", "crcs", "decoded"]
+    assert len(rows) == odd.count() and all(r["decoded"] and r["ids"] == "own" for r in rows)
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    pieces = nbest.Pieces.at(P.path("piece_bpe_32k.model"))
+    for r in rows:
+        lists = [r["_ids"], *r["others"]]
+        assert [zlib.crc32(np.array(x, "<i4").tobytes()) for x in lists] == r["crcs"] and len(lists) == len(r["_scores"])
+        assert r["doc_id"] is None or all(pieces.decode(x) == texts[r["doc_id"]] for x in lists if x)
+
+
+def test_fractional_scores_are_exact():
+    pieces = nbest.Pieces(P.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    scale = 1 << 40
+    pieces.unit, pieces.penalty = scale, int(pieces.penalty * scale)
+    pieces.ids = {x: (i, s * scale - rng.randrange(1, 9)) for x, (i, s) in pieces.ids.items()}  # differences far below any rounding
+    pieces.known = dict.fromkeys(pieces.prefixes) | {x: (i.to_bytes(4, "little"), s) for x, (i, s) in pieces.ids.items()}
+    for text in ("the nation", "ab ab cd", "on a ration"):
+        every = pieces.n_best("▁" + text.replace(" ", "▁"), 6)
+        assert [s for s, _ in every] == sorted((s for s, _ in every), reverse=True) and len({s for s, _ in every}) > 1
+        assert [s for s, _ in pieces.encode(text, 6)] == [s / scale for s, _ in every]
 
 
 def test_licence_automata():
@@ -247,8 +319,60 @@ def test_licence_automata():
     assert licences.scan(None) == (0, 0, None, None, "", "", 0.0)
 
 
+def expansions(template, filler):
+    """Every word sequence that a short template accepts, replaceable regions filled with any words of filler."""
+    parts = [[]]
+    tokens = [x for x in licences.re.split(r"(<<.*?>>)", template) if x]
+
+    def build(k, stop):
+        out = [()]
+        while k < len(tokens) and tokens[k] != stop:
+            x = tokens[k]
+            if x == "<<beginOptional>>":
+                inner, k = build(k + 1, "<<endOptional>>")
+                more = [(), *inner]
+            elif x.startswith("<<var"):
+                limit = int(x.split("=")[1][:-2])
+                more = [fill for n in range(limit + 1) for fill in itertools.product(filler, repeat=n)]
+            else:
+                more = [tuple(licences.words_of(x))]
+            out = [a + b for a in out for b in more]
+            k += 1
+        return out, k
+
+    parts, _ = build(0, None)
+    return set(parts)
+
+
+def test_automata_equal_expansions():
+    rng = random.Random(6)
+    for _ in range(120):
+        body = "".join(
+            rng.choice(["a ", "b ", "c ", "<<var;limit=1>> ", "<<var;limit=2>> ", "<<beginOptional>>a <<endOptional>> ", "<<beginOptional>>b <<beginOptional>>c <<endOptional>> <<endOptional>> ", "<<beginOptional>>c <<var;limit=1>> <<endOptional>> "])
+            for _ in range(rng.randint(1, 3))
+        )
+        template = f"x y z {body}"
+        automaton, accepted = licences.Automaton(template), expansions(template, "abc")
+        for _ in range(40):
+            words = ["x", "y", "z", *(rng.choice("abcc") for _ in range(rng.randrange(6)))]
+            ends = [k for k in range(len(words) + 1) if tuple(words[:k]) in accepted]
+            assert automaton.end(words, 0) == (ends[0] if ends else None), (template, words)
+
+
+def test_notices_add_labels():
+    assert licences.scan("Released under the MIT License.")[4:6] == ("", "mit-notice")
+    assert licences.scan("x Licensed under the Apache License, Version 2.0. y")[4:6] == ("", "apache-notice")
+    assert licences.scan("Licensed under CC BY-NC 4.0.")[4:6] == ("cc-by", "cc-by,cc-by-nc")
+
+
 def test_licence_edge_cases(spark, odd):
-    assert licences.scanned(odd).count() == odd.count()
+    long = "word " * 40_000 + licences.TEMPLATES[0][1].replace("<<var;limit=3>>", "S").replace("<<var;limit=12>>", "A")
+    more = odd.limit(1).select(F.lit(80).alias("doc_id"), F.lit(licences.re.sub("<<.*?>>", "", long)), *odd.columns[2:])
+    rows = licences.scanned(odd.union(more)).collect()
+    assert len(rows) == odd.count() + 1
+    assert all(r["labels"] == "" and r["score"] == 0 and r["first_word"] is None for r in rows if r["doc_id"] != 80)
+    assert next(r["labels"] for r in rows if r["doc_id"] == 80) == "mit,mit-grant"
+    assert licences.scanned(odd.limit(0)).count() == 0
 
 
 def page(nav, body, more=""):
@@ -304,6 +428,49 @@ def test_class_names_and_depth_do_not_lose_articles():
     assert text(f"{deep}<article><div>kept<aside>side</aside></div></article>beside{back}after") == "kept"
 
 
+def test_wrappers_accept_every_page_they_were_inferred_from():
+    rng = random.Random(1)
+
+    def content(depth=0):
+        out = []
+        for _ in range(rng.randrange(4)):
+            if rng.random() < 0.35 and not (out and isinstance(out[-1], str)):
+                out.append(rng.choice("xyz"))
+            elif depth < 2:
+                out.append([rng.choice("ab"), content(depth + 1)])
+        return out
+
+    for _ in range(1500):
+        pages = [["", content()] for _ in range(rng.randint(1, 4))]
+        wrapper = wrappers.own_wrapper(pages[0])
+        for page in pages[1:]:
+            wrapper = wrappers.aligned(wrapper, wrappers.own_wrapper(page))
+        pattern = licences.re.compile(wrappers.expression(wrapper))
+        assert all(pattern.fullmatch(wrappers.stream(page)) for page in pages)
+
+
+def test_names_that_say_nothing_leave_it_to_the_wrapper(spark):
+    def own(k):
+        extra = "<ul><li>Jobs</ul>" if k % 3 else ""
+        return f"<body><div class=q7><p>Home</p>{extra}<p>Products</p></div><div class=zz><p>story {k}</p><p>ends {k}</p></div></body>"
+
+    rows = [(k, f"http://a.x/{k}", own(k), "w", "h") for k in range(9)]
+    out = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string, host string")).collect()}
+    assert out == {k: f"story {k}\n\nends {k}" for k in range(9)}
+    alone = wrappers.main_text(own(1), wrappers.regions(wrappers.own_wrapper(wrappers.tree(own(1)))))
+    assert alone == "Home\n\nJobs\n\nProducts\n\nstory 1\n\nends 1"  # what a page's own wrapper would give
+
+
+def test_wrapper_edge_cases(spark):
+    kinds = "page_id long, url string, html string"
+    assert wrappers.extracted(spark.createDataFrame([], kinds)).count() == 0
+    long = "<article>" + "".join(f"<p>paragraph {k}</p>" for k in range(20_000)) + "</article>"
+    rows = [(None, "http://a.x", "<p class=it's>hello</p>"), (1, "http://b.x", long), (2, "http://c.x", "<p title='a>b'>x</p><p title=\"it's\">y</p><p a=b'c>z</p>")]
+    out = {r["page_id"]: r for r in wrappers.extracted(spark.createDataFrame(rows, kinds)).collect()}
+    assert out[None]["text"] == "hello" and out[2]["text"] == "x\n\ny\n\nz"
+    assert out[1]["text"].split("\n\n") == [f"paragraph {k}" for k in range(20_000)] and out[1]["n_chars"] == len(out[1]["text"])
+
+
 def test_repeated_groups_are_found():
     w = wrappers.own_wrapper(wrappers.tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"))
     assert w[3][0][3][0][:3] == ["()", True, False]
@@ -325,6 +492,23 @@ def test_reply_trees(spark):
     assert best["loss"] == "good" and best["formatted"].count("</s>") == 3
 
 
+def test_reply_trees_with_cycles_and_odd_rows(spark):
+    kinds = "tree_id long, node_id long, parent_id long, role string, text string, score double, node string, up string"
+    rows = [(1, 1, 2, "user", "x", 1.0), (1, 2, 1, "user", "y", 1.0)] + [(1, 10 + k, 1, "user", str(k), 1.0) for k in range(50)]  # all hang on a cycle
+    rows += [(2, 1, 99, "user", "root of a missing parent", None), (2, None, 1, "assistant", "nameless", 5.0), (2, None, 1, "assistant", "nameless too", 4.0), (2, 3, None, None, "z" * 100_000, -1.0)]
+    rows += [(3, k, k - 1, "user", "t", 0.5) for k in range(1, 71)] + [(3, 200, 35, "user", "short", 100.0), (3, 1, 0, "user", "t", 0.5)]
+    messages = spark.createDataFrame([(*r, "n", "u") for r in rows], kinds)
+    out = {(r["tree_id"], r["rank"]): r for r in chat.conversations(messages, branches=9).withColumn("turns", chat.turns_of(F.col("formatted"))).collect()}
+    assert not any(t == 1 for t, _ in out)
+    assert [[x["text"] for x in out[2, k]["turns"]] for k in (1, 2)] == [["root of a missing parent", "nameless"], ["root of a missing parent", "nameless too"]]
+    assert out[2, 3]["turns"][0]["text"] == "z" * 100_000 and out[2, 1]["of"] == 3
+    assert [(out[3, k]["leaf"], len(out[3, k]["turns"]), out[3, k]["total"]) for k in (1, 2)] == [(200, 36, 117.5), (70, 70, 35.0)]
+    nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1), *((1, 10 + k, 1) for k in range(50))], "t long, key long, up long").select(F.struct("t").alias("tree"), "key", "up", F.lit(1.0).alias("score"))
+    reach, hops = chat.reaches(nodes)
+    assert reach.count() == 0 and all(h.count() <= 52 for h in hops)  # never more rows than messages
+    assert chat.conversations(messages.limit(0)).count() == 0
+
+
 def test_reply_trees_query_digests(spark):
     row = chat.op3(spark, SF).where("conv_id = -1").first()
     text = "</s>[INST] ok [/INST]"
@@ -394,6 +578,19 @@ def test_neighbours_with_one_long_vector(spark, longest):
     assert hit >= 0.9 * 2000
 
 
+def test_all_candidates_where_there_are_few(spark):
+    x = np.random.default_rng(6).normal(size=(15, 64))
+    df = spark.createDataFrame([(k, v.tolist(), 1, 2) for k, v in enumerate(x)], "vec_id long, embedding array<float>, range int, slice int")
+    assert sorted(r["vec_id"] for r in neighbours.nearest(df.where("vec_id = 0"), df).collect()) == list(range(1, 15))
+    assert {r["query_id"] for r in neighbours.nearest(df.where("vec_id % 5 = 0"), df).collect()} == {0, 5, 10}
+
+
+def test_neighbours_do_not_depend_on_slices(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    some = [sorted(map(tuple, neighbours.nearest(df.where("vec_id % 50 = 0"), df, slice_bytes=b).collect())) for b in (1 << 15, 1 << 30)]
+    assert some[0] == some[1]
+
+
 def test_neighbours_are_found_however_few_axes_are_probed(spark):
     x = np.random.default_rng(5).normal(size=(400, 64))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -412,6 +609,14 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in single} == set(roots.values()) and len(single) == len(set(roots.values()))
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.where("NOT decoded").count() == 0
+    odd = docs.unionByName(docs.limit(20)).withColumns({c: F.lit(1) for c in ("ids", "scores", "_take", "_id", "row", "size", "own")})
+    odd = odd.unionByName(odd.limit(5).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string")))
+    odd = odd.unionByName(odd.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(odd.limit(1).withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda x: F.concat(F.lit("w"), x.cast("string"))))))
+    now = odd
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, SF)
+        assert now.count() > 0 and (k == 3 or now.columns == odd.columns)
+    assert {"ids", "_ids", "scores", "_scores", "decoded"} <= set(now.columns) and now.where("NOT decoded").count() == 0
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
