@@ -40,7 +40,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -167,12 +167,13 @@ class Pieces:
         """(score, ids as little-endian int32) of the n best segmentations, best first."""
         return self.searched(text, n)[0]
 
-    def searched(self, text: str | None, n: int) -> tuple[list[tuple[float, bytes]], bool]:
-        """encode(), and whether all of it decodes to the text: the best as a whole, the
-        others where they differ from it, as decoding joins the pieces' bytes."""
+    def searched(self, text: str | None, n: int) -> tuple[list[tuple[float, bytes]], bool, list[list[tuple[int, int, bytes]]]]:
+        """encode(); whether all of it decodes to the text: the best as a whole, the others
+        where they differ from it, as decoding joins the pieces' bytes; and how each but the
+        best differs: (place in the best's ids, ids replaced, ids put there), in order."""
         parts, memory = self.segments(text or ""), self.memory
         if not parts:
-            return [(0.0, b"")], True
+            return [(0.0, b"")], True, []
         if len(memory) > CACHE:
             memory.clear()
         found = list(map(memory.get, parts))
@@ -198,14 +199,16 @@ class Pieces:
                 top = own[0][0]
                 ways[k] = [(0, whole[k])] + [(top - score, raw) for score, ids in own if (raw := np.array(ids, "<i4").tobytes()) != whole[k]]
                 ranked = sorted(((c + d, (*chosen, (k, j))) for c, chosen in ranked for j, (d, _) in enumerate(ways[k][:n])), key=lambda x: x)[:n]
-        out = []
+        out, patches = [], []
+        starts = {k: sum(map(len, whole[:k])) // 4 for k in ways}
         for cost, chosen in ranked:
             own = list(whole)
             for k, j in chosen:
                 own[k] = ways[k][j][1]
+            patches.append([(starts[k], len(whole[k]) // 4, own[k]) for k, j in chosen if j])
             out.append(((total - cost) / self.unit, b"".join(own)))
         sound = MARK not in text and self.joined(out[0][1]) == (MARK + text.replace(" ", MARK)).encode("utf-8", "surrogatepass")
-        return out, sound and all(self.joined(raw) == parts[k].encode("utf-8", "surrogatepass") for k, own in ways.items() for _, raw in own)
+        return out, sound and all(self.joined(raw) == parts[k].encode("utf-8", "surrogatepass") for k, own in ways.items() for _, raw in own), patches[1:]
 
     def joined(self, ids: bytes) -> bytes:
         """The bytes of the pieces of little-endian int32 ids, space marks kept."""
@@ -222,16 +225,27 @@ class Pieces:
 SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
+def offsets(lists: list, size: int = 1) -> np.ndarray:
+    return np.cumsum([0, *(len(x) // size for x in lists)]).astype(np.int32)
+
+
 def listed(raws: list[bytes]) -> pa.Array:
     """Little-endian int32 ids as an Arrow list each."""
-    return pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in raws)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+    return pa.ListArray.from_arrays(offsets(raws, 4), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+
+
+def patched(ids: Column, patch: Column) -> Column:
+    """The ids of another segmentation: those of the best with one element of `others` applied."""
+    apply = lambda now, p: F.concat(F.slice(now, F.lit(1), p["at"]), p["put"], F.slice(now, p["at"] + p["gone"] + 1, F.size(now)))
+    return F.aggregate(F.reverse(patch), ids, apply)
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N, keep: list[str] | None = None) -> DataFrame:
-    """keep (default: all columns but the text) with ids and n_pieces of the best segmentation; others, the ids of
-    the next n - 1; scores and crcs (checksums of the ids) of all n; decoded, whether all decode to the text."""
+    """keep (default: all columns but the text) with ids and n_pieces of the best segmentation; others, how each of the
+    next n - 1 differs from it (`patched` gives their ids); scores and crcs (checksums of the ids) of all n; decoded,
+    whether all decode to the text."""
     rest = [c for c in docs.columns if c != text] if keep is None else keep
-    fields = {"ids": "array<int>", "n_pieces": "bigint", "others": "array<array<int>>", "scores": "array<double>", "crcs": "array<bigint>", "decoded": "boolean"}
+    fields = {"ids": "array<int>", "n_pieces": "bigint", "others": "array<array<struct<at: int, gone: int, put: array<int>>>>", "scores": "array<double>", "crcs": "array<bigint>", "decoded": "boolean"}
     names = [*rest, *(free_name(c, rest) for c in fields)]
     added = StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in zip(names[len(rest) :], fields.values(), strict=True)))
     schema = StructType([*(docs.schema[c] for c in rest), *added])
@@ -242,15 +256,17 @@ def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N, keep: l
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                found, sound = zip(*(pieces.searched(x, n) for x in some.column(0).to_pylist()), strict=True)
+                found, sound, patches = zip(*(pieces.searched(x, n) for x in some.column(0).to_pylist()), strict=True)
                 best = [f[0][1] for f in found]
-                spans = np.cumsum([0, *(len(f) - 1 for f in found)]).astype(np.int32)
+                each = [x for p in patches for x in p]
+                flat = [x for p in each for x in p]
+                change = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), listed([x[2] for x in flat])], ["at", "gone", "put"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *some.columns[1:],
                         listed(best),
                         pa.array([len(x) // 4 for x in best], pa.int64()),
-                        pa.ListArray.from_arrays(spans, listed([raw for f in found for _, raw in f[1:]])),
+                        pa.ListArray.from_arrays(offsets(patches), pa.ListArray.from_arrays(offsets(each), change)),
                         pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
                         pa.array([[zlib.crc32(raw) for _, raw in f] for f in found], pa.list_(pa.int64())),
                         pa.array(sound, pa.bool_()),
