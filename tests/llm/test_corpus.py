@@ -262,7 +262,7 @@ def test_long_segments_and_ties():
     pieces = nbest.Pieces.at(P.path("piece_bpe_32k.model"))
     rng = random.Random(3)
     for text in ("a" * 100_000, "".join(rng.choice("abcdefghij☃") for _ in range(100_000)), "ab " * 50_000):
-        found, sound = pieces.searched(text, 4)
+        found, sound, _ = pieces.searched(text, 4)
         assert sound and len({raw for _, raw in found}) == 4
         assert all(pieces.decode(np.frombuffer(raw, "<i4").tolist()) == text for _, raw in found)
         assert sorted((s for s, _ in found), reverse=True) == [s for s, _ in found]
@@ -284,13 +284,14 @@ def test_other_vocabularies_are_not_cut():
 def test_n_best_edge_cases(spark, odd):
     docs = odd.withColumn("ids", F.lit("own")).withColumn("Scores", F.lit(1))
     out = nbest.encoded(docs, P.path("piece_bpe_32k.model"))
-    rows = out.collect()
+    lists = F.transform("others", lambda p: nbest.patched(F.col("_ids"), p))
+    rows = out.withColumn("lists", lists).collect()
     assert out.columns[-8:] == ["ids", "Scores", "_ids", "n_pieces", "others", "_scores", "crcs", "decoded"]
     assert len(rows) == odd.count() and all(r["decoded"] and r["ids"] == "own" for r in rows)
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
     pieces = nbest.Pieces.at(P.path("piece_bpe_32k.model"))
     for r in rows:
-        lists = [r["_ids"], *r["others"]]
+        lists = [r["_ids"], *r["lists"]]
         assert [zlib.crc32(np.array(x, "<i4").tobytes()) for x in lists] == r["crcs"] and len(lists) == len(r["_scores"])
         assert r["doc_id"] is None or all(pieces.decode(x) == texts[r["doc_id"]] for x in lists if x)
 
