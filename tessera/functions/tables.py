@@ -58,7 +58,7 @@ STD_HUFFMAN = {
     ),
 }
 
-#: Component layout of each chroma mode: (component, block in the unit, quantiser, x and y of the block in the unit).
+#: Component layout of each chroma mode: (component, block in the unit, quantiser).
 LAYOUT = {
     "420": [(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 4, 1), (2, 5, 1)],
     "444": [(0, 0, 0), (1, 1, 1), (2, 2, 1)],

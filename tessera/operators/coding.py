@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
 from tessera.functions.tables import base_quant, huffman, zigzag
+from tessera.operators import images as I
 
 
 def replicated(planes: DataFrame, unit: int = 8) -> DataFrame:
@@ -69,16 +70,16 @@ def transformed(blocks: DataFrame, samples: str = "s") -> DataFrame:
     shuffle. A block that is null, or lacks samples, has null coefficients.
     """
     keep = [c for c in blocks.columns if c not in (samples, "v")]
-    weights = np.array([X.row_matrix(row) for row in range(8)], np.int64)
 
     def run(batches):
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            sound = [x is not None and len(x) == 64 and None not in x for x in rows]
-            s = np.array([x if ok else [0] * 64 for x, ok in zip(rows, sound, strict=True)], np.int64).reshape(-1, 8, 8)
-            mid = np.stack(X.dct_columns([s[:, y, :] for y in range(8)]), axis=1)
-            v = (np.einsum("nyx,ykx->nyk", mid, weights) >> 16).reshape(-1, 64).astype(np.int32)
-            out = pa.array([x if ok else None for x, ok in zip(v, sound, strict=True)], pa.list_(pa.int32()))
+            at, s = I.samples_of(batch.column(0))
+            flat = pa.array(I.transform(s).astype(np.int32).ravel())
+            out = pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * 64, flat)
+            if len(at) < batch.num_rows:
+                place = np.full(batch.num_rows, -1)
+                place[at] = np.arange(len(at))
+                out = out.take(pa.array(place, mask=place < 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], out], names=[*keep, "v"])
 
     schema = ", ".join([*(f"`{c}` {k}" for c, k in blocks.dtypes if c in keep), "v array<int>"])
@@ -93,6 +94,13 @@ def quantizer(spark: SparkSession, qualities: DataFrame | int, bias: int = 120)
     return q.withColumn("iq", X.reciprocal(F.col("q"))).withColumn("ib", X.rounding(F.col("q"), F.col("pos"), bias)).withColumn("thr", X.threshold(F.col("q"), F.col("pos"), bias))
 
 
+def limited(quant: DataFrame, limits: DataFrame, tolerance: int = 0, bias: int = 120) -> DataFrame:
+    """quant with no step under the least that limits (qidx, pos, m) allow under a tolerance of 0..100 in 256ths; positions without a limit stay."""
+    least = limits.select("qidx", "pos", X.least_quant(F.col("m"), max(0, min(100, tolerance))).alias("least"))
+    q = quant.join(F.broadcast(least), ["qidx", "pos"], "left").withColumn("q", F.greatest("q", F.coalesce("least", F.lit(1))))
+    return q.withColumn("iq", X.reciprocal(F.col("q"))).withColumn("ib", X.rounding(F.col("q"), F.col("pos"), bias)).withColumn("thr", X.threshold(F.col("q"), F.col("pos"), bias))
+
+
 def levels(coefficients: DataFrame, quant: DataFrame, bias: int = 120) -> DataFrame:
     """Quantised coefficients: blocks with v exploded, joined to the (at most 128-row) quantiser and scan order."""
     spark = coefficients.sparkSession
@@ -118,28 +126,6 @@ def dc_differences(leveled: DataFrame) -> DataFrame:
     return dc.withColumn("size", X.bit_length(F.abs(F.col("diff"))).cast("int")).withColumn("suffix", X.suffix(F.col("diff")).cast("int"))
 
 
-def symbols(leveled: DataFrame) -> DataFrame:
-    """(image_id, scan_idx, qidx, cls, seq, sub, sym, size, suffix): every code of the scan.
-
-    A run of 16 or more zeros emits as many 0xf0 codes before its own; a block whose last
-    level isn't the 63rd ends with 0x00.
-    """
-    dc = dc_differences(leveled).select("image_id", "scan_idx", "qidx", F.lit("dc").alias("cls"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), F.col("size").alias("sym"), "size", "suffix")
-    runs = run_levels(leveled)
-    none = F.lit(0)
-    last = F.struct(F.lit(16).alias("sub"), (F.col("run") % 16 * 16 + F.col("size")).alias("sym"), F.col("size").alias("size"), F.col("suffix").alias("suffix"))
-    before = F.when(F.col("run") >= 16, F.transform(F.sequence(F.lit(1), F.expr("greatest(1, run div 16)")), lambda k: F.struct(k.alias("sub"), F.lit(240).alias("sym"), none.alias("size"), none.alias("suffix"))))
-    every = F.concat(F.coalesce(before, F.array().cast("array<struct<sub:int,sym:int,size:int,suffix:int>>")), F.array(last))
-    ac = runs.select("image_id", "scan_idx", "qidx", F.lit("ac").alias("cls"), F.col("zz").alias("seq"), F.explode(every).alias("c")).select("image_id", "scan_idx", "qidx", "cls", "seq", "c.*")
-    tails = leveled.groupBy("image_id", "scan_idx", "qidx").agg(F.max(F.when((F.col("level") != 0) & (F.col("zz") > 0), F.col("zz")).otherwise(0)).alias("end")).where("end < 63")
-    eob = tails.select("image_id", "scan_idx", "qidx", F.lit("ac").alias("cls"), F.lit(64).alias("seq"), F.lit(0).alias("sub"), none.alias("sym"), none.alias("size"), none.alias("suffix"))
-    return dc.unionByName(ac).unionByName(eob)
-
-
-def symbol_counts(coded: DataFrame) -> DataFrame:
-    return coded.groupBy("image_id", "qidx", "cls", "sym").agg(F.count("*").alias("n"))
-
-
 def coded_size(counts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Bits of each image's scan: code lengths plus suffixes (without stuffing)."""
     codes = huffman(counts.sparkSession) if codes is None else codes
@@ -147,49 +133,11 @@ def coded_size(counts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     return counts.join(F.broadcast(codes), ["cls", "qidx", "sym"]).groupBy("image_id").agg(F.sum(bits).cast("long").alias("bits"))
 
 
-def code_strings(coded: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """coded with bits: each code and its suffix as a string of 0 and 1."""
-    codes = huffman(coded.sparkSession) if codes is None else codes
-    out = coded.join(F.broadcast(codes), ["cls", "qidx", "sym"])
-    tail = F.when(F.col("size") > 0, F.lpad(F.bin(F.col("suffix").cast("long")), F.col("size"), F.lit("0"))).otherwise("")
-    return out.withColumn("bits", F.concat(F.lpad(F.bin(F.col("code").cast("long")), F.col("len"), F.lit("0")), tail))
-
-
-def scan_bytes(coded: DataFrame) -> DataFrame:
-    """(image_id, scan): the entropy-coded segment of each image, padded with ones, ff stuffed.
-
-    Bits are placed by a running sum of code lengths (first inside blocks, then over
-    blocks), cut at byte bounds and summed by byte, so an image needn't be one string
-    before its last step.
-    """
-    inner = Window.partitionBy("image_id", "scan_idx").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    rows = coded.withColumn("_n", F.length("bits")).withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    blocks = rows.groupBy("image_id", "scan_idx").agg(F.sum("_n").alias("_bn"))
-    order = Window.partitionBy("image_id").orderBy("scan_idx").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_at", F.coalesce(F.sum("_bn").over(order), F.lit(0))).select("image_id", "scan_idx", "_at")
-    rows = rows.join(blocks, ["image_id", "scan_idx"]).withColumn("_from", F.col("_at") + F.col("_in"))
-    total = rows.groupBy("image_id").agg(F.max(F.col("_from") + F.col("_n")).alias("_from"))
-    pad = total.where("_from % 8 != 0").select("image_id", "_from", F.substring(F.lit("1111111"), F.lit(1), (8 - F.col("_from") % 8).cast("int")).alias("bits"))
-    every = rows.select("image_id", "_from", "bits").unionByName(pad)
-    first, last = F.expr("_from div 8"), F.expr("(_from + length(bits) - 1) div 8")
-    cut = every.select("image_id", "_from", "bits", F.explode(F.sequence(first, last)).alias("byte"))
-    low = F.greatest(F.lit(0).cast("long"), F.col("byte") * 8 - F.col("_from"))
-    high = F.least(F.length("bits").cast("long"), F.col("byte") * 8 + 8 - F.col("_from"))
-    piece = F.substring(F.col("bits"), (low + 1).cast("int"), (high - low).cast("int"))
-    shift = (8 - (F.col("_from") + low - F.col("byte") * 8) - (high - low)).cast("int")
-    part = F.conv(piece, 2, 10).cast("int") * F.pow(F.lit(2), shift).cast("int")
-    octets = cut.groupBy("image_id", "byte").agg(F.sum(part).cast("int").alias("value"))
-    text = F.when(F.col("value") == 255, "FF00").otherwise(F.lpad(F.hex("value"), 2, "0"))
-    joined = octets.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("byte", text.alias("h")))).alias("o"))
-    return joined.select("image_id", F.unhex(F.array_join("o.h", "")).alias("scan"))
-
-
 def histogram(coefficients: DataFrame) -> DataFrame:
-    """(image_id, qidx, pos, bin, n): absolute coefficients in bins of 4, below bin 128."""
+    """(image_id, qidx, pos, bin, n): absolute coefficients (x16, as the transform leaves them) in bins of 4, below bin 128."""
     has = coefficients if "qidx" in coefficients.columns else coefficients.withColumn("qidx", F.lit(0))
     flat = has.select("image_id", "qidx", F.posexplode("v").alias("pos", "v"))
-    # coefficients carry a factor of 16; bins are of sample units
-    binned = flat.withColumn("bin", F.shiftright(F.shiftright(F.abs("v"), 4), 2)).where("bin < 128")
+    binned = flat.withColumn("bin", F.shiftright(F.abs("v"), 2)).where("bin < 128")
     return binned.groupBy("image_id", "qidx", "pos", "bin").agg(F.count("*").alias("n"))
 
 
@@ -210,15 +158,22 @@ def estimated_quality(matrices: DataFrame) -> DataFrame:
     return best.select("key", "b.quality", "b.distance")
 
 
+#: Weights of the offsets -7..7 in the fits of adaptive steps, a Gaussian of deviation 3 scaled to 255.
+OFFSET_WEIGHTS = dict(enumerate((1, 5, 16, 43, 94, 164, 228, 255, 228, 164, 94, 43, 16, 5, 1), -7))
+#: Positions whose steps are never adapted; the trade-off where none can be fitted; the largest offsets by quantiser.
+KEPT_POSITIONS, SAFE_TRADE, CAPS = (0, 1, 8), 128.0, {0: 12, 1: 1}
+
+
 def adapted(histograms: DataFrame, quant: DataFrame, low: int = -12, high: int = 12) -> DataFrame:
     """Candidate steps for each position: (image_id, qidx, pos, delta, dq, distortion, rate), integer sums over bins.
 
     A range join of the histogram with the candidate offsets: 25 rows for each bin, summed
-    at once on the map side.
+    at once on the map side. Steps below quant's `least` (if it has one) are no candidates.
     """
     spark = histograms.sparkSession
     deltas = spark.range(low, high + 1).select(F.col("id").cast("int").alias("delta"))
-    steps = quant.select("qidx", "pos", "q").crossJoin(F.broadcast(deltas)).withColumn("dq", F.col("q") + F.col("delta")).where("dq BETWEEN 1 AND 255")
+    least = F.col("least") if "least" in quant.columns else F.lit(1)
+    steps = quant.select("qidx", "pos", "q", least.alias("least")).crossJoin(F.broadcast(deltas)).withColumn("dq", F.col("q") + F.col("delta")).where("dq BETWEEN least AND 255").drop("least")
     rows = histograms.join(F.broadcast(steps), ["qidx", "pos"])
     v = F.col("bin") * 4 + 2
     idq = F.floor((65536 + F.col("dq") - 1) / F.col("dq")).cast("int")
@@ -227,17 +182,49 @@ def adapted(histograms: DataFrame, quant: DataFrame, low: int = -12, high: int =
     return rows.groupBy("image_id", "qidx", "pos", "delta", "dq").agg(F.sum(F.col("n") * off * off).cast("long").alias("distortion"), F.sum(F.col("n") * X.bit_length(qv)).cast("long").alias("rate"))
 
 
-def best_step(candidates: DataFrame, lam: float = 128.0) -> DataFrame:
-    """The candidate of each position with the least distortion + lambda x rate; the smaller offset wins ties."""
-    cost = F.col("distortion") + F.lit(lam) * F.col("rate")
-    best = candidates.groupBy("image_id", "qidx", "pos").agg(F.min(F.struct(cost.alias("cost"), "delta", "dq")).alias("b"))
-    return best.select("image_id", "qidx", "pos", "b.delta", "b.dq", "b.cost")
+def adaptive_steps(histograms: DataFrame, quant: DataFrame, caps: dict[int, int] = CAPS) -> DataFrame:
+    """(image_id, qidx, pos, trade, delta, dq): the step of each position with the least distortion + trade x rate.
+
+    Around the present steps, distortion and rate are fitted as lines in the offset, by least
+    squares with Gaussian weights; the trade-off of an image and quantiser is the quotient
+    of the slopes, summed over positions. Left out are the first positions, sparse ones
+    (fewer counts than half the bins up to the last) and those whose distortion hardly
+    correlates with the offset; they keep their steps. Sums are exact integers; ties go to
+    the smaller offset, and offsets are at most the quantiser's cap.
+    """
+    density = histograms.groupBy("image_id", "qidx", "pos").agg(F.sum("n").alias("total"), (F.max("bin") + 1).alias("last"))
+    weights = F.create_map(*[F.lit(x) for pair in OFFSET_WEIGHTS.items() for x in pair])
+    w = F.coalesce(F.element_at(weights, F.col("delta")), F.lit(0)).cast("decimal(38,0)")
+    x, d, r = (F.col(c).cast("decimal(38,0)") for c in ("delta", "distortion", "rate"))
+    total = lambda value, name: F.sum(value.cast("decimal(38,0)")).alias(name)
+    fits = adapted(histograms, quant).groupBy("image_id", "qidx", "pos").agg(
+        F.collect_list(F.struct("delta", "dq", "distortion", "rate")).alias("each"),
+        *(total(v, n) for v, n in ((w, "w"), (w * x, "wx"), (w * x * x, "wxx"), (w * d, "wd"), (w * d * d, "wdd"), (w * r, "wr"), (w * x * d, "wxd"), (w * x * r, "wxr"))),
+    )
+    double = lambda a, b, c, e: (F.col(a) * F.col(b)).cast("double") - (F.col(c) * F.col(e)).cast("double")
+    fits = fits.join(density, ["image_id", "qidx", "pos"]).withColumn("cov", double("w", "wxd", "wx", "wd")).withColumn("slope", double("w", "wxr", "wx", "wr"))
+    spread = double("w", "wxx", "wx", "wx") * double("w", "wdd", "wd", "wd")
+    fits = fits.withColumn("used", ~F.col("pos").isin(*KEPT_POSITIONS) & (F.col("total") >= 0.5 * F.col("last")) & (F.col("cov") * F.col("cov") >= 0.5 * spread))
+    over = Window.partitionBy("image_id", "qidx")
+    up, down = (F.coalesce(F.sum(F.when(F.col("used"), F.col(c).cast("decimal(38,0)"))).over(over).cast("double"), F.lit(0.0)) for c in ("cov", "slope"))
+    fits = fits.withColumn("trade", F.when((up > 1000) & (down < -10), F.greatest(F.lit(1.0), -up / down)).otherwise(SAFE_TRADE))
+    cap = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("qidx"))
+    single = lambda c: c.cast("float").cast("double")
+    cost = F.transform(F.filter("each", lambda s: s["delta"] <= cap), lambda s: F.struct((single(s["distortion"]) + F.col("trade") * single(s["rate"])).cast("float").alias("cost"), s["delta"].alias("delta"), s["dq"].alias("dq")))
+    now = F.filter("each", lambda s: s["delta"] == 0)[0]
+    best = F.array_min(cost)
+    return fits.select("image_id", "qidx", "pos", "trade", F.when(F.col("used"), best["delta"]).otherwise(F.lit(0)).alias("delta"), F.when(F.col("used"), best["dq"]).otherwise(now["dq"]).alias("dq"))
+
+
+def signed_index(y: Column, u: Column, v: Column) -> Column:
+    """One of 343 colour buckets of samples less 128: y + 7u + 49v, each of 7 levels."""
+    bucket = lambda x: F.shiftright((x + 128) * 1542, 16)
+    return bucket(y) + 7 * bucket(u) + 49 * bucket(v)
 
 
 def risk_index(r: Column, g: Column, b: Column) -> Column:
-    """One of 343 colour buckets: y + 7u + 49v, each of 7 levels."""
-    bucket = lambda v: F.shiftright(X.clamp(v + 128, 0, 255) * 1542, 16)
-    return bucket(X.luma(r, g, b)) + 7 * bucket(X.chroma_u(r, g, b)) + 49 * bucket(X.chroma_v(r, g, b))
+    """The colour bucket of 8-bit RGB, samples clamped to 8 bits."""
+    return signed_index(*(X.clamp(f(r, g, b), -128, 127) for f in (X.luma, X.chroma_u, X.chroma_v)))
 
 
 def synthetic_sharpness(a: Column, b: Column) -> Column:
@@ -269,7 +256,40 @@ def riskiness(pixels: DataFrame, noise: int = 4, sharpness=synthetic_sharpness)
     area = pixels.groupBy("image_id").agg(F.count("*").alias("area"))
     risk = F.when(F.col("scored") * 100 < F.col("area"), 0.0).otherwise(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0))
     mode = F.when(F.col("gray") > 0.995 * F.col("visited"), "400").when(F.col("risk") < 40, "420").when(F.col("risk") < 70, "sharp").otherwise("444")
-    return sums.join(area, "image_id").withColumn("risk", risk).withColumn("mode", mode)
+    sums = area.join(sums, "image_id", "left").fillna(0, ["visited", "scored", "total", "gray"])  # images of one row or column visit nothing
+    risk = F.when(F.col("scored") * 100 < F.col("area"), 0.0).otherwise(F.coalesce(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0), F.lit(0.0)))
+    return sums.withColumn("risk", risk).withColumn("mode", mode)
+
+
+def mirrored_scores(pixels: DataFrame, cy: Column, cx: Column, noise: int, sharpness) -> DataFrame:
+    """(image_id, cy, cx, y, x, score) inside cells: neighbours right and below, or left and above at a cell's last column and row."""
+    index = signed_index(*(f(*(F.col(c).cast("int") for c in "rgb")) for f in (X.luma, X.chroma_u, X.chroma_v)))
+    rows = pixels.select("image_id", cy.alias("cy"), cx.alias("cx"), "y", "x", index.alias("i"))
+    cell = ["image_id", "cy", "cx"]
+    across, down = Window.partitionBy(*cell, "y").orderBy("x"), Window.partitionBy(*cell, "x").orderBy("y")
+    rows = rows.withColumn("e", F.coalesce(F.lead("i").over(across), F.lag("i").over(across))).withColumn("s", F.coalesce(F.lead("i").over(down), F.lag("i").over(down)))
+    score = sharpness(F.col("i"), F.col("e")) + sharpness(F.col("i"), F.col("s")) + sharpness(F.col("e"), F.col("s"))
+    return rows.select(*cell, "y", "x", F.when(score > noise, score).otherwise(0).cast("int").alias("score"))
+
+
+def block_riskiness(pixels: DataFrame, noise: int = 4, sharpness=synthetic_sharpness) -> DataFrame:
+    """(image_id, cy, cx, scored, total, risk) of 8x8 blocks; risk: 0..100, from the mean of scores above the noise."""
+    scores = mirrored_scores(pixels, F.expr("CAST(y AS BIGINT) div 8"), F.expr("CAST(x AS BIGINT) div 8"), noise, sharpness)
+    sums = scores.groupBy("image_id", "cy", "cx").agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).cast("long").alias("scored"), F.sum("score").cast("long").alias("total"))
+    return sums.withColumn("risk", F.when(F.col("scored") == 0, 0.0).otherwise(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0)))
+
+
+def riskiness_map(pixels: DataFrame, noise: int = 4, sharpness=synthetic_sharpness) -> DataFrame:
+    """(image_id, y, x, risk): min(255, 2 x score) of each pixel in a whole 7x7 tile.
+
+    A tile is the first 7 rows and columns of an 8x8 block, so each 8th row and column is read for two tiles.
+    """
+    side = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    spread = lambda c: F.explode(F.when((F.col(c) > 0) & (F.col(c) % 7 == 0), F.array(F.expr(f"CAST({c} AS BIGINT) div 7 - 1"), F.expr(f"CAST({c} AS BIGINT) div 7"))).otherwise(F.array(F.expr(f"CAST({c} AS BIGINT) div 7"))))
+    rows = pixels.withColumn("ty", spread("y")).withColumn("tx", spread("x"))
+    scores = mirrored_scores(rows, F.col("ty"), F.col("tx"), noise, sharpness).join(side, "image_id")
+    inside = scores.where("y < 7 * cy + 7 AND x < 7 * cx + 7 AND 7 * cy + 7 <= h AND 7 * cx + 7 <= w")
+    return inside.select("image_id", "y", "x", F.least(F.lit(255), 2 * F.col("score")).cast("int").alias("risk"))
 
 
 def error_map(a: DataFrame, b: DataFrame, on: list[str], value: str = "s") -> DataFrame:

@@ -9,11 +9,22 @@ from tessera.functions import expressions as X
 from tessera.functions.tables import BASE_QUANT, sql_values, standard_codes, zigzag_order
 from tessera.operators import coding as C
 from tessera.operators import huffman as H
+from tessera.operators import images as I
 from tessera.sources import containers, fixtures, metadata
 
 QUALITY = 75
 
 
+def matrices(quality: int) -> dict[int, list[int]]:
+    """Steps at a quality, as plain numbers, for code that quantises in Arrow batches."""
+    scale = 5000 if quality <= 0 else 5000 // quality if quality < 50 else max(0, 2 * (100 - quality))
+    return {k: [max(1, min(255, (m * scale + 50) // 100)) for m in values] for k, values in BASE_QUANT.items()}
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.coded(fixtures.blocks(spark, sf_dir), matrices(QUALITY))
+
+
 def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.transformed(fixtures.blocks(spark, sf_dir))
 
@@ -73,12 +84,12 @@ def quantized_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_coding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero levels and squared error of each image at quality 75."""
-    return C.error_sums(leveled(spark, sf_dir))
+    sums = coded(spark, sf_dir).groupBy("image_id").agg(F.sum("error").alias("error"), (F.count("*") * 64).alias("samples"), F.sum("nonzero").alias("nonzero"))
+    return sums
 
 
 def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = C.error_sums(leveled(spark, sf_dir))
-    return sums.select("image_id", F.round(X.psnr(F.col("error"), F.col("samples")), 6).alias("psnr"))
+    return block_coding_summary(spark, sf_dir).select("image_id", F.round(X.psnr(F.col("error"), F.col("samples")), 6).alias("psnr"))
 
 
 def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +101,12 @@ def dc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.symbol_counts(C.symbols(leveled(spark, sf_dir))).select("image_id", "cls", F.col("sym").cast("int").alias("sym"), "n")
+    return I.symbol_counts(coded(spark, sf_dir)).select("image_id", "cls", F.col("sym").cast("int").alias("sym"), "n")
 
 
 def scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each image's scan with the standard codes."""
-    return C.coded_size(C.symbol_counts(C.symbols(leveled(spark, sf_dir))))
+    return C.coded_size(I.symbol_counts(coded(spark, sf_dir)))
 
 
 def coefficient_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +120,10 @@ def step_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's own steps, by the trade-off fitted to it."""
     quant = C.quantizer(spark, QUALITY).where("qidx = 0")
-    best = C.best_step(C.adapted(C.histogram(coefficients(spark, sf_dir)), quant))
-    return best.select("image_id", "pos", "delta", "dq")
+    best = C.adaptive_steps(C.histogram(coefficients(spark, sf_dir)), quant)
+    return best.select("image_id", "pos", F.round("trade", 6).alias("trade"), "delta", "dq")
 
 
 def chroma_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,24 +147,132 @@ def crc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.contents(spark, sf_dir).select("doc_id", F.crc32("content").alias("crc"))
 
 
+def block_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.block_riskiness(fixtures.pixels(spark, sf_dir))
+
+
+def risk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.riskiness_map(fixtures.pixels(spark, sf_dir))
+
+
+def limited_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps at quality 90 that may not fall under those at quality 75 less a tolerance of 60/256."""
+    out = C.limited(C.quantizer(spark, 90), C.quantizer(spark, QUALITY).select("qidx", "pos", F.col("q").alias("m")), 60)
+    return out.select("qidx", "pos", "q", "iq", "ib", "thr")
+
+
 def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's blocks as a gray baseline image of one column of blocks, and what its headers say."""
-    files = containers.gray_files(leveled(spark, sf_dir), QUALITY)
-    return containers.inspected(files).select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.md5("jpeg").alias("md5"))
+    files = containers.gray_files(coded(spark, sf_dir), matrices(QUALITY))
+    out = containers.inspected(files)
+    return out.select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.md5("jpeg").alias("md5"))
+
+
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and scan of each label's gray file in bytes as estimated from symbol counts, without stuffing."""
+    head = containers.header_bytes(1, F.lit(12 + 162), *[F.lit(0)] * 4)
+    bits = scan_bits(spark, sf_dir)
+    return bits.select("image_id", head.alias("header"), (head + F.col("bits") / 8).alias("size"))
 
 
 def fitted_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code tables fitted to each image's own symbols."""
-    return H.fitted_codes(C.symbol_counts(C.symbols(leveled(spark, sf_dir)))).select("image_id", "cls", "sym", "len", "code")
+    return H.fitted_codes(I.symbol_counts(coded(spark, sf_dir))).select("image_id", "cls", "sym", "len", "code")
 
 
 def fitted_scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each image's scan with standard and with fitted codes, and the bytes that the fitted tables take."""
-    counts = C.symbol_counts(C.symbols(leveled(spark, sf_dir)))
+    counts = I.symbol_counts(coded(spark, sf_dir))
     standard = C.coded_size(counts).withColumnRenamed("bits", "standard_bits")
     return H.fitted_size(counts, H.fitted_codes(counts)).join(standard, "image_id")
 
 
+#: Layouts of the sample queries, with the chroma modes that packed ones are coded in.
+SAMPLED = [("rgb", "444"), ("rgb", "420"), ("rgb", "400"), ("rgba", "420"), ("bgra", "444"), ("gray", "400"), ("nv12", "420"), ("nv21", "420"), ("yuv420", "420"), ("yuv444", "444")]
+WIDTH = 38
+
+
+def images_of_texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Texts as images 38 wide: as many rows (an even number for half-size chroma) as their bytes fill."""
+    height = {"rgb": f"n div {3 * WIDTH}", "rgba": f"n div {4 * WIDTH}", "bgra": f"n div {4 * WIDTH}", "gray": f"n div {WIDTH}", "yuv444": f"n div {3 * WIDTH}"}.get(kind, f"2 * (n div {3 * WIDTH})")
+    rows = fixtures.contents(spark, sf_dir).withColumn("n", F.octet_length("content"))
+    return rows.select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.expr(height).alias("height"), "content")
+
+
+def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every layout and mode: their samples' sum, and their sum weighted by place."""
+    out = None
+    for kind, mode in SAMPLED:
+        blocks = I.blocks_of(images_of_texts(spark, sf_dir, kind), kind, mode)
+        total = F.aggregate("s", F.lit(0), lambda a, x: a + x)
+        placed = F.aggregate(F.transform("s", lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x)
+        rows = blocks.select(F.lit(f"{kind} {mode}").alias("layout"), "image_id", "scan_idx", "comp", total.alias("total"), placed.alias("placed"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def colour_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of texts as 4:2:0 colour images at quality 75, by table."""
+    blocks = I.blocks_of(images_of_texts(spark, sf_dir, "rgb"), "rgb", "420")
+    return I.symbol_counts(I.coded(blocks, matrices(QUALITY))).groupBy("qidx", "cls", "sym").agg(F.sum("n").alias("n"))
+
+
+def colour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as 4:4:4 and 4:2:0 files: what their headers say and the quality found in their matrices."""
+    out = None
+    for mode in ("420", "444"):
+        blocks = I.blocks_of(images_of_texts(spark, sf_dir, "rgb"), "rgb", mode)
+        sides = blocks.groupBy("image_id").agg(F.min("width").alias("width"), F.min("height").alias("height"))
+        scans = I.scans(I.coded(blocks, matrices(QUALITY))).join(sides, "image_id")
+        files = containers.inspected(containers.baseline_files(scans, matrices(QUALITY), mode))
+        rows = files.select(F.lit(mode).alias("mode"), "image_id", "width", "height", "components", "is_420", "dqt")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def file_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose one DQT segment holds both matrices at quality doc_id modulo 101, of 16 bits for odd ids: the matrices read, and their quality."""
+    every = C.quantizer(spark, every_quality(spark)).groupBy("quality", "qidx").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("m"))
+    steps = F.transform(F.array(*map(F.lit, zigzag_order())), lambda p: F.element_at("m.q", p + 1))
+    text = lambda wide: F.concat(F.lit("1" if wide else "0"), F.col("qidx").cast("string"), F.array_join(F.transform(steps, lambda q: F.lpad(F.hex(q), 4 if wide else 2, "0")), ""))
+    both = lambda wide: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("qidx", text(wide).alias("t")))), lambda x: x["t"]), "")
+    tables = every.groupBy("quality").agg(both(False).alias("t0"), both(True).alias("t1"))
+    docs = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), (F.col("doc_id") % 101).cast("int").alias("quality"))
+    body = F.when(F.col("image_id") % 2 == 0, F.col("t0")).otherwise(F.col("t1"))
+    files = docs.join(F.broadcast(tables), "quality").select("image_id", F.unhex(F.concat(F.lit("FFD8FFDB"), containers.be(F.length(body) / 2 + 2, 2), body, F.lit("FFDA0002"))).alias("jpeg"))
+    read = containers.inspected(files)
+    luma = read.select(F.col("image_id").alias("key"), F.lit(0).alias("qidx"), F.posexplode("luma").alias("pos", "m"))
+    total = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x).alias(c)
+    return read.select("image_id", "dqt", total("luma"), total("chroma")).join(C.estimated_quality(luma).select(F.col("key").alias("image_id"), "quality", "distance"), "image_id")
+
+
+def metadata_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that carry their text as EXIF, as a profile in parts of 100 bytes, as XMP or extended XMP, and a marker of their own: what is read back."""
+    rows = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), F.col("content").alias("c"))
+    parts = containers.profile_parts(rows.select("image_id", F.expr("substring(c, 1, 20000)").alias("iccp")), most=100).select("image_id", F.lit(1).alias("k"), F.col("seq").alias("at"), "segment")
+    xmp = metadata.xmp_segments(rows.withColumnRenamed("c", "xmp")).select("image_id", F.lit(2).alias("k"), "at", "segment")
+    exif = rows.select("image_id", F.lit(3).alias("k"), F.lit(0).alias("at"), metadata.exif_segment(F.col("c")).alias("segment"))
+    own = rows.select("image_id", F.lit(4).alias("k"), F.lit(0).alias("at"), F.unhex(F.lit("FFE100066F776E00")).alias("segment"))
+    every = parts.unionByName(xmp).unionByName(exif).unionByName(own).where("segment IS NOT NULL")
+    joined = every.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", "at", F.hex("segment").alias("h")))).alias("s"))
+    files = joined.select("image_id", F.unhex(F.concat(F.lit("FFD8"), F.array_join("s.h", ""), F.lit("FFDA0002"))).alias("jpeg"))
+    read = metadata.application_data(files).join(metadata.extended_xmp(files).withColumnRenamed("xmp", "extended"), "image_id", "left").join(containers.profile(files), "image_id", "left")
+    return read.select("image_id", F.md5("exif").alias("exif"), F.md5("xmp").alias("xmp"), F.md5("extended").alias("extended"), F.md5("iccp").alias("iccp"), F.hex("others").alias("others"), F.octet_length("iccp").cast("long").alias("n_iccp"))
+
+
+def png_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the chunks of PNG files (as a text profile, as XMP, as neither) read back."""
+    rows = fixtures.contents(spark, sf_dir)
+    chunk = lambda kind, data: F.concat(F.unhex(F.concat(containers.be(F.octet_length(data), 4), F.lit(kind.encode().hex()))), data, F.unhex(F.lit("00000000")))
+    keyed = lambda key, data: F.concat(F.encode(F.lit(key), "UTF-8"), F.unhex(F.lit("00")), data)
+    which = F.col("doc_id") % 3
+    profile = chunk("tEXt", keyed("Raw profile type APP1", F.encode(metadata.profile_text("APP1", F.col("content")), "UTF-8")))
+    xmp = chunk("iTXt", keyed("XML:com.adobe.xmp", F.concat(F.unhex(F.lit("00000000")), F.col("content"))))
+    other = chunk("tEXt", keyed("Comment", F.col("content")))
+    files = rows.select("doc_id", F.concat(F.unhex(F.lit("89504E470D0A1A0A")), other, F.when(which == 0, profile).when(which == 1, xmp).otherwise(F.unhex(F.lit(""))), F.unhex(F.lit("0000000049454E44AE426082"))).alias("content"))
+    return metadata.png_metadata(files, key="doc_id").select("doc_id", F.md5("exif").alias("exif"), F.md5("xmp").alias("xmp"), F.md5("iccp").alias("iccp"))
+
+
 def exif_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as EXIF segments: their size and first ten bytes; null where a segment can't hold them."""
     rows = fixtures.contents(spark, sf_dir).select("doc_id", metadata.exif_segment(F.col("content")).alias("s"))
@@ -185,7 +305,7 @@ QUERIES = {
     for f in (
         quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
         block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
-        chroma_risk, sample_error_map, checksums, crc_checksums, encoded_images,
+        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images,
         fitted_codes, fitted_scan_bits, exif_segments, extended_xmp_parts, text_profiles, pixmap_sums,
     )
 }
@@ -211,7 +331,10 @@ ALL = "(SELECT unnest(range(101))::INT AS quality)"
 ONE = f"(SELECT {QUALITY} AS quality)"
 
 
-def dct_sql() -> str:
+EMBEDDED = "SELECT label AS image_id, vec_id AS scan_idx, list_transform(embedding, lambda e: greatest(-128, least(127, floor(e::DOUBLE * 256)::INT))) AS s FROM embeddings"
+
+
+def dct_sql(samples: str = EMBEDDED) -> str:
     """CTEs b (samples) and v (coefficients in long form)."""
     column = [
         "(a0 + a3 + a1 + a2) << 3",
@@ -229,7 +352,7 @@ def dct_sql() -> str:
     weights = [(r, k, i, w) for r in range(8) for k, line in enumerate(row_matrix(r)) for i, w in enumerate(line)]
     shift = [c.replace("<< 3", "* 8") for c in column]
     return f"""
-b AS (SELECT label AS image_id, vec_id AS scan_idx, list_transform(embedding, lambda e: greatest(-128, least(127, floor(e::DOUBLE * 256)::INT))) AS s FROM embeddings),
+b AS ({samples}),
 c0 AS (SELECT image_id, scan_idx, x, {sums} FROM b, (SELECT unnest(range(8)) AS x)),
 c1 AS (SELECT *, (((d1 - d2) * 16 * 23170) >> 16) AS f1, (((d1 + d2) * 16 * 23170) >> 16) AS f2 FROM c0),
 c2 AS (SELECT *, d3 * 8 - f1 AS h3, d3 * 8 + f1 AS h1, d0 * 8 - f2 AS h0, d0 * 8 + f2 AS h2 FROM c1),
@@ -264,7 +387,7 @@ syms AS (
   UNION ALL SELECT image_id, 'ac', 0, 1 FROM (SELECT image_id, scan_idx, max(CASE WHEN level != 0 AND zz > 0 THEN zz ELSE 0 END) AS e FROM lv GROUP BY ALL) WHERE e < 63),
 counts AS (SELECT image_id, cls, sym::INT AS sym, sum(n)::BIGINT AS n FROM syms GROUP BY ALL)"""
 HIST = """,
-hist AS (SELECT image_id, pos, (abs(v) >> 4) >> 2 AS bin, count(*)::BIGINT AS n FROM v WHERE (abs(v) >> 4) >> 2 < 128 GROUP BY image_id, pos, (abs(v) >> 4) >> 2)"""
+hist AS (SELECT image_id, pos, abs(v) >> 2 AS bin, count(*)::BIGINT AS n FROM v WHERE abs(v) >> 2 < 128 GROUP BY image_id, pos, abs(v) >> 2)"""
 STEPS = """,
 st AS (SELECT image_id, pos, delta::INT AS delta, (q + delta)::INT AS dq, bin * 4 + 2 AS x, n,
               (((bin * 4 + 2)::BIGINT * ((65536 + q + delta - 1) // (q + delta)) + 32768) >> 16) AS qv
@@ -280,8 +403,100 @@ LUMA, U, V = (
     "((32768 * r - 27439 * g - 5329 * b + {0}) >> {1})::INT",
 )
 BUCKET = "((greatest(0, least(255, {0} + 128)) * 1542) >> 16)"
+SIGNED = "(({0} + 128) * 1542 >> 16)"
 APART = "abs({0} % 7 - {1} % 7) + 3 * abs({0} // 7 % 7 - {1} // 7 % 7) + 3 * abs({0} // 49 - {1} // 49)"
 
+FITS = """,
+den AS (SELECT image_id, pos, sum(n) AS total, max(bin) + 1 AS last FROM hist GROUP BY ALL),
+cw AS (SELECT *, coalesce([1, 5, 16, 43, 94, 164, 228, 255, 228, 164, 94, 43, 16, 5, 1][delta + 8], 0)::HUGEINT * (delta BETWEEN -7 AND 7)::INT AS w FROM cand),
+fit AS (
+  SELECT image_id, pos, sum(w)::HUGEINT AS w, sum(w * delta)::HUGEINT AS wx, sum(w * delta * delta)::HUGEINT AS wxx, sum(w * distortion)::HUGEINT AS wd,
+         sum(w * distortion * distortion)::HUGEINT AS wdd, sum(w * rate)::HUGEINT AS wr, sum(w * delta * distortion)::HUGEINT AS wxd, sum(w * delta * rate)::HUGEINT AS wxr
+  FROM cw GROUP BY ALL),
+cov AS (SELECT image_id, pos, (w * wxd)::DOUBLE - (wx * wd)::DOUBLE AS c, (w * wxr)::DOUBLE - (wx * wr)::DOUBLE AS r,
+               ((w * wxx)::DOUBLE - (wx * wx)::DOUBLE) * ((w * wdd)::DOUBLE - (wd * wd)::DOUBLE) AS spread FROM fit),
+us AS (SELECT image_id, pos, c, r, pos NOT IN (0, 1, 8) AND total >= 0.5::DOUBLE * last AND c * c >= 0.5::DOUBLE * spread AS used FROM cov JOIN den USING (image_id, pos)),
+tr AS (SELECT image_id, coalesce(sum(c::HUGEINT) FILTER (used), 0)::DOUBLE AS up, coalesce(sum(r::HUGEINT) FILTER (used), 0)::DOUBLE AS down FROM us GROUP BY image_id),
+tl AS (SELECT image_id, CASE WHEN up > 1000 AND down < -10 THEN greatest(1.0::DOUBLE, -up / down) ELSE 128.0::DOUBLE END AS trade FROM tr),
+co AS (SELECT cand.image_id, cand.pos, trade, delta, dq, used, (distortion::FLOAT::DOUBLE + trade * rate::FLOAT::DOUBLE)::FLOAT AS cost
+       FROM cand JOIN us USING (image_id, pos) JOIN tl USING (image_id)),
+pick AS (SELECT *, row_number() OVER (PARTITION BY image_id, pos ORDER BY CASE WHEN used THEN cost WHEN delta = 0 THEN 0 ELSE 1 END, delta) AS k FROM co)"""
+BYTES = "o AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS a, strlen(text)::BIGINT AS n FROM documents)"
+
+
+def layout_sql(kind: str, mode: str) -> str:
+    """Blocks (image_id, scan_idx, comp, s) of the texts' bytes in a layout: each padded place of each component looks its sample up."""
+    w, half = WIDTH, WIDTH // 2
+    rows = {"rgb": f"n // {3 * w}", "rgba": f"n // {4 * w}", "bgra": f"n // {4 * w}", "gray": f"n // {w}", "yuv444": f"n // {3 * w}"}.get(kind, f"2 * (n // {3 * w})")
+    side, per = (16, 6) if mode == "420" else (8, 3 if mode == "444" else 1)
+    comps = [0] if mode == "400" else [0, 1, 2]
+    at = lambda y, x, c, size: f"a[1 + (({y}) * {w} + {x}) * {size} + {c}]"
+
+    def sample(comp: int) -> str:
+        y, x = f"least(py, h - 1)", f"least(px, {w - 1})"
+        if kind in I.PACKED:
+            *places, size = I.PACKED[kind]
+            if comp and mode == "420":
+                corners = [(f"least(2 * least(py, (h + 1) // 2 - 1) + {j}, h - 1)", f"least(2 * least(px, {half - 1}) + {i}, {w - 1})") for j in (0, 1) for i in (0, 1)]
+                r, g, b = ("(" + " + ".join(at(cy, cx, c, size) for cy, cx in corners) + ")" for c in places)
+                return (U if comp == 1 else V).replace("* r", f"* {r}").replace("* g", f"* {g}").replace("* b", f"* {b}").format(131072, 18)
+            text = (LUMA, U, V)[comp].format(32768, 16) if comp else LUMA
+            return text.replace("* r", f"* {at(y, x, places[0], size)}").replace("* g", f"* {at(y, x, places[1], size)}").replace("* b", f"* {at(y, x, places[2], size)}")
+        if comp == 0:
+            return f"{at(y, x, 0, 1)} - 128"
+        if kind == "yuv444":
+            return f"a[1 + {comp} * h * {w} + {y} * {w} + {x}] - 128"
+        cy, cx = "least(py, h // 2 - 1)", f"least(px, {half - 1})"
+        if kind == "yuv420":
+            return f"a[1 + h * {w} + {comp - 1} * (h // 2) * {half} + {cy} * {half} + {cx}] - 128"
+        return f"a[1 + h * {w} + ({cy} * {half} + {cx}) * 2 + {(comp - 1) ^ (kind == 'nv21')}] - 128"
+
+    parts = []
+    for comp in comps:
+        wide = side if comp == 0 else 8  # samples of the component on a unit's side
+        units = -(-w // side)
+        number = "0" if per == 1 else str(comp) if mode == "444" else f"(py % 16 // 8) * 2 + px % 16 // 8" if comp == 0 else str(3 + comp)
+        parts.append(
+            f"SELECT doc_id AS image_id, {comp} AS comp, h, ((py // {wide}) * {units} + px // {wide}) * {per} + {number} AS scan_idx, py % 8 * 8 + px % 8 AS pos, ({sample(comp)})::INT AS s "
+            f"FROM (SELECT doc_id, a, h, unnest(range((h + {side - 1}) // {side} * {wide})) AS py FROM g), (SELECT unnest(range({units * wide})) AS px)"
+        )
+    flat = " UNION ALL ".join(parts)
+    out = f"WITH g AS (SELECT doc_id, a, {rows} AS h FROM o WHERE {rows} > 0), f AS ({flat}), bl AS (SELECT image_id, comp, scan_idx, any_value(h) AS h, list(s ORDER BY pos) AS s FROM f GROUP BY ALL HAVING true)"
+    out = out.replace("GROUP BY ALL HAVING true", "GROUP BY image_id, comp, scan_idx")
+    if mode != "420":
+        return f"({out} SELECT image_id, comp, scan_idx, s FROM bl)"
+    units = -(-w // 16)
+    mean = lambda s: f"list_transform({s}, lambda x: ((list_sum({s}) + 32)::BIGINT >> 6)::INT)"
+    return f"""({out},
+ un AS (SELECT image_id, scan_idx // 6 AS unit, any_value(h) AS h, max(s) FILTER (scan_idx % 6 = 0) AS s0, max(s) FILTER (scan_idx % 6 = 1) AS s1, max(s) FILTER (scan_idx % 6 = 2) AS s2, max(s) FILTER (scan_idx % 6 = 3) AS s3 FROM bl WHERE comp = 0 GROUP BY ALL),
+ ou AS (SELECT *, {w} - unit % {units} * 16 <= 8 AS r, h - unit // {units} * 16 <= 8 AS b FROM un),
+ m1 AS (SELECT * REPLACE (CASE WHEN r THEN {mean("s0")} ELSE s1 END AS s1) FROM ou),
+ m2 AS (SELECT * REPLACE (CASE WHEN b THEN {mean("s1")} ELSE s2 END AS s2) FROM m1),
+ m3 AS (SELECT * REPLACE (CASE WHEN r OR b THEN {mean("s2")} ELSE s3 END AS s3) FROM m2)
+ SELECT image_id, comp, scan_idx, s FROM bl WHERE comp > 0
+ UNION ALL SELECT image_id, 0, unit * 6 + unnest([0, 1, 2, 3]), unnest([s0, s1, s2, s3]) FROM m3)"""
+
+
+PLACED = "list_sum(s)::INT AS total, list_sum(list_transform(s, lambda x, i: x * i))::INT AS placed"
+COLOUR = f"""WITH {BYTES}, {quant_sql(ONE)}, cb AS {layout_sql("rgb", "420")}, {dct_sql("SELECT image_id, comp, scan_idx, s FROM cb")},
+lv AS (SELECT v.image_id, v.scan_idx, cb.comp, least(cb.comp, 1) AS qidx, pos, zz, (CASE WHEN v < 0 THEN -1 ELSE 1 END * ((((abs(v) + ib)::BIGINT * iq) >> 16) >> 4))::INT AS level
+       FROM v JOIN cb USING (image_id, scan_idx) JOIN quant ON quant.pos = v.pos AND quant.qidx = least(cb.comp, 1) JOIN zz ON zz.pos = v.pos)""".replace("pos, zz, (CASE", "v.pos, zz, (CASE")
+COLOUR_SYMBOLS = COLOUR + """,
+ac AS (SELECT image_id, scan_idx, qidx, zz - lag(zz, 1, 0) OVER (PARTITION BY image_id, scan_idx ORDER BY zz) - 1 AS run, length(bin(abs(level))) AS size FROM lv WHERE level != 0 AND zz > 0),
+d0 AS (SELECT qidx, level - lag(level, 1, 0) OVER (PARTITION BY image_id, comp ORDER BY scan_idx) AS diff FROM lv WHERE zz = 0),
+syms AS (
+  SELECT qidx, 'dc' AS cls, CASE WHEN diff = 0 THEN 0 ELSE length(bin(abs(diff))) END AS sym, 1 AS n FROM d0
+  UNION ALL SELECT qidx, 'ac', run % 16 * 16 + size, 1 FROM ac
+  UNION ALL SELECT qidx, 'ac', 240, run // 16 FROM ac WHERE run >= 16
+  UNION ALL SELECT qidx, 'ac', 0, 1 FROM (SELECT image_id, scan_idx, qidx, max(CASE WHEN level != 0 AND zz > 0 THEN zz ELSE 0 END) AS e FROM lv GROUP BY ALL) WHERE e < 63)
+SELECT qidx, cls, sym::INT AS sym, sum(n)::BIGINT AS n FROM syms GROUP BY ALL"""
+MIRRORED = """,
+nb AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY image_id, cy, cx, y ORDER BY x), lag(i) OVER (PARTITION BY image_id, cy, cx, y ORDER BY x)) AS e,
+              coalesce(lead(i) OVER (PARTITION BY image_id, cy, cx, x ORDER BY y), lag(i) OVER (PARTITION BY image_id, cy, cx, x ORDER BY y)) AS s FROM ix)"""
+
+
+SCORE = " + ".join(f"least(62, 2 * ({APART.format(a, b)}))" for a, b in (("i", "e"), ("i", "s"), ("e", "s")))
+
 ORACLE = {
     "quant_matrices": f"WITH {quant_sql(ALL)} SELECT quality, qidx, pos, q, iq::INT AS iq, ib::INT AS ib, thr::INT AS thr FROM quant",
     "reduced_matrices": f"WITH {quant_sql(ONE)} SELECT qidx, pos, greatest(1, least(255, floor(q * 100.0::DOUBLE / 80 + 0.5)))::INT AS reduced, greatest(1, (q * 156) >> 8)::INT AS least FROM quant",
@@ -307,10 +522,40 @@ SELECT image_id, round(CASE WHEN error > 0 THEN 4.3429448::DOUBLE * ln(n * 65025
     "symbol_frequencies": f"{CODED} {RUNS} {DC} {SYMS} SELECT image_id, cls, sym, n FROM counts",
     "scan_bits": f"""{CODED} {RUNS} {DC} {SYMS}, codes AS {sql_values([(a, s, n) for a, q, s, n, _ in standard_codes() if q == 0], "cls, sym, len")}
 SELECT image_id, sum(n * (len + CASE WHEN cls = 'dc' THEN sym ELSE sym % 16 END))::BIGINT AS bits FROM counts JOIN codes USING (cls, sym) GROUP BY image_id""",
+    "file_sizes": f"""{CODED} {RUNS} {DC} {SYMS}, codes AS {sql_values([(a, s, n) for a, q, s, n, _ in standard_codes() if q == 0], "cls, sym, len")}
+SELECT image_id, 330::BIGINT AS header, 330 + sum(n * (len + CASE WHEN cls = 'dc' THEN sym ELSE sym % 16 END))::DOUBLE / 8 AS size FROM counts JOIN codes USING (cls, sym) GROUP BY image_id""",
     "coefficient_histogram": f"WITH {dct_sql()} {HIST} SELECT image_id, pos, bin::INT AS bin, n FROM hist",
     "step_candidates": f"WITH {quant_sql(ONE)}, {dct_sql()} {HIST} {STEPS} SELECT image_id, pos, delta, dq, distortion, rate FROM cand",
     "step_choice": f"""WITH {quant_sql(ONE)}, {dct_sql()} {HIST} {STEPS}
-SELECT image_id, pos, delta, dq FROM (SELECT *, row_number() OVER (PARTITION BY image_id, pos ORDER BY distortion + 128 * rate, delta) AS k FROM cand) WHERE k = 1""",
+{FITS} SELECT image_id, pos, round(trade, 6) AS trade, delta, dq FROM pick WHERE k = 1""",
+    "block_risk": f"""WITH {PIX},
+ix AS (SELECT image_id, y // 8 AS cy, x // 8 AS cx, y, x, {SIGNED.format(LUMA)} + 7 * {SIGNED.format(U.format(32768, 16))} + 49 * {SIGNED.format(V.format(32768, 16))} AS i FROM px) {MIRRORED},
+sc AS (SELECT *, {SCORE} AS score FROM nb),
+su AS (SELECT image_id, cy, cx, count(*) FILTER (score > 4)::BIGINT AS scored, coalesce(sum(score) FILTER (score > 4), 0)::BIGINT AS total FROM sc GROUP BY ALL)
+SELECT *, CASE WHEN scored = 0 THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, total::DOUBLE / scored * 4) END AS risk FROM su""",
+    "risk_map": f"""WITH {PIX}, e AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px),
+tl AS (SELECT * FROM (SELECT unnest(range((SELECT h // 7 FROM e))) AS cy), (SELECT unnest(range((SELECT w // 7 FROM e))) AS cx)),
+ix AS (SELECT image_id, cy, cx, y, x, {SIGNED.format(LUMA)} + 7 * {SIGNED.format(U.format(32768, 16))} + 49 * {SIGNED.format(V.format(32768, 16))} AS i
+       FROM px JOIN tl ON y BETWEEN 7 * cy AND 7 * cy + 7 AND x BETWEEN 7 * cx AND 7 * cx + 7) {MIRRORED},
+sc AS (SELECT *, {SCORE} AS score FROM nb)
+SELECT image_id, y, x, least(255, 2 * CASE WHEN score > 4 THEN score ELSE 0 END)::INT AS risk FROM sc WHERE y < 7 * cy + 7 AND x < 7 * cx + 7""",
+    "limited_matrices": f"""WITH {quant_sql("(SELECT unnest([75, 90]) AS quality)")},
+m AS (SELECT a.qidx, a.pos, greatest(a.q, 1, (b.q * 196) >> 8)::INT AS q FROM quant a JOIN quant b USING (qidx, pos) WHERE a.quality = 90 AND b.quality = 75),
+r AS (SELECT *, CASE WHEN q = 1 THEN 65535 ELSE (65536 + q // 2) // q END AS iq, ((CASE WHEN q = 1 OR pos = 0 THEN 128 ELSE 120 END * q * 16 + 128) >> 8) AS ib FROM m)
+SELECT qidx, pos, q, iq::INT AS iq, ib::INT AS ib, ((1048576 + iq - 1) // iq - ib)::INT AS thr FROM r""",
+    "sample_blocks": f"WITH {BYTES} " + " UNION ALL ".join(f"SELECT '{k} {m}' AS layout, image_id, scan_idx, comp, {PLACED} FROM {layout_sql(k, m)}" for k, m in SAMPLED),
+    "colour_symbols": COLOUR_SYMBOLS,
+    "colour_files": f"""SELECT mode, doc_id AS image_id, {WIDTH} AS width, (strlen(text) // {3 * WIDTH})::INT AS height, 3 AS components, mode = '420' AS is_420, 2 AS dqt
+FROM documents, (SELECT unnest(['420', '444']) AS mode) WHERE strlen(text) >= {3 * WIDTH}""",
+    "file_matrices": f"""WITH {quant_sql(ALL)},
+d AS (SELECT a.quality AS key, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS distance FROM quant a JOIN quant b USING (qidx, pos) WHERE qidx = 0 GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, quality) AS k FROM d) WHERE k = 1),
+s AS (SELECT quality AS key, (sum(q * (pos + 1)) FILTER (qidx = 0))::INT AS luma, (sum(q * (pos + 1)) FILTER (qidx = 1))::INT AS chroma FROM quant GROUP BY quality)
+SELECT doc_id AS image_id, 2 AS dqt, luma, chroma, quality, distance FROM documents JOIN s ON s.key = doc_id % 101 JOIN best ON best.key = s.key""",
+    "metadata_report": """SELECT doc_id AS image_id, CASE WHEN strlen(text) + 8 <= 65535 THEN md5(text) END AS exif, CASE WHEN strlen(text) + 31 <= 65535 THEN md5(text) END AS xmp,
+CASE WHEN strlen(text) + 31 > 65535 THEN md5(text) END AS extended, CASE WHEN i IS NOT NULL THEN md5(i) END AS iccp, 'FFE100066F776E00' AS others, octet_length(i)::BIGINT AS n_iccp
+FROM (SELECT *, CASE WHEN strlen(text) BETWEEN 1 AND 20000 THEN encode(text) WHEN strlen(text) > 20000 THEN encode(text)[1:20000] END AS i FROM documents)""",
+    "png_profiles": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND text != '' THEN md5(text) END AS exif, CASE WHEN doc_id % 3 = 1 AND text != '' THEN md5(text) END AS xmp, NULL::VARCHAR AS iccp FROM documents""",
     "chroma_risk": f"""WITH {PIX},
 ix AS (SELECT image_id, y, x, {BUCKET.format(LUMA)} + 7 * {BUCKET.format(U.format(32768, 16))} + 49 * {BUCKET.format(V.format(32768, 16))} AS i FROM px),
 nb AS (SELECT *, lead(i) OVER (PARTITION BY image_id, y ORDER BY x) AS e, lead(i) OVER (PARTITION BY image_id, x ORDER BY y) AS s FROM ix),

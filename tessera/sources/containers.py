@@ -1,16 +1,23 @@
 """Image containers: sniffing, baseline headers written and read, embedded profiles.
 
-Files are a BINARY column. Headers are hexadecimal text until the last step, as Spark
-concatenates and cuts text in generated code. What can't be read is null, never an error.
+Files are a BINARY column. Headers are written as hexadecimal text until the last step, as
+Spark concatenates text in generated code, and read file by file in Arrow batches, as their
+segments follow each other. What can't be read, or doesn't fit, is null, never an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.tables import STD_HUFFMAN, zigzag_order
-from tessera.operators import coding as C
+from tessera.operators import images as I
 
 
 #: Blocks on a side of 65,535 samples, the most that a frame header states.
@@ -33,78 +40,186 @@ def be(value: Column, octets: int) -> Column:
     return F.when(F.length(F.hex(value)) <= 2 * octets, F.lpad(F.hex(value), 2 * octets, "0"))
 
 
-def huffman_segment() -> str:
-    """DHT segments of the gray tables (luma DC and AC), hexadecimal."""
+def code_segments(codes: DataFrame) -> DataFrame:
+    """(image_id, dht): DHT segments of an image's own tables (cls, qidx, sym, len, code), luma DC and AC first, hexadecimal."""
+    lengths = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda n: F.lpad(F.hex(F.size(F.filter("t", lambda x: x["len"] == n))), 2, "0"))
+    ordered = F.sort_array(F.collect_list(F.struct("len", "code", "sym"))).alias("t")
+    tables = codes.groupBy("image_id", "qidx", "cls").agg(ordered)
+    body = F.concat(F.when(F.col("cls") == "dc", "0").otherwise("1"), F.col("qidx").cast("string"), F.array_join(lengths, ""), F.array_join(F.transform("t", lambda x: F.lpad(F.hex(x["sym"]), 2, "0")), ""))
+    each = tables.select("image_id", F.struct("qidx", (F.col("cls") != "dc").alias("ac"), F.concat(F.lit("FFC4"), be(F.length(body) / 2 + 2, 2), body).alias("h")).alias("x"))
+    return each.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "").alias("dht"))
+
+
+def standard_segments(components: int) -> str:
+    """DHT segments of the standard tables, hexadecimal."""
     out = ""
-    for cls, high in (("dc", 0), ("ac", 1)):
-        counts, symbols = STD_HUFFMAN[cls, 0]
-        body = f"{high}0" + "".join(f"{n:02x}" for n in counts) + symbols.replace(" ", "")
-        out += f"ffc4{len(body) // 2 + 2:04x}{body}"
+    for which in range(1 if components == 1 else 2):
+        for cls, high in (("dc", 0), ("ac", 1)):
+            counts, symbols = STD_HUFFMAN[cls, which]
+            body = f"{high}{which}" + "".join(f"{n:02x}" for n in counts) + symbols.replace(" ", "")
+            out += f"ffc4{len(body) // 2 + 2:04x}{body}"
     return out.upper()
 
 
-def gray_files(leveled: DataFrame, quality: int, most: int = MOST_BLOCKS) -> DataFrame:
-    """(image_id, jpeg): baseline files of one-component levels; blocks stand in one column, in scan order.
+def matrix_segment(matrices: dict[int, list[int]]) -> str:
+    """One DQT segment of 8-bit matrices, hexadecimal."""
+    body = "".join(f"{k:02x}" + "".join(f"{m[p]:02x}" for p in zigzag_order()) for k, m in sorted(matrices.items()))
+    return f"ffdb{len(body) // 2 + 2:04x}{body}".upper()
+
+
+def baseline_files(scans: DataFrame, matrices: dict[int, list[int]], mode: str, dht: DataFrame | None = None) -> DataFrame:
+    """(image_id, jpeg) of scans (image_id, width, height, scan; app: raw marker segments, if there).
+
+    Null where a side is over 65,535. dht (image_id, dht): images' own code tables; standard ones by default.
+    """
+    components = 1 if mode == "400" else 3
+    parts = "".join(f"{c + 1:02x}{'22' if mode == '420' and c == 0 else '11'}{min(c, 1):02x}" for c in range(components))
+    rows = scans.withColumn("dht", F.lit(standard_segments(components))) if dht is None else scans.join(dht, "image_id")
+    frame = F.concat(F.lit(f"FFC0{8 + 3 * components:04X}08"), be(F.col("height"), 2), be(F.col("width"), 2), F.lit(f"{components:02X}{parts.upper()}"))
+    scan = f"FFDA{6 + 2 * components:04X}{components:02X}" + "".join(f"{c + 1:02X}{min(c, 1) * 17:02X}" for c in range(components)) + "003F00"
+    app = F.coalesce("app", F.unhex(F.lit(""))) if "app" in scans.columns else F.unhex(F.lit(""))
+    rest = F.unhex(F.concat(F.lit(matrix_segment({k: m for k, m in matrices.items() if k < components})), frame, F.col("dht"), F.lit(scan)))
+    start = F.unhex(F.lit("FFD8FFE000104A46494600010100000100010000"))
+    return rows.select("image_id", F.concat(start, app, rest, F.col("scan"), F.unhex(F.lit("FFD9"))).alias("jpeg"))
+
+
+def header_bytes(components: int, code_symbols: Column, app: Column, exif: Column, iccp: Column, xmp: Column) -> Column:
+    """Size of all but the scan, from the sizes of metadata (0: none) and the number of symbols in all code tables.
+
+    It is the estimate that a search for a target size uses: extended XMP counts 40 bytes a part.
+    """
+    tables = 1 if components == 1 else 2
+    size = 20 + app + F.when(exif > 0, exif + 8).otherwise(0)
+    size = size + F.when(iccp > 0, F.floor((iccp - 1) / 65519 + 1) * 18 + iccp).otherwise(0)
+    size = size + F.when(xmp > 0, xmp + 33 + F.when(xmp > 65533, (F.floor(xmp / 65458) + 1) * 40).otherwise(0)).otherwise(0)
+    return (size + tables * 65 + 4 + 10 + 3 * components + 8 + 2 * components + 2 + 2 * tables * 21 + code_symbols).cast("long")
+
+
+def gray_files(blocks: DataFrame, matrices: dict[int, list[int]], most: int = MOST_BLOCKS, codes: DataFrame | None = None) -> DataFrame:
+    """(image_id, jpeg): baseline files of coded one-component blocks that stand in one column, in scan order.
 
     Where that would be over `most` blocks high, rows are as many blocks wide as it takes,
     and the last row is filled with flat blocks of the last level; null if the width doesn't fit either.
     """
-    spark = leveled.sparkSession
-    dc = leveled.where("zz = 0")
-    rest = [c for c in ("comp", "qidx") if c in leveled.columns]
-    sizes = dc.groupBy("image_id").agg(F.count("*").alias("n"), F.max("scan_idx").alias("last"), F.max_by("level", "scan_idx").alias("level"), *(F.min(c).alias(c) for c in rest))
+    sizes = blocks.groupBy("image_id").agg(F.count("*").alias("n"), F.max(F.struct("scan_idx", "dc")).alias("last"))
     sizes = sizes.withColumn("across", F.ceil(F.col("n") / most)).withColumn("down", F.ceil(F.col("n") / F.col("across")))
     spare = sizes.withColumn("spare", F.col("across") * F.col("down") - F.col("n")).where("spare > 0")
     if not spare.isEmpty():
-        names = ["image_id", "scan_idx", *rest, "zz", "level"]
-        fill = spare.select("image_id", F.explode(F.sequence(F.col("last") + 1, F.col("last") + F.col("spare"))).alias("scan_idx"), *rest, F.lit(0).alias("zz"), "level")
-        leveled = leveled.select(*names).unionByName(fill.select(*names))
-    scan = C.scan_bytes(C.code_strings(C.symbols(leveled)))
+        names = ["image_id", "comp", "qidx", "scan_idx", "dc", "ac"]
+        at = F.explode(F.sequence(F.col("last.scan_idx") + 1, F.col("last.scan_idx") + F.col("spare"))).alias("scan_idx")
+        blocks = blocks.select(*names).unionByName(spare.select("image_id", F.lit(0).alias("comp"), F.lit(0).alias("qidx"), at, F.col("last.dc").alias("dc"), F.array(F.lit(0)).alias("ac")))
     sides = sizes.select("image_id", (F.col("across") * 8).alias("width"), (F.col("down") * 8).alias("height"))
-    matrix = C.quantizer(spark, quality).where("qidx = 0").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("m"))
-    order = F.array(*map(F.lit, zigzag_order()))
-    dqt = matrix.select(F.array_join(F.transform(order, lambda p: F.lpad(F.hex(F.element_at("m.q", p + 1)), 2, "0")), "").alias("dqt"))
-    rows = scan.join(sides, "image_id").crossJoin(F.broadcast(dqt))
-    start = F.lit("FFD8FFE000104A46494600010100000100010000")
-    frame = F.concat(F.lit("FFC0000B08"), be(F.col("height"), 2), be(F.col("width"), 2), F.lit("01011100"))
-    text = F.concat(start, F.lit("FFDB004300"), F.col("dqt"), frame, F.lit(huffman_segment() + "FFDA0008010100003F00"))
-    return rows.select("image_id", F.concat(F.unhex(text), F.col("scan"), F.unhex(F.lit("FFD9"))).alias("jpeg"))
+    dht = None if codes is None else code_segments(codes)
+    return baseline_files(I.scans(blocks, codes).join(sides, "image_id"), matrices, "400", dht)
 
 
-def segments(images: DataFrame, content: str = "jpeg", key: str = "image_id", most: int = 64) -> DataFrame:
-    """(key, at, marker, payload as hexadecimal text) of the marker segments up to the scan.
+def walked(raw: bytes) -> list[tuple[int, int, bytes]]:
+    """(place from 1, marker, payload) of the marker segments of a file up to the scan; [] if it isn't one.
 
-    A fold over at most `most` steps in one row: each step reads one length and hops on.
+    Bytes before the first marker are skipped; the walk ends at what isn't a whole segment.
+    """
+    if raw[:2] != b"\xff\xd8":
+        return []
+    out, at = [], raw.find(b"\xff", 2)
+    while 0 < at and at + 4 <= len(raw):
+        marker, length = int.from_bytes(raw[at : at + 2], "big"), int.from_bytes(raw[at + 2 : at + 4], "big")
+        if not 0xFF01 <= marker < 0xFFFF or length < 2 or at + 2 + length > len(raw):
+            break
+        out.append((at + 1, marker, raw[at + 4 : at + 2 + length]))
+        if marker == 0xFFDA:
+            break
+        at += 2 + length
+    return out
+
+
+def segments(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
+    """(key, at, marker, payload as hexadecimal text) of the marker segments up to the scan, however many; files in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = walked(batch.column(1)[k].as_py() or b"")
+                if found:
+                    own = batch.column(0).take(pa.array(np.full(len(found), k)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2].hex().upper() for x in found])], names=[key, "at", "marker", "payload"])
+
+    return images.select(key, content).mapInArrow(run, f"`{key}` {dict(images.dtypes)[key]}, at int, marker int, payload string")
+
+
+def matrices_in(found: list[tuple[int, int, bytes]]) -> dict[int, list[int] | None] | None:
+    """Number -> steps in natural order of all quantisation tables (None beyond the second); None if one is broken.
+
+    16-bit steps are clamped to 255, zero steps to 1; of tables of one number the last counts.
+    """
+    out, order = {}, zigzag_order()
+    for _, marker, payload in found:
+        at = 0
+        while marker == 0xFFDB and at < len(payload):
+            wide, number = payload[at] >> 4, payload[at] & 15
+            values = payload[at + 1 : at + 65 + 64 * wide]
+            if wide > 1 or number > 3 or len(values) < 64 + 64 * wide:
+                return None
+            steps = np.frombuffer(values, ">u2" if wide else "u1")
+            matrix = np.zeros(64, int)
+            matrix[order] = np.clip(steps, 1, 255)
+            out[number] = matrix.tolist() if number < 2 else None
+            at += 65 + 64 * wide
+    return out
+
+
+FACTS = "width int, height int, components int, is_420 boolean, dqt int, luma array<int>, chroma array<int>"
+
+
+def facts_of(raw: bytes | None) -> tuple:
+    """width, height, components and is_420 of the first SOF0 or SOF1; number of matrices, the first two of them."""
+    found = walked(raw or b"")
+    frame = next((p for _, marker, p in found if marker in (0xFFC0, 0xFFC1) and len(p) >= 6), None)
+    sides = (None,) * 4
+    if frame:
+        whole = len(frame) >= 6 + 3 * frame[5]
+        is_420 = frame[5] == 3 and [frame[7 + 3 * c] for c in range(3)] == [0x22, 0x11, 0x11] if whole else None
+        sides = (int.from_bytes(frame[3:5], "big"), int.from_bytes(frame[1:3], "big"), frame[5], is_420)
+    tables = matrices_in(found) or {}
+    return (*sides, len(tables), tables.get(0), tables.get(1))
+
+
+def inspected(images: DataFrame, content: str = "jpeg") -> DataFrame:
+    """images with width, height, components, is_420, dqt (number of matrices), luma and chroma (their steps), all from headers."""
+    names = [*images.columns, *(x.split()[0] for x in FACTS.split(", "))]
+    kinds = [pa.int32()] * 3 + [pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def run(batches):
+        for batch in batches:
+            rows = [facts_of(x) for x in batch.column(0).to_pylist()]
+            more = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=names)
+
+    schema = StructType([*images.schema, *StructType.fromDDL(FACTS)])
+    return images.select(F.col(content).alias("_raw"), *images.columns).mapInArrow(run, schema)
+
+
+def written(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (name, content) to a shared folder; (name, path, n_bytes) of those written. A null content writes none.
+
+    A file is written beside its place and moved there, so a retried task leaves whole files only.
     """
-    size = F.octet_length(F.col(content))
-    number = lambda at, n: F.conv(F.hex(F.substr(F.col(content), at, F.lit(n))), 16, 10).cast("int")
-
-    def hop(state: Column, _: Column) -> Column:
-        at = state["at"]
-        marker, length = number(at, 2), number(at + 2, 2)
-        ok = (at > 0) & (at + 3 <= size) & (marker >= 0xFF01) & (marker < 0xFFFF) & (length >= 2) & (at + 1 + length <= size)
-        found = F.struct(at.alias("at"), marker.alias("marker"), length.alias("length"))
-        stop = F.lit(-1)
-        return F.when(ok, F.struct(F.when(marker == 0xFFDA, stop).otherwise(at + 2 + length).alias("at"), F.concat(state["found"], F.array(found)).alias("found"))).otherwise(
-            F.struct(stop.alias("at"), state["found"].alias("found"))
-        )
-
-    begin = F.when(F.hex(F.substring(content, 1, 2)) == "FFD8", 3).otherwise(-1)
-    state = F.struct(begin.alias("at"), F.array().cast("array<struct<at:int,marker:int,length:int>>").alias("found"))
-    walked = images.select(key, content, F.aggregate(F.sequence(F.lit(1), F.lit(most)), state, hop)["found"].alias("found"))
-    each = walked.select(key, content, F.explode("found").alias("f"))
-    return each.select(key, F.col("f.at").alias("at"), F.col("f.marker").alias("marker"), F.hex(F.substr(F.col(content), F.col("f.at") + 4, F.col("f.length") - 2)).alias("payload"))
-
-
-def inspected(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
-    """images with width, height, components (of the first SOF0/SOF1) and dqt (number of matrices)."""
-    found = segments(images, content, key)
-    octet = lambda at, n=1: F.conv(F.substring("payload", 2 * at + 1, 2 * n), 16, 10).cast("int")
-    sof = F.col("marker").isin(0xFFC0, 0xFFC1) & (F.length("payload") >= 12)
-    facts = F.struct("at", octet(3, 2).alias("width"), octet(1, 2).alias("height"), octet(5).alias("components"))
-    summary = found.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(sof, facts)).alias("f"), F.count_distinct(F.when(F.col("marker") == 0xFFDB, F.substring("payload", 2, 1))).cast("int").alias("dqt"))
-    out = images.join(summary, images[key].eqNullSafe(summary["_key"]), "left")
-    return out.select(*[images[c] for c in images.columns], "f.width", "f.height", "f.components", F.coalesce("dqt", F.lit(0)).alias("dqt"))
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if content is None:
+                    continue
+                part = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content)
+                fs.move(part, f"{root}/{name}")
+                out.append((name, f"{folder}/{name}", len(content)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["name", "path", "n_bytes"])
+
+    return files.select(F.col("name").cast("string"), "content").mapInArrow(run, "name string, path string, n_bytes long")
 
 
 def profile(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
@@ -123,8 +238,3 @@ def profile_parts(profiles: DataFrame, key: str = "image_id", most: int = 65519)
     data = F.substr(F.col("iccp"), (F.col("seq") - 1) * most + 1, F.lit(most))
     head = F.concat(F.lit("FFE2"), be(F.octet_length(data) + 16, 2), F.lit("4943435F50524F46494C4500"), be(F.col("seq"), 1), be(F.col("_n"), 1))
     return rows.select(key, "seq", F.concat(F.unhex(head), data).alias("segment"))
-
-
-def last_of(df: DataFrame, by: str, order: str) -> DataFrame:
-    """One row of each group, the last in order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))).where("_k = 1").drop("_k")

@@ -1,11 +1,14 @@
 """Metadata of image files: EXIF and XMP segments, extended XMP, text profiles; and plain pixmaps.
 
-Column functions and joins, but for the pixels of pixmaps. What can't be read, or doesn't
-fit a segment, is null, never an error.
+Column functions and joins, but for what is read byte by byte: pixmaps and the chunks of PNG
+files, in Arrow batches. What can't be read, or doesn't fit a segment, is null, never an error.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,7 +60,7 @@ def extended_xmp_parts(packets: DataFrame, data: str = "xmp", key: str = "image_
 def extended_xmp(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
     """(key, xmp): extended XMP put together; null unless the parts share one digest and total, meet without gap or overlap, and match the digest."""
     mark = EXTENDED_XMP.hex().upper()
-    found = segments(images, content, key, most=1024).where((F.col("marker") == 0xFFE1) & F.col("payload").startswith(mark))
+    found = segments(images, content, key).where((F.col("marker") == 0xFFE1) & F.col("payload").startswith(mark))
     field = lambda at, n: F.substring("payload", len(mark) + 2 * at + 1, 2 * n)
     number = lambda at: F.conv(field(at, 4), 16, 10).cast("long")
     data = F.expr(f"substring(payload, {len(mark) + 81})")
@@ -84,33 +87,137 @@ def text_profile(text: Column) -> Column:
     return F.when(F.length(digits) == 2 * field(1).try_cast("int"), F.unhex(digits))
 
 
-def pixmap_header(content: Column) -> Column:
-    """(width, height, most, at) of a binary pixmap, at: where samples begin (from 0); null if it is none."""
-    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
-    blank = r"(?:\s|#[^\n]*\n)+"
-    pattern = rf"(?s)^(P6{blank}([0-9]{{1,5}}){blank}([0-9]{{1,5}}){blank}([0-9]{{1,5}})\s).*"
-    field = lambda k: F.regexp_extract(head, pattern, k)
-    width, height, most = (field(k).try_cast("int") for k in (2, 3, 4))
-    at = F.length(field(1))
-    sound = (width > 0) & (height > 0) & (most > 0) & (most < 256)
-    whole = at + 3 * width.cast("long") * height <= F.octet_length(content)
-    return F.when(sound & whole, F.struct(width.alias("width"), height.alias("height"), most.alias("most"), at.alias("at")))
+#: A binary pixmap's header: blanks and comments of any length between its numbers, one blank before the samples.
+PIXMAP = re.compile(rb"P6" + rb"(?:\s|#[^\n]*\n)+([0-9]{1,9})" * 3 + rb"\s")
+
+
+def pixmap_header(raw: bytes | None) -> tuple[int, int, int, int] | None:
+    """(width, height, most, where samples begin) of a binary pixmap of 8-bit samples; None if it is none, or isn't whole."""
+    found = PIXMAP.match(raw or b"")
+    if not found:
+        return None
+    width, height, most = map(int, found.groups())
+    whole = width and height and 0 < most < 256 and found.end() + 3 * width * height <= len(raw)
+    return (width, height, most, found.end()) if whole else None
 
 
 def pixmap_pixels(images: DataFrame, content: str = "content", key: str = "image_id", band: int = 1 << 16) -> DataFrame:
     """(key, y, x, r, g, b) of the images that are binary pixmaps, in Arrow batches of `band` pixels."""
-    rows = images.select(key, content, pixmap_header(F.col(content)).alias("h")).where("h IS NOT NULL").select(key, content, "h.width", "h.height", "h.at")
     names = [key, "y", "x", "r", "g", "b"]
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                raw, width, height, at = (batch.column(i)[k].as_py() for i in range(1, 5))
-                rgb = np.frombuffer(raw, np.uint8, 3 * width * height, at).reshape(-1, 3).astype(np.int32)
+                raw = batch.column(1)[k].as_py()
+                if not (head := pixmap_header(raw)):
+                    continue
+                width, height, _, at = head
+                rgb = np.frombuffer(raw, np.uint8, 3 * width * height, at).reshape(-1, 3)
                 for low in range(0, len(rgb), band):
-                    some = rgb[low : low + band]
+                    some = rgb[low : low + band].astype(np.int32)
                     y, x = np.divmod(np.arange(low, low + len(some)), width)
-                    own = pa.array(np.zeros(len(some), np.int64) + k)
+                    own = pa.array(np.full(len(some), k))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(y), pa.array(x), *(pa.array(some[:, c]) for c in range(3))], names=names)
 
-    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, y long, x long, r int, g int, b int")
+    return images.select(key, content).mapInArrow(run, f"`{key}` {dict(images.dtypes)[key]}, y long, x long, r int, g int, b int")
+
+
+#: Keys of text chunks that carry metadata, whether as a text profile, and what it is.
+PNG_KEYS = {
+    b"Raw profile type exif": (True, "exif"),
+    b"Raw profile type xmp": (True, "xmp"),
+    b"Raw profile type APP1": (True, "exif"),
+    b"XML:com.adobe.xmp": (False, "xmp"),
+}
+
+
+def raw_profile(text: bytes) -> bytes | None:
+    """The bytes of a text profile; None unless its length is the one stated."""
+    parts = re.fullmatch(rb"\n[^\n]*\n *([0-9]{1,9})\n([0-9a-fA-F\s]*)", text)
+    digits = re.sub(rb"\s", b"", parts[2]) if parts else b""
+    return bytes.fromhex(digits.decode()) if parts and len(digits) == 2 * int(parts[1]) else None
+
+
+def png_chunks(raw: bytes):
+    """(type, data) of the chunks of a file up to the end chunk, or what isn't a whole chunk."""
+    at = 8 if raw[:8] == b"\x89PNG\r\n\x1a\n" else len(raw)
+    while at + 12 <= len(raw):
+        size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        if at + 12 + size > len(raw) or kind == b"IEND":
+            return
+        yield kind, raw[at + 8 : at + 8 + size]
+        at += 12 + size
+
+
+def inflated(data: bytes) -> bytes | None:
+    try:
+        return zlib.decompress(data)
+    except zlib.error:
+        return None
+
+
+def chunk_text(kind: bytes, data: bytes) -> tuple[bytes, bytes | None]:
+    """(key, text) of a tEXt, zTXt or iTXt chunk."""
+    key, _, rest = data.partition(b"\0")
+    if kind == b"tEXt":
+        return key, rest
+    if kind == b"zTXt":
+        return key, inflated(rest[1:])
+    body = rest[2:].split(b"\0", 2)
+    text = body[2] if len(body) == 3 else None
+    return key, inflated(text) if text is not None and rest[:1] == b"\1" else text
+
+
+def png_metadata(images: DataFrame, content: str = "content", key: str = "image_id") -> DataFrame:
+    """(key, exif, xmp, iccp) out of the text and colour-profile chunks of PNG files; of several, the first that is sound."""
+
+    def found_in(raw: bytes | None) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        for kind, data in png_chunks(raw or b""):
+            if kind in (b"tEXt", b"zTXt", b"iTXt"):
+                name, text = chunk_text(kind, data)
+                as_profile, what = PNG_KEYS.get(name, (False, None))
+                value = raw_profile(text) if as_profile and text is not None else text
+            elif kind == b"iCCP":
+                what, value = "iccp", inflated(data.partition(b"\0")[2][1:])
+            else:
+                continue
+            if what and value:
+                found.setdefault(what, value)
+        return found
+
+    def run(batches):
+        for batch in batches:
+            rows = [found_in(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.get(c) for r in rows], pa.binary()) for c in ("exif", "xmp", "iccp"))], names=[key, "exif", "xmp", "iccp"])
+
+    return images.select(key, content).mapInArrow(run, f"`{key}` {dict(images.dtypes)[key]}, exif binary, xmp binary, iccp binary")
+
+
+#: Fixed value: what stands before the digest of extended XMP in the main packet.
+HAS_EXTENDED = 'xmpNote:HasExtendedXMP="'
+
+
+def with_digest(packet: Column, extended: Column) -> Column:
+    """packet with the digest of extended data written where it names one; as it is where it names none."""
+    at = F.locate(HAS_EXTENDED, F.decode(packet, "ISO-8859-1"))
+    return F.when(at > 0, F.overlay(packet, F.encode(F.upper(F.md5(extended)), "UTF-8"), at + len(HAS_EXTENDED))).otherwise(packet)
+
+
+def xmp_segments(packets: DataFrame, data: str = "xmp", key: str = "image_id") -> DataFrame:
+    """(key, at, segment): XMP as one segment, or as extended XMP where it doesn't fit one."""
+    fits = F.octet_length(data) + len(XMP) + 2 <= LONGEST
+    one = packets.where(fits).select(key, F.lit(0).alias("at"), xmp_segment(F.col(data)).alias("segment"))
+    return one.unionByName(extended_xmp_parts(packets.where(~fits), data, key).select(key, "at", "segment"))
+
+
+def application_data(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
+    """(key, exif, xmp, others): the first EXIF and XMP of each file, and its other APP1 and APP2 segments as they are, joined."""
+    found = segments(images, content, key).where(F.col("marker").isin(0xFFE1, 0xFFE2))
+    marks = {name: x.hex().upper() for name, x in (("exif", EXIF), ("xmp", XMP))}
+    is_a = {name: (F.col("marker") == 0xFFE1) & F.col("payload").startswith(x) for name, x in marks.items()}
+    known = is_a["exif"] | is_a["xmp"] | F.col("payload").startswith(EXTENDED_XMP.hex().upper()) | F.col("payload").startswith("4943435F50524F46494C4500")
+    other = F.struct("at", F.concat(F.hex("marker"), be(F.length("payload") / 2 + 2, 2), F.col("payload")).alias("h"))
+    first = [F.min(F.when(is_a[name], F.struct("at", F.expr(f"substring(payload, {len(x) + 1})").alias("h"))))["h"].alias(name) for name, x in marks.items()]
+    rows = found.groupBy(key).agg(*first, F.sort_array(F.collect_list(F.when(~known, other))).alias("o"))
+    return rows.select(key, F.unhex("exif").alias("exif"), F.unhex("xmp").alias("xmp"), F.unhex(F.array_join("o.h", "")).alias("others"))

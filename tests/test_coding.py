@@ -76,12 +76,12 @@ def test_blocks_hold_samples_in_natural_order(spark):
     assert out[1] == [y * 100 + 8 + x for y in range(8) for x in range(8)]
 
 
-def decoded(jpeg: bytes) -> list[list[int]]:
+def decoded(jpeg: bytes, own: list | None = None) -> list[list[int]]:
     """Levels of each block (zigzag order) of a gray baseline file."""
     at = jpeg.index(b"\xff\xda")
     data = jpeg[at + 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big") : -2].replace(b"\xff\x00", b"\xff")
     bits = "".join(f"{x:08b}" for x in data)
-    tables = {k: {f"{c:0{n}b}": s for kind, q, s, n, c in standard_codes() if kind == k and q == 0} for k in ("dc", "ac")}
+    tables = {k: {f"{c:0{n}b}": s for kind, q, s, n, c in own or standard_codes() if kind == k and q == 0} for k in ("dc", "ac")}
     height = int.from_bytes(jpeg[jpeg.index(b"\xff\xc0") + 5 :][:2], "big")
     place, out, before = 0, [], 0
 
@@ -120,7 +120,7 @@ def test_files_decode_to_their_levels(spark):
     want = {}
     for r in leveled.select("image_id", "scan_idx", "zz", "level").collect():
         want.setdefault(r["image_id"], {}).setdefault(r["scan_idx"], [0] * 64)[r["zz"]] = r["level"]
-    files = containers.gray_files(leveled, Q.QUALITY).collect()
+    files = containers.gray_files(Q.coded(spark, SF), Q.matrices(Q.QUALITY)).collect()
     assert {r["image_id"] for r in files} == set(want)
     for r in files:
         assert decoded(bytes(r["jpeg"])) == [b for _, b in sorted(want[r["image_id"]].items())]
@@ -131,7 +131,7 @@ def test_long_files_are_laid_out_in_rows(spark):
     want = {}
     for r in leveled.select("image_id", "scan_idx", "zz", "level").collect():
         want.setdefault(r["image_id"], {}).setdefault(r["scan_idx"], [0] * 64)[r["zz"]] = r["level"]
-    files = containers.gray_files(leveled, Q.QUALITY, most=4).collect()
+    files = containers.gray_files(Q.coded(spark, SF), Q.matrices(Q.QUALITY), most=4).collect()
     assert {r["image_id"] for r in files} == set(want) and any(len(b) > 4 for b in want.values())
     for r in files:
         jpeg, blocks = bytes(r["jpeg"]), [b for _, b in sorted(want[r["image_id"]].items())]
@@ -142,13 +142,112 @@ def test_long_files_are_laid_out_in_rows(spark):
         assert decoded(column) == blocks + [[blocks[-1][0]] + [0] * 63] * (height * width // 64 - len(blocks))
 
 
+def test_files_with_fitted_tables_decode_to_the_same_levels(spark):
+    from tessera.operators import huffman as H
+    from tessera.operators import images as I
+
+    blocks = Q.coded(spark, SF)
+    codes = H.fitted_codes(I.symbol_counts(blocks)).cache()
+    tables = {}
+    for r in codes.collect():
+        tables.setdefault(r["image_id"], []).append((r["cls"], r["qidx"], r["sym"], r["len"], r["code"]))
+    plain = {r["image_id"]: bytes(r["jpeg"]) for r in containers.gray_files(blocks, Q.matrices(Q.QUALITY)).collect()}
+    fitted = {r["image_id"]: bytes(r["jpeg"]) for r in containers.gray_files(blocks, Q.matrices(Q.QUALITY), codes=codes).collect()}
+    assert set(plain) == set(fitted)
+    for k, jpeg in fitted.items():
+        assert len(jpeg) < len(plain[k]) and decoded(jpeg, tables[k]) == decoded(plain[k])
+        at, read = jpeg.index(b"\xff\xc4"), {}
+        for cls in ("dc", "ac"):
+            counts, code = jpeg[at + 5 : at + 21], 0
+            symbols = iter(jpeg[at + 21 : at + 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")])
+            for length, n in enumerate(counts, 1):
+                for _ in range(n):
+                    read[cls, next(symbols)] = (length, code)
+                    code += 1
+                code <<= 1
+            at += 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        assert read == {(c, s): (n, x) for c, _, s, n, x in tables[k]}
+
+
+def test_streamed_scans_do_not_depend_on_batches(spark):
+    from tessera.operators import images as I
+
+    whole = {r["image_id"]: bytes(r["scan"]) for r in I.scans(Q.coded(spark, SF)).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert whole == {r["image_id"]: bytes(r["scan"]) for r in I.scans(Q.coded(spark, SF)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_broken_blocks_and_images_are_left_out(spark):
+    from tessera.operators import images as I
+
+    rows = [(1, 0, [1] * 64), (1, 1, None), (1, 2, [None] * 64), (1, 3, [1] * 63), (2, 0, None)]
+    out = I.coded(spark.createDataFrame(rows, "image_id int, scan_idx int, s array<int>"), Q.matrices(50)).collect()
+    assert [(r["image_id"], r["scan_idx"], r["ac"]) for r in out] == [(1, 0, [0])]
+    images = [(1, 8, 8, b"x" * 63), (2, None, 8, b"x" * 64), (3, 8, 8, None), (4, 0, 8, b""), (5, 8, 8, b"x" * 64)]
+    blocks = I.blocks_of(spark.createDataFrame(images, "image_id int, width int, height int, content binary"), "gray").collect()
+    assert [(r["image_id"], set(r["s"])) for r in blocks] == [(5, {ord("x") - 128})]
+
+
+def test_sides_up_to_65535(spark):
+    rows = [(1, 65535, 2, b"\0"), (2, 65536, 2, b"\0"), (3, 2, 65536, b"\0")]
+    files = containers.baseline_files(spark.createDataFrame(rows, "image_id int, width int, height int, scan binary"), Q.matrices(75), "400")
+    out = {r["image_id"]: (r["width"], r["height"], r["jpeg"] is None) for r in containers.inspected(files).collect()}
+    assert out == {1: (65535, 2, False), 2: (None, None, True), 3: (None, None, True)}
+
+
+def test_headers_behind_many_segments(spark):
+    jpeg = bytes(containers.gray_files(Q.coded(spark, SF), Q.matrices(75)).first()["jpeg"])
+    rows = [(n, jpeg[:20] + b"\xff\xe5\x00\x04ab" * n + jpeg[20:]) for n in (0, 63, 64, 70, 255, 5000)]
+    out = containers.inspected(spark.createDataFrame(rows, "image_id int, jpeg binary")).collect()
+    assert len({(r["width"], r["height"], tuple(r["luma"])) for r in out}) == 1 and out[0]["luma"] == Q.matrices(75)[0] and out[0]["dqt"] == 1
+    assert containers.segments(spark.createDataFrame(rows[-1:], "image_id int, jpeg binary")).count() > 5000
+
+
+def test_matrices_of_8_and_16_bits_and_broken_ones(spark):
+    def file(*tables):
+        body = b"".join(tables)
+        return b"\xff\xd8\xff\xdb" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda\x00\x02"
+
+    small, wide, zero = b"\x00" + bytes(range(1, 65)), b"\x11" + b"".join((k * 10).to_bytes(2, "big") for k in range(64)), b"\x02" + bytes(64)
+    cases = [file(small, wide), file(small, zero), file(small[:-1]), file(b"\x20" + bytes(64)), file(b"\x04" + bytes(64)), b"", None, b"\xff\xd8"]
+    out = {r["image_id"]: r for r in containers.inspected(spark.createDataFrame(list(enumerate(cases)), "image_id int, jpeg binary")).collect()}
+    assert [out[k]["dqt"] for k in range(8)] == [2, 2, 0, 0, 0, 0, 0, 0]
+    assert [out[0]["luma"][p] for p in zigzag_order()] == list(range(1, 65))
+    assert [out[0]["chroma"][p] for p in zigzag_order()] == [max(1, min(255, k * 10)) for k in range(64)] and out[1]["chroma"] is None
+
+
+def test_profiles_of_255_parts_and_no_more(spark):
+    rows = [(1, bytes(range(255)) * 10), (2, bytes(range(256)) * 10)]
+    parts = containers.profile_parts(spark.createDataFrame(rows, "image_id int, iccp binary"), most=10).collect()
+    assert all(r["segment"] is None for r in parts if r["image_id"] == 2)
+    jpeg = b"\xff\xd8" + b"".join(bytes(r["segment"]) for r in sorted(parts, key=lambda r: r["seq"]) if r["image_id"] == 1) + b"\xff\xd9"
+    assert bytes(containers.profile(spark.createDataFrame([(1, jpeg)], "image_id int, jpeg binary")).first()["iccp"]) == rows[0][1]
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    rows = [("a.bin", b"one"), ("b.bin", b""), ("c.bin", None)]
+    made = containers.written(spark.createDataFrame(rows, "name string, content binary"), f"file://{tmp_path}/out")
+    assert sorted((r["name"], r["n_bytes"]) for r in made.collect()) == [("a.bin", 3), ("b.bin", 0)]
+    assert {x.name: x.read_bytes() for x in (tmp_path / "out").glob("*.bin")} == {"a.bin": b"one", "b.bin": b""}
+    assert [bytes(r["content"]) for r in containers.files(spark, f"{tmp_path}/out/a.bin").collect()] == [b"one"]
+
+
+def test_images_of_one_row_visit_nothing(spark):
+    out = C.riskiness(spark.createDataFrame([(0, 0, x, 255, 0, 0) for x in range(9)], "image_id int, y int, x int, r int, g int, b int")).first()
+    assert (out["visited"], out["risk"], out["mode"]) == (0, 0.0, "420")
+
+
 def test_numbers_that_do_not_fit_are_null(spark):
     out = spark.range(1).select(containers.be(F.lit(65535), 2).alias("a"), containers.be(F.lit(65536), 2).alias("b"), containers.be(F.lit(8), 2).alias("c")).first()
     assert tuple(out) == ("FFFF", None, "0008")
 
 
 def test_headers_of_truncated_files_are_never_wrong(spark):
-    jpeg = bytes(containers.gray_files(Q.leveled(spark, SF), 75).first()["jpeg"])
+    jpeg = bytes(containers.gray_files(Q.coded(spark, SF), Q.matrices(75)).first()["jpeg"])
     cut = [(n, jpeg[:n]) for n in range(0, 700, 7)] + [(9999, jpeg)]
     out = {r["image_id"]: r for r in containers.inspected(spark.createDataFrame(cut, "image_id int, jpeg binary")).collect()}
     whole = (out[9999]["width"], out[9999]["height"], out[9999]["components"])

@@ -80,3 +80,33 @@ def test_text_profiles_and_pixmaps_reject_what_is_broken(spark):
     images = [(1, b"P6 2 1\n255\n" + b"\n#\x00\xff\x01\x02"), (2, b"P6 2 1\n255\nabc"), (3, b"P6 1 1 65535\nabcdef"), (4, None), (5, b"P5 1 1 255 abc"), (6, b"P6\n#c\n 1#d\n1 9\nabc")]
     out = sorted(map(tuple, M.pixmap_pixels(spark.createDataFrame(images, "image_id int, content binary")).collect()))
     assert out == [(1, 0, 0, 10, 35, 0), (1, 0, 1, 255, 1, 2), (6, 0, 0, 97, 98, 99)]
+
+
+def test_long_comments_in_pixmaps(spark):
+    images = [(1, b"P6\n#" + b"c" * 5000 + b"\n" + b"# more\n" * 3000 + b"1 1\n255\nabc")]
+    assert M.pixmap_pixels(spark.createDataFrame(images, "image_id int, content binary")).count() == 1
+
+
+def test_packets_name_their_extension(spark):
+    packet = b'<x xmpNote:HasExtendedXMP="' + b"0" * 32 + b'"/>\xff'
+    rows = spark.createDataFrame([(packet, b"data"), (b"<x/>", b"data")], "p binary, d binary").select(M.with_digest(F.col("p"), F.col("d"))).collect()
+    assert bytes(rows[0][0]) == packet.replace(b"0" * 32, hashlib.md5(b"data").hexdigest().upper().encode()) and bytes(rows[1][0]) == b"<x/>"
+
+
+def test_compressed_and_broken_chunks(spark):
+    import zlib
+
+    def file(*chunks):
+        return b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + bytes(4) for k, d in chunks)
+
+    text = b"\nexif\n       2\n0a0b"
+    files = [
+        file((b"zTXt", b"Raw profile type exif\0\0" + zlib.compress(text)), (b"iCCP", b"name\0\0" + zlib.compress(b"profile"))),
+        file((b"iTXt", b"XML:com.adobe.xmp\0\1\0en\0key\0" + zlib.compress(b"xmp")), (b"tEXt", b"Raw profile type xmp\0" + text)),
+        file((b"iCCP", b"name\0\0broken"), (b"tEXt", b"Raw profile type exif\0\nexif\n 9\n00"), (b"IEND", b""), (b"iCCP", b"n\0\0" + zlib.compress(b"late"))),
+        file((b"tEXt", b"XML:com.adobe.xmp\0x"))[:-9],
+        b"",
+        None,
+    ]
+    out = {r["image_id"]: tuple(None if x is None else bytes(x) for x in r[1:]) for r in M.png_metadata(spark.createDataFrame(list(enumerate(files)), "image_id int, content binary")).collect()}
+    assert out == {0: (b"\n\x0b", None, b"profile"), 1: (None, b"xmp", None), **{k: (None,) * 3 for k in range(2, 6)}}
