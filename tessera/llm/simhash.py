@@ -124,13 +124,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     nodes = stored(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "nodes")
     groups = linked(nodes.select("fp", "n"), distance, blocks)
-    kept = nodes.join(groups, "fp").groupBy("group").agg(F.min("first").alias("k")).select("k.doc_id", "k.hash").distinct()
+    kept = nodes.join(groups, "fp").groupBy("group").agg(F.min("first").alias("k")).select(F.struct("k.doc_id").alias("key"), F.col("k.hash").alias("own")).distinct()
     kept = stored(kept, "kept").hint("shuffle_hash")  # one plan at every size
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("own"))
-    chosen = rows.join(kept, F.col("row")[id_col].eqNullSafe(kept["doc_id"]) & (F.col("own") == kept["hash"]), "left_semi")
-    # repeated rows: the one of least hash over all columns that can be hashed
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("key"), F.xxhash64(text).alias("own"), F.struct("*").alias("row"))
+    # repeated rows: the one of least hash over all columns that can be hashed; grouped as joined, so texts move once
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    chosen = chosen.groupBy(F.col("row")[id_col].alias("id"), "own").agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in plain))).alias("row"))
+    chosen = rows.join(kept, ["key", "own"], "left_semi").groupBy("key", "own").agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in plain))).alias("row"))
     return chosen.select("row.*")
 
 
