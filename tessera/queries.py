@@ -241,9 +241,11 @@ def file_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("image_id") % 2 == 0, F.col("t0")).otherwise(F.col("t1"))
     files = docs.join(F.broadcast(tables), "quality").select("image_id", F.unhex(F.concat(F.lit("FFD8FFDB"), containers.be(F.length(body) / 2 + 2, 2), body, F.lit("FFDA0002"))).alias("jpeg"))
     read = containers.inspected(files)
-    luma = read.select(F.col("image_id").alias("key"), F.lit(0).alias("qidx"), F.posexplode("luma").alias("pos", "m"))
+    # files share few matrices, so each distinct one is compared with all qualities once
+    luma = read.select("luma").distinct().select(F.col("luma").alias("key"), F.lit(0).alias("qidx"), F.posexplode("luma").alias("pos", "m"))
+    found = read.join(C.estimated_quality(luma), read["luma"] == F.col("key"))
     total = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x).alias(c)
-    return read.select("image_id", "dqt", total("luma"), total("chroma")).join(C.estimated_quality(luma).select(F.col("key").alias("image_id"), "quality", "distance"), "image_id")
+    return found.select("image_id", "dqt", total("luma"), total("chroma"), "quality", "distance")
 
 
 def metadata_report(spark: SparkSession, sf_dir: str) -> DataFrame:
