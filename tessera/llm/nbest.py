@@ -46,7 +46,7 @@ from pyspark.sql.types import StructType
 
 from tessera.llm.common import free_name, table
 
-N, CACHE, REMEMBERED, BYTE_PENALTY = 4, 1_000_000, 64, 10.0
+N, CACHE, WAYS, REMEMBERED, BYTE_PENALTY = 4, 1_000_000, 50_000, 64, 10.0
 MARK, NONE = "▁", float("-inf")
 
 
@@ -66,14 +66,15 @@ class Pieces:
         low = min(model.get_score(i) for i in usable if model.get_score(i) > -1e8)
         scores = {i: Fraction(max(float(model.get_score(i)), low)) for i in usable}
         self.unit = max(math.lcm(*(x.denominator for x in scores.values())), 1)
+        self.penalty = int((Fraction(low) - BYTE_PENALTY) * self.unit)
         self.ids = {self.names[i]: (i, int(x * self.unit)) for i, x in scores.items()}
         self.bytes = {int(self.names[i][1:-1], 16): i for i in every if model.is_byte(i)}
         self.byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.penalty = int((Fraction(low) - BYTE_PENALTY) * self.unit)
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.known = dict.fromkeys(self.prefixes) | {p: (i.to_bytes(4, "little"), s) for p, (i, s) in self.ids.items()}
         self.raw = [self.byte_of.get(i, x.encode()) for i, x in enumerate(self.names)]
-        self.memory: dict[str, tuple[bytes, int, float]] = {}
+        self.memory: dict[str, tuple[bytes, float, float]] = {}
+        self.ways: dict[tuple[str, int], tuple[list[tuple[float, bytes]], bool]] = {}
         self.cuttable = not any(MARK in x.lstrip(MARK) or ("\n" in x and len(x) > 1) for x in self.ids)
 
     @classmethod
@@ -82,46 +83,66 @@ class Pieces:
             cls.own[path] = cls(path)
         return cls.own[path]
 
-    def edges(self, text: str, start: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    @property
+    def known(self) -> dict[str, list]:
+        """Pieces by character: what follows it, ids and score of the piece that ends here (no ids: only begins one).
+
+        Set from piece -> (ids, score), other beginnings -> None. Scores become doubles
+        where sums over any text of under 2**31 characters stay exact.
+        """
+        return self.trie
+
+    @known.setter
+    def known(self, pieces: dict[str, tuple[bytes, int] | None]) -> None:
+        ends = {piece: x for piece, x in pieces.items() if x is not None}
+        number = float if max(abs(self.penalty), *(abs(score) for _, score in ends.values())) < 1 << 22 else int
+        self.miss, self.trie = number(self.penalty), {}
+        for piece, (ids, score) in ends.items():
+            node = self.trie
+            for character in piece[:-1]:
+                node = node.setdefault(character, [{}, None, 0])[0]
+            node.setdefault(piece[-1], [{}, None, 0])[1:] = [ids, number(score)]
+
+    def edges(self, text: str, start: int) -> list[tuple[int, int, bytes]]:
         """(end, score, ids) of the edges that begin at start."""
         ids, prefixes, found = self.ids, self.prefixes, []
         for end in range(start + 1, len(text) + 1):
             part = text[start:end]
             if part in ids:
                 i, score = ids[part]
-                found.append((end, score, (i,)))
+                found.append((end, score, i.to_bytes(4, "little")))
             elif part not in prefixes:
                 break
         if not found or found[0][0] != start + 1:
-            raw = text[start].encode("utf-8", "surrogatepass")
-            found.append((start + 1, self.penalty, tuple(self.bytes[b] for b in raw)))
+            found.append((start + 1, self.penalty, self.as_bytes(text[start])))
         return found
 
-    def first(self, text: str) -> tuple[bytes, int, float]:
+    def first(self, text: str) -> tuple[bytes, float, float]:
         """The best ids (little-endian int32), their score in units, and what the second-best path costs more (inf: none)."""
-        size, get = len(text), self.known.get
+        size, trie, none = len(text), self.trie, [None, None, 0]
         best, second, back = [NONE] * (size + 1), [NONE] * (size + 1), [None] * (size + 1)
-        best[0] = 0
+        best[0] = 0 * self.miss
         for at in range(size):
-            here, behind, single = best[at], second[at], False
-            for end in range(at + 1, size + 1):
-                edge = get(text[at:end], 0)
-                if edge is None:  # begins a piece, but is none
-                    continue
-                if edge == 0:
+            here, behind, node, end = best[at], second[at], trie, at
+            while end < size:
+                step = node.get(text[end])
+                if step is None:
                     break
-                ids, score = edge
-                single = single or end == at + 1
+                node, ids, score = step
+                end += 1
+                if ids is None:  # begins a piece, but is none
+                    continue
                 value = here + score
                 if value > (old := best[end]):
-                    second[end] = old if old > (other := behind + score) else other
+                    other = behind + score
+                    second[end] = old if old > other else other
                     best[end], back[end] = value, (at, ids)
                 elif value > second[end]:
                     second[end] = value
-            if not single:
-                value, end = here + self.penalty, at + 1
+            if trie.get(text[at], none)[1] is None:  # no piece of its own
+                value, end = here + self.miss, at + 1
                 if value > best[end]:
-                    second[end] = max(best[end], behind + self.penalty)
+                    second[end] = max(best[end], behind + self.miss)
                     best[end], back[end] = value, (at, self.as_bytes(text[at]))
                 elif value > second[end]:
                     second[end] = value
@@ -134,7 +155,7 @@ class Pieces:
     def as_bytes(self, character: str) -> bytes:
         return np.array([self.bytes[b] for b in character.encode("utf-8", "surrogatepass")], "<i4").tobytes()
 
-    def n_best(self, text: str, n: int) -> list[tuple[int, list[int]]]:
+    def n_best(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of one segment, scores in units: forward Viterbi, then A-star from the end."""
         size = len(text)
         forward, into = [0] + [NONE] * size, [[] for _ in range(size + 1)]
@@ -149,14 +170,28 @@ class Pieces:
                 ids = []
                 while tail:
                     some, tail = tail
-                    ids += some
-                out.append((own, ids))
+                    ids.append(some)
+                out.append((own, b"".join(ids)))
                 continue
             for before, score, ids in into[at]:
                 made += 1
                 heapq.heappush(agenda, (-(own + score + forward[before]), before, made, own + score, (ids, tail)))
         return out
 
+    def alternatives(self, text: str, best: bytes, n: int) -> tuple[list[tuple[float, bytes]], bool]:
+        """(cost, ids) of a segment's n best segmentations, the one given first, and whether all decode to it; short ones are remembered."""
+        found = self.ways.get((text, n))
+        if found is None:
+            own = self.n_best(text, n)
+            ways = [(0, best), *((own[0][0] - score, raw) for score, raw in own if raw != best)][:n]
+            plain = text.encode("utf-8", "surrogatepass")
+            found = ways, all(self.joined(raw) == plain for _, raw in own)
+            if len(text) <= REMEMBERED:
+                if len(self.ways) > WAYS:
+                    self.ways.clear()
+                self.ways[text, n] = found
+        return found
+
     def segments(self, text: str) -> list[str]:
         if not text:
             return []
@@ -177,38 +212,34 @@ class Pieces:
         if len(memory) > CACHE:
             memory.clear()
         found = list(map(memory.get, parts))
-        if None in found:
-            for k, x in enumerate(parts):
-                if found[k] is None:
-                    got = memory.get(x)
-                    if got is None:
-                        got = self.first(x)
-                        if len(x) <= REMEMBERED:
-                            memory[x] = got
-                    found[k] = got
+        for k in [k for k, x in enumerate(found) if x is None] if None in found else []:
+            x = parts[k]
+            got = found[k] = memory.get(x) or self.first(x)
+            if len(x) <= REMEMBERED:
+                memory[x] = got
         whole, scores, more = zip(*found, strict=True)
-        total = sum(scores)
-        if max(map(abs, scores)) < 1 << 50:  # then costs are exact as doubles
-            open_at = sorted(np.argsort(np.array(more, float), kind="stable")[: n - 1].tolist())
+        if type(self.miss) is float:
+            open_at = sorted(np.argsort(np.array(more), kind="stable")[: n - 1].tolist())
         else:
             open_at = sorted(heapq.nsmallest(n - 1, range(len(more)), key=more.__getitem__))
-        ranked, ways = [(0, ())], {}
+        total, best, ranked, ways, sound = sum(scores), b"".join(whole), [(0, ())], {}, True
         for k in open_at:
             if more[k] < math.inf:
-                own = self.n_best(parts[k], n)
-                top = own[0][0]
-                ways[k] = [(0, whole[k])] + [(top - score, raw) for score, ids in own if (raw := np.array(ids, "<i4").tobytes()) != whole[k]]
-                ranked = sorted(((c + d, (*chosen, (k, j))) for c, chosen in ranked for j, (d, _) in enumerate(ways[k][:n])), key=lambda x: x)[:n]
+                ways[k], decodes = self.alternatives(parts[k], whole[k], n)
+                sound = sound and decodes
+                ranked = sorted(((c + d, (*chosen, (k, j))) for c, chosen in ranked for j, (d, _) in enumerate(ways[k])), key=lambda x: x)[:n]
         out, patches = [], []
-        starts = {k: sum(map(len, whole[:k])) // 4 for k in ways}
+        starts = {k: sum(map(len, whole[:k])) for k in ways}
         for cost, chosen in ranked:
-            own = list(whole)
-            for k, j in chosen:
-                own[k] = ways[k][j][1]
-            patches.append([(starts[k], len(whole[k]) // 4, own[k]) for k, j in chosen if j])
-            out.append(((total - cost) / self.unit, b"".join(own)))
-        sound = MARK not in text and self.joined(out[0][1]) == (MARK + text.replace(" ", MARK)).encode("utf-8", "surrogatepass")
-        return out, sound and all(self.joined(raw) == parts[k].encode("utf-8", "surrogatepass") for k, own in ways.items() for _, raw in own), patches[1:]
+            changes = [(starts[k], len(whole[k]), ways[k][j][1]) for k, j in chosen if j]
+            own, done = [], 0
+            for at, gone, put in changes:
+                own += [best[done:at], put]
+                done = at + gone
+            patches.append([(at // 4, gone // 4, put) for at, gone, put in changes])
+            out.append(((total - cost) / self.unit, b"".join([*own, best[done:]]) if changes else best))
+        sound = sound and MARK not in text and self.joined(best) == (MARK + text.replace(" ", MARK)).encode("utf-8", "surrogatepass")
+        return out, sound, patches[1:]
 
     def joined(self, ids: bytes) -> bytes:
         """The bytes of the pieces of little-endian int32 ids, space marks kept."""
