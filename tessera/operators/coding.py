@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.functions.tables import base_quant, huffman, zigzag
+from tessera.functions.tables import BASE_QUANT, base_quant, huffman, zigzag
 from tessera.operators import images as I
 
 
@@ -53,16 +53,6 @@ def subsampled(pixels: DataFrame) -> DataFrame:
     return sums.select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"), *[F.floor(F.col(c) * 4 / F.col("n")).cast("int").alias(c) for c in "rgb"])
 
 
-def to_blocks(planes: DataFrame) -> DataFrame:
-    """8x8 blocks of planes whose sides are multiples of 8, in row order of blocks for each component."""
-    at = F.struct((F.col("y") % 8 * 8 + F.col("x") % 8).alias("pos"), "s")
-    grouped = planes.groupBy("image_id", "comp", F.expr("y div 8").alias("by"), F.expr("x div 8").alias("bx"))
-    blocks = grouped.agg(F.sort_array(F.collect_list(at)).alias("_c"))
-    width = planes.groupBy("image_id", "comp").agg(F.expr("(max(x) + 8) div 8").alias("_bw"))
-    out = blocks.join(width, ["image_id", "comp"])
-    return out.select("image_id", "comp", (F.col("by") * F.col("_bw") + F.col("bx")).alias("scan_idx"), F.col("_c.s").alias("s"))
-
-
 def transformed(blocks: DataFrame, samples: str = "s") -> DataFrame:
     """blocks with v: 64 coefficients scaled by 16, from the integer column and row passes.
 
@@ -158,7 +148,22 @@ def estimated_quality(matrices: DataFrame) -> DataFrame:
     return best.select("key", "b.quality", "b.distance")
 
 
-#: Weights of the offsets -7..7 in the fits of adaptive steps, a Gaussian of deviation 3 scaled to 255.
+def nearest(matrix: str, qidx: int = 0) -> Column:
+    """(distance, quality) of a column of 64 steps in natural order: the quality 0..100 whose matrix is nearest; first wins."""
+    base = F.array(*map(F.lit, BASE_QUANT[qidx]))
+
+    def apart(quality: Column) -> Column:
+        own = F.zip_with(base, matrix, lambda m, x: (x - X.scaled(m, X.quality_scale(quality))).cast("long"))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x * x)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: F.struct(apart(k).alias("distance"), k.alias("quality"))))
+
+
+def nearest_quality(matrix: str, qidx: int = 0) -> Column:
+    return nearest(matrix, qidx)["quality"]
+
+
+#: Weights of the offsets -7..7 in the fits of adaptive steps, a Gaussian scaled to 255.
 OFFSET_WEIGHTS = dict(enumerate((1, 5, 16, 43, 94, 164, 228, 255, 228, 164, 94, 43, 16, 5, 1), -7))
 #: Positions whose steps are never adapted; the trade-off where none can be fitted; the largest offsets by quantiser.
 KEPT_POSITIONS, SAFE_TRADE, CAPS = (0, 1, 8), 128.0, {0: 12, 1: 1}

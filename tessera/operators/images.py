@@ -1,59 +1,67 @@
-"""Images in Arrow batches: packed samples to blocks, blocks to symbols, symbols to scans.
-
-`blocks_of` lays the bytes of images out as 8x8 blocks in scan order; `coded` takes blocks
-through transform and quantisation to their codes, one pass and one row a block, without a
-shuffle; `scans` sorts an image's blocks once and streams their bits, holding no more than
-the last DC levels and under eight bits, so an image's size bounds neither memory nor the
-number of its blocks. A null or short content gives no blocks; a block that lacks samples
-is left out of its scan.
+"""Images in Arrow batches: packed samples to blocks, blocks to coefficients and symbols.
+
+`blocks_of` lays the bytes of images out as 8x8 blocks in scan order, each image in its own
+layout and mode; `coefficients_of` also transforms them, with the first coefficient of the
+block before, so that nothing later has to look for it. An image is read in bands of whole
+units, so beyond its bytes memory is bounded by a band. `coded` takes blocks through transform
+and quantisation to their codes, one pass and one row a block, without a shuffle, and
+`counts_at` takes coefficients to symbol counts at a scale of their own. A null or short
+content, or an unknown layout, gives no blocks; a block that lacks samples is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.functions.tables import LAYOUT, standard_codes, zigzag_order
+from tessera.functions.tables import BASE_QUANT, LAYOUT, zigzag_order
 
 #: Packed layouts: places of red, green and blue, and bytes of a pixel.
 PACKED = {"rgb": (0, 1, 2, 3), "rgba": (0, 1, 2, 4), "bgra": (2, 1, 0, 4)}
 #: Planar layouts and the chroma mode they are coded in.
 PLANAR = {"gray": "400", "nv12": "420", "nv21": "420", "yuv420": "420", "yuv444": "444"}
-UNITS = 2048
+#: Samples of a component in a band, about.
+BAND = 1 << 18
 
 
-def planes(raw: np.ndarray, kind: str, mode: str, width: int, height: int) -> list[np.ndarray] | None:
-    """Samples less 128 of each component, at its own resolution; None if bytes lack."""
-    half = ((height + 1) // 2, (width + 1) // 2)
-    area, quarter = height * width, half[0] * half[1]
-    need = area * PACKED[kind][3] if kind in PACKED else area + {"400": 0, "420": 2 * quarter, "444": 2 * area}[mode]
-    if len(raw) < need or not area:
-        return None
-    raw = raw.astype(np.int64)
+def bytes_of(kind: str, mode: str, width: int, height: int) -> int:
+    """Bytes of an image in a layout."""
+    half = ((height + 1) // 2) * ((width + 1) // 2)
+    return height * width * PACKED[kind][3] if kind in PACKED else height * width + {"400": 0, "420": 2 * half, "444": 2 * height * width}[mode]
+
+
+def planes(raw: np.ndarray, kind: str, mode: str, width: int, height: int, top: int, end: int) -> list[np.ndarray]:
+    """Samples less 128 of each component in the rows from top (even) to end, at its own resolution."""
+    rows = end - top
     if kind in PACKED:
         *order, size = PACKED[kind]
-        r, g, b = (raw[:need].reshape(height, width, size)[:, :, c] for c in order)
+        band = raw[top * width * size : end * width * size].reshape(rows, width, size).astype(np.int64)
+        r, g, b = (band[:, :, c] for c in order)
         y = (19595 * r + 38469 * g + 7471 * b + 32768 - 128 * 65536) >> 16
         if mode == "400":
             return [y]
         shift = 16
         if mode == "420":
             shift = 18
-            r, g, b = (np.pad(c, ((0, height % 2), (0, width % 2)), "edge") for c in (r, g, b))
+            r, g, b = (np.pad(c, ((0, rows % 2), (0, width % 2)), "edge") for c in (r, g, b))
             r, g, b = (c[0::2, 0::2] + c[0::2, 1::2] + c[1::2, 0::2] + c[1::2, 1::2] for c in (r, g, b))
         middle = 1 << (shift - 1)
         return [y, (-11059 * r - 21709 * g + 32768 * b + middle) >> shift, (32768 * r - 27439 * g - 5329 * b + middle) >> shift]
-    y, rest = raw[:area].reshape(height, width) - 128, raw[area:need] - 128
+    area, across = height * width, (width + 1) // 2
+    cut = lambda start, low, high, wide: raw[start + low * wide : start + high * wide].reshape(high - low, wide).astype(np.int64) - 128
+    y = cut(0, top, end, width)
     if kind == "gray":
         return [y]
+    if mode == "444":
+        return [y, cut(area, top, end, width), cut(2 * area, top, end, width)]
+    low, high = top // 2, (end + 1) // 2
     if kind in ("nv12", "nv21"):
-        pairs = rest.reshape(*half, 2)
+        pairs = cut(area, low, high, 2 * across).reshape(high - low, across, 2)
         return [y, pairs[:, :, int(kind == "nv21")], pairs[:, :, int(kind == "nv12")]]
-    shape = half if mode == "420" else (height, width)
-    return [y, rest[: len(rest) // 2].reshape(shape), rest[len(rest) // 2 :].reshape(shape)]
+    return [y, cut(area, low, high, across), cut(area + across * ((height + 1) // 2), low, high, across)]
 
 
 def in_units(parts: list[np.ndarray], mode: str, width: int, height: int) -> np.ndarray:
@@ -78,36 +86,69 @@ def in_units(parts: list[np.ndarray], mode: str, width: int, height: int) -> np.
     return out
 
 
-def blocks_of(images: DataFrame, kind: str, mode: str | None = None) -> DataFrame:
-    """(image_id, width, height, comp, qidx, scan_idx, s) of images (image_id, width, height, content).
+def bands(raw: bytes | None, kind: str | None, mode: str | None, width: int | None, height: int | None):
+    """(first unit, blocks as in_units gives them) of an image's bands; none if bytes lack or nothing is known of the layout."""
+    mode = PLANAR.get(kind, mode)
+    if raw is None or not width or not height or mode not in LAYOUT or (kind not in PACKED and kind not in PLANAR) or len(raw) < bytes_of(kind, mode, width, height):
+        return
+    side = 16 if mode == "420" else 8
+    across, step = -(-width // side), 16 * max(1, BAND // (16 * width))
+    samples = np.frombuffer(raw, np.uint8)
+    for top in range(0, height, step):
+        end = min(top + step, height)
+        yield top // side * across, mode, in_units(planes(samples, kind, mode, width, height, top, end), mode, width, end - top)
+
+
+def rows_of(images: DataFrame, kind: str | Column, mode: str | Column | None):
+    text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+    return images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "content", text(kind).alias("kind"), text(mode).alias("mode"))
+
 
-    kind: a packed or planar layout; mode: of chroma, for packed layouts (planar ones have theirs).
+def blocks_of(images: DataFrame, kind: str | Column, mode: str | Column | None = None) -> DataFrame:
+    """(image_id, kind, mode, width, height, comp, qidx, scan_idx, s) of images (image_id, width, height, content).
+
+    kind: a packed or planar layout; mode: of chroma, for packed layouts (planar ones have theirs). Either may be a column.
     """
-    mode = PLANAR.get(kind, mode)
-    order = np.array([(c, q) for c, _, q in LAYOUT[mode]], np.int32)
+    return laid_out(rows_of(images, kind, mode), "s array<int>", lambda every, order, last: [listed(every.reshape(-1, 64))])
+
+
+def coefficients_of(images: DataFrame, kind: str | Column, mode: str | Column | None = None) -> DataFrame:
+    """blocks_of, transformed: v for s, and before, the first coefficient of the block before in the same component (0 at first)."""
+
+    def made(every, order, last):
+        v = transform(every.reshape(-1, 64))
+        first, before, comp = v[:, 0], np.zeros(len(v), np.int64), np.tile([c for c, _ in order], len(every))
+        for c in {c for c, _ in order}:
+            own = np.flatnonzero(comp == c)
+            before[own] = np.concatenate([[last.get(c, 0)], first[own[:-1]]])
+            last[c] = int(first[own[-1]])
+        return [listed(v.astype(np.int32)), pa.array(before.astype(np.int32))]
+
+    return laid_out(rows_of(images, kind, mode), "v array<int>, before int", made)
+
+
+def listed(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
+def laid_out(rows: DataFrame, more: str, made) -> DataFrame:
+    """Blocks of rows_of() with the columns `more` that made(units, order of blocks, state of the image) gives."""
+    names = ["image_id", "kind", "mode", "width", "height", "comp", "qidx", "scan_idx", *(x.split()[0] for x in more.split(", "))]
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                key, (width, height, raw) = batch.column(0).slice(k, 1), (batch.column(i)[k].as_py() for i in (1, 2, 3))
-                parts = None if raw is None or width is None or height is None else planes(np.frombuffer(raw, np.uint8), kind, mode, width, height)
-                if parts is None:
-                    continue
-                every = in_units(parts, mode, width, height)
-                for low in range(0, len(every), UNITS):
-                    some = every[low : low + UNITS]
-                    n, per = len(some) * len(order), len(order)
+                keys, (width, height, raw, kind, mode) = [batch.column(i).slice(k, 1) for i in (0, 4, 5)], (batch.column(i)[k].as_py() for i in range(1, 6))
+                state: dict = {}
+                for low, mode, every in bands(raw, kind, mode, width, height):
+                    order = [(c, q) for c, _, q in LAYOUT[mode]]
+                    n, per = len(every) * len(order), len(order)
                     same = pa.array(np.zeros(n, np.int64))
-                    comp, qidx = np.tile(order, (len(some), 1)).T
-                    s = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * 64, pa.array(some.ravel()))
-                    numbers = (pa.array(np.full(n, x, np.int32)) for x in (width, height))
-                    yield pa.RecordBatch.from_arrays(
-                        [key.take(same), *numbers, pa.array(comp.astype(np.int32)), pa.array(qidx.astype(np.int32)), pa.array(low * per + np.arange(n)), s],
-                        names=["image_id", "width", "height", "comp", "qidx", "scan_idx", "s"],
-                    )
+                    comp, qidx = np.tile(np.array(order, np.int32), (len(every), 1)).T
+                    fixed = [keys[0].take(same), keys[1].take(same), pa.array([mode]).take(same), *(pa.array(np.full(n, x, np.int32)) for x in (width, height))]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(comp), pa.array(qidx), pa.array(low * per + np.arange(n)), *made(every, order, state)], names=names)
 
-    rows = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "content")
-    return rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, width int, height int, comp int, qidx int, scan_idx long, s array<int>")
+    return rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, kind string, mode string, width int, height int, comp int, qidx int, scan_idx long, {more}")
 
 
 def samples_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +165,7 @@ def samples_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def transform(s: np.ndarray) -> np.ndarray:
     """64 coefficients scaled by 16 of each row of 64 samples."""
     weights = np.array([X.row_matrix(row) for row in range(8)], np.int64)
-    s = s.reshape(-1, 8, 8)
+    s = s.astype(np.int64).reshape(-1, 8, 8)
     mid = np.stack(X.dct_columns([s[:, y, :] for y in range(8)]), axis=1)
     return (np.einsum("nyx,ykx->nyk", mid, weights) >> 16).reshape(-1, 64)
 
@@ -200,103 +241,41 @@ def coded(blocks: DataFrame, matrices: dict[int, list[int]], bias: int = 120) ->
     return rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, comp int, qidx int, scan_idx long, dc int, ac array<int>, nonzero int, error long")
 
 
-def packed(values: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(stuffed bytes, bits left over) of bits left over from before and of values of so many bits each."""
-    ends = np.cumsum(sizes)
-    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    bits = (np.repeat(values, sizes) >> (np.repeat(sizes, sizes) - 1 - place)) & 1
-    bits = np.concatenate([before, bits.astype(np.uint8)])
-    whole = len(bits) // 8 * 8
-    return np.packbits(bits[:whole]).tobytes().replace(b"\xff", b"\xff\x00"), bits[whole:]
-
-
-def code_tables(rows: list) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    """(class, quantiser) -> lengths and codes by symbol."""
-    out: dict = {}
-    for cls, qidx, sym, length, code in rows:
-        sizes, codes = out.setdefault((cls, qidx), (np.zeros(256, np.int64), np.zeros(256, np.int64)))
-        sizes[sym], codes[sym] = length, code
-    return out
-
+def counts_at(coefficients: DataFrame, bias: int = 120) -> DataFrame:
+    """(image_id, qidx, cls, sym, n) of coefficients (image_id, qidx, v, before, scale): symbols at a scale, in percent of the base matrices.
 
-def scans(blocks: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """(image_id, scan) of coded blocks: the entropy-coded segment, padded with ones, ff stuffed.
-
-    codes (image_id, cls, qidx, sym, len, code): an image's own tables, standard ones by default.
+    Counted inside each batch, so few rows an image are left to sum; the block before is quantised here too.
     """
-    rows = blocks.select("image_id", "scan_idx", "comp", "qidx", "dc", "ac")
-    if codes is not None:
-        own = codes.groupBy("image_id").agg(F.collect_list(F.struct("cls", "qidx", "sym", "len", "code")).alias("codes"))
-        rows = rows.join(own, "image_id")  # codes: as many as a table has symbols
-    else:
-        rows = rows.withColumn("codes", F.lit(None).cast("array<struct<cls: string, qidx: int, sym: int, len: int, code: int>>"))
-    standard = code_tables(standard_codes())
+    rows = coefficients.select("image_id", "qidx", "v", "before", "scale")
+    order = np.array(zigzag_order())
+    base = np.array([BASE_QUANT[k] for k in sorted(BASE_QUANT)])
 
     def run(batches):
-        image, tables, level, left, part = None, standard, {}, np.zeros(0, np.uint8), 0
-
-        def out(data: bytes):
-            return pa.RecordBatch.from_arrays([pa.array([image], kind), pa.array([part], pa.int64()), pa.array([data], pa.binary())], names=["image_id", "part", "data"])
-
-        def last() -> bytes:
-            return packed(np.full(1, 127), np.full(1, -len(left) % 8), left)[0]
-
-        kind = None
         for batch in batches:
-            kind = batch.column(0).type
-            keys = batch.column(0).to_pylist()
-            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                some = batch.slice(a, b - a)
-                if part == 0 or keys[a] != image:
-                    if part:
-                        yield out(last())
-                    own = some.column(6)[0].as_py()
-                    image, level, left, part = keys[a], {}, np.zeros(0, np.uint8), 1
-                    tables = standard if own is None else code_tables([tuple(c.values()) for c in own])
-                comp, qidx, dc = (some.column(i).to_numpy() for i in (2, 3, 4))
-                diff = np.zeros(len(dc), np.int64)
-                for c in np.unique(comp):
-                    here = np.nonzero(comp == c)[0]
-                    diff[here] = np.diff(dc[here].astype(np.int64), prepend=level.get(c, 0))
-                    level[c] = int(dc[here[-1]])
-                ac = some.column(5)
-                counts = np.diff(ac.offsets.to_numpy())
-                code = ac.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size = bit_length(np.abs(diff))
-                # each block's DC code stands before its AC codes
-                first = np.cumsum(counts + 1) - counts - 1
-                value, bits = np.zeros(len(code) + len(dc), np.int64), np.zeros(len(code) + len(dc), np.int64)
-                rest = np.ones(len(value), bool)
-                rest[first] = False
-                table = np.repeat(qidx, counts)
-                for q in np.unique(qidx):
-                    mine, theirs = qidx == q, np.nonzero(rest)[0][table == q]
-                    lengths, words = tables["dc", int(q)]
-                    value[first[mine]] = (words[size[mine]] << size[mine]) + np.where(diff < 0, diff + (1 << size) - 1, diff)[mine]
-                    bits[first[mine]] = lengths[size[mine]] + size[mine]
-                    lengths, words = tables["ac", int(q)]
-                    symbol, suffix = code[table == q] >> 16, code[table == q] & 65535
-                    value[theirs] = (words[symbol] << (symbol & 15)) + suffix
-                    bits[theirs] = lengths[symbol] + (symbol & 15)
-                data, left = packed(value, bits, left)
-                yield out(data)
-                part += 1
-        if part:
-            yield out(last())
-
-    ordered = rows.repartition("image_id").sortWithinPartitions("image_id", "scan_idx")
-    parts = ordered.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, part long, data binary")
-    whole = parts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("part", "data"))).alias("p"))
-    return whole.select("image_id", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["data"])), "")).alias("scan"))
+            for low in range(0, batch.num_rows, 8192):
+                some = batch.slice(low, 8192)
+                qidx, before, scale = (some.column(i).to_numpy().astype(np.int64) for i in (1, 3, 4))
+                v = some.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 64)
+                q = np.clip((base[qidx] * scale[:, None] + 50) // 100, 1, 255)
+                levels = quantised(v, q, bias)
+                size = bit_length(np.abs(levels[:, 0] - quantised(before[:, None], q[:, :1], bias)[:, 0]))
+                row, code = symbols(levels[:, order])
+                key = some.column(0).dictionary_encode()
+                image = key.indices.to_numpy()
+                every = np.concatenate([((image * 2 + qidx) * 2) * 256 + size, ((image[row] * 2 + qidx[row]) * 2 + 1) * 256 + (code >> 16)])
+                found, n = np.unique(every, return_counts=True)
+                which = pa.array(["dc", "ac"]).take(pa.array(found // 256 % 2))
+                yield pa.RecordBatch.from_arrays(
+                    [key.dictionary.take(pa.array(found // 1024)), pa.array((found // 512 % 2).astype(np.int32)), which, pa.array((found % 256).astype(np.int32)), pa.array(n)],
+                    names=["image_id", "qidx", "cls", "sym", "n"],
+                )
+
+    parts = rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, qidx int, cls string, sym int, n long")
+    return parts.groupBy("image_id", "qidx", "cls", "sym").agg(F.sum("n").alias("n"))
 
 
 def symbol_counts(blocks: DataFrame) -> DataFrame:
     """(image_id, qidx, cls, sym, n) of coded blocks."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("image_id", "comp").orderBy("scan_idx")
     diff = F.col("dc") - F.lag("dc", 1, 0).over(before)
     dc = blocks.select("image_id", "comp", "qidx", "scan_idx", "dc").select("image_id", "qidx", F.lit("dc").alias("cls"), X.bit_length(F.abs(diff)).cast("int").alias("sym"))

@@ -10,7 +10,9 @@ from tessera.functions.tables import BASE_QUANT, sql_values, standard_codes, zig
 from tessera.operators import coding as C
 from tessera.operators import huffman as H
 from tessera.operators import images as I
+from tessera.operators import packing, search
 from tessera.sources import containers, fixtures, metadata
+from tessera.sources.shared import stored
 
 QUALITY = 75
 
@@ -161,11 +163,36 @@ def limited_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qidx", "pos", "q", "iq", "ib", "thr")
 
 
+def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded blocks, with sides, of texts as gray images."""
+    return I.coded(I.blocks_of(images_of_texts(spark, sf_dir, "gray"), "gray"), matrices(QUALITY))
+
+
 def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's blocks as a gray baseline image of one column of blocks, and what its headers say."""
-    files = containers.gray_files(coded(spark, sf_dir), matrices(QUALITY))
-    out = containers.inspected(files)
-    return out.select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.md5("jpeg").alias("md5"))
+    """Texts as gray baseline files, and what their headers say."""
+    scans = packing.scans(gray_images(spark, sf_dir)).join(images_of_texts(spark, sf_dir, "gray").drop("content"), "image_id")
+    out = containers.inspected(containers.baseline_files(scans, matrices(QUALITY), "400"))
+    return out.select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.upper(F.md5("jpeg")).alias("md5"))
+
+
+def stuffed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of gray scans, and how many of them are stuffed, from slices of six blocks."""
+    return packing.scan_sizes(gray_images(spark, sf_dir), size=6)
+
+
+def target_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as 4:2:0 images: the quality whose PSNR is nearest to 26 to 37 dB, from 75 on."""
+    images = images_of_texts(spark, sf_dir, "rgb").where("height > 0")
+    goals = images.select("image_id", (26 + F.col("image_id") % 12).alias("target"), F.lit(1).alias("tolerance"), F.lit(0).alias("low"), F.lit(100).alias("high"), F.lit(QUALITY).alias("start"))
+    found = search.searched(goals, search.psnr_evaluator(I.coefficients_of(images, "rgb", "420")))
+    return found.select("image_id", "target", "q", F.round("value", 6).alias("value"), "passes")
+
+
+def target_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as gray images: the quality whose file size (without stuffing) is nearest to the headers' and a third of the text's."""
+    images = images_of_texts(spark, sf_dir, "gray").where("height > 0")
+    goals = images.select("image_id", F.expr("330 + octet_length(content) div 3").alias("target"), F.lit(1).alias("tolerance"), F.lit(0).alias("low"), F.lit(100).alias("high"), F.lit(QUALITY).alias("start"))
+    return search.searched(goals, search.size_evaluator(I.coefficients_of(images, "gray"))).select("image_id", "target", "q", "value", "passes")
 
 
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,40 +219,41 @@ SAMPLED = [("rgb", "444"), ("rgb", "420"), ("rgb", "400"), ("rgba", "420"), ("bg
 WIDTH = 38
 
 
+def height_of(kind: str) -> str:
+    return {"rgb": f"n div {3 * WIDTH}", "rgba": f"n div {4 * WIDTH}", "bgra": f"n div {4 * WIDTH}", "gray": f"n div {WIDTH}", "yuv444": f"n div {3 * WIDTH}"}.get(kind, f"2 * (n div {3 * WIDTH})")
+
+
 def images_of_texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Texts as images 38 wide: as many rows (an even number for half-size chroma) as their bytes fill."""
-    height = {"rgb": f"n div {3 * WIDTH}", "rgba": f"n div {4 * WIDTH}", "bgra": f"n div {4 * WIDTH}", "gray": f"n div {WIDTH}", "yuv444": f"n div {3 * WIDTH}"}.get(kind, f"2 * (n div {3 * WIDTH})")
     rows = fixtures.contents(spark, sf_dir).withColumn("n", F.octet_length("content"))
-    return rows.select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.expr(height).alias("height"), "content")
+    return rows.select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.expr(height_of(kind)).alias("height"), "content")
 
 
 def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of every layout and mode: their samples' sum, and their sum weighted by place."""
-    out = None
-    for kind, mode in SAMPLED:
-        blocks = I.blocks_of(images_of_texts(spark, sf_dir, kind), kind, mode)
-        total = F.aggregate("s", F.lit(0), lambda a, x: a + x)
-        placed = F.aggregate(F.transform("s", lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x)
-        rows = blocks.select(F.lit(f"{kind} {mode}").alias("layout"), "image_id", "scan_idx", "comp", total.alias("total"), placed.alias("placed"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Blocks of every layout and mode: their samples' sum, and their sum weighted by place; each row has its own layout."""
+    rows = fixtures.contents(spark, sf_dir).withColumn("n", F.octet_length("content"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mode"), F.expr(height_of(k)).alias("height")) for k, m in SAMPLED]))
+    images = rows.select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), "content", each.alias("l")).select("image_id", "width", "content", "l.*")
+    blocks = I.blocks_of(images, F.col("kind"), F.col("mode"))
+    total = F.aggregate("s", F.lit(0), lambda a, x: a + x)
+    placed = F.aggregate(F.transform("s", lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x)
+    return blocks.select(F.concat_ws(" ", "kind", "mode").alias("layout"), "image_id", "scan_idx", "comp", total.alias("total"), placed.alias("placed"))
 
 
 def colour_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of texts as 4:2:0 colour images at quality 75, by table."""
-    blocks = I.blocks_of(images_of_texts(spark, sf_dir, "rgb"), "rgb", "420")
-    return I.symbol_counts(I.coded(blocks, matrices(QUALITY))).groupBy("qidx", "cls", "sym").agg(F.sum("n").alias("n"))
+    rows = I.coefficients_of(images_of_texts(spark, sf_dir, "rgb"), "rgb", "420").withColumn("scale", X.quality_scale(F.lit(QUALITY)))
+    return I.counts_at(rows.withColumn("image_id", F.lit(0))).select("qidx", "cls", "sym", "n")
 
 
 def colour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as 4:4:4 and 4:2:0 files: what their headers say and the quality found in their matrices."""
+    """Texts as 4:4:4 and 4:2:0 files: what their headers say, the quality found in their matrices, their size and digest."""
     out = None
     for mode in ("420", "444"):
-        blocks = I.blocks_of(images_of_texts(spark, sf_dir, "rgb"), "rgb", mode)
-        sides = blocks.groupBy("image_id").agg(F.min("width").alias("width"), F.min("height").alias("height"))
-        scans = I.scans(I.coded(blocks, matrices(QUALITY))).join(sides, "image_id")
+        images = images_of_texts(spark, sf_dir, "rgb")
+        scans = packing.scans(I.coded(I.blocks_of(images, "rgb", mode), matrices(QUALITY))).join(images.drop("content"), "image_id")
         files = containers.inspected(containers.baseline_files(scans, matrices(QUALITY), mode))
-        rows = files.select(F.lit(mode).alias("mode"), "image_id", "width", "height", "components", "is_420", "dqt")
+        rows = files.select(F.lit(mode).alias("mode"), "image_id", "width", "height", "components", "is_420", "dqt", C.nearest_quality("luma").alias("quality"), F.octet_length("jpeg").cast("long").alias("n_bytes"), F.upper(F.md5("jpeg")).alias("md5"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -241,9 +269,7 @@ def file_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("image_id") % 2 == 0, F.col("t0")).otherwise(F.col("t1"))
     files = docs.join(F.broadcast(tables), "quality").select("image_id", F.unhex(F.concat(F.lit("FFD8FFDB"), containers.be(F.length(body) / 2 + 2, 2), body, F.lit("FFDA0002"))).alias("jpeg"))
     read = containers.inspected(files)
-    # files share few matrices, so each distinct one is compared with all qualities once
-    luma = read.select("luma").distinct().select(F.col("luma").alias("key"), F.lit(0).alias("qidx"), F.posexplode("luma").alias("pos", "m"))
-    found = read.join(C.estimated_quality(luma), read["luma"] == F.col("key"))
+    found = read.withColumn("best", C.nearest("luma")).select("*", "best.quality", "best.distance")
     total = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x).alias(c)
     return found.select("image_id", "dqt", total("luma"), total("chroma"), "quality", "distance")
 
@@ -307,7 +333,7 @@ QUERIES = {
     for f in (
         quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
         block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
-        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images,
+        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images, stuffed_sizes, target_psnr, target_size,
         fitted_codes, fitted_scan_bits, exif_segments, extended_xmp_parts, text_profiles, pixmap_sums,
     )
 }
@@ -497,6 +523,99 @@ nb AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY image_id, cy, cx, y ORDER B
               coalesce(lead(i) OVER (PARTITION BY image_id, cy, cx, x ORDER BY y), lag(i) OVER (PARTITION BY image_id, cy, cx, x ORDER BY y)) AS s FROM ix)"""
 
 
+def scan_sql(blocks: str, components: int, name: str = "x") -> str:
+    """CTEs from blocks (image_id, comp, scan_idx, s) to {name}h: each image's scan as stuffed hexadecimal text, by bit strings, with n_ff."""
+    codes = [(cls, q, sym, f"{code:0{n}b}") for cls, q, sym, n, code in standard_codes()]
+    low = "(CASE WHEN {0} > 0 THEN lpad(bin({1}), ({0})::INT, '0') ELSE '' END)"
+    rest = "(CASE WHEN {0} >= 0 THEN {0} ELSE {0} + (1 << length(bin(abs({0})))) - 1 END)"
+    return f"""
+{name}b AS {blocks},
+{dct_sql(f"SELECT image_id, scan_idx, s FROM {name}b")},
+{name}c AS {sql_values(codes, "cls, qidx, sym, word")},
+{name}l AS (SELECT v.image_id, v.scan_idx, bl.comp, least(bl.comp, 1) AS qidx, v.pos, zz, (CASE WHEN v < 0 THEN -1 ELSE 1 END * ((((abs(v) + ib)::BIGINT * iq) >> 16) >> 4))::INT AS level
+       FROM v JOIN {name}b bl USING (image_id, scan_idx) JOIN quant ON quant.pos = v.pos AND quant.qidx = least(bl.comp, 1) JOIN zz ON zz.pos = v.pos),
+{name}a AS (SELECT image_id, scan_idx, qidx, zz, level, zz - lag(zz, 1, 0) OVER (PARTITION BY image_id, scan_idx ORDER BY zz) - 1 AS run, length(bin(abs(level))) AS size FROM {name}l WHERE level != 0 AND zz > 0),
+{name}d AS (SELECT image_id, scan_idx, qidx, level - lag(level, 1, 0) OVER (PARTITION BY image_id, comp ORDER BY scan_idx) AS diff FROM {name}l WHERE zz = 0),
+{name}z AS (SELECT *, CASE WHEN diff = 0 THEN 0 ELSE length(bin(abs(diff))) END AS size FROM {name}d),
+{name}w AS (
+  SELECT image_id, scan_idx, 0 AS zz, word || {low.format("size", rest.format("diff"))} AS t FROM {name}z z JOIN {name}c c ON c.cls = 'dc' AND c.qidx = z.qidx AND c.sym = z.size
+  UNION ALL
+  SELECT image_id, scan_idx, zz, repeat(e.word, (run // 16)::INT) || c.word || {low.format("size", rest.format("level"))} FROM {name}a a
+  JOIN {name}c c ON c.cls = 'ac' AND c.qidx = a.qidx AND c.sym = run % 16 * 16 + size JOIN {name}c e ON e.cls = 'ac' AND e.qidx = a.qidx AND e.sym = 240
+  UNION ALL
+  SELECT image_id, scan_idx, 64, word FROM (SELECT image_id, scan_idx, qidx FROM {name}l GROUP BY ALL HAVING max(CASE WHEN level != 0 THEN zz ELSE 0 END) < 63) l JOIN {name}c c ON c.cls = 'ac' AND c.qidx = l.qidx AND c.sym = 0),
+{name}t AS (SELECT image_id, string_agg(t, '' ORDER BY scan_idx, zz) AS t FROM {name}w GROUP BY image_id),
+{name}p AS (SELECT image_id, regexp_extract_all(t || repeat('1', ((8 - length(t) % 8) % 8)::INT), '.{{8}}') AS o FROM {name}t),
+{name}h AS (SELECT image_id, len([1 FOR x IN o IF x = '11111111'])::BIGINT AS n_ff,
+       array_to_string([CASE WHEN x = '11111111' THEN 'FF00' ELSE upper(printf('%02x', ('0b' || x)::INT)) END FOR x IN o], '') AS h FROM {name}p)"""
+
+
+def file_sql(scan: str, mode: str, height: str) -> str:
+    """A file as hexadecimal text, from a scan and a height."""
+    components = 1 if mode == "400" else 3
+    parts = "".join(f"{c + 1:02X}{'22' if mode == '420' and c == 0 else '11'}{min(c, 1):02X}" for c in range(components))
+    start = "FFD8FFE000104A46494600010100000100010000" + containers.matrix_segment({k: m for k, m in matrices(QUALITY).items() if k < components}) + f"FFC0{8 + 3 * components:04X}08"
+    last = f"FFDA{6 + 2 * components:04X}{components:02X}" + "".join(f"{c + 1:02X}{min(c, 1) * 17:02X}" for c in range(components)) + "003F00"
+    return f"('{start}' || upper(printf('%04x', {height})) || '{WIDTH:04X}{components:02X}{parts}{containers.standard_segments(components)}{last}' || {scan} || 'FFD9')"
+
+
+GRAY = f"WITH {BYTES}, {quant_sql(ONE)}, {scan_sql(layout_sql('gray', '400'), 1)}"
+
+
+def search_sql(images: str, evaluated: str, passes: int = 12) -> str:
+    """Passes of a search one after the other, from images (image_id, target); evaluated: CTEs of (image_id, value) for the active states of pass {k}."""
+    out = [f"s0 AS MATERIALIZED (SELECT image_id, target::DOUBLE AS target, 0::DOUBLE AS low, 100::DOUBLE AS high, {QUALITY}::DOUBLE AS q, NULL::DOUBLE AS best, NULL::DOUBLE AS best_q, NULL::DOUBLE AS value, 0 AS passes, false AS done FROM {images})"]
+    for k in range(passes):
+        out.append(evaluated.format(k=k))
+        out.append(f"""r{k} AS (SELECT s.*, e.value AS x, abs(e.value - target) AS off, abs(e.value - target) < 0.01::DOUBLE * target AS near,
+  CASE WHEN e.value > target THEN low ELSE q END AS nl, CASE WHEN e.value > target THEN q ELSE high END AS nh FROM s{k} s JOIN e{k} e USING (image_id) WHERE NOT done),
+s{k + 1} AS MATERIALIZED (SELECT * FROM s{k} WHERE done UNION ALL
+  SELECT image_id, target, CASE WHEN near THEN low ELSE nl END, CASE WHEN near THEN high ELSE nh END, CASE WHEN near THEN q ELSE (nl + nh) / 2 END,
+         CASE WHEN best IS NULL OR off < best THEN off ELSE best END, CASE WHEN best IS NULL OR off < best THEN q ELSE best_q END, CASE WHEN best IS NULL OR off < best THEN x ELSE value END,
+         passes + 1, near OR abs((nl + nh) / 2 - q) < 0.15::DOUBLE FROM r{k})""")
+    return ", ".join(out)
+
+
+def at_sql(q: str, m: str) -> tuple[str, str, str]:
+    """A step at a quality, its reciprocal and its rounding, as scalars of a row that names step as st."""
+    scale = f"floor(CASE WHEN {q} <= 0 THEN 5000::DOUBLE WHEN {q} < 50 THEN 5000::DOUBLE / {q} WHEN {q} < 100 THEN 2 * (100 - {q}) ELSE 0::DOUBLE END)::INT"
+    return f"greatest(1, least(255, ({m} * {scale} + 50) // 100))::INT", "(CASE WHEN st = 1 THEN 65535 ELSE (65536 + st // 2) // st END)", "((CASE WHEN st = 1 OR pos = 0 THEN 128 ELSE 120 END * st * 16 + 128) >> 8)"
+
+
+STEP, RECIPROCAL, ROUNDING = at_sql("q", "m")
+AT = f"((((a + {ROUNDING})::BIGINT * {RECIPROCAL}) >> 16) >> 4)"
+PSNR_PASS = f"""e{{k}} AS (
+  SELECT image_id, CASE WHEN sum(n * ((a >> 4) - st * {AT}) * ((a >> 4) - st * {AT})) > 0
+         THEN 4.3429448::DOUBLE * ln(sum(n) * 65025.0::DOUBLE / sum(n * ((a >> 4) - st * {AT}) * ((a >> 4) - st * {AT}))::BIGINT) ELSE 99.0::DOUBLE END AS value
+  FROM (SELECT image_id, pos, a, n, {STEP} AS st FROM s{{k}} JOIN mag USING (image_id) JOIN base USING (qidx, pos) WHERE NOT done) GROUP BY image_id)"""
+SIZE_PASS = f"""l{{k}} AS (
+  SELECT image_id, scan_idx, pos, zz, sign * {AT} AS level, sign_before * ((((abs(before) + {ROUNDING})::BIGINT * {RECIPROCAL}) >> 16) >> 4) AS level_before
+  FROM (SELECT image_id, scan_idx, pos, zz, abs(v) AS a, CASE WHEN v < 0 THEN -1 ELSE 1 END AS sign, before, CASE WHEN before < 0 THEN -1 ELSE 1 END AS sign_before, {STEP} AS st
+        FROM s{{k}} JOIN kv USING (image_id) JOIN (SELECT pos, m FROM base WHERE qidx = 0) USING (pos) WHERE NOT done)),
+a{{k}} AS (SELECT image_id, scan_idx, zz, zz - lag(zz, 1, 0) OVER (PARTITION BY image_id, scan_idx ORDER BY zz) - 1 AS run, length(bin(abs(level))) AS size FROM l{{k}} WHERE level != 0 AND zz > 0),
+sy{{k}} AS (
+  SELECT image_id, 'dc' AS cls, CASE WHEN level = level_before THEN 0 ELSE length(bin(abs(level - level_before))) END AS sym, 1 AS n FROM l{{k}} WHERE pos = 0
+  UNION ALL SELECT image_id, 'ac', run % 16 * 16 + size, 1 FROM a{{k}} UNION ALL SELECT image_id, 'ac', 240, run // 16 FROM a{{k}} WHERE run >= 16
+  UNION ALL SELECT image_id, 'ac', 0, 1 FROM l{{k}} WHERE pos = 0
+  UNION ALL SELECT image_id, 'ac', 0, -1 FROM a{{k}} WHERE zz = 63),
+e{{k}} AS (SELECT image_id, 330 + sum(n * (len + CASE WHEN cls = 'dc' THEN sym ELSE sym % 16 END))::DOUBLE / 8 AS value FROM sy{{k}} JOIN codes USING (cls, sym) GROUP BY image_id)"""
+TARGET_PSNR = f"""WITH {BYTES}, base AS {sql_values(QUANT_ROWS, "qidx, pos, m")}, cb AS {layout_sql("rgb", "420")}, {dct_sql("SELECT image_id, scan_idx, s FROM cb")},
+mag AS MATERIALIZED (SELECT image_id, least(comp, 1) AS qidx, pos, abs(v) AS a, count(*) AS n FROM v JOIN cb USING (image_id, scan_idx) GROUP BY image_id, least(comp, 1), pos, abs(v)),
+{search_sql(f"(SELECT doc_id AS image_id, 26 + doc_id % 12 AS target FROM documents WHERE strlen(text) >= {3 * WIDTH})", PSNR_PASS)}
+SELECT image_id, target, best_q AS q, round(value, 6) AS value, passes FROM s12"""
+TARGET_SIZE = f"""WITH {BYTES}, base AS {sql_values(QUANT_ROWS, "qidx, pos, m")}, zz AS {sql_values([(pos, k) for k, pos in enumerate(zigzag_order())], "pos, zz")},
+codes AS {sql_values([(a, s, n) for a, q, s, n, _ in standard_codes() if q == 0], "cls, sym, len")}, cb AS {layout_sql("gray", "400")}, {dct_sql("SELECT image_id, scan_idx, s FROM cb")},
+first AS (SELECT image_id, scan_idx, lag(v, 1, 0) OVER (PARTITION BY image_id ORDER BY scan_idx) AS before FROM v WHERE pos = 0),
+kv AS MATERIALIZED (SELECT v.*, zz, before FROM v JOIN zz USING (pos) JOIN first USING (image_id, scan_idx) WHERE pos = 0 OR abs(v) >= 8),
+{search_sql(f"(SELECT doc_id AS image_id, 330 + strlen(text) // 3 AS target FROM documents WHERE strlen(text) >= {WIDTH})", SIZE_PASS)}
+SELECT image_id, target, best_q AS q, value, passes FROM s12"""
+
+
+def colour_file_sql(mode: str) -> str:
+    return f"""(WITH {scan_sql(layout_sql("rgb", mode), 3)}, f AS (SELECT image_id, {file_sql("h", mode, f"strlen(text) // {3 * WIDTH}")} AS f, strlen(text) // {3 * WIDTH} AS height FROM xh JOIN documents ON doc_id = image_id)
+SELECT '{mode}' AS mode, image_id, {WIDTH} AS width, height::INT AS height, 3 AS components, {str(mode == "420").lower()} AS is_420, 2 AS dqt, {QUALITY} AS quality, (length(f) // 2)::BIGINT AS n_bytes, upper(md5(unhex(f))) AS md5 FROM f)"""
+
+
 SCORE = " + ".join(f"least(62, 2 * ({APART.format(a, b)}))" for a, b in (("i", "e"), ("i", "s"), ("e", "s")))
 
 ORACLE = {
@@ -547,8 +666,12 @@ r AS (SELECT *, CASE WHEN q = 1 THEN 65535 ELSE (65536 + q // 2) // q END AS iq,
 SELECT qidx, pos, q, iq::INT AS iq, ib::INT AS ib, ((1048576 + iq - 1) // iq - ib)::INT AS thr FROM r""",
     "sample_blocks": f"WITH {BYTES} " + " UNION ALL ".join(f"SELECT '{k} {m}' AS layout, image_id, scan_idx, comp, {PLACED} FROM {layout_sql(k, m)}" for k, m in SAMPLED),
     "colour_symbols": COLOUR_SYMBOLS,
-    "colour_files": f"""SELECT mode, doc_id AS image_id, {WIDTH} AS width, (strlen(text) // {3 * WIDTH})::INT AS height, 3 AS components, mode = '420' AS is_420, 2 AS dqt
-FROM documents, (SELECT unnest(['420', '444']) AS mode) WHERE strlen(text) >= {3 * WIDTH}""",
+    "colour_files": f"WITH {BYTES}, {quant_sql(ONE)} " + " UNION ALL ".join(f"SELECT * FROM {colour_file_sql(mode)}" for mode in ("420", "444")),
+    "encoded_images": f"""{GRAY}, f AS (SELECT image_id, {file_sql("h", "400", f"strlen(text) // {WIDTH}")} AS f, strlen(text) // {WIDTH} AS height FROM xh JOIN documents ON doc_id = image_id)
+SELECT image_id, {WIDTH} AS width, height::INT AS height, 1 AS components, 1 AS dqt, (length(f) // 2)::BIGINT AS n_bytes, upper(md5(unhex(f))) AS md5 FROM f""",
+    "stuffed_sizes": f"{GRAY} SELECT image_id, (length(h) // 2)::BIGINT AS n_bytes, n_ff FROM xh",
+    "target_psnr": TARGET_PSNR,
+    "target_size": TARGET_SIZE,
     "file_matrices": f"""WITH {quant_sql(ALL)},
 d AS (SELECT a.quality AS key, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS distance FROM quant a JOIN quant b USING (qidx, pos) WHERE qidx = 0 GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, quality) AS k FROM d) WHERE k = 1),

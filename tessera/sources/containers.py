@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.tables import STD_HUFFMAN, zigzag_order
-from tessera.operators import images as I
+from tessera.operators import packing
 
 
 #: Blocks on a side of 65,535 samples, the most that a frame header states.
@@ -110,7 +110,7 @@ def gray_files(blocks: DataFrame, matrices: dict[int, list[int]], most: int = MO
         blocks = blocks.select(*names).unionByName(spare.select("image_id", F.lit(0).alias("comp"), F.lit(0).alias("qidx"), at, F.col("last.dc").alias("dc"), F.array(F.lit(0)).alias("ac")))
     sides = sizes.select("image_id", (F.col("across") * 8).alias("width"), (F.col("down") * 8).alias("height"))
     dht = None if codes is None else code_segments(codes)
-    return baseline_files(I.scans(blocks, codes).join(sides, "image_id"), matrices, "400", dht)
+    return baseline_files(packing.scans(blocks, codes).join(sides, "image_id"), matrices, "400", dht)
 
 
 def walked(raw: bytes) -> list[tuple[int, int, bytes]]:

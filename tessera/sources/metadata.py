@@ -39,14 +39,6 @@ def xmp_segment(data: Column) -> Column:
     return app1(XMP, data)
 
 
-def first_app1(images: DataFrame, signature: bytes, name: str, content: str = "jpeg", key: str = "image_id") -> DataFrame:
-    """(key, name): the data of each file's first APP1 segment with a signature."""
-    mark = signature.hex().upper()
-    found = segments(images, content, key).where((F.col("marker") == 0xFFE1) & F.col("payload").startswith(mark))
-    first = found.groupBy(key).agg(F.min_by("payload", "at").alias("p"))
-    return first.select(key, F.unhex(F.expr(f"substring(p, {len(mark) + 1})")).alias(name))
-
-
 def extended_xmp_parts(packets: DataFrame, data: str = "xmp", key: str = "image_id", most: int = XMP_PART) -> DataFrame:
     """(key, guid, at, segment): APP1 segments that carry data too long for one; guid is its upper-case MD5."""
     total = F.octet_length(data)

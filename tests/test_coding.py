@@ -70,12 +70,6 @@ def test_replication_repeats_edges(spark):
     assert all(r["s"] == 10 * min(r["y"], 2) + min(r["x"], 4) for r in out)
 
 
-def test_blocks_hold_samples_in_natural_order(spark):
-    rows = [(0, 0, y, x, y * 100 + x) for y in range(8) for x in range(16)]
-    out = {r["scan_idx"]: r["s"] for r in C.to_blocks(spark.createDataFrame(rows, "image_id int, comp int, y long, x long, s int")).collect()}
-    assert out[1] == [y * 100 + 8 + x for y in range(8) for x in range(8)]
-
-
 def decoded(jpeg: bytes, own: list | None = None) -> list[list[int]]:
     """Levels of each block (zigzag order) of a gray baseline file."""
     at = jpeg.index(b"\xff\xda")
@@ -169,16 +163,21 @@ def test_files_with_fitted_tables_decode_to_the_same_levels(spark):
         assert read == {(c, s): (n, x) for c, _, s, n, x in tables[k]}
 
 
-def test_streamed_scans_do_not_depend_on_batches(spark):
-    from tessera.operators import images as I
+def test_scans_do_not_depend_on_slices_or_batches(spark):
+    from tessera.operators import packing
 
-    whole = {r["image_id"]: bytes(r["scan"]) for r in I.scans(Q.coded(spark, SF)).collect()}
+    read = lambda **how: {r["image_id"]: bytes(r["scan"]) for r in packing.scans(Q.coded(spark, SF), **how).collect()}
+    whole = read()
+    assert any(b"\xff\x00" in x for x in whole.values())
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        assert whole == {r["image_id"]: bytes(r["scan"]) for r in I.scans(Q.coded(spark, SF)).collect()}
+        for size in (1, 2, 7, 50):
+            assert whole == read(size=size)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sizes = {r["image_id"]: (r["n_bytes"], r["n_ff"]) for r in packing.scan_sizes(Q.coded(spark, SF), size=2).collect()}
+    assert sizes == {k: (len(x), x.count(b"\xff\x00")) for k, x in whole.items()}
 
 
 def test_broken_blocks_and_images_are_left_out(spark):
