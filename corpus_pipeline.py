@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicates, source mix, pieces.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs. All but the last return the columns of documents; n_chars is the table's
+own figure and isn't counted again. Null texts and texts under 50 words go in the first stage; rows
+without id or source are judged, grouped, mixed and encoded like others; an empty table passes
+all stages empty. Once the result is written, tessera.llm.common.clear(spark) deletes the tables
+between the stages.
 """
 
 from __future__ import annotations
@@ -13,11 +17,11 @@ from tessera.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or line frequencies reject go.
+    """Documents that the base rules or line frequencies reject go, and frequent lines leave the others' texts.
 
     Exact copies count once here: the next stage takes them down to one, so a text isn't template for being copied.
     """
-    return quality.passing(docs, copies_once=True)
+    return quality.cleaned(docs, copies_once=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

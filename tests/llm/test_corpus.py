@@ -31,7 +31,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(registry.ORACLE[name])
     names = [x[0] for x in want.description]
@@ -113,7 +113,8 @@ def test_quality_edge_cases(spark, odd):
     by = {r["doc_id"]: r for r in rows}
     assert by[6]["n_dup_lines"] == 2 and by[6]["n_repeat_words"] == 9 and by[0]["n_words"] == 0 and by[5]["base_failed"]
     assert quality.judged(odd.limit(0)).count() == 0
-    assert quality.passing(odd).columns == odd.columns
+    assert quality.cleaned(odd).columns == odd.columns
+    assert quality.cleaned(odd.limit(0)).count() == 0
 
 
 def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
@@ -125,6 +126,8 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(out[k]["kept"] and out[k]["n_removed_words"] == 70 for k in range(30))
     assert not any(out[100 + k]["kept"] for k in range(3))
     assert not any(out[200 + k]["kept"] for k in range(40)) and out[300]["kept"]  # 40 documents of one text; another host
+    kept = {r["doc_id"]: r["text"] for r in quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {**{k: own(k) for k in range(30)}, 300: shared}  # the line is gone from every text that stays
     once = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), copies_once=True).collect()}
     assert all(once[200 + k]["kept"] for k in range(40)) and all(once[k]["kept"] == out[k]["kept"] for k in out if k < 200)
 
@@ -592,6 +595,23 @@ def test_neighbours_do_not_depend_on_slices(spark):
     assert some[0] == some[1]
 
 
+def test_mix_does_not_depend_on_slots(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 40)), "s" if k % 3 else "t", rng.choice([0.05, 0.05, 0.5, 1.0])) for k in range(1500)] + [(7, "w w", "s", 1.0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
+    read = lambda: sorted(map(tuple, mixing.mixed(docs, quality=F.col("quality")).collect()))
+    whole = read()
+    monkeypatch.setattr(mixing.edges, "__defaults__", (3, 10))
+    assert read() == whole
+    sized = mixing.sizes(docs, "doc_id", "text", "source", F.col("quality"))
+    ends = mixing.edges(sized, spark.createDataFrame([("s", 4000), ("t", 0)], "s string, budget long"), 3, 10).collect()
+    assert len(ends) == 1
+    keys = sorted((r["key"], r["size"]) for r in sized.where("source = 's'").collect())
+    low, high, before = ends[0]["low"], ends[0]["high"], ends[0]["before"]
+    inside = [n for k, n in keys if low <= k <= high]
+    assert before == sum(n for k, n in keys if k < low) < 4000 <= before + sum(inside) and (len(inside) <= 10 or low == high)
+
+
 def test_neighbours_are_found_however_few_axes_are_probed(spark):
     x = np.random.default_rng(5).normal(size=(400, 64))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
