@@ -11,9 +11,10 @@ as many of its words as still fit, so a source misses its target by under one wo
 comes from an MD5 of the id, so reruns agree. Quality is a column of the caller's (0.05 at
 least; null: 0.05); by default the share of a text's characters that aren't symbols.
 
-No source is sorted as a whole: keys fall into `slots` equal slices of the unit interval,
-the slices' sizes (sums, combined before the shuffle) are prefix-summed for each source,
-and only the one slice where a source's budget ends is sorted.
+No source is sorted as a whole: the range of its keys is cut into SLOTS equal slices, whose
+sizes (sums, combined before the shuffle) are prefix-summed for each source; the slice where
+the budget ends is cut again, until it has at most EDGE rows or one key, and only these are
+sorted. So it doesn't matter how keys are spread, and each round reads ids and sizes only.
 
 Null texts have size 0 and take nothing; a null source is a source of its own; equal keys
 (repeated rows) come in order of size and are cut as if they were one list, so rows of one
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import numbered, stored, table, word_count
 
-WEIGHTS, REPEATS, SLOTS = (5, 2, 1), 3, 4096
+WEIGHTS, REPEATS, SLOTS, EDGE = (5, 2, 1), 3, 4096, 1 << 16
 
 
 def clean_share(text: Column) -> Column:
@@ -39,12 +40,33 @@ def clean_share(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, id_col: str, text: str, source: str, quality: Column | None = None) -> DataFrame:
-    """(doc_id, source, size, key, slot) of all rows."""
+    """(doc_id, source, size, key) of all rows."""
     quality = F.greatest(F.lit(0.05), clean_share(F.col(text)) if quality is None else quality.cast("double"))
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
     key = -F.log((bits + F.lit(0.5)) / F.lit(2.0**52)) / quality
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))
-    return out.withColumn("slot", F.least(F.lit(SLOTS - 1), F.floor((1 - F.exp(-F.col("key"))) * SLOTS)).cast("int"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))
+
+
+def edges(sized: DataFrame, goal: DataFrame, slots: int = SLOTS, most: int = EDGE) -> DataFrame:
+    """(s, low, high, before) for each source with a budget to reach: the range of keys where it ends, and the words before it.
+
+    goal: (s, budget). A range has at most `most` rows, or one key.
+    """
+    every = sized.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    state = every.join(goal.select("s", "budget"), F.col("source").eqNullSafe(F.col("s"))).where("budget > 0")
+    state = stored(state.select("s", "budget", "low", "high", F.lit(0).cast("long").alias("before"), "n"), "edges")
+    while True:
+        wide = state.where((F.col("n") > most) & (F.col("low") < F.col("high")))
+        if wide.isEmpty():
+            return state.select("s", "low", "high", "before")
+        rows = sized.join(wide, F.col("source").eqNullSafe(F.col("s"))).where("key BETWEEN low AND high")
+        slot = F.least(F.lit(slots - 1), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * slots)).cast("int")
+        cut = rows.groupBy("s", "budget", "before", slot.alias("slot")).agg(F.sum("size").alias("words"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+        # at most as many rows a source as there are slots
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("slot"))
+        cut = cut.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("words")).where("start < budget AND upto >= budget")
+        cut = cut.select("s", "budget", "low", "high", F.col("start").alias("before"), "n")
+        state = stored(state.where((F.col("n") <= most) | (F.col("low") >= F.col("high"))).unionByName(cut), "edges", instead=state)
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -75,19 +97,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     goal = goal.withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
     goal = stored(goal.withColumnRenamed("source", "s"), "targets")
 
-    slots = sized.groupBy("source", "slot").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("slot")) - F.col("n")
-    edges = slots.withColumn("before", before).join(goal, F.col("source").eqNullSafe(F.col("s")))
-    edges = edges.where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("n") >= F.col("budget")))
-    edges = edges.select("s", F.col("slot").alias("edge"), F.col("before"))
-    goal = stored(goal.join(edges.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "goals")
+    ends = edges(sized, goal).withColumnRenamed("s", "s2")
+    goal = stored(goal.join(ends, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "goals")
 
     rows = sized.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = rows.where(F.col("slot") == F.col("edge")).withColumn("upto", F.col("before") + F.sum("size").over(inside))
+    here = F.coalesce((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")), F.lit(False))
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.where(here).withColumn("upto", F.col("before") + F.sum("size").over(inside))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("budget") - F.col("upto") + F.col("size")))
     cut = cut.withColumn("part", part).drop("upto")
-    whole = rows.where("edge IS NULL OR slot != edge").withColumn("part", F.when(F.col("slot") < F.col("edge"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    whole = rows.where(~here).withColumn("part", F.when(F.col("key") < F.col("low"), F.col("size")).otherwise(F.lit(0).cast("long")))
     out = cut.unionByName(whole)
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
@@ -99,7 +118,7 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     plan = stored(plan.where((F.col("epochs") > 0) | (F.col("part") > 0)).where("size > 0"), "plan")
     rows = docs.select(F.struct("*").alias("row")).withColumn("n_words", word_count(F.col("row")[text]))
     mine = F.col("row")[id_col].eqNullSafe(plan["doc_id"]) & F.col("row")[source].eqNullSafe(plan["source"]) & (F.col("n_words") == plan["size"])
-    even = rows.join(plan.where("low = part").hint("shuffle_hash"), mine).select("row", "size", "epochs", "part")  # one plan at every size
+    even = rows.join(plan.where("low = part"), mine).select("row", "size", "epochs", "part")
 
     # where copies straddle a source's edge they are numbered: by the stored partition, then inside it
     split = plan.where("low < part")
