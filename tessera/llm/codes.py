@@ -219,7 +219,7 @@ def assigned(rows: DataFrame, books: np.ndarray) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def run(batches):
-        search = [Search(b) for b in books]
+        search = [Search(b) for b in books] if books.shape[1] else []  # no entries: no rows either
         for batch in batches:
             for low, block in blocks(batch.column(2), parts, width):
                 found = [search[p].nearest(block[:, p]) for p in range(parts)]
