@@ -274,18 +274,24 @@ def file_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "dqt", total("luma"), total("chroma"), "quality", "distance")
 
 
+#: The beginning of a packet that goes on in extended XMP.
+LONG_PACKET = '<x xmpNote:HasExtendedXMP="' + "0" * 32 + '"/>'
+
+
 def metadata_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that carry their text as EXIF, as a profile in parts of 100 bytes, as XMP or extended XMP, and a marker of their own: what is read back."""
-    rows = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), F.col("content").alias("c"))
-    parts = containers.profile_parts(rows.select("image_id", F.expr("substring(c, 1, 20000)").alias("iccp")), most=100).select("image_id", F.lit(1).alias("k"), F.col("seq").alias("at"), "segment")
-    xmp = metadata.xmp_segments(rows.withColumnRenamed("c", "xmp")).select("image_id", F.lit(2).alias("k"), "at", "segment")
-    exif = rows.select("image_id", F.lit(3).alias("k"), F.lit(0).alias("at"), metadata.exif_segment(F.col("c")).alias("segment"))
-    own = rows.select("image_id", F.lit(4).alias("k"), F.lit(0).alias("at"), F.unhex(F.lit("FFE100066F776E00")).alias("segment"))
-    every = parts.unionByName(xmp).unionByName(exif).unionByName(own).where("segment IS NOT NULL")
-    joined = every.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", "at", F.hex("segment").alias("h")))).alias("s"))
-    files = joined.select("image_id", F.unhex(F.concat(F.lit("FFD8"), F.array_join("s.h", ""), F.lit("FFDA0002"))).alias("jpeg"))
-    read = metadata.application_data(files).join(metadata.extended_xmp(files).withColumnRenamed("xmp", "extended"), "image_id", "left").join(containers.profile(files), "image_id", "left")
-    return read.select("image_id", F.md5("exif").alias("exif"), F.md5("xmp").alias("xmp"), F.md5("extended").alias("extended"), F.md5("iccp").alias("iccp"), F.hex("others").alias("others"), F.octet_length("iccp").cast("long").alias("n_iccp"))
+    """Files that carry their text as EXIF, as a profile of up to 255 parts, as XMP, and a marker of their own: what one walk reads back.
+
+    Every 50th text is repeated to over 70,000 bytes as XMP behind a tag that names extended XMP, so it is split, and the digest patched.
+    """
+    rows = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), F.col("content").alias("c"), F.octet_length("content").alias("n"))
+    packet = F.encode(F.concat(F.lit(LONG_PACKET), F.repeat(F.decode("c", "UTF-8"), F.ceil(F.lit(70000) / F.col("n")).cast("int"))), "UTF-8")
+    xmp = F.when((F.col("image_id") % 50 == 0) & (F.col("n") > 0), packet).otherwise(F.col("c"))
+    part = F.greatest(F.lit(100), F.ceil(F.col("n") / 255).cast("int"))
+    texts = [containers.profile_text(F.col("c"), part), metadata.xmp_text(xmp), metadata.app1_text(metadata.EXIF, F.col("c")), F.lit("FFE100066F776E00")]
+    files = rows.select("image_id", F.unhex(F.concat(F.lit("FFD8"), *[F.coalesce(x, F.lit("")) for x in texts], F.lit("FFDA0002"))).alias("jpeg"))
+    read = metadata.metadata_of(files)
+    size = lambda c: F.octet_length(c).cast("long").alias(f"n_{c}")
+    return read.select("image_id", *[F.md5(c).alias(c) for c in ("exif", "xmp", "extended", "iccp")], F.hex("others").alias("others"), *map(size, ("exif", "xmp", "extended", "iccp")))
 
 
 def png_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,8 +327,9 @@ def text_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixmap_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over the pixels of pixmaps ten wide whose samples are the bytes of texts."""
-    rows = fixtures.contents(spark, sf_dir).withColumn("h", F.expr("octet_length(content) div 30"))
+    """Sums over the pixels of pixmaps ten wide whose samples are the bytes of texts, the last row filled with spaces."""
+    rows = fixtures.contents(spark, sf_dir).withColumn("h", F.expr("(octet_length(content) + 29) div 30")).where("h > 0")
+    rows = rows.withColumn("content", F.rpad("content", F.col("h").cast("int") * 30, F.encode(F.lit(" "), "UTF-8")))
     head = F.encode(F.concat(F.lit("P6\n# ten wide\n10 "), F.col("h").cast("string"), F.lit("\n255\n")), "UTF-8")
     pixels = metadata.pixmap_pixels(rows.select("doc_id", F.concat(head, F.col("content")).alias("content")), key="doc_id")
     return pixels.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "rgb"], F.max("y").alias("last_y"))
@@ -677,9 +684,12 @@ d AS (SELECT a.quality AS key, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, quality) AS k FROM d) WHERE k = 1),
 s AS (SELECT quality AS key, (sum(q * (pos + 1)) FILTER (qidx = 0))::INT AS luma, (sum(q * (pos + 1)) FILTER (qidx = 1))::INT AS chroma FROM quant GROUP BY quality)
 SELECT doc_id AS image_id, 2 AS dqt, luma, chroma, quality, distance FROM documents JOIN s ON s.key = doc_id % 101 JOIN best ON best.key = s.key""",
-    "metadata_report": """SELECT doc_id AS image_id, CASE WHEN strlen(text) + 8 <= 65535 THEN md5(text) END AS exif, CASE WHEN strlen(text) + 31 <= 65535 THEN md5(text) END AS xmp,
-CASE WHEN strlen(text) + 31 > 65535 THEN md5(text) END AS extended, CASE WHEN i IS NOT NULL THEN md5(i) END AS iccp, 'FFE100066F776E00' AS others, octet_length(i)::BIGINT AS n_iccp
-FROM (SELECT *, CASE WHEN strlen(text) BETWEEN 1 AND 20000 THEN encode(text) WHEN strlen(text) > 20000 THEN encode(text)[1:20000] END AS i FROM documents)""",
+    "metadata_report": f"""WITH p AS (SELECT doc_id, text, strlen(text) AS n, CASE WHEN doc_id % 50 = 0 AND strlen(text) > 0
+  THEN encode('{LONG_PACKET}' || repeat(text, ceil(70000 / strlen(text))::INT)) END AS long FROM documents),
+q AS (SELECT *, long[65504:] AS rest, long[1:{LONG_PACKET.index("0")}] AS a, long[{LONG_PACKET.index("0") + 33}:65503] AS z FROM p),
+r AS (SELECT doc_id, n, text, rest, CASE WHEN long IS NOT NULL THEN a || encode(upper(md5(rest))) || z WHEN n + 31 <= 65535 THEN encode(text) END AS xmp FROM q)
+SELECT doc_id AS image_id, CASE WHEN n + 8 <= 65535 THEN md5(text) END AS exif, md5(xmp) AS xmp, md5(rest) AS extended, CASE WHEN n > 0 THEN md5(text) END AS iccp, 'FFE100066F776E00' AS others,
+       CASE WHEN n + 8 <= 65535 THEN n END::BIGINT AS n_exif, octet_length(xmp)::BIGINT AS n_xmp, octet_length(rest)::BIGINT AS n_extended, nullif(n, 0)::BIGINT AS n_iccp FROM r""",
     "png_profiles": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND text != '' THEN md5(text) END AS exif, CASE WHEN doc_id % 3 = 1 AND text != '' THEN md5(text) END AS xmp, NULL::VARCHAR AS iccp FROM documents""",
     "chroma_risk": f"""WITH {PIX},
 ix AS (SELECT image_id, y, x, {BUCKET.format(LUMA)} + 7 * {BUCKET.format(U.format(32768, 16))} + 49 * {BUCKET.format(V.format(32768, 16))} AS i FROM px),
@@ -696,7 +706,7 @@ CASE WHEN strlen(text) + 8 <= 65535 THEN 'FFE1' || upper(printf('%04x', strlen(t
     "extended_xmp_parts": """SELECT doc_id, upper(md5(text)) AS guid, k AS "at", (least(1000, n - k) + 79)::BIGINT AS n_bytes
 FROM (SELECT doc_id, text, strlen(text)::BIGINT AS n, unnest(range(0, strlen(text)::BIGINT, 1000)) AS k FROM documents)""",
     "text_profiles": "SELECT doc_id, CASE WHEN doc_id % 5 != 0 THEN md5(text) END AS md5 FROM documents",
-    "pixmap_sums": """WITH o AS (SELECT doc_id, strlen(text) // 30 AS h, regexp_extract_all(hex(encode(text)), '..') AS x FROM documents WHERE strlen(text) >= 30),
+    "pixmap_sums": """WITH o AS (SELECT doc_id, (strlen(text) + 29) // 30 AS h, regexp_extract_all(hex(encode(text || repeat(' ', ((30 - strlen(text) % 30) % 30)::INT))), '..') AS x FROM documents WHERE strlen(text) > 0),
 e AS (SELECT doc_id, h, unnest(x[1:30 * h]) AS v, unnest(range(30 * h)) AS i FROM o)
 SELECT doc_id, count(*) // 3 AS n, (sum(('0x' || v)::BIGINT) FILTER (i % 3 = 0))::BIGINT AS r, (sum(('0x' || v)::BIGINT) FILTER (i % 3 = 1))::BIGINT AS g,
        (sum(('0x' || v)::BIGINT) FILTER (i % 3 = 2))::BIGINT AS b, (any_value(h) - 1)::BIGINT AS last_y FROM e GROUP BY doc_id""",

@@ -222,19 +222,22 @@ def written(files: DataFrame, folder: str) -> DataFrame:
     return files.select(F.col("name").cast("string"), "content").mapInArrow(run, "name string, path string, n_bytes long")
 
 
-def profile(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
-    """(key, iccp): colour profiles put together from their numbered APP2 parts; null unless all parts are there once."""
-    parts = segments(images, content, key).where((F.col("marker") == 0xFFE2) & F.col("payload").startswith("4943435F50524F46494C4500"))
-    parts = parts.select(key, F.conv(F.substring("payload", 25, 2), 16, 10).cast("int").alias("seq"), F.conv(F.substring("payload", 27, 2), 16, 10).cast("int").alias("of"), F.expr("substring(payload, 29)").alias("data"))
-    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("p"), F.count_distinct("seq").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.max("of").alias("of"))
-    sound = (F.col("n") == F.size("p")) & (F.col("first") == 1) & (F.col("last") == F.col("n")) & (F.col("of") == F.col("n"))
-    return whole.select(key, F.when(sound, F.unhex(F.array_join("p.data", ""))).alias("iccp"))
-
-
-def profile_parts(profiles: DataFrame, key: str = "image_id", most: int = 65519) -> DataFrame:
-    """(key, seq, segment) of APP2 segments that carry a profile (key, iccp) in numbered parts."""
-    n = F.ceil(F.octet_length("iccp") / most).cast("int")
-    rows = profiles.withColumn("_n", n).withColumn("seq", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n")))))
-    data = F.substr(F.col("iccp"), (F.col("seq") - 1) * most + 1, F.lit(most))
-    head = F.concat(F.lit("FFE2"), be(F.octet_length(data) + 16, 2), F.lit("4943435F50524F46494C4500"), be(F.col("seq"), 1), be(F.col("_n"), 1))
-    return rows.select(key, "seq", F.concat(F.unhex(head), data).alias("segment"))
+def profile_in(found: list[tuple[int, int, bytes]]) -> bytes | None:
+    """A colour profile put together from its numbered APP2 parts; None unless all parts are there once."""
+    parts = sorted(p[12:] for _, marker, p in found if marker == 0xFFE2 and p.startswith(b"ICC_PROFILE\0") and len(p) >= 14)
+    if not parts or [p[0] for p in parts] != list(range(1, len(parts) + 1)) or max(p[1] for p in parts) != len(parts):
+        return None
+    return b"".join(p[2:] for p in parts)
+
+
+def profile_text(profile: Column, most: Column | int = 65519) -> Column:
+    """APP2 segments that carry a profile in numbered parts of `most` bytes, as hexadecimal text; null if they are over 255."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    n = F.ceil(F.octet_length(profile) / most).cast("int")
+
+    def part(k: Column) -> Column:
+        data = F.substr(profile, (k - 1) * most + 1, most)
+        return F.concat(F.lit("FFE2"), be(F.octet_length(data) + 16, 2), F.lit("4943435F50524F46494C4500"), be(k, 1), be(n, 1), F.hex(data))
+
+    whole = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(255)))), part), "")
+    return F.when(n > 255, None).when(n > 0, whole).otherwise("")

@@ -1,11 +1,12 @@
 """Metadata of image files: EXIF and XMP segments, extended XMP, text profiles; and plain pixmaps.
 
-Column functions and joins, but for what is read byte by byte: pixmaps and the chunks of PNG
-files, in Arrow batches. What can't be read, or doesn't fit a segment, is null, never an error.
+Written by column functions, a file's segments in one projection; read byte by byte, in one walk
+of each file, in Arrow batches. What can't be read, or doesn't fit a segment, is null, never an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.containers import be, segments
+from tessera.sources.containers import be, profile_in, walked
 
 #: Signatures at the start of APP1 payloads, and the bytes a segment's length field can count.
 EXIF = b"Exif\x00\x00"
@@ -49,23 +50,6 @@ def extended_xmp_parts(packets: DataFrame, data: str = "xmp", key: str = "image_
     return rows.select(key, "guid", "at", F.concat(F.unhex(head), part).alias("segment"))
 
 
-def extended_xmp(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
-    """(key, xmp): extended XMP put together; null unless the parts share one digest and total, meet without gap or overlap, and match the digest."""
-    mark = EXTENDED_XMP.hex().upper()
-    found = segments(images, content, key).where((F.col("marker") == 0xFFE1) & F.col("payload").startswith(mark))
-    field = lambda at, n: F.substring("payload", len(mark) + 2 * at + 1, 2 * n)
-    number = lambda at: F.conv(field(at, 4), 16, 10).cast("long")
-    data = F.expr(f"substring(payload, {len(mark) + 81})")
-    parts = found.where(F.length("payload") >= len(mark) + 80).select(key, field(0, 32).alias("guid"), number(32).alias("total"), number(36).alias("at"), data.alias("data"))
-    part = F.struct("at", "data")
-    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("p"), F.min("guid").alias("guid"), F.max("guid").alias("g2"), F.min("total").alias("total"), F.max("total").alias("t2"))
-    # each part begins where those before it end: -1 marks a gap or an overlap
-    end = F.aggregate("p", F.lit(0).cast("long"), lambda n, x: F.when(x["at"] == n, n + F.length(x["data"]) / 2).otherwise(-1).cast("long"))
-    raw = F.unhex(F.array_join("p.data", ""))
-    sound = (F.col("guid") == F.col("g2")) & (F.col("total") == F.col("t2")) & (end == F.col("total"))
-    return whole.select(key, F.when(sound & (F.hex(F.encode(F.upper(F.md5(raw)), "UTF-8")) == F.col("guid")), raw).alias("xmp"))
-
-
 def profile_text(name: str, data: Column) -> Column:
     """A profile as text: a blank line, its name, its length, and lines of 72 hexadecimal digits."""
     digits = F.regexp_replace(F.lower(F.hex(data)), "(.{72})(?=.)", "$1\n")
@@ -196,20 +180,66 @@ def with_digest(packet: Column, extended: Column) -> Column:
     return F.when(at > 0, F.overlay(packet, F.encode(F.upper(F.md5(extended)), "UTF-8"), at + len(HAS_EXTENDED))).otherwise(packet)
 
 
-def xmp_segments(packets: DataFrame, data: str = "xmp", key: str = "image_id") -> DataFrame:
-    """(key, at, segment): XMP as one segment, or as extended XMP where it doesn't fit one."""
-    fits = F.octet_length(data) + len(XMP) + 2 <= LONGEST
-    one = packets.where(fits).select(key, F.lit(0).alias("at"), xmp_segment(F.col(data)).alias("segment"))
-    return one.unionByName(extended_xmp_parts(packets.where(~fits), data, key).select(key, "at", "segment"))
+#: Fixed value: bytes of a packet that stay in the main segment where it doesn't fit one.
+XMP_MAIN = 65503
+
+
+def app1_text(signature: bytes, data: Column) -> Column:
+    """An APP1 segment as hexadecimal text; null if it would be too long."""
+    return F.concat(F.lit("FFE1"), be(F.octet_length(data) + len(signature) + 2, 2), F.lit(signature.hex().upper()), F.hex(data))
+
 
+def xmp_text(packet: Column, split: int = XMP_MAIN) -> Column:
+    """XMP as hexadecimal segments: one, or a main one of `split` bytes that names the digest of the rest, and extended ones; null where it names none."""
+    latin = F.decode(packet, "ISO-8859-1")
+    at = F.locate(HAS_EXTENDED, latin)
+    main, rest = F.substr(packet, F.lit(1), F.lit(split)), F.substr(packet, F.lit(split + 1))
+    sound = (at > 0) & (at - 1 + len(HAS_EXTENDED) + 33 <= split) & (F.substr(latin, at + len(HAS_EXTENDED) + 32, F.lit(1)) == '"')
+    guid, total = F.hex(F.encode(F.upper(F.md5(rest)), "UTF-8")), F.octet_length(rest)
+
+    def part(k: Column) -> Column:
+        data = F.substr(rest, k * XMP_PART + 1, F.lit(XMP_PART))
+        return F.concat(F.lit("FFE1"), be(F.octet_length(data) + 2 + len(EXTENDED_XMP) + 40, 2), F.lit(EXTENDED_XMP.hex().upper()), guid, be(total, 4), be(k * XMP_PART, 4), F.hex(data))
+
+    parts = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(total / XMP_PART).cast("int")), part), "")
+    fits = F.octet_length(packet) + len(XMP) + 2 <= LONGEST
+    return F.when(fits, app1_text(XMP, packet)).when(sound, F.concat(app1_text(XMP, with_digest(main, rest)), parts))
+
+
+def extension_in(found: list[tuple[int, int, bytes]]) -> bytes | None:
+    """Extended XMP put together; None unless the parts share one digest and total, meet without gap or overlap, and match the digest."""
+    size = len(EXTENDED_XMP)
+    parts = [p[size:] for _, marker, p in found if marker == 0xFFE1 and p.startswith(EXTENDED_XMP) and len(p) >= size + 40]
+    data, heads = b"", {p[:36] for p in parts}
+    for p in sorted(parts, key=lambda p: (p[36:40], len(p))):
+        if int.from_bytes(p[36:40], "big") != len(data):
+            return None
+        data += p[40:]
+    if len(heads) != 1:
+        return None
+    head = heads.pop()
+    return data if int.from_bytes(head[32:], "big") == len(data) and head[:32] == hashlib.md5(data).hexdigest().upper().encode() else None
+
+
+METADATA = ("exif", "xmp", "extended", "iccp", "others")
+
+
+def metadata_in(raw: bytes | None) -> tuple:
+    """METADATA of a file in one walk: the first EXIF and XMP, extended XMP, the colour profile, and the other APP1 and APP2 segments as they are."""
+    found = walked(raw or b"")
+    app1 = [p for _, marker, p in found if marker == 0xFFE1]
+    first = [next((p[len(mark) :] for p in app1 if p.startswith(mark)), None) for mark in (EXIF, XMP)]
+    known = {0xFFE1: (EXIF, XMP, EXTENDED_XMP), 0xFFE2: (b"ICC_PROFILE\0",)}
+    others = b"".join(marker.to_bytes(2, "big") + (len(p) + 2).to_bytes(2, "big") + p for _, marker, p in found if marker in known and not p.startswith(known[marker]))
+    return (*first, extension_in(found), profile_in(found), others or None)
+
+
+def metadata_of(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
+    """(key, exif, xmp, extended, iccp, others) of all files; null where a file has none, or not a whole one."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [metadata_in(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(len(METADATA)))], names=[key, *METADATA])
 
-def application_data(images: DataFrame, content: str = "jpeg", key: str = "image_id") -> DataFrame:
-    """(key, exif, xmp, others): the first EXIF and XMP of each file, and its other APP1 and APP2 segments as they are, joined."""
-    found = segments(images, content, key).where(F.col("marker").isin(0xFFE1, 0xFFE2))
-    marks = {name: x.hex().upper() for name, x in (("exif", EXIF), ("xmp", XMP))}
-    is_a = {name: (F.col("marker") == 0xFFE1) & F.col("payload").startswith(x) for name, x in marks.items()}
-    known = is_a["exif"] | is_a["xmp"] | F.col("payload").startswith(EXTENDED_XMP.hex().upper()) | F.col("payload").startswith("4943435F50524F46494C4500")
-    other = F.struct("at", F.concat(F.hex("marker"), be(F.length("payload") / 2 + 2, 2), F.col("payload")).alias("h"))
-    first = [F.min(F.when(is_a[name], F.struct("at", F.expr(f"substring(payload, {len(x) + 1})").alias("h"))))["h"].alias(name) for name, x in marks.items()]
-    rows = found.groupBy(key).agg(*first, F.sort_array(F.collect_list(F.when(~known, other))).alias("o"))
-    return rows.select(key, F.unhex("exif").alias("exif"), F.unhex("xmp").alias("xmp"), F.unhex(F.array_join("o.h", "")).alias("others"))
+    return images.select(key, content).mapInArrow(run, f"`{key}` {dict(images.dtypes)[key]}, " + ", ".join(f"{c} binary" for c in METADATA))

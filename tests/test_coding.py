@@ -219,12 +219,16 @@ def test_matrices_of_8_and_16_bits_and_broken_ones(spark):
     assert [out[0]["chroma"][p] for p in zigzag_order()] == [max(1, min(255, k * 10)) for k in range(64)] and out[1]["chroma"] is None
 
 
+def profile_files(spark, bodies: dict, most: int) -> dict:
+    rows = spark.createDataFrame(list(bodies.items()), "image_id int, iccp binary")
+    return {r["image_id"]: None if r["t"] is None else b"\xff\xd8" + bytes.fromhex(r["t"]) + b"\xff\xd9" for r in rows.select("image_id", containers.profile_text(F.col("iccp"), most).alias("t")).collect()}
+
+
 def test_profiles_of_255_parts_and_no_more(spark):
-    rows = [(1, bytes(range(255)) * 10), (2, bytes(range(256)) * 10)]
-    parts = containers.profile_parts(spark.createDataFrame(rows, "image_id int, iccp binary"), most=10).collect()
-    assert all(r["segment"] is None for r in parts if r["image_id"] == 2)
-    jpeg = b"\xff\xd8" + b"".join(bytes(r["segment"]) for r in sorted(parts, key=lambda r: r["seq"]) if r["image_id"] == 1) + b"\xff\xd9"
-    assert bytes(containers.profile(spark.createDataFrame([(1, jpeg)], "image_id int, jpeg binary")).first()["iccp"]) == rows[0][1]
+    bodies = {1: bytes(range(255)) * 10, 2: bytes(range(256)) * 10, 3: b"", 4: None}
+    files = profile_files(spark, bodies, 10)
+    assert files[2] is None and containers.profile_in(containers.walked(files[1])) == bodies[1]
+    assert containers.profile_in(containers.walked(files[3])) is None
 
 
 def test_written_files_are_read_back(spark, tmp_path):
@@ -262,11 +266,10 @@ def test_kinds(spark):
 
 def test_profiles_are_cut_and_put_together(spark):
     body = bytes(range(256)) * 10
-    parts = containers.profile_parts(spark.createDataFrame([(1, body)], "image_id int, iccp binary"), most=1000).orderBy("seq").collect()
-    assert len(parts) == 3
-    images = [(1, b"\xff\xd8" + b"".join(bytes(p["segment"]) for p in reversed(parts)) + b"\xff\xd9"), (2, b"\xff\xd8" + bytes(parts[0]["segment"]) + b"\xff\xd9")]
-    out = {r["image_id"]: r["iccp"] for r in containers.profile(spark.createDataFrame(images, "image_id int, jpeg binary")).collect()}
-    assert bytes(out[1]) == body and out[2] is None
+    jpeg = profile_files(spark, {1: body}, 1000)[1]
+    parts = containers.walked(jpeg)
+    assert len(parts) == 3 and containers.profile_in(parts[::-1]) == body
+    assert containers.profile_in(parts[:2]) is None and containers.profile_in([*parts, parts[0]]) is None
 
 
 def test_gray_images_are_recognised(spark):

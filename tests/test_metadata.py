@@ -55,11 +55,24 @@ def test_fitted_codes_of_images(spark):
 
 def test_exif_and_xmp_are_read_back(spark):
     rows = [(1, b"one"), (2, b""), (3, None), (4, b"x" * 65528)]
-    made = spark.createDataFrame(rows, "image_id int, d binary").select("image_id", M.exif_segment(F.col("d")).alias("e"), M.xmp_segment(F.col("d")).alias("x"))
-    assert [(r["image_id"], r["e"] is None) for r in made.orderBy("image_id").collect()] == [(1, False), (2, False), (3, True), (4, True)]
+    made = spark.createDataFrame(rows, "image_id int, d binary").select("image_id", M.exif_segment(F.col("d")).alias("e"), F.unhex(M.xmp_text(F.col("d"))).alias("x"))
+    assert [(r["image_id"], r["e"] is None, r["x"] is None) for r in made.orderBy("image_id").collect()] == [(1, False, False), (2, False, False), (3, True, True), (4, True, True)]
     files = made.where("e IS NOT NULL").select("image_id", F.concat(F.unhex(F.lit("FFD8")), "x", "e", "e", F.unhex(F.lit("FFD9"))).alias("jpeg"))
-    assert {r["image_id"]: bytes(r["exif"]) for r in M.application_data(files).collect() if r["exif"] is not None} == {1: b"one", 2: b""}
-    assert {r["image_id"]: bytes(r["xmp"]) for r in M.application_data(files).collect() if r["xmp"] is not None} == {1: b"one", 2: b""}
+    out = M.metadata_of(files).collect()
+    assert {r["image_id"]: (bytes(r["exif"]), bytes(r["xmp"]), r["extended"], r["others"]) for r in out} == {1: (b"one", b"one", None, None), 2: (b"", b"", None, None)}
+
+
+def test_long_packets_are_split_and_put_together(spark):
+    tag = b'<x xmpNote:HasExtendedXMP="' + b"0" * 32 + b'"/>'
+    packets = {1: tag + b"y" * 70_000, 2: tag + b"z" * (65_503 - len(tag) + M.XMP_PART), 3: b"y" * 70_000, 4: b" " * 65_500 + tag + b"y" * 9_000, 5: tag[:-3] + b"?" + b"y" * 70_000, 6: tag + b"e" * 200_000}
+    made = spark.createDataFrame(list(packets.items()), "image_id int, d binary").select("image_id", F.unhex(M.xmp_text(F.col("d"))).alias("x"))
+    segments = {r["image_id"]: r["x"] for r in made.collect()}
+    assert {k for k, x in segments.items() if x is None} == {3, 4, 5}
+    for k in (1, 2, 6):
+        jpeg = b"\xff\xd8" + bytes(segments[k]) + b"\xff\xd9"
+        _, main, rest, _, _ = M.metadata_in(jpeg)
+        assert len(main) == 65_503 and rest == packets[k][65_503:] and main == packets[k][:65_503].replace(b"0" * 32, hashlib.md5(rest).hexdigest().upper().encode(), 1)
+    assert len(M.walked(b"\xff\xd8" + bytes(segments[2]) + b"\xff\xd9")) == 3  # an exact multiple ends with an empty part
 
 
 def test_extended_xmp_needs_every_part(spark):
@@ -69,7 +82,7 @@ def test_extended_xmp_needs_every_part(spark):
     wrong = [*parts[:-1], parts[-1][:-1] + b"?"]
     files = [(1, parts[::-1]), (2, parts[:-1]), (3, [*parts, parts[0]]), (4, wrong)]
     images = spark.createDataFrame([(k, b"\xff\xd8" + b"".join(p) + b"\xff\xd9") for k, p in files], "image_id int, jpeg binary")
-    out = {r["image_id"]: r["xmp"] for r in M.extended_xmp(images).collect()}
+    out = {r["image_id"]: r["extended"] for r in M.metadata_of(images).collect()}
     assert bytes(out[1]) == body and [out[k] for k in (2, 3, 4)] == [None] * 3
 
 
