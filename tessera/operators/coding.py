@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import expressions as X
 from tessera.functions.tables import BASE_QUANT, base_quant, huffman, zigzag
 from tessera.operators import images as I
+from tessera.operators import sharpness as S
 
 
 def replicated(planes: DataFrame, unit: int = 8) -> DataFrame:
@@ -240,30 +241,14 @@ def synthetic_sharpness(a: Column, b: Column) -> Column:
 
 
 def riskiness(pixels: DataFrame, noise: int = 4, sharpness=synthetic_sharpness) -> DataFrame:
-    """(image_id, visited, scored, total, gray, risk, mode): how much chroma subsampling would blur.
+    """(image_id, area, visited, scored, total, gray, risk, mode): how much chroma subsampling would blur.
 
-    sharpness: a function of two bucket columns. Neighbours come from windows along rows
-    and columns, so partitions are rows or columns of one image, never a whole image.
+    sharpness: a function of two bucket columns. Neighbours come by tiles, never by a whole image.
     """
     idx = pixels.select("image_id", "y", "x", risk_index(*(F.col(c).cast("int") for c in "rgb")).alias("i"))
-    right = F.lead("i").over(Window.partitionBy("image_id", "y").orderBy("x"))
-    rows = idx.withColumn("e", right)
-    down = Window.partitionBy("image_id", "x").orderBy("y")
-    rows = rows.withColumn("s", F.lead("i").over(down)).where("e IS NOT NULL AND s IS NOT NULL")
+    rows = S.tiled(idx).where("e IS NOT NULL AND s IS NOT NULL").groupBy("image_id", "i", "e", "s").agg(F.count("*").alias("n"))
     score = sharpness(F.col("i"), F.col("e")) + sharpness(F.col("i"), F.col("s")) + sharpness(F.col("e"), F.col("s"))
-    gray = (F.expr("i div 7 % 7") == 3) & (F.expr("i div 49") == 3)
-    sums = rows.withColumn("score", score).groupBy("image_id").agg(
-        F.count("*").alias("visited"),
-        F.sum(F.when(F.col("score") > noise, 1).otherwise(0)).cast("long").alias("scored"),
-        F.sum(F.when(F.col("score") > noise, F.col("score")).otherwise(0)).cast("long").alias("total"),
-        F.sum(F.when(gray, 1).otherwise(0)).cast("long").alias("gray"),
-    )
-    area = pixels.groupBy("image_id").agg(F.count("*").alias("area"))
-    risk = F.when(F.col("scored") * 100 < F.col("area"), 0.0).otherwise(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0))
-    mode = F.when(F.col("gray") > 0.995 * F.col("visited"), "400").when(F.col("risk") < 40, "420").when(F.col("risk") < 70, "sharp").otherwise("444")
-    sums = area.join(sums, "image_id", "left").fillna(0, ["visited", "scored", "total", "gray"])  # images of one row or column visit nothing
-    risk = F.when(F.col("scored") * 100 < F.col("area"), 0.0).otherwise(F.coalesce(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0), F.lit(0.0)))
-    return sums.withColumn("risk", risk).withColumn("mode", mode)
+    return S.judged(rows.withColumn("score", score), pixels.groupBy("image_id").agg(F.count("*").alias("area")), noise)
 
 
 def mirrored_scores(pixels: DataFrame, cy: Column, cx: Column, noise: int, sharpness) -> DataFrame:

@@ -10,7 +10,7 @@ from tessera.functions.tables import BASE_QUANT, sql_values, standard_codes, zig
 from tessera.operators import coding as C
 from tessera.operators import huffman as H
 from tessera.operators import images as I
-from tessera.operators import packing, search
+from tessera.operators import packing, search, sharpness
 from tessera.sources import containers, fixtures, metadata
 from tessera.sources.shared import stored
 
@@ -217,6 +217,8 @@ def fitted_scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Layouts of the sample queries, with the chroma modes that packed ones are coded in.
 SAMPLED = [("rgb", "444"), ("rgb", "420"), ("rgb", "400"), ("rgba", "420"), ("bgra", "444"), ("gray", "400"), ("nv12", "420"), ("nv21", "420"), ("yuv420", "420"), ("yuv444", "444")]
 WIDTH = 38
+#: Scores of the fitted sharpness table are this many times the mean loss.
+SHARPNESS_SCALE = 1
 
 
 def height_of(kind: str) -> str:
@@ -258,6 +260,45 @@ def colour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: How the bytes of texts become colour images of little, some and much chroma, by doc_id modulo 3: hexadecimal patterns.
+TINTS = [("(..)", "$1$1$1"), ("(.)(.)(.)(.)", "$1$2$1$2$1$4$3$4$3$4$3$2"), ("(..)", "$1")]
+
+
+def tinted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as RGB images 38 wide, gray ones, such of little chroma, and plain ones."""
+    digits = F.hex("content")
+    made = F.element_at(F.array(*[F.regexp_replace(digits, a, b) for a, b in TINTS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.unhex(made).alias("content")).withColumn("n", F.octet_length("content"))
+    return rows.select("image_id", "width", F.expr(height_of("rgb")).alias("height"), "content").where("height > 0")
+
+
+def fitted_risk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts as images, the sharpness table fitted to all of them, and what it says of each."""
+    images = tinted_images(spark, sf_dir)
+    triples = stored(sharpness.triples_of(images), "triples")
+    table = stored(sharpness.fitted(triples, SHARPNESS_SCALE), "sharpness")
+    return images, table, sharpness.recommended(images, table, triples)
+
+
+def sharpness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean loss of chroma at pairs of colour buckets."""
+    return fitted_risk(spark, sf_dir)[1].select("a", "b", "score")
+
+
+def fitted_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk and mode of each image by the fitted table."""
+    return fitted_risk(spark, sf_dir)[2].select("image_id", "visited", "scored", "total", "gray", "risk", "mode")
+
+
+def auto_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of images each in the mode that its own risk recommends ("sharp" is laid out as 4:2:0), summed by component."""
+    images, _, risks = fitted_risk(spark, sf_dir)
+    chosen = images.join(risks.select("image_id", "mode"), "image_id")
+    blocks = I.blocks_of(chosen, "rgb", F.when(F.col("mode") == "sharp", "420").otherwise(F.col("mode")))
+    total = F.aggregate(F.transform("s", lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x)
+    return blocks.groupBy("image_id", "mode", "comp").agg(F.count("*").alias("blocks"), F.sum(total.cast("long") * (F.col("scan_idx") + 1)).alias("placed"))
+
+
 def file_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose one DQT segment holds both matrices at quality doc_id modulo 101, of 16 bits for odd ids: the matrices read, and their quality."""
     every = C.quantizer(spark, every_quality(spark)).groupBy("quality", "qidx").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("m"))
@@ -340,7 +381,7 @@ QUERIES = {
     for f in (
         quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
         block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
-        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images, stuffed_sizes, target_psnr, target_size,
+        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images, stuffed_sizes, target_psnr, target_size, sharpness_table, fitted_risks, auto_blocks,
         fitted_codes, fitted_scan_bits, exif_segments, extended_xmp_parts, text_profiles, pixmap_sums,
     )
 }
@@ -618,6 +659,29 @@ kv AS MATERIALIZED (SELECT v.*, zz, before FROM v JOIN zz USING (pos) JOIN first
 SELECT image_id, target, best_q AS q, value, passes FROM s12"""
 
 
+TINTED = " ".join(f"WHEN {k} THEN regexp_replace(hex(encode(text)), '{a}', '{b.replace('$', chr(92))}', 'g')" for k, (a, b) in enumerate(TINTS))
+FITTED = f"""o AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(x, '..'), lambda y: ('0x' || y)::INT) AS a, (length(x) // 2)::BIGINT AS n FROM (SELECT doc_id, CASE doc_id % 3 {TINTED} END AS x FROM documents)),
+iy AS (SELECT doc_id AS image_id, a, n // {3 * WIDTH} AS h, unnest(range(n // {3 * WIDTH})) AS y FROM o),
+px AS (SELECT image_id, h, y, x, a[1 + (y * {WIDTH} + x) * 3] AS r, a[2 + (y * {WIDTH} + x) * 3] AS g, a[3 + (y * {WIDTH} + x) * 3] AS b FROM iy, (SELECT unnest(range({WIDTH})) AS x)),
+cell AS (SELECT image_id, y // 2 AS cy, x // 2 AS cx, (sum(r) * 4 // count(*))::INT AS r, (sum(g) * 4 // count(*))::INT AS g, (sum(b) * 4 // count(*))::INT AS b FROM px GROUP BY image_id, y // 2, x // 2),
+half AS (SELECT image_id, cy, cx, {U.format(131072, 18)} AS hu, {V.format(131072, 18)} AS hv FROM cell),
+yu AS (SELECT image_id, h, y, x, {LUMA} AS l, {U.format(32768, 16)} AS u, {V.format(32768, 16)} AS v FROM px),
+ix AS (SELECT yu.image_id, h, y, x, {BUCKET.format("l")} + 7 * {BUCKET.format("u")} + 49 * {BUCKET.format("v")} AS i, abs(u - hu) + abs(v - hv) AS loss
+       FROM yu JOIN half ON half.image_id = yu.image_id AND cy = y // 2 AND cx = x // 2),
+nb AS (SELECT *, lead(i) OVER (PARTITION BY image_id, y ORDER BY x) AS e, lead(i) OVER (PARTITION BY image_id, x ORDER BY y) AS s FROM ix),
+tr AS MATERIALIZED (SELECT image_id, i, e, s, count(*) AS n, sum(loss) AS loss FROM nb WHERE e IS NOT NULL AND s IS NOT NULL GROUP BY ALL),
+tb AS MATERIALIZED (SELECT a, b, least(255, {SHARPNESS_SCALE} * sum(loss) // sum(n))::INT AS score FROM (SELECT i AS a, e AS b, n, loss FROM tr UNION ALL SELECT i, s, n, loss FROM tr) GROUP BY a, b)"""
+RISKS = f"""{FITTED},
+sc AS (SELECT image_id, i, n, coalesce(x.score, 0) + coalesce(y.score, 0) + coalesce(z.score, 0) AS score FROM tr
+       LEFT JOIN tb x ON x.a = i AND x.b = e LEFT JOIN tb y ON y.a = i AND y.b = s LEFT JOIN tb z ON z.a = e AND z.b = s),
+su AS (SELECT image_id, sum(n)::BIGINT AS visited, coalesce(sum(n) FILTER (score > 4), 0)::BIGINT AS scored, coalesce(sum(n * score) FILTER (score > 4), 0)::BIGINT AS total,
+              coalesce(sum(n) FILTER (i // 7 % 7 = 3 AND i // 49 = 3), 0)::BIGINT AS gray FROM sc GROUP BY image_id),
+al AS (SELECT doc_id AS image_id, {WIDTH} * (n // {3 * WIDTH}) AS area FROM o WHERE n >= {3 * WIDTH}),
+jo AS (SELECT image_id, area, coalesce(visited, 0) AS visited, coalesce(scored, 0) AS scored, coalesce(total, 0) AS total, coalesce(gray, 0) AS gray FROM al LEFT JOIN su USING (image_id)),
+ri AS (SELECT *, CASE WHEN scored = 0 OR scored * 100 < area THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, total::DOUBLE / scored * 4) END AS risk FROM jo),
+md AS MATERIALIZED (SELECT *, CASE WHEN visited > 0 AND gray > 0.995 * visited THEN '400' WHEN risk < 40 THEN '420' WHEN risk < 70 THEN 'sharp' ELSE '444' END AS mode FROM ri)"""
+
+
 def colour_file_sql(mode: str) -> str:
     return f"""(WITH {scan_sql(layout_sql("rgb", mode), 3)}, f AS (SELECT image_id, {file_sql("h", mode, f"strlen(text) // {3 * WIDTH}")} AS f, strlen(text) // {3 * WIDTH} AS height FROM xh JOIN documents ON doc_id = image_id)
 SELECT '{mode}' AS mode, image_id, {WIDTH} AS width, height::INT AS height, 3 AS components, {str(mode == "420").lower()} AS is_420, 2 AS dqt, {QUALITY} AS quality, (length(f) // 2)::BIGINT AS n_bytes, upper(md5(unhex(f))) AS md5 FROM f)"""
@@ -677,6 +741,10 @@ SELECT qidx, pos, q, iq::INT AS iq, ib::INT AS ib, ((1048576 + iq - 1) // iq - i
     "encoded_images": f"""{GRAY}, f AS (SELECT image_id, {file_sql("h", "400", f"strlen(text) // {WIDTH}")} AS f, strlen(text) // {WIDTH} AS height FROM xh JOIN documents ON doc_id = image_id)
 SELECT image_id, {WIDTH} AS width, height::INT AS height, 1 AS components, 1 AS dqt, (length(f) // 2)::BIGINT AS n_bytes, upper(md5(unhex(f))) AS md5 FROM f""",
     "stuffed_sizes": f"{GRAY} SELECT image_id, (length(h) // 2)::BIGINT AS n_bytes, n_ff FROM xh",
+    "sharpness_table": f"WITH {FITTED} SELECT a::INT AS a, b::INT AS b, score FROM tb",
+    "fitted_risks": f"WITH {RISKS} SELECT image_id, visited, scored, total, gray, risk, mode FROM md",
+    "auto_blocks": f"WITH {RISKS} " + " UNION ALL ".join(f"""SELECT image_id, '{m}' AS mode, comp, count(*)::BIGINT AS blocks, sum(list_sum(list_transform(s, lambda x, i: x * i))::BIGINT * (scan_idx + 1))::BIGINT AS placed
+FROM {layout_sql("rgb", m)} JOIN (SELECT image_id FROM md WHERE mode IN {which}) USING (image_id) GROUP BY image_id, comp""" for m, which in (("400", "('400')"), ("420", "('420', 'sharp')"), ("444", "('444')"))),
     "target_psnr": TARGET_PSNR,
     "target_size": TARGET_SIZE,
     "file_matrices": f"""WITH {quant_sql(ALL)},
