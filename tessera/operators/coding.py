@@ -85,11 +85,16 @@ def quantizer(spark: SparkSession, qualities: DataFrame | int, bias: int = 120)
     return q.withColumn("iq", X.reciprocal(F.col("q"))).withColumn("ib", X.rounding(F.col("q"), F.col("pos"), bias)).withColumn("thr", X.threshold(F.col("q"), F.col("pos"), bias))
 
 
-def limited(quant: DataFrame, limits: DataFrame, tolerance: int = 0, bias: int = 120) -> DataFrame:
-    """quant with no step under the least that limits (qidx, pos, m) allow under a tolerance of 0..100 in 256ths; positions without a limit stay."""
-    least = limits.select("qidx", "pos", X.least_quant(F.col("m"), max(0, min(100, tolerance))).alias("least"))
-    q = quant.join(F.broadcast(least), ["qidx", "pos"], "left").withColumn("q", F.greatest("q", F.coalesce("least", F.lit(1))))
-    return q.withColumn("iq", X.reciprocal(F.col("q"))).withColumn("ib", X.rounding(F.col("q"), F.col("pos"), bias)).withColumn("thr", X.threshold(F.col("q"), F.col("pos"), bias))
+def steps_at(quality: Column, qidx: Column) -> Column:
+    """The 64 steps of a quantiser at a quality, in natural order."""
+    base = F.array(*[F.array(*map(F.lit, BASE_QUANT[k])) for k in sorted(BASE_QUANT)])[qidx]
+    return F.transform(base, lambda m: X.scaled(m, X.quality_scale(quality)))
+
+
+def limited(steps: Column, limits: Column, tolerance: int = 0) -> Column:
+    """Steps, none under the least that limits allow under a tolerance of 0..100 in 256ths; null limits leave them as they are."""
+    least = F.zip_with(steps, limits, lambda q, m: F.greatest(q, X.least_quant(m, max(0, min(100, tolerance)))))
+    return F.coalesce(least, steps)
 
 
 def levels(coefficients: DataFrame, quant: DataFrame, bias: int = 120) -> DataFrame:
@@ -138,17 +143,6 @@ def error_sums(leveled: DataFrame) -> DataFrame:
     return leveled.groupBy("image_id").agg(F.sum(error).cast("long").alias("error"), F.count("*").alias("samples"), F.sum(F.when(F.col("level") != 0, 1).otherwise(0)).cast("long").alias("nonzero"))
 
 
-def estimated_quality(matrices: DataFrame) -> DataFrame:
-    """matrices (key, qidx, pos, m) -> (key, quality, distance): the quality 0..100 whose matrix is nearest; first wins."""
-    spark = matrices.sparkSession
-    every = quantizer(spark, spark.range(101).select(F.col("id").cast("int").alias("quality"))).select("quality", "qidx", "pos", "q")
-    pairs = matrices.join(F.broadcast(every), ["qidx", "pos"])
-    off = (F.col("m") - F.col("q")).cast("long")
-    summed = pairs.groupBy("key", "quality").agg(F.sum(off * off).alias("distance"))
-    best = summed.groupBy("key").agg(F.min(F.struct("distance", "quality")).alias("b"))
-    return best.select("key", "b.quality", "b.distance")
-
-
 def nearest(matrix: str, qidx: int = 0) -> Column:
     """(distance, quality) of a column of 64 steps in natural order: the quality 0..100 whose matrix is nearest; first wins."""
     base = F.array(*map(F.lit, BASE_QUANT[qidx]))
@@ -160,8 +154,15 @@ def nearest(matrix: str, qidx: int = 0) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: F.struct(apart(k).alias("distance"), k.alias("quality"))))
 
 
-def nearest_quality(matrix: str, qidx: int = 0) -> Column:
-    return nearest(matrix, qidx)["quality"]
+def with_quality(rows: DataFrame, matrix: str) -> DataFrame:
+    """rows with quality and distance of a column of 64 steps (of quantiser `qidx`, or 0), null for null.
+
+    Files share few matrices, so each distinct one is compared with all qualities once.
+    """
+    qidx = F.col("qidx") if "qidx" in rows.columns else F.lit(0)
+    each = rows.select(F.col(matrix).alias("_m"), qidx.alias("_k")).where("_m IS NOT NULL").distinct()
+    best = each.select("_m", "_k", F.when(F.col("_k") == 0, nearest("_m", 0)).otherwise(nearest("_m", 1)).alias("_best"))
+    return rows.join(best, (F.col(matrix) == F.col("_m")) & (qidx == F.col("_k")), "left").select(*rows.columns, "_best.quality", "_best.distance")
 
 
 #: Weights of the offsets -7..7 in the fits of adaptive steps, a Gaussian scaled to 255.

@@ -10,6 +10,7 @@ from tessera.functions.tables import BASE_QUANT, sql_values, standard_codes, zig
 from tessera.operators import coding as C
 from tessera.operators import huffman as H
 from tessera.operators import images as I
+from tessera.operators import checksums as K
 from tessera.operators import packing, search, sharpness
 from tessera.sources import containers, fixtures, metadata
 from tessera.sources.shared import stored
@@ -39,21 +40,45 @@ def every_quality(spark: SparkSession) -> DataFrame:
     return spark.range(101).select(F.col("id").cast("int").alias("quality"))
 
 
+def step_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, quality, jpeg): a file for each text whose one DQT segment holds both matrices at quality doc_id modulo 101, of 16 bits for odd ids."""
+    every = C.quantizer(spark, every_quality(spark)).groupBy("quality", "qidx").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("m"))
+    steps = F.transform(F.array(*map(F.lit, zigzag_order())), lambda p: F.element_at("m.q", p + 1))
+    text = lambda wide: F.concat(F.lit("1" if wide else "0"), F.col("qidx").cast("string"), F.array_join(F.transform(steps, lambda q: F.lpad(F.hex(q), 4 if wide else 2, "0")), ""))
+    both = lambda wide: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("qidx", text(wide).alias("t")))), lambda x: x["t"]), "")
+    tables = every.groupBy("quality").agg(both(False).alias("t0"), both(True).alias("t1"))  # 101 rows
+    docs = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), (F.col("doc_id") % 101).cast("int").alias("quality"))
+    body = F.when(F.col("image_id") % 2 == 0, F.col("t0")).otherwise(F.col("t1"))
+    return docs.join(F.broadcast(tables), "quality").select("image_id", "quality", F.unhex(F.concat(F.lit("FFD8FFDB"), containers.be(F.length(body) / 2 + 2, 2), body, F.lit("FFDA0002"))).alias("jpeg"))
+
+
+def read_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, qidx, m): both matrices read out of each of the files."""
+    read = containers.inspected(step_files(spark, sf_dir))
+    return read.select("image_id", "quality", F.posexplode(F.array("luma", "chroma")).alias("qidx", "m"))
+
+
+def placed(values) -> F.Column:
+    """The sum of an array's values, each times its place."""
+    return F.aggregate(F.transform(values, lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def quant_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both matrices at all qualities, with reciprocals, rounding and thresholds."""
-    return C.quantizer(spark, every_quality(spark)).select("quality", "qidx", "pos", "q", "iq", "ib", "thr")
+    """The matrices read from files, one of each quality, with reciprocals, rounding and thresholds."""
+    each = read_matrices(spark, sf_dir).groupBy("quality", "qidx").agg(F.min("m").alias("m")).select("quality", "qidx", F.posexplode("m").alias("pos", "q"))
+    q, pos = F.col("q"), F.col("pos")
+    return each.select("quality", "qidx", "pos", "q", X.reciprocal(q).alias("iq"), X.rounding(q, pos).alias("ib"), X.threshold(q, pos).alias("thr"))
 
 
 def reduced_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matrices at quality 75 for a size reduction of 80 %, and the least entries under a tolerance of 100."""
-    q = C.quantizer(spark, QUALITY)
-    return q.select("qidx", "pos", X.reduced(F.col("q"), 80.0).alias("reduced"), X.least_quant(F.col("q"), 100).alias("least"))
+    """Each file's matrices for a size reduction of 80 %, and the least entries under a tolerance of 100, summed by place."""
+    made = lambda f, name: placed(F.transform("m", f)).alias(name)
+    return read_matrices(spark, sf_dir).select("image_id", "qidx", made(lambda m: X.reduced(m, 80.0), "reduced"), made(lambda m: X.least_quant(m, 100), "least"))
 
 
 def quality_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality found again from each quality's own matrix."""
-    keys = C.quantizer(spark, every_quality(spark)).select((F.col("quality") * 2 + F.col("qidx")).alias("key"), "qidx", "pos", F.col("q").alias("m"))
-    return C.estimated_quality(keys)
+    """The quality found again from each matrix of each file."""
+    return C.with_quality(read_matrices(spark, sf_dir).drop("quality"), "m").select("image_id", "qidx", "quality", "distance")
 
 
 def colour_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +171,8 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.contents(spark, sf_dir).select("doc_id", F.crc32("content").alias("crc"))
+    """CRC-32 of texts put together from chunks of 1,000 bytes."""
+    return K.crc32(fixtures.contents(spark, sf_dir), size=1000).select("doc_id", "crc", "n")
 
 
 def block_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +184,10 @@ def risk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def limited_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps at quality 90 that may not fall under those at quality 75 less a tolerance of 60/256."""
-    out = C.limited(C.quantizer(spark, 90), C.quantizer(spark, QUALITY).select("qidx", "pos", F.col("q").alias("m")), 60)
-    return out.select("qidx", "pos", "q", "iq", "ib", "thr")
+    """Steps at quality 90 that may not fall under those of each file less a tolerance of 60/256, finalised and summed by place."""
+    rows = read_matrices(spark, sf_dir).withColumn("q", C.limited(C.steps_at(F.lit(90), F.col("qidx")), F.col("m"), 60))
+    made = lambda f, name: placed(F.transform("q", f)).alias(name)
+    return rows.select("image_id", "qidx", placed("q").alias("q"), made(lambda q, p: X.reciprocal(q), "iq"), made(lambda q, p: X.rounding(q, p), "ib"), made(lambda q, p: X.threshold(q, p), "thr"))
 
 
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +281,8 @@ def colour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mode in ("420", "444"):
         images = images_of_texts(spark, sf_dir, "rgb")
         scans = packing.scans(I.coded(I.blocks_of(images, "rgb", mode), matrices(QUALITY))).join(images.drop("content"), "image_id")
-        files = containers.inspected(containers.baseline_files(scans, matrices(QUALITY), mode))
-        rows = files.select(F.lit(mode).alias("mode"), "image_id", "width", "height", "components", "is_420", "dqt", C.nearest_quality("luma").alias("quality"), F.octet_length("jpeg").cast("long").alias("n_bytes"), F.upper(F.md5("jpeg")).alias("md5"))
+        files = C.with_quality(containers.inspected(containers.baseline_files(scans, matrices(QUALITY), mode)), "luma")
+        rows = files.select(F.lit(mode).alias("mode"), "image_id", "width", "height", "components", "is_420", "dqt", "quality", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.upper(F.md5("jpeg")).alias("md5"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -300,19 +327,9 @@ def auto_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose one DQT segment holds both matrices at quality doc_id modulo 101, of 16 bits for odd ids: the matrices read, and their quality."""
-    every = C.quantizer(spark, every_quality(spark)).groupBy("quality", "qidx").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("m"))
-    steps = F.transform(F.array(*map(F.lit, zigzag_order())), lambda p: F.element_at("m.q", p + 1))
-    text = lambda wide: F.concat(F.lit("1" if wide else "0"), F.col("qidx").cast("string"), F.array_join(F.transform(steps, lambda q: F.lpad(F.hex(q), 4 if wide else 2, "0")), ""))
-    both = lambda wide: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("qidx", text(wide).alias("t")))), lambda x: x["t"]), "")
-    tables = every.groupBy("quality").agg(both(False).alias("t0"), both(True).alias("t1"))
-    docs = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), (F.col("doc_id") % 101).cast("int").alias("quality"))
-    body = F.when(F.col("image_id") % 2 == 0, F.col("t0")).otherwise(F.col("t1"))
-    files = docs.join(F.broadcast(tables), "quality").select("image_id", F.unhex(F.concat(F.lit("FFD8FFDB"), containers.be(F.length(body) / 2 + 2, 2), body, F.lit("FFDA0002"))).alias("jpeg"))
-    read = containers.inspected(files)
-    found = read.withColumn("best", C.nearest("luma")).select("*", "best.quality", "best.distance")
-    total = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x).alias(c)
-    return found.select("image_id", "dqt", total("luma"), total("chroma"), "quality", "distance")
+    """Both matrices read out of each file, summed by place, and the quality of the first."""
+    found = C.with_quality(containers.inspected(step_files(spark, sf_dir).drop("quality")), "luma")
+    return found.select("image_id", "dqt", placed("luma").cast("int").alias("luma"), placed("chroma").cast("int").alias("chroma"), "quality", "distance")
 
 
 #: The beginning of a packet that goes on in extended XMP.
@@ -690,11 +707,13 @@ SELECT '{mode}' AS mode, image_id, {WIDTH} AS width, height::INT AS height, 3 AS
 SCORE = " + ".join(f"least(62, 2 * ({APART.format(a, b)}))" for a, b in (("i", "e"), ("i", "s"), ("e", "s")))
 
 ORACLE = {
-    "quant_matrices": f"WITH {quant_sql(ALL)} SELECT quality, qidx, pos, q, iq::INT AS iq, ib::INT AS ib, thr::INT AS thr FROM quant",
-    "reduced_matrices": f"WITH {quant_sql(ONE)} SELECT qidx, pos, greatest(1, least(255, floor(q * 100.0::DOUBLE / 80 + 0.5)))::INT AS reduced, greatest(1, (q * 156) >> 8)::INT AS least FROM quant",
+    "quant_matrices": f"WITH {quant_sql(ALL)} SELECT quality, qidx, pos, q, iq::INT AS iq, ib::INT AS ib, thr::INT AS thr FROM quant WHERE quality IN (SELECT doc_id % 101 FROM documents)",
+    "reduced_matrices": f"""WITH {quant_sql(ALL)}, r AS (SELECT quality, qidx, sum((pos + 1) * greatest(1, least(255, floor(q * 100.0::DOUBLE / 80 + 0.5)))::INT)::BIGINT AS reduced, sum((pos + 1) * greatest(1, (q * 156) >> 8))::BIGINT AS least FROM quant GROUP BY ALL)
+SELECT doc_id AS image_id, qidx, reduced, least FROM documents JOIN r ON r.quality = doc_id % 101""",
     "quality_estimates": f"""WITH {quant_sql(ALL)},
-d AS (SELECT a.quality * 2 + a.qidx AS key, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS distance FROM quant a JOIN quant b USING (qidx, pos) GROUP BY 1, 2)
-SELECT key::INT AS key, quality, distance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, quality) AS k FROM d) WHERE k = 1""",
+d AS (SELECT a.quality AS key, a.qidx, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS distance FROM quant a JOIN quant b USING (qidx, pos) GROUP BY 1, 2, 3),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY key, qidx ORDER BY distance, quality) = 1)
+SELECT doc_id AS image_id, qidx, quality, distance FROM documents JOIN k ON key = doc_id % 101""",
     "colour_planes": f"""WITH {PIX}
 SELECT image_id, 0 AS comp, y, x, {LUMA} AS s FROM px UNION ALL SELECT image_id, 1, y, x, {U.format(32768, 16)} FROM px UNION ALL SELECT image_id, 2, y, x, {V.format(32768, 16)} FROM px""",
     "chroma_420": f"""WITH {PIX},
@@ -731,10 +750,11 @@ ix AS (SELECT image_id, cy, cx, y, x, {SIGNED.format(LUMA)} + 7 * {SIGNED.format
        FROM px JOIN tl ON y BETWEEN 7 * cy AND 7 * cy + 7 AND x BETWEEN 7 * cx AND 7 * cx + 7) {MIRRORED},
 sc AS (SELECT *, {SCORE} AS score FROM nb)
 SELECT image_id, y, x, least(255, 2 * CASE WHEN score > 4 THEN score ELSE 0 END)::INT AS risk FROM sc WHERE y < 7 * cy + 7 AND x < 7 * cx + 7""",
-    "limited_matrices": f"""WITH {quant_sql("(SELECT unnest([75, 90]) AS quality)")},
-m AS (SELECT a.qidx, a.pos, greatest(a.q, 1, (b.q * 196) >> 8)::INT AS q FROM quant a JOIN quant b USING (qidx, pos) WHERE a.quality = 90 AND b.quality = 75),
-r AS (SELECT *, CASE WHEN q = 1 THEN 65535 ELSE (65536 + q // 2) // q END AS iq, ((CASE WHEN q = 1 OR pos = 0 THEN 128 ELSE 120 END * q * 16 + 128) >> 8) AS ib FROM m)
-SELECT qidx, pos, q, iq::INT AS iq, ib::INT AS ib, ((1048576 + iq - 1) // iq - ib)::INT AS thr FROM r""",
+    "limited_matrices": f"""WITH {quant_sql(ALL)},
+m AS (SELECT b.quality, a.qidx, a.pos, greatest(a.q, 1, (b.q * 196) >> 8)::INT AS q FROM quant a JOIN quant b USING (qidx, pos) WHERE a.quality = 90),
+r AS (SELECT *, CASE WHEN q = 1 THEN 65535 ELSE (65536 + q // 2) // q END AS iq, ((CASE WHEN q = 1 OR pos = 0 THEN 128 ELSE 120 END * q * 16 + 128) >> 8) AS ib FROM m),
+u AS (SELECT quality, qidx, sum((pos + 1) * q)::BIGINT AS q, sum((pos + 1) * iq)::BIGINT AS iq, sum((pos + 1) * ib)::BIGINT AS ib, sum((pos + 1) * ((1048576 + iq - 1) // iq - ib))::BIGINT AS thr FROM r GROUP BY ALL)
+SELECT doc_id AS image_id, qidx, q, iq, ib, thr FROM documents JOIN u ON u.quality = doc_id % 101""",
     "sample_blocks": f"WITH {BYTES} " + " UNION ALL ".join(f"SELECT '{k} {m}' AS layout, image_id, scan_idx, comp, {PLACED} FROM {layout_sql(k, m)}" for k, m in SAMPLED),
     "colour_symbols": COLOUR_SYMBOLS,
     "colour_files": f"WITH {BYTES}, {quant_sql(ONE)} " + " UNION ALL ".join(f"SELECT * FROM {colour_file_sql(mode)}" for mode in ("420", "444")),
@@ -769,6 +789,10 @@ ri AS (SELECT *, CASE WHEN scored * 100 < (SELECT count(*) FROM px) THEN 0.0::DO
 SELECT *, CASE WHEN gray > 0.995 * visited THEN '400' WHEN risk < 40 THEN '420' WHEN risk < 70 THEN 'sharp' ELSE '444' END AS mode FROM ri""",
     "sample_error_map": f"WITH {PIX}, l AS (SELECT image_id, y, x, {LUMA} AS s FROM px) SELECT a.image_id, a.y, a.x, least(255, 4 * abs(a.s - b.s))::INT AS error FROM l a JOIN l b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x + 1",
     "checksums": "SELECT doc_id, upper(md5(text)) AS md5, strlen(text)::BIGINT AS n FROM documents",
+    "crc_checksums": f"""WITH RECURSIVE {BYTES},
+step(k, bits, c) AS (SELECT i, 0, i::BIGINT FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT k, bits + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END FROM step WHERE bits < 8),
+t AS (SELECT list(c ORDER BY k) AS t FROM step WHERE bits = 8)
+SELECT doc_id, xor(list_reduce(list_transform(a, lambda x: x::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), {0xFFFFFFFF}::BIGINT), {0xFFFFFFFF}) AS crc, n FROM o, t""",
     "exif_segments": """SELECT doc_id, CASE WHEN strlen(text) + 8 <= 65535 THEN strlen(text) + 10 END::BIGINT AS n_bytes,
 CASE WHEN strlen(text) + 8 <= 65535 THEN 'FFE1' || upper(printf('%04x', strlen(text) + 8)) || '457869660000' END AS head FROM documents""",
     "extended_xmp_parts": """SELECT doc_id, upper(md5(text)) AS guid, k AS "at", (least(1000, n - k) + 79)::BIGINT AS n_bytes
