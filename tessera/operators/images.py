@@ -211,19 +211,21 @@ def symbols(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def coded(blocks: DataFrame, matrices: dict[int, list[int]], bias: int = 120) -> DataFrame:
     """(image_id, comp, qidx, scan_idx, dc, ac, nonzero, error) of blocks (image_id, scan_idx, s; comp and qidx, or 0).
 
-    matrices: steps of each quantiser in natural order, or a column `q` of the blocks has
-    them; dc: the level of the first coefficient; ac: see `symbols`; error: of quantisation.
+    matrices: steps of each quantiser in natural order; or the blocks have a column `q` of
+    them, or `scale`, in percent of the base matrices; dc: the level of the first coefficient; ac: see `symbols`; error: of quantisation.
     """
     zero = lambda c: F.col(c).cast("int").alias(c) if c in blocks.columns else F.lit(0).alias(c)
-    own = "q" in blocks.columns
-    rows = blocks.select("s", "image_id", zero("comp"), zero("qidx"), F.col("scan_idx").cast("long").alias("scan_idx"), *(["q"] if own else []))
-    order = np.array(zigzag_order())
+    own = next((c for c in ("q", "scale") if c in blocks.columns), None)
+    rows = blocks.select("s", "image_id", zero("comp"), zero("qidx"), F.col("scan_idx").cast("long").alias("scan_idx"), *([own] if own else []))
+    order, base = np.array(zigzag_order()), np.array([BASE_QUANT[k] for k in sorted(BASE_QUANT)])
 
     def run(batches):
         for batch in batches:
             at, s = samples_of(batch.column(0))
             some = batch if len(at) == batch.num_rows else batch.take(pa.array(at))
-            if own:
+            if own == "scale":
+                q = np.clip((base[some.column(3).to_numpy()] * some.column(5).to_numpy()[:, None].astype(np.int64) + 50) // 100, 1, 255)
+            elif own:
                 q = some.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 64)
             else:
                 table = np.array([matrices.get(k, [1] * 64) for k in range(max(matrices) + 1)], np.int64)

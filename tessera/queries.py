@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from tessera.operators import huffman as H
 from tessera.operators import images as I
 from tessera.operators import checksums as K
 from tessera.operators import packing, search, sharpness
-from tessera.sources import containers, fixtures, metadata
-from tessera.sources.shared import stored
+from tessera.sources import containers, files, fixtures, metadata
+from tessera.sources.shared import run_dir, stored
+from tessera.streaming import folder
 
 QUALITY = 75
 
@@ -202,6 +205,27 @@ def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "width", "height", "components", "dqt", F.octet_length("jpeg").cast("long").alias("n_bytes"), F.upper(F.md5("jpeg")).alias("md5"))
 
 
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tinted texts as files of their own mode and quality, written by the sink; what the header source reads of them by ranges."""
+    path = f"{run_dir(spark)}/files-{uuid.uuid4().hex}"
+    files.register(spark)
+    images = tinted_images(spark, sf_dir).withColumn("mode", F.element_at(F.array(*map(F.lit, ("400", "420", "444"))), (F.col("image_id") % 3 + 1).cast("int")))
+    quality = (F.col("image_id") % 101).cast("double")
+    blocks = I.blocks_of(images, "rgb", F.col("mode")).withColumn("scale", X.quality_scale(quality))
+    scans = packing.scans(I.coded(blocks, {})).join(images.drop("content"), "image_id").withColumn("q", quality)
+    made = containers.files_of(scans).select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("name"), F.col("jpeg").alias("content"))
+    made.write.format("tessera_files").mode("append").save(path)
+    read = spark.read.format("tessera_headers").load(path)
+    read = C.with_quality(read, "luma")
+    return read.select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("image_id"), "width", "height", "components", "is_420", "dqt", "quality", "bytes_read")
+
+
+def printed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrices read from files, one of each quality, as eight rows of eight columns."""
+    each = read_matrices(spark, sf_dir).groupBy("quality", "qidx").agg(F.min("m").alias("m"))
+    return folder.printed(each, ["quality", "qidx"])
+
+
 def stuffed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of gray scans, and how many of them are stuffed, from slices of six blocks."""
     return packing.scan_sizes(gray_images(spark, sf_dir), size=6)
@@ -398,7 +422,7 @@ QUERIES = {
     for f in (
         quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
         block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
-        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images, stuffed_sizes, target_psnr, target_size, sharpness_table, fitted_risks, auto_blocks,
+        chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images, stuffed_sizes, stored_files, printed_matrices, target_psnr, target_size, sharpness_table, fitted_risks, auto_blocks,
         fitted_codes, fitted_scan_bits, exif_segments, extended_xmp_parts, text_profiles, pixmap_sums,
     )
 }
@@ -765,6 +789,14 @@ SELECT image_id, {WIDTH} AS width, height::INT AS height, 1 AS components, 1 AS
     "fitted_risks": f"WITH {RISKS} SELECT image_id, visited, scored, total, gray, risk, mode FROM md",
     "auto_blocks": f"WITH {RISKS} " + " UNION ALL ".join(f"""SELECT image_id, '{m}' AS mode, comp, count(*)::BIGINT AS blocks, sum(list_sum(list_transform(s, lambda x, i: x * i))::BIGINT * (scan_idx + 1))::BIGINT AS placed
 FROM {layout_sql("rgb", m)} JOIN (SELECT image_id FROM md WHERE mode IN {which}) USING (image_id) GROUP BY image_id, comp""" for m, which in (("400", "('400')"), ("420", "('420', 'sharp')"), ("444", "('444')"))),
+    "stored_files": f"""WITH {quant_sql(ALL)}, x AS (SELECT doc_id, doc_id % 3 AS k, strlen(text) AS n, (length(CASE doc_id % 3 {TINTED} END) // 2) // {3 * WIDTH} AS height FROM documents),
+d AS (SELECT a.quality AS key, b.quality, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS distance FROM quant a JOIN quant b USING (qidx, pos) WHERE qidx = 0 GROUP BY 1, 2),
+best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY key ORDER BY distance, quality) = 1)
+SELECT doc_id AS image_id, {WIDTH} AS width, height::INT AS height, CASE WHEN k = 0 THEN 1 ELSE 3 END AS components, k = 1 AS is_420, CASE WHEN k = 0 THEN 1 ELSE 2 END AS dqt, quality,
+       CASE WHEN k = 0 THEN 2 + 64 + 6 * 4 + 65 + 9 ELSE 2 + 64 + 8 * 4 + 130 + 15 END::BIGINT AS bytes_read FROM x JOIN best ON key = doc_id % 101 WHERE height > 0""",
+    "printed_matrices": f"WITH {quant_sql(ALL)} SELECT quality, qidx, (pos // 8)::INT AS y, "
+    + ", ".join(f"max(q) FILTER (pos % 8 = {k}) AS x{k}" for k in range(8))
+    + " FROM quant WHERE quality IN (SELECT doc_id % 101 FROM documents) GROUP BY quality, qidx, pos // 8",
     "target_psnr": TARGET_PSNR,
     "target_size": TARGET_SIZE,
     "file_matrices": f"""WITH {quant_sql(ALL)},

@@ -7,17 +7,15 @@ segments follow each other. What can't be read, or doesn't fit, is null, never a
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.tables import STD_HUFFMAN, zigzag_order
 from tessera.operators import packing
+from tessera.operators.coding import steps_at
 
 
 #: Blocks on a side of 65,535 samples, the most that a frame header states.
@@ -67,20 +65,41 @@ def matrix_segment(matrices: dict[int, list[int]]) -> str:
     return f"ffdb{len(body) // 2 + 2:04x}{body}".upper()
 
 
+def frame_text(mode: str) -> tuple[str, str]:
+    """What stands in a mode's SOF behind the sides, and its SOS segment, hexadecimal."""
+    components = 1 if mode == "400" else 3
+    parts = "".join(f"{c + 1:02X}{'22' if mode == '420' and c == 0 else '11'}{min(c, 1):02X}" for c in range(components))
+    scan = f"FFDA{6 + 2 * components:04X}{components:02X}" + "".join(f"{c + 1:02X}{min(c, 1) * 17:02X}" for c in range(components)) + "003F00"
+    return f"{components:02X}{parts}", scan
+
+
+def framed(rows: DataFrame, mode: str, dqt: Column, dht: Column) -> Column:
+    """A whole file of a row (width, height, scan; app: raw marker segments, if there); null where a side is over 65,535."""
+    parts, scan = frame_text(mode)
+    frame = F.concat(F.lit("FFC0000B08" if mode == "400" else "FFC0001108"), be(F.col("height"), 2), be(F.col("width"), 2), F.lit(parts))
+    app = F.coalesce("app", F.unhex(F.lit(""))) if "app" in rows.columns else F.unhex(F.lit(""))
+    start = F.unhex(F.lit("FFD8FFE000104A46494600010100000100010000"))
+    return F.concat(start, app, F.unhex(F.concat(dqt, frame, dht, F.lit(scan))), F.col("scan"), F.unhex(F.lit("FFD9")))
+
+
 def baseline_files(scans: DataFrame, matrices: dict[int, list[int]], mode: str, dht: DataFrame | None = None) -> DataFrame:
     """(image_id, jpeg) of scans (image_id, width, height, scan; app: raw marker segments, if there).
 
     Null where a side is over 65,535. dht (image_id, dht): images' own code tables; standard ones by default.
     """
     components = 1 if mode == "400" else 3
-    parts = "".join(f"{c + 1:02x}{'22' if mode == '420' and c == 0 else '11'}{min(c, 1):02x}" for c in range(components))
     rows = scans.withColumn("dht", F.lit(standard_segments(components))) if dht is None else scans.join(dht, "image_id")
-    frame = F.concat(F.lit(f"FFC0{8 + 3 * components:04X}08"), be(F.col("height"), 2), be(F.col("width"), 2), F.lit(f"{components:02X}{parts.upper()}"))
-    scan = f"FFDA{6 + 2 * components:04X}{components:02X}" + "".join(f"{c + 1:02X}{min(c, 1) * 17:02X}" for c in range(components)) + "003F00"
-    app = F.coalesce("app", F.unhex(F.lit(""))) if "app" in scans.columns else F.unhex(F.lit(""))
-    rest = F.unhex(F.concat(F.lit(matrix_segment({k: m for k, m in matrices.items() if k < components})), frame, F.col("dht"), F.lit(scan)))
-    start = F.unhex(F.lit("FFD8FFE000104A46494600010100000100010000"))
-    return rows.select("image_id", F.concat(start, app, rest, F.col("scan"), F.unhex(F.lit("FFD9"))).alias("jpeg"))
+    dqt = matrix_segment({k: m for k, m in matrices.items() if k < components})
+    return rows.select("image_id", framed(rows, mode, F.lit(dqt), F.col("dht")).alias("jpeg"))
+
+
+def files_of(scans: DataFrame, mode: str = "mode", quality: str = "q") -> DataFrame:
+    """scans (image_id, width, height, scan, …) with jpeg, each in its own mode and at its own quality, with standard code tables."""
+    order = F.array(*map(F.lit, zigzag_order()))
+    table = lambda k: F.concat(F.lit(f"{k:02X}"), F.array_join(F.transform(order, lambda p: F.lpad(F.hex(steps_at(F.col(quality), F.lit(k))[p]), 2, "0")), ""))
+    made = {m: framed(scans, m, F.concat(F.lit("FFDB0043" if m == "400" else "FFDB0084"), table(0), *([] if m == "400" else [table(1)])), F.lit(standard_segments(1 if m == "400" else 3))) for m in ("400", "420", "444")}
+    jpeg = F.when(F.col(mode) == "400", made["400"]).when(F.col(mode) == "420", made["420"]).when(F.col(mode) == "444", made["444"])
+    return scans.withColumn("jpeg", F.when(F.col(quality).isNotNull(), jpeg))
 
 
 def header_bytes(components: int, code_symbols: Column, app: Column, exif: Column, iccp: Column, xmp: Column) -> Column:
@@ -170,9 +189,8 @@ def matrices_in(found: list[tuple[int, int, bytes]]) -> dict[int, list[int] | No
 FACTS = "width int, height int, components int, is_420 boolean, dqt int, luma array<int>, chroma array<int>"
 
 
-def facts_of(raw: bytes | None) -> tuple:
+def facts_in(found: list[tuple[int, int, bytes]]) -> tuple:
     """width, height, components and is_420 of the first SOF0 or SOF1; number of matrices, the first two of them."""
-    found = walked(raw or b"")
     frame = next((p for _, marker, p in found if marker in (0xFFC0, 0xFFC1) and len(p) >= 6), None)
     sides = (None,) * 4
     if frame:
@@ -190,7 +208,7 @@ def inspected(images: DataFrame, content: str = "jpeg") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [facts_of(x) for x in batch.column(0).to_pylist()]
+            rows = [facts_in(walked(x or b"")) for x in batch.column(0).to_pylist()]
             more = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=names)
 
@@ -198,30 +216,6 @@ def inspected(images: DataFrame, content: str = "jpeg") -> DataFrame:
     return images.select(F.col(content).alias("_raw"), *images.columns).mapInArrow(run, schema)
 
 
-def written(files: DataFrame, folder: str) -> DataFrame:
-    """Writes files (name, content) to a shared folder; (name, path, n_bytes) of those written. A null content writes none.
-
-    A file is written beside its place and moved there, so a retried task leaves whole files only.
-    """
-
-    def run(batches):
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        for batch in batches:
-            out = []
-            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if content is None:
-                    continue
-                part = f"{root}/.{name}-{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as f:
-                    f.write(content)
-                fs.move(part, f"{root}/{name}")
-                out.append((name, f"{folder}/{name}", len(content)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["name", "path", "n_bytes"])
-
-    return files.select(F.col("name").cast("string"), "content").mapInArrow(run, "name string, path string, n_bytes long")
-
-
 def profile_in(found: list[tuple[int, int, bytes]]) -> bytes | None:
     """A colour profile put together from its numbered APP2 parts; None unless all parts are there once."""
     parts = sorted(p[12:] for _, marker, p in found if marker == 0xFFE2 and p.startswith(b"ICC_PROFILE\0") and len(p) >= 14)

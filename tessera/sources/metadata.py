@@ -77,6 +77,20 @@ def pixmap_header(raw: bytes | None) -> tuple[int, int, int, int] | None:
     return (width, height, most, found.end()) if whole else None
 
 
+def pixmaps(images: DataFrame, content: str = "content", key: str = "image_id") -> DataFrame:
+    """(key, width, height, content) of the images that are binary pixmaps: their sides and packed RGB samples."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = batch.column(1)[k].as_py()
+                if head := pixmap_header(raw):
+                    width, height, _, at = head
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([raw[at : at + 3 * width * height]], pa.binary())], names=[key, "width", "height", "content"])
+
+    return images.select(key, content).mapInArrow(run, f"`{key}` {dict(images.dtypes)[key]}, width int, height int, content binary")
+
+
 def pixmap_pixels(images: DataFrame, content: str = "content", key: str = "image_id", band: int = 1 << 16) -> DataFrame:
     """(key, y, x, r, g, b) of the images that are binary pixmaps, in Arrow batches of `band` pixels."""
     names = [key, "y", "x", "r", "g", "b"]
@@ -225,8 +239,12 @@ METADATA = ("exif", "xmp", "extended", "iccp", "others")
 
 
 def metadata_in(raw: bytes | None) -> tuple:
-    """METADATA of a file in one walk: the first EXIF and XMP, extended XMP, the colour profile, and the other APP1 and APP2 segments as they are."""
-    found = walked(raw or b"")
+    """METADATA of a file, in one walk."""
+    return metadata_among(walked(raw or b""))
+
+
+def metadata_among(found: list[tuple[int, int, bytes]]) -> tuple:
+    """The first EXIF and XMP, extended XMP, the colour profile, and the other APP1 and APP2 segments as they are."""
     app1 = [p for _, marker, p in found if marker == 0xFFE1]
     first = [next((p[len(mark) :] for p in app1 if p.startswith(mark)), None) for mark in (EXIF, XMP)]
     known = {0xFFE1: (EXIF, XMP, EXTENDED_XMP), 0xFFE2: (b"ICC_PROFILE\0",)}

@@ -231,14 +231,6 @@ def test_profiles_of_255_parts_and_no_more(spark):
     assert containers.profile_in(containers.walked(files[3])) is None
 
 
-def test_written_files_are_read_back(spark, tmp_path):
-    rows = [("a.bin", b"one"), ("b.bin", b""), ("c.bin", None)]
-    made = containers.written(spark.createDataFrame(rows, "name string, content binary"), f"file://{tmp_path}/out")
-    assert sorted((r["name"], r["n_bytes"]) for r in made.collect()) == [("a.bin", 3), ("b.bin", 0)]
-    assert {x.name: x.read_bytes() for x in (tmp_path / "out").glob("*.bin")} == {"a.bin": b"one", "b.bin": b""}
-    assert [bytes(r["content"]) for r in containers.files(spark, f"{tmp_path}/out/a.bin").collect()] == [b"one"]
-
-
 def test_images_of_one_row_visit_nothing(spark):
     out = C.riskiness(spark.createDataFrame([(0, 0, x, 255, 0, 0) for x in range(9)], "image_id int, y int, x int, r int, g int, b int")).first()
     assert (out["visited"], out["risk"], out["mode"]) == (0, 0.0, "420")
