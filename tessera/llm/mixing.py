@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import numbered, stored, table, word_count
 
-WEIGHTS, REPEATS, SLOTS, EDGE = (5, 2, 1), 3, 4096, 1 << 16
+WEIGHTS, REPEATS, SLOTS, EDGE = (5, 2, 1), 3, 4096, 4096
 
 
 def clean_share(text: Column) -> Column:
@@ -118,7 +118,7 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     plan = stored(plan.where((F.col("epochs") > 0) | (F.col("part") > 0)).where("size > 0"), "plan")
     rows = docs.select(F.struct("*").alias("row")).withColumn("n_words", word_count(F.col("row")[text]))
     mine = F.col("row")[id_col].eqNullSafe(plan["doc_id"]) & F.col("row")[source].eqNullSafe(plan["source"]) & (F.col("n_words") == plan["size"])
-    even = rows.join(plan.where("low = part"), mine).select("row", "size", "epochs", "part")
+    even = rows.join(plan.where("low = part").hint("merge"), mine).select("row", "size", "epochs", "part")  # one plan at every size, and it spills
 
     # where copies straddle a source's edge they are numbered: by the stored partition, then inside it
     split = plan.where("low < part")

@@ -160,7 +160,7 @@ def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
 
 def beside(docs: DataFrame, verdicts: DataFrame, id_col: str, text: str, host: str, how: str) -> DataFrame:
     """(row, clean, v): each row of docs as a struct, its text without the lines that go, and its verdict (a struct; null: none)."""
-    decided = verdicts.dropDuplicates(["doc_id", "host", "text_hash"]).select(F.struct("*").alias("v"))
+    decided = verdicts.dropDuplicates(["doc_id", "host", "text_hash"]).select(F.struct("*").alias("v")).hint("merge")  # one plan at every size, and it spills
     rows = docs.select(F.struct("*").alias("row"))
     at = F.col("row")
     mine = at[id_col].eqNullSafe(F.col("v.doc_id")) & at[host].eqNullSafe(F.col("v.host")) & F.xxhash64(at[text]).eqNullSafe(F.col("v.text_hash"))

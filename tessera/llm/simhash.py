@@ -125,7 +125,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     nodes = stored(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "nodes")
     groups = linked(nodes.select("fp", "n"), distance, blocks)
     kept = nodes.join(groups, "fp").groupBy("group").agg(F.min("first").alias("k")).select(F.struct("k.doc_id").alias("key"), F.col("k.hash").alias("own")).distinct()
-    kept = stored(kept, "kept")
+    kept = stored(kept, "kept").hint("merge")  # one plan at every size, and it spills
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("key"), F.xxhash64(text).alias("own"), F.struct("*").alias("row"))
     # repeated rows: the one of least hash over all columns that can be hashed; grouped as joined, so texts move once
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
