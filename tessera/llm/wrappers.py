@@ -17,17 +17,20 @@ strings, in any order and by partial results, then their wrappers are folded in
 parts for each host and then across the parts; each fold reads a sorted stream and holds
 one wrapper, so a host with a third of all pages is no group in memory.
 
-Texts count as main text if they lie in an article or main element (in the body, on pages
-that have neither), in no menu, header, footer, sidebar, notice, advert, form or comment
-region, and aren't fixed: a string that all pages hold which have the element (for an
-optional one, those that have it) is the template's, if they are `FIXED` distinct pages or
-more. A page's texts are found by their label path in its host's wrapper.
+Texts count as main text if they lie in an article or main element, in no menu, header,
+footer, sidebar, notice, advert, form or comment region. Nothing in an article is dropped
+for being on many pages. On pages that have neither element the body counts, less what is
+fixed: a string that all pages hold which have its element (for an optional one, those that
+have it) is the template's, if they are `FIXED` distinct pages or more, and the slots that
+are left are the page's own text. A page's texts are found by their label path in its
+host's wrapper.
 
 A null html is empty and gives an empty text; a null url belongs to one host of its own;
 pages without any markup are their text; blocks nested over DEPTH deep are siblings, as in
 browsers, with their text and its region kept; unclosed and stray tags are repaired as browsers
 do for paragraphs and list items; repeated rows are extracted alike; very long pages are
-read whole; an empty table gives an empty result.
+read whole; an empty table gives an empty result; only the id, the url and the html are
+read, so no column clashes.
 """
 
 from __future__ import annotations
@@ -327,7 +330,7 @@ def regions(wrapper: list) -> dict[str, tuple[bool, bool, set[int]]]:
 
 
 def main_text(html: str, marked: dict[str, tuple[bool, bool, set[int]]]) -> str:
-    """The blocks of html that aren't fixed and whose paths are main text: inside its articles, or of all the page if it has none."""
+    """The blocks of html whose paths are main text: inside its articles, or if it has none, those of all the page that aren't fixed."""
     blocks: list[tuple[bool, str]] = []
     scoped, todo = False, [(tree(html), "/")]
     while todo:  # depth first, children in page order
@@ -336,7 +339,7 @@ def main_text(html: str, marked: dict[str, tuple[bool, bool, set[int]]]) -> str:
         if aside:
             continue
         if isinstance(node, str):
-            if (text := plain(node)) and not (fixed and hashed(text) in fixed):
+            if (text := plain(node)) and (inside or not (fixed and hashed(text) in fixed)):
                 blocks.append((inside, text))
             continue
         scoped = scoped or inside

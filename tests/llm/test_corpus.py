@@ -418,6 +418,13 @@ def test_texts_fixed_on_a_host_are_no_main_text(spark):
     assert mixed[60] == "other"
 
 
+def test_nothing_inside_an_article_is_fixed(spark):
+    same = [(k, f"http://a.x/{k}", f"<body><div>stamp {k}</div><article><h1>One story</h1><p>told again</p></article></body>") for k in range(6)]
+    begun = [(10 + k, f"http://b.x/{k}", f"<body><main><p>Weekly report</p><p>By Staff</p><p>news {k}</p></main><div>Share</div></body>") for k in range(6)]
+    out = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(same + begun, "page_id long, url string, html string")).collect()}
+    assert out == {**{k: "One story\n\ntold again" for k in range(6)}, **{10 + k: f"Weekly report\n\nBy Staff\n\nnews {k}" for k in range(6)}}
+
+
 def test_class_names_and_depth_do_not_lose_articles():
     def text(html):
         return wrappers.main_text(html, wrappers.regions(wrappers.own_wrapper(wrappers.tree(html))))
