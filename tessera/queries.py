@@ -13,7 +13,7 @@ from tessera.operators import coding as C
 from tessera.operators import huffman as H
 from tessera.operators import images as I
 from tessera.operators import checksums as K
-from tessera.operators import packing, search, sharpness
+from tessera.operators import packing, search, sharpness, trellis
 from tessera.sources import containers, files, fixtures, metadata
 from tessera.sources.shared import run_dir, stored
 from tessera.streaming import folder
@@ -122,6 +122,12 @@ def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_coding_summary(spark, sf_dir).select("image_id", F.round(X.psnr(F.col("error"), F.col("samples")), 6).alias("psnr"))
 
 
+def trellis_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels searched by rate and distortion, with standard luma codes; dealt out, as it's computing that takes the time."""
+    rows = trellis.levels(coefficients(spark, sf_dir).repartition("scan_idx"), C.steps_at(F.lit(QUALITY), F.lit(0)))
+    return rows.select("scan_idx", F.posexplode("levels").alias("zz", "level"))
+
+
 def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.run_levels(leveled(spark, sf_dir)).select("scan_idx", "zz", "run", "size", "suffix")
 
@@ -253,14 +259,20 @@ def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.select("image_id", head.alias("header"), (head + F.col("bits") / 8).alias("size"))
 
 
+def gray_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of texts as gray images."""
+    rows = I.coefficients_of(images_of_texts(spark, sf_dir, "gray"), "gray")
+    return I.counts_at(rows.withColumn("scale", X.quality_scale(F.lit(QUALITY))))
+
+
 def fitted_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code tables fitted to each image's own symbols."""
-    return H.fitted_codes(I.symbol_counts(coded(spark, sf_dir))).select("image_id", "cls", "sym", "len", "code")
+    return H.fitted_codes(gray_counts(spark, sf_dir)).select("image_id", "cls", "sym", "len", "code")
 
 
 def fitted_scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each image's scan with standard and with fitted codes, and the bytes that the fitted tables take."""
-    counts = I.symbol_counts(coded(spark, sf_dir))
+    counts = stored(gray_counts(spark, sf_dir), "counts")  # read three times
     standard = C.coded_size(counts).withColumnRenamed("bits", "standard_bits")
     return H.fitted_size(counts, H.fitted_codes(counts)).join(standard, "image_id")
 
@@ -420,7 +432,7 @@ def pixmap_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels,
+        quant_matrices, reduced_matrices, quality_estimates, colour_planes, chroma_420, edge_replication, block_means, forward_dct, quantized_levels, trellis_levels,
         block_coding_summary, image_psnr, zero_runs, dc_codes, symbol_frequencies, scan_bits, coefficient_histogram, step_candidates, step_choice,
         chroma_risk, block_risk, risk_map, limited_matrices, file_sizes, sample_blocks, colour_symbols, colour_files, file_matrices, metadata_report, png_profiles, sample_error_map, checksums, crc_checksums, encoded_images, stuffed_sizes, stored_files, printed_matrices, target_psnr, target_size, sharpness_table, fitted_risks, auto_blocks,
         fitted_codes, fitted_scan_bits, exif_segments, extended_xmp_parts, text_profiles, pixmap_sums,
