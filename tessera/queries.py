@@ -124,7 +124,7 @@ def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trellis_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels searched by rate and distortion, with standard luma codes; dealt out, as it's computing that takes the time."""
-    rows = trellis.levels(coefficients(spark, sf_dir).repartition("scan_idx"), C.steps_at(F.lit(QUALITY), F.lit(0)))
+    rows = trellis.levels(coefficients(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "scan_idx"), C.steps_at(F.lit(QUALITY), F.lit(0)))
     return rows.select("scan_idx", F.posexplode("levels").alias("zz", "level"))
 
 
