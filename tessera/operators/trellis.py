@@ -38,7 +38,7 @@ def longs(values: list[int]) -> Column:
 
 
 def candidates(v: Column, steps: Column, bias: int = 120) -> Column:
-    """(pos in zigzag order, bits, level, err, lambda) of the choices for coefficients v (x16) under steps, both in natural order."""
+    """For each coefficient that isn't zero, its choices (pos in zigzag order, bits, level, err, weight), from v (x16) and steps in natural order."""
     order = F.array(*map(F.lit, zigzag_order()))
 
     def choices(i: Column) -> Column:
@@ -55,7 +55,7 @@ def candidates(v: Column, steps: Column, bias: int = 120) -> Column:
         both = F.array(choice(level, bits), choice(less, bits - 1))
         return F.slice(both, F.lit(1), F.least(bits, F.lit(2)).cast("int"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(63)), choices))
+    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(63)), choices), lambda x: F.size(x) > 0)
 
 
 def dropped(v: Column) -> Column:
@@ -65,27 +65,34 @@ def dropped(v: Column) -> Column:
 
 
 def searched(choices: Column, lost_at: Column, lengths: list[int]) -> Column:
-    """The nodes (pos, score, prev, level) from candidates() and dropped(), the first one the block's start."""
+    """The nodes (pos, base, prev, level) from candidates() and dropped(), the first one the block's start.
+
+    base: the score less what was dropped up to the node. What follows depends on a node's place
+    and score only, so of the choices at a place just the better one becomes a node.
+    """
     size = longs(lengths)
-    start = F.array(F.struct(*[F.lit(x).cast("long").alias(c) for c, x in (("pos", 0), ("score", 0), ("prev", -1), ("level", 0))]))
+    start = F.array(F.struct(*[F.lit(x).cast("long").alias(c) for c, x in (("pos", 0), ("base", 0), ("prev", -1), ("level", 0))]))
+
+    def grown(nodes: Column, own: Column) -> Column:
+        def best(c: Column, order: Column) -> Column:
+            def score(n: Column, k: Column) -> Column:
+                run = c["pos"] - 1 - n["pos"]
+                bits = c["bits"] + F.shiftright(run, 4) * lengths[0xF0] + size[(run.bitwiseAND(15) * 16 + c["bits"]).cast("int")]
+                return F.struct((n["base"] + c["weight"] * bits).alias("score"), (-k).cast("long").alias("k"))
 
-    def grown(nodes: Column, c: Column) -> Column:
-        def score(n: Column, k: Column) -> Column:
-            run = c["pos"] - 1 - n["pos"]
-            bits = c["bits"] + F.shiftright(run, 4) * lengths[0xF0] + size[(run % 16 * 16 + c["bits"]).cast("int")]
-            total = c["err"] + lost_at[(c["pos"] - 1).cast("int")] - lost_at[n["pos"].cast("int")] + c["weight"] * bits + n["score"]
-            return F.when(run >= 0, F.struct(total.alias("score"), (-k).cast("long").alias("k")))
+            # of equal scores the latest node wins, and the second choice
+            return let(F.array_min(F.transform(nodes, score)), lambda b: F.struct((b["score"] + c["err"]).alias("score"), (-order).alias("order"), (-b["k"]).alias("prev"), c["level"].alias("level")))
 
-        # of equal scores the latest node wins; nulls are no minimum
-        best = F.array_min(F.transform(nodes, score))
-        return F.transform(F.array(best), lambda b: F.struct(c["pos"].alias("pos"), b["score"].alias("score"), (-b["k"]).alias("prev"), c["level"].alias("level")))
+        at = own[0]["pos"].cast("int")
+        made = lambda b: F.struct(own[0]["pos"].alias("pos"), (b["score"] + lost_at[at - 1] - lost_at[at]).alias("base"), b["prev"].alias("prev"), b["level"].alias("level"))
+        return F.transform(F.array(F.array_min(F.transform(own, best))), made)
 
-    return F.aggregate(choices, start, lambda nodes, c: F.concat(nodes, grown(nodes, c)))
+    return F.aggregate(choices, start, lambda nodes, own: F.concat(nodes, grown(nodes, own)))
 
 
-def chosen(nodes: Column, lost_at: Column) -> Column:
-    """(pos, level) of the best path, last first."""
-    ends = F.transform(nodes, lambda n, k: F.struct((n["score"] + lost_at[63] - lost_at[n["pos"].cast("int")]).alias("score"), (-k).cast("long").alias("k")))
+def chosen(nodes: Column) -> Column:
+    """(pos, level) of the best path, last first: it ends where the base is least, as all that follows is dropped."""
+    ends = F.transform(nodes, lambda n, k: F.struct(n["base"].alias("base"), (-k).cast("long").alias("k")))
     none = F.array().cast("array<struct<pos: bigint, level: bigint>>")
     start = F.struct((-F.array_min(ends)["k"]).alias("k"), none.alias("path"))
 
@@ -106,6 +113,6 @@ def levels(blocks: DataFrame, steps: Column, qidx: int = 0, bias: int = 120) ->
         return F.transform(F.sequence(F.lit(1), F.lit(63)), level)
 
     def ac(own: Column) -> Column:
-        return let(dropped(v), lambda lost: let(searched(candidates(v, own, bias), lost, ac_lengths(qidx)), lambda nodes: let(chosen(nodes, lost), placed)))
+        return let(dropped(v), lambda lost: let(searched(candidates(v, own, bias), lost, ac_lengths(qidx)), lambda nodes: let(chosen(nodes), placed)))
 
     return blocks.withColumn("levels", let(steps, lambda own: F.concat(F.array(X.quantized(v[0], own[0], F.lit(0), bias)), ac(own))))
