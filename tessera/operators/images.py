@@ -25,6 +25,8 @@ PACKED = {"rgb": (0, 1, 2, 3), "rgba": (0, 1, 2, 4), "bgra": (2, 1, 0, 4)}
 PLANAR = {"gray": "400", "nv12": "420", "nv21": "420", "yuv420": "420", "yuv444": "444"}
 #: Samples of a component in a band, about.
 BAND = 1 << 18
+#: Blocks of a batch, at least but for the last.
+BATCH = 4096
 
 
 def bytes_of(kind: str, mode: str, width: int, height: int) -> int:
@@ -135,18 +137,26 @@ def laid_out(rows: DataFrame, more: str, made) -> DataFrame:
     """Blocks of rows_of() with the columns `more` that made(units, order of blocks, state of the image) gives."""
     names = ["image_id", "kind", "mode", "width", "height", "comp", "qidx", "scan_idx", *(x.split()[0] for x in more.split(", "))]
 
+    def joined(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held, strict=True)], names=names)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                keys, (width, height, raw, kind, mode) = [batch.column(i).slice(k, 1) for i in (0, 4, 5)], (batch.column(i)[k].as_py() for i in range(1, 6))
+            for k, (width, height, raw, kind, mode) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)):
                 state: dict = {}
                 for low, mode, every in bands(raw, kind, mode, width, height):
                     order = [(c, q) for c, _, q in LAYOUT[mode]]
                     n, per = len(every) * len(order), len(order)
-                    same = pa.array(np.zeros(n, np.int64))
                     comp, qidx = np.tile(np.array(order, np.int32), (len(every), 1)).T
-                    fixed = [keys[0].take(same), keys[1].take(same), pa.array([mode]).take(same), *(pa.array(np.full(n, x, np.int32)) for x in (width, height))]
-                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(comp), pa.array(qidx), pa.array(low * per + np.arange(n)), *made(every, order, state)], names=names)
+                    fixed = [pa.repeat(batch.column(0)[k], n), pa.repeat(kind, n), pa.repeat(mode, n), *(pa.array(np.full(n, x, np.int32)) for x in (width, height))]
+                    held.append([*fixed, pa.array(comp), pa.array(qidx), pa.array(low * per + np.arange(n)), *made(every, order, state)])
+                    size += n
+                    if size >= BATCH:  # small images share a batch
+                        yield joined(held)
+                        held, size = [], 0
+        if held:
+            yield joined(held)
 
     return rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, kind string, mode string, width int, height int, comp int, qidx int, scan_idx long, {more}")
 

@@ -15,7 +15,7 @@ from tessera.operators import images as I
 from tessera.operators import checksums as K
 from tessera.operators import packing, search, sharpness, trellis
 from tessera.sources import containers, files, fixtures, metadata
-from tessera.sources.shared import run_dir, stored
+from tessera.sources.shared import run_dir, spread, stored
 from tessera.streaming import folder
 
 QUALITY = 75
@@ -124,7 +124,7 @@ def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trellis_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels searched by rate and distortion, with standard luma codes; dealt out, as it's computing that takes the time."""
-    rows = trellis.levels(coefficients(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "scan_idx"), C.steps_at(F.lit(QUALITY), F.lit(0)))
+    rows = trellis.levels(spread(coefficients(spark, sf_dir)), C.steps_at(F.lit(QUALITY), F.lit(0)))
     return rows.select("scan_idx", F.posexplode("levels").alias("zz", "level"))
 
 
@@ -290,13 +290,13 @@ def height_of(kind: str) -> str:
 
 def images_of_texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Texts as images 38 wide: as many rows (an even number for half-size chroma) as their bytes fill."""
-    rows = fixtures.contents(spark, sf_dir).withColumn("n", F.octet_length("content"))
+    rows = spread(fixtures.contents(spark, sf_dir)).withColumn("n", F.octet_length("content"))
     return rows.select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.expr(height_of(kind)).alias("height"), "content")
 
 
 def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every layout and mode: their samples' sum, and their sum weighted by place; each row has its own layout."""
-    rows = fixtures.contents(spark, sf_dir).withColumn("n", F.octet_length("content"))
+    rows = spread(fixtures.contents(spark, sf_dir)).withColumn("n", F.octet_length("content"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mode"), F.expr(height_of(k)).alias("height")) for k, m in SAMPLED]))
     images = rows.select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), "content", each.alias("l")).select("image_id", "width", "content", "l.*")
     blocks = I.blocks_of(images, F.col("kind"), F.col("mode"))
@@ -331,7 +331,7 @@ def tinted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as RGB images 38 wide, gray ones, such of little chroma, and plain ones."""
     digits = F.hex("content")
     made = F.element_at(F.array(*[F.regexp_replace(digits, a, b) for a, b in TINTS]), (F.col("doc_id") % 3 + 1).cast("int"))
-    rows = fixtures.contents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.unhex(made).alias("content")).withColumn("n", F.octet_length("content"))
+    rows = spread(fixtures.contents(spark, sf_dir)).select(F.col("doc_id").alias("image_id"), F.lit(WIDTH).alias("width"), F.unhex(made).alias("content")).withColumn("n", F.octet_length("content"))
     return rows.select("image_id", "width", F.expr(height_of("rgb")).alias("height"), "content").where("height > 0")
 
 

@@ -54,3 +54,9 @@ def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFr
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out if it comes in fewer partitions than there are cores: for work whose time is computing, on small tables of few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
