@@ -356,7 +356,7 @@ def fitted_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auto_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of images each in the mode that its own risk recommends ("sharp" is laid out as 4:2:0), summed by component."""
     images, _, risks = fitted_risk(spark, sf_dir)
-    chosen = images.join(risks.select("image_id", "mode"), "image_id")
+    chosen = images.join(stored(risks.select("image_id", "mode"), "modes"), "image_id")  # one short row an image, broadcast at a measured size
     blocks = I.blocks_of(chosen, "rgb", F.when(F.col("mode") == "sharp", "420").otherwise(F.col("mode")))
     total = F.aggregate(F.transform("s", lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x)
     return blocks.groupBy("image_id", "mode", "comp").agg(F.count("*").alias("blocks"), F.sum(total.cast("long") * (F.col("scan_idx") + 1)).alias("placed"))
