@@ -19,6 +19,8 @@ from tessera.operators import images as I
 BUCKETS = 343
 #: Side of the tiles that pixels are dealt to.
 TILE = 64
+#: Rows of a batch, at least but for the last.
+ROWS = 1 << 15
 
 
 def bucket(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -30,7 +32,13 @@ def bucket(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def triples_of(images: DataFrame, kind: str = "rgb") -> DataFrame:
     """(image_id, i, e, s, n, loss) of packed images: buckets of pixels, of those right and below, how often, and the chroma lost by halving."""
 
+    names = ["image_id", "i", "e", "s", "n", "loss"]
+
+    def joined(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held, strict=True)], names=names)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 width, height, raw = (batch.column(c)[k].as_py() for c in (1, 2, 3))
@@ -48,9 +56,14 @@ def triples_of(images: DataFrame, kind: str = "rgb") -> DataFrame:
                     key = (index[:rows, :-1] * BUCKETS + index[:rows, 1:]) * BUCKETS + index[1:, :-1]
                     found, at, n = np.unique(key, return_inverse=True, return_counts=True)
                     lost = np.bincount(at.ravel(), loss[:rows, :-1].ravel(), len(found)).astype(np.int64)
-                    own = batch.column(0).take(pa.array(np.full(len(found), k)))
                     numbers = (found // BUCKETS**2, found // BUCKETS % BUCKETS, found % BUCKETS)
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(n), pa.array(lost)], names=["image_id", "i", "e", "s", "n", "loss"])
+                    held.append([pa.repeat(batch.column(0)[k], len(found)), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(n), pa.array(lost)])
+                    size += len(found)
+                    if size >= ROWS:  # small images share a batch
+                        yield joined(held)
+                        held, size = [], 0
+        if held:
+            yield joined(held)
 
     rows = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "content")
     parts = rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, i int, e int, s int, n long, loss long")
