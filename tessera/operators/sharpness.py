@@ -70,6 +70,89 @@ def triples_of(images: DataFrame, kind: str = "rgb") -> DataFrame:
     return parts.groupBy("image_id", "i", "e", "s").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
 
 
+def neighbours(batch: pa.RecordBatch, kind: str):
+    """(numbers, i, e, s, loss) of the images of a batch (image_id, width, height, content), as arrays of pixel rows; numbers: the image of each row.
+
+    Images of one width stand one below the other; large ones come in bands that end with the row below.
+    """
+    held: dict = {}
+
+    def found(width: int, pieces: list):
+        cut, rows, numbers = zip(*pieces, strict=True)
+        rows = np.array(rows)
+        y, u, v = I.stacked_planes(cut, kind, "444", width, rows)
+        index = bucket(y, u, v).astype(np.int32)
+        at = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+        half = (rows + 1) // 2
+        lines, columns = np.repeat(np.cumsum(half) - half, rows) + at // 2, np.arange(width) // 2
+        loss = sum(np.abs(a - b[lines][:, columns]) for a, b in zip((u, v), I.stacked_planes(cut, kind, "420", width, rows)[1:], strict=True))
+        own = np.flatnonzero(at < np.repeat(rows, rows) - 1)
+        return np.repeat(numbers, rows - 1), index[own, :-1], index[own, 1:], index[own + 1, :-1], loss[own, :-1]
+
+    for k, (width, height, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+        if raw is None or not width or not height or len(raw) < I.bytes_of(kind, "444", width, height):
+            continue
+        step = 2 * max(1, I.BAND // (2 * width))
+        for top in range(0, height - 1, step):
+            end = min(top + step + 1, height)
+            own, area = held.setdefault(width, [[], 0])
+            own.append((I.cut_out(raw, kind, "444", width, height, top, end), end - top, k))
+            held[width][1] = area + width * (end - top)
+            if held[width][1] >= I.BAND:
+                yield found(width, held.pop(width)[0])
+    for width, (rest, _) in held.items():
+        yield found(width, rest)
+
+
+def pair_sums(images: DataFrame, kind: str = "rgb") -> DataFrame:
+    """(a, b, n, loss) of packed images: pairs of buckets beside or below each other, how often, and the chroma lost; a task has BUCKETS x BUCKETS rows at most."""
+
+    def run(batches):
+        n, lost = np.zeros(BUCKETS**2, np.int64), np.zeros(BUCKETS**2, np.int64)
+        for whole in batches:
+            for low in range(0, whole.num_rows, I.ROWS):
+                for _, i, e, s, loss in neighbours(whole.slice(low, I.ROWS), kind):
+                    for other in (e, s):
+                        pair = (i * BUCKETS + other).ravel()
+                        n += np.bincount(pair, minlength=BUCKETS**2)
+                        lost += np.bincount(pair, loss.ravel(), BUCKETS**2).astype(np.int64)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array((at // BUCKETS).astype(np.int32)), pa.array((at % BUCKETS).astype(np.int32)), pa.array(n[at]), pa.array(lost[at])], names=["a", "b", "n", "loss"])
+
+    rows = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "content")
+    parts = rows.mapInArrow(run, "a int, b int, n long, loss long")
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+
+
+def fitted_to(images: DataFrame, scale: int = 1, most: int = 255, kind: str = "rgb") -> DataFrame:
+    """fitted() to the triples of packed images, which are summed in their tasks."""
+    return scores_of(pair_sums(images, kind), scale, most)
+
+
+def judged_by(images: DataFrame, table: DataFrame, kind: str = "rgb", noise: int = 4) -> DataFrame:
+    """judged() of packed images, each in the task that has it, by a table of BUCKETS x BUCKETS rows at most, which goes to the tasks as an array."""
+    look = np.zeros((BUCKETS, BUCKETS), np.int32)
+    for a, b, score in table.select("a", "b", "score").collect():
+        look[a, b] = score
+
+    def run(batches):
+        for whole in batches:
+            for low in range(0, whole.num_rows, I.ROWS):
+                batch = whole.slice(low, I.ROWS)
+                sums = np.zeros((4, batch.num_rows), np.int64)
+                for image, i, e, s, _ in neighbours(batch, kind):
+                    score = look[i, e] + look[i, s] + look[e, s]
+                    loud = score > noise
+                    gray = (i // 7 % 7 == 3) & (i // 49 == 3)
+                    each = (np.full(len(i), i.shape[1]), loud.sum(axis=1), (score * loud).sum(axis=1), gray.sum(axis=1))
+                    sums += np.stack([np.bincount(image, x, batch.num_rows).astype(np.int64) for x in each])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *map(pa.array, sums)], names=["image_id", "area", *SUMS])
+
+    area = (F.col("width") * F.col("height")).cast("long").alias("area")
+    rows = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "content", area)
+    return with_verdict(rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, area long, " + ", ".join(f"{c} long" for c in SUMS)))
+
+
 def tiled(pixels: DataFrame, side: int = TILE) -> DataFrame:
     """pixels (image_id, y, x, i) with e and s, the values right and below (null at an image's end).
 
@@ -88,6 +171,11 @@ def fitted(triples: DataFrame, scale: int = 1, most: int = 255) -> DataFrame:
     """(a, b, score): the table of pairs seen in triples: `scale` times their mean loss, floored."""
     pair = F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("e").alias("b")), F.struct(F.col("i").alias("a"), F.col("s").alias("b"))))
     sums = triples.select("n", "loss", pair.alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    return scores_of(sums, scale, most)
+
+
+def scores_of(sums: DataFrame, scale: int, most: int) -> DataFrame:
+    """(a, b, score) of sums (a, b, n, loss)."""
     return sums.select("a", "b", F.least(F.lit(most), F.floor(F.col("loss") * scale / F.col("n"))).cast("int").alias("score"))
 
 
@@ -108,8 +196,17 @@ def judged(scores: DataFrame, areas: DataFrame, noise: int = 4) -> DataFrame:
     loud, n = F.col("score") > noise, F.col("n")
     count = lambda hit, x: F.sum(F.when(hit, x).otherwise(0)).cast("long")
     sums = scores.groupBy("image_id").agg(F.sum("n").alias("visited"), count(loud, n).alias("scored"), count(loud, n * F.col("score")).alias("total"), count(gray, n).alias("gray"))
-    rows = areas.join(sums, "image_id", "left").fillna(0, ["visited", "scored", "total", "gray"])  # images of one row or column visit nothing
-    risk = F.when(F.col("scored") * 100 < F.col("area"), 0.0).otherwise(F.coalesce(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0), F.lit(0.0)))
+    rows = areas.join(sums, "image_id", "left").fillna(0, list(SUMS))  # images of one row or column visit nothing
+    return with_verdict(rows)
+
+
+#: Sums over an image's pixels that have both neighbours.
+SUMS = ("visited", "scored", "total", "gray")
+
+
+def with_verdict(rows: DataFrame) -> DataFrame:
+    """rows (area, SUMS) with risk and mode."""
+    risk = F.when((F.col("scored") == 0) | (F.col("scored") * 100 < F.col("area")), 0.0).otherwise(F.coalesce(F.least(F.lit(100.0), F.col("total") / F.col("scored") * 4.0), F.lit(0.0)))
     return rows.withColumn("risk", risk).withColumn("mode", mode_of(F.col("gray"), F.col("visited"), F.col("risk")))
 
 
