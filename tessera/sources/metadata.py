@@ -112,6 +112,17 @@ def pixmap_pixels(images: DataFrame, content: str = "content", key: str = "image
     return images.select(key, content).mapInArrow(run, f"`{key}` {dict(images.dtypes)[key]}, y long, x long, r int, g int, b int")
 
 
+#: Files of which copies are held at a time.
+FEW = 64
+
+
+def few(batches):
+    """Batches cut into such of FEW rows: what is read of files is copies of them."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, FEW):
+            yield batch.slice(low, FEW)
+
+
 #: Keys of text chunks that carry metadata, whether as a text profile, and what it is.
 PNG_KEYS = {
     b"Raw profile type exif": (True, "exif"),
@@ -177,7 +188,7 @@ def png_metadata(images: DataFrame, content: str = "content", key: str = "image_
         return found
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             rows = [found_in(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.get(c) for r in rows], pa.binary()) for c in ("exif", "xmp", "iccp"))], names=[key, "exif", "xmp", "iccp"])
 
@@ -256,7 +267,7 @@ def metadata_of(images: DataFrame, content: str = "jpeg", key: str = "image_id")
     """(key, exif, xmp, extended, iccp, others) of all files; null where a file has none, or not a whole one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             rows = [metadata_in(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(len(METADATA)))], names=[key, *METADATA])
 
