@@ -1,27 +1,27 @@
-"""Levels by rate and distortion: a dynamic programme in column functions, one block a row.
+"""Levels by rate and distortion: a dynamic programme over the places of many blocks at once.
 
 Each coefficient that doesn't quantise to zero may take its level or the largest level of one bit
 less, or be dropped. A node is such a choice; its score is the least of those of the nodes before
 it, plus the errors of what is dropped between them and its own, plus its bits (run, level and
-escapes of long runs, by given code lengths) times a sixteenth-squared step over 32. The nodes
-are an array that grows along the zigzag order, so a block is folded once; no Python worker and
-no shuffle take part.
+escapes of long runs, by given code lengths) times a sixteenth-squared step over 32. Blocks come
+in Arrow batches; a step along the zigzag order compares all nodes before it in all blocks of a
+slice, in integers, so a block costs 63 short steps and no shuffle takes part.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from tessera.functions import expressions as X
 from tessera.functions.tables import standard_codes, zigzag_order
+from tessera.operators import images as I
 
-LONGS = "array<bigint>"
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once however often use names it, also inside lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+#: Blocks searched together: their nodes stay in a core's cache.
+SLICE = 512
+#: The score of a place that has no node.
+NONE = 1 << 62
 
 
 def ac_lengths(qidx: int = 0) -> list[int]:
@@ -33,86 +33,71 @@ def ac_lengths(qidx: int = 0) -> list[int]:
     return out
 
 
-def longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(x).cast("long") for x in values])
-
-
-def candidates(v: Column, steps: Column, bias: int = 120) -> Column:
-    """For each coefficient that isn't zero, its choices (pos in zigzag order, bits, level, err, weight), from v (x16) and steps in natural order."""
-    order = F.array(*map(F.lit, zigzag_order()))
-
-    def choices(i: Column) -> Column:
-        at = order[i]
-        a, step = F.abs(v[at]).cast("long"), steps[at].cast("long")
-        level = X.quantized(a.cast("int"), step.cast("int"), at, bias).cast("long")
-        bits = X.bit_length(level).cast("long")
-        less = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(bits - 1, F.lit(0)).cast("int")) - 1
-
-        def choice(n: Column, size: Column) -> Column:
-            off = a - n * step * 16
-            return F.struct(i.cast("long").alias("pos"), size.alias("bits"), (F.when(v[at] < 0, -n).otherwise(n)).alias("level"), (off * off).alias("err"), F.floor(step * step * 256 / 32).alias("weight"))
+def coded_bits(lengths: list[int]) -> np.ndarray:
+    """(63, 16): bits of a level of 0 to 15 bits behind a run of 0 to 62 zeros."""
+    run = np.arange(63)
+    return np.arange(16) + (run >> 4)[:, None] * lengths[0xF0] + np.array(lengths).reshape(16, 16)[run & 15]
 
-        both = F.array(choice(level, bits), choice(less, bits - 1))
-        return F.slice(both, F.lit(1), F.least(bits, F.lit(2)).cast("int"))
 
-    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(63)), choices), lambda x: F.size(x) > 0)
+def searched(v: np.ndarray, steps: np.ndarray, lengths: list[int], bias: int = 120) -> np.ndarray:
+    """Levels in zigzag order of coefficients (x16) under steps, both (n, 64) in natural order.
 
-
-def dropped(v: Column) -> Column:
-    """Sums of the squares of coefficients 1 to i in zigzag order, for i from 0."""
-    order = F.array(*map(F.lit, zigzag_order()))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), longs([0]), lambda s, i: F.concat(s, F.array(s[i - 1] + v[order[i]].cast("long") * v[order[i]])))
-
-
-def searched(choices: Column, lost_at: Column, lengths: list[int]) -> Column:
-    """The nodes (pos, base, prev, level) from candidates() and dropped(), the first one the block's start.
-
-    base: the score less what was dropped up to the node. What follows depends on a node's place
-    and score only, so of the choices at a place just the better one becomes a node.
+    What follows depends on a node's place and score only, so of the choices at a place just the
+    better one becomes a node. Of equal scores the latest node wins, and the second choice. Nodes
+    are held by place from the last (row 0) to the block's start (row 63): the row of a node before,
+    counted from the first one that may be, is the run between them.
     """
-    size = longs(lengths)
-    start = F.array(F.struct(*[F.lit(x).cast("long").alias(c) for c, x in (("pos", 0), ("base", 0), ("prev", -1), ("level", 0))]))
-
-    def grown(nodes: Column, own: Column) -> Column:
-        def best(c: Column, order: Column) -> Column:
-            def score(n: Column, k: Column) -> Column:
-                run = c["pos"] - 1 - n["pos"]
-                bits = c["bits"] + F.shiftright(run, 4) * lengths[0xF0] + size[(run.bitwiseAND(15) * 16 + c["bits"]).cast("int")]
-                return F.struct((n["base"] + c["weight"] * bits).alias("score"), (-k).cast("long").alias("k"))
-
-            # of equal scores the latest node wins, and the second choice
-            return let(F.array_min(F.transform(nodes, score)), lambda b: F.struct((b["score"] + c["err"]).alias("score"), (-order).alias("order"), (-b["k"]).alias("prev"), c["level"].alias("level")))
-
-        at = own[0]["pos"].cast("int")
-        made = lambda b: F.struct(own[0]["pos"].alias("pos"), (b["score"] + lost_at[at - 1] - lost_at[at]).alias("base"), b["prev"].alias("prev"), b["level"].alias("level"))
-        return F.transform(F.array(F.array_min(F.transform(own, best))), made)
-
-    return F.aggregate(choices, start, lambda nodes, own: F.concat(nodes, grown(nodes, own)))
-
-
-def chosen(nodes: Column) -> Column:
-    """(pos, level) of the best path, last first: it ends where the base is least, as all that follows is dropped."""
-    ends = F.transform(nodes, lambda n, k: F.struct(n["base"].alias("base"), (-k).cast("long").alias("k")))
-    none = F.array().cast("array<struct<pos: bigint, level: bigint>>")
-    start = F.struct((-F.array_min(ends)["k"]).alias("k"), none.alias("path"))
-
-    def back(state: Column, _: Column) -> Column:
-        node = nodes[F.greatest(state["k"], F.lit(0)).cast("int")]
-        more = F.when(state["k"] > 0, F.array(F.struct(node["pos"].alias("pos"), node["level"].alias("level")))).otherwise(none)
-        return F.struct(F.when(state["k"] > 0, node["prev"]).otherwise(F.lit(0).cast("long")).alias("k"), F.concat(state["path"], more).alias("path"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, back, lambda s: s["path"])
+    order, coded, every = np.array(zigzag_order()), coded_bits(lengths), np.arange(len(v))
+    plain, size, step = (x[:, order].T for x in (I.quantised(v, steps, bias), np.abs(v), steps))
+    weight, full = step * step * 8, np.abs(plain)  # 8: sixteen squared over 32
+    bits = I.bit_length(full)
+    less = (1 << np.maximum(bits - 1, 0)) - 1
+    lost = np.cumsum(np.where(np.arange(64)[:, None] > 0, size * size, 0), axis=0)
+    # base: the score less what was dropped up to the place
+    base, came, level = np.full((64, len(v)), NONE), np.zeros((64, len(v)), np.int64), np.zeros((64, len(v)), np.int64)
+    base[63] = 0
+    for i in range(1, 64):
+
+        def best(n: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            scores = base[64 - i :] + weight[i] * coded[:i].take(np.maximum(wide, 0), axis=1)
+            run = scores.argmin(axis=0)
+            return np.where(wide > 0, scores[run, every] + (size[i] - n * step[i] * 16) ** 2, NONE), run
+
+        (first, run), (second, other) = best(full[i], bits[i]), best(less[i], bits[i] - 1)
+        base[63 - i] = np.where(bits[i] > 0, np.minimum(first, second) + lost[i - 1] - lost[i], NONE)
+        came[i], level[i] = i - 1 - np.where(second <= first, other, run), np.where(second <= first, less[i], full[i])
+    # a path ends where the base is least, as all that follows is dropped
+    out, at = np.zeros((len(v), 64), np.int64), 63 - base.argmin(axis=0)
+    out[:, 0] = plain[0]
+    for i in range(63, 0, -1):
+        on = at == i
+        out[:, i] = np.where(on, np.where(plain[i] < 0, -level[i], level[i]), 0)
+        at = np.where(on, came[i], at)
+    return out
 
 
 def levels(blocks: DataFrame, steps: Column, qidx: int = 0, bias: int = 120) -> DataFrame:
-    """blocks (…, v: coefficients x16) with levels, in zigzag order: the first quantised as ever, the others searched."""
-    v = F.col("v")
-
-    def placed(path: Column) -> Column:
-        level = lambda i: F.coalesce(F.get(F.filter(path, lambda x: x["pos"] == i), F.lit(0))["level"], F.lit(0).cast("long")).cast("int")
-        return F.transform(F.sequence(F.lit(1), F.lit(63)), level)
+    """blocks (…, v: coefficients x16) with levels, in zigzag order: the first quantised as ever, the others searched.
 
-    def ac(own: Column) -> Column:
-        return let(dropped(v), lambda lost: let(searched(candidates(v, own, bias), lost, ac_lengths(qidx)), lambda nodes: let(chosen(nodes), placed)))
-
-    return blocks.withColumn("levels", let(steps, lambda own: F.concat(F.array(X.quantized(v[0], own[0], F.lit(0), bias)), ac(own))))
+    If coefficients or steps are null, or hold a null, the first level is null and the others are 0.
+    """
+    keep, lengths = [c for c in blocks.columns if c != "levels"], ac_lengths(qidx)
+
+    def run(batches):
+        for batch in batches:
+            if any(pc.any(pc.not_equal(pc.list_value_length(c), 64)).as_py() for c in batch.columns[:2]):
+                raise ValueError("a block has 64 coefficients and 64 steps")
+            for low in range(0, batch.num_rows, SLICE):
+                some = batch.slice(low, SLICE)
+                (has_v, v), (has_steps, q) = I.samples_of(some.column(0)), I.samples_of(some.column(1))
+                at, mine, own = np.intersect1d(has_v, has_steps, assume_unique=True, return_indices=True)
+                out, unknown = np.zeros((some.num_rows, 64), np.int32), np.zeros((some.num_rows, 64), bool)
+                out[at], unknown[:, 0] = searched(v[mine], q[own], lengths, bias), True
+                unknown[at, 0] = False
+                flat = pa.array(out.ravel(), mask=unknown.ravel())
+                made = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * 64, flat)
+                yield pa.RecordBatch.from_arrays([*some.columns[2:], made], names=[*keep, "levels"])
+
+    kinds = dict(blocks.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "levels array<int>"])
+    return blocks.select("v", steps.alias("steps"), *keep).mapInArrow(run, schema)

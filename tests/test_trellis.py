@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,57 @@ def test_searched_levels_cost_least(spark, quality):
         v = dict(blocks)[k]
         plain = [0] + [(-1 if v[p] < 0 else 1) * quantised(abs(v[p]), q[p]) for p in zigzag_order()[1:]]
         assert cost(v, q, out[k]) <= cost(v, q, plain)
+
+
+def node_by_node(v: list[int], q: list[int]) -> list[int]:
+    """Levels of the same search, one node after the other; of equal scores the latest node wins, and the second choice."""
+    order, lost, nodes = zigzag_order(), [0] * 64, [(0, 0, 0, -1)]  # (place, score, level, node before)
+    for i in range(1, 64):
+        a, step = abs(v[order[i]]), q[order[i]]
+        lost[i] = lost[i - 1] + a * a
+        n, best = quantised(a, step), None
+        for level in [n, (1 << max(0, n.bit_length() - 1)) - 1][: min(2, n.bit_length())]:
+            for k in range(len(nodes) - 1, -1, -1):
+                run = i - 1 - nodes[k][0]
+                bits = level.bit_length() + (run >> 4) * LENGTHS[0xF0] + LENGTHS[(run & 15) << 4 | level.bit_length()]
+                score = nodes[k][1] + lost[i - 1] - lost[nodes[k][0]] + step * step * 8 * bits
+                if k == len(nodes) - 1 or score < least[0]:
+                    least = (score, k)
+            score = least[0] + (a - level * step * 16) ** 2
+            if best is None or score <= best[1]:
+                best = (i, score, -level if v[order[i]] < 0 else level, least[1])
+        nodes += [best] if best else []
+    k = min(range(len(nodes)), key=lambda k: (nodes[k][1] - lost[nodes[k][0]], -k))
+    out = [0] * 64
+    while k > 0:
+        out[nodes[k][0]], k = nodes[k][2], nodes[k][3]
+    return out[1:]
+
+
+def test_ties_and_rows_without_blocks(spark):
+    rng, blocks = random.Random(3), {}
+    for k in range(1500):  # more than a slice; multiples of a few steps, so that many scores are equal
+        unit = rng.choice([1, 16, 40, 128])
+        blocks[k] = [rng.choice([-1, 1]) * rng.randrange(0, 12) * unit if rng.random() < 0.6 else 0 for _ in range(64)]
+    rows = [(k, v, [8 if k % 2 else 1 + k % 60] * 64) for k, v in blocks.items()]
+    rows += [(-1, None, [8] * 64), (-2, [None] + [300] * 63, [8] * 64), (-3, [300] * 64, None)]
+    df = spark.createDataFrame(rows, "k int, v array<int>, q array<int>").repartition(2)
+    some = T.levels(df, F.col("q"))
+    assert some.columns == ["k", "v", "q", "levels"]
+    out = {r["k"]: r["levels"] for r in some.collect()}
+    assert len(out) == len(rows)
+    assert [k for k, v, q in rows if k >= 0 and out[k][1:] != node_by_node(v, q)] == []
+    assert all(out[k] == [None] + [0] * 63 for k in (-1, -2, -3))
+    with pytest.raises(Exception, match="a block has 64"):
+        T.levels(spark.createDataFrame([(1, [5] * 10)], "k int, v array<int>"), C.steps_at(F.lit(75), F.lit(0))).collect()
+
+
+def test_many_dense_blocks_take_little_time(spark):
+    """20,000 blocks without a zero coefficient."""
+    blocks = spark.range(0, 20000, 1, 8).withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: (F.pmod(F.hash("id", p), F.lit(4000)) + 300).cast("int")))
+    out = T.levels(blocks, C.steps_at(F.lit(75), F.lit(0)))
+    summed = lambda df: df.select(F.size("levels").alias("n"), F.exists("levels", lambda x: x != 0).alias("some")).groupBy("n", "some").count().collect()
+    summed(T.levels(blocks.where("id < 8"), C.steps_at(F.lit(75), F.lit(0))))
+    began = time.time()
+    assert [(r["n"], r["some"], r["count"]) for r in summed(out)] == [(64, True, 20000)]
+    assert time.time() - began < 12
