@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.tables import STD_HUFFMAN, zigzag_order
+from tessera.functions import expressions as X
+from tessera.functions.tables import BASE_QUANT, STD_HUFFMAN, zigzag_order
 from tessera.operators import packing
-from tessera.operators.coding import steps_at
 
 
 #: Blocks on a side of 65,535 samples, the most that a frame header states.
@@ -95,8 +95,8 @@ def baseline_files(scans: DataFrame, matrices: dict[int, list[int]], mode: str,
 
 def files_of(scans: DataFrame, mode: str = "mode", quality: str = "q") -> DataFrame:
     """scans (image_id, width, height, scan, …) with jpeg, each in its own mode and at its own quality, with standard code tables."""
-    order = F.array(*map(F.lit, zigzag_order()))
-    table = lambda k: F.concat(F.lit(f"{k:02X}"), F.array_join(F.transform(order, lambda p: F.lpad(F.hex(steps_at(F.col(quality), F.lit(k))[p]), 2, "0")), ""))
+    base = lambda k: F.array(*[F.lit(BASE_QUANT[k][p]) for p in zigzag_order()])
+    table = lambda k: F.concat(F.lit(f"{k:02X}"), F.array_join(F.transform(base(k), lambda m: F.lpad(F.hex(X.scaled(m, X.quality_scale(F.col(quality)))), 2, "0")), ""))
     made = {m: framed(scans, m, F.concat(F.lit("FFDB0043" if m == "400" else "FFDB0084"), table(0), *([] if m == "400" else [table(1)])), F.lit(standard_segments(1 if m == "400" else 3))) for m in ("400", "420", "444")}
     jpeg = F.when(F.col(mode) == "400", made["400"]).when(F.col(mode) == "420", made["420"]).when(F.col(mode) == "444", made["444"])
     return scans.withColumn("jpeg", F.when(F.col(quality).isNotNull(), jpeg))

@@ -56,6 +56,30 @@ def test_headers_are_read_by_ranges(spark, tmp_path):
     assert bytes(more["b.jpg"]["exif"]) == bytes(60_000) and more["a.jpg"]["exif"] is None and 60_000 < more["b.jpg"]["bytes_read"] < 61_000
 
 
+def test_planning_holds_folders_and_not_files(tmp_path):
+    import pickle
+    import tracemalloc
+
+    def planned(folder, n):
+        for sub, files_there in ((folder / "part-a", n), (folder / "part-b" / "more", 3), (folder / "part-c", 0), (folder / f"{files.STAGING}x" / "part-d", 5)):
+            sub.mkdir(parents=True)
+            for k in range(files_there):
+                (sub / f"{sub.name}-{k}.jpg").touch()
+        reader = files.HeaderReader({"path": f"file://{folder}/", "filesPerPartition": "50"})
+        tracemalloc.start()
+        partitions = reader.partitions()
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        read = [[x[1] for x in reader.read(p)] for p in partitions]
+        assert sorted(y for x in read for y in x) == sorted([f"part-a-{k}.jpg" for k in range(n)] + [f"more-{k}.jpg" for k in range(3)])
+        assert max(map(len, read)) < 4 * max(50, n / files.SHARES)
+        return held + sum(len(pickle.dumps(p)) for p in partitions)
+
+    planned(tmp_path / "first", 60)
+    few, many = planned(tmp_path / "few", 1600), planned(tmp_path / "many", 6400)
+    assert many < 1.5 * few < 64_000
+
+
 def test_a_folder_is_handled_file_by_file_once(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
