@@ -2,7 +2,8 @@
 
 `register(spark)` adds two formats. `tessera_files` writes (name, content) to `path`: each task to a
 folder of its own in a staging folder, and the commit renames the folders of the tasks that
-succeeded, one rename a task; retried tasks leave nothing behind and a failed job nothing at all.
+succeeded, one rename a task; retried tasks leave nothing behind and a failed job no file at all, also
+if some of its tasks still run: only the driver makes the staging folder, and none can write once it's gone.
 A null content writes no file; a name that a task has twice fails the job. `tessera_headers` gives
 what the headers of the images under `path` say, and with option `metadata` what they carry: it
 seeks from segment to segment and stops at the scan, so `bytes_read` doesn't grow with the images.
@@ -42,7 +43,10 @@ class Written(WriterCommitMessage):
 
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
+        """On the driver, as a job begins."""
         self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
+        fs, root = pafs.FileSystem.from_uri(self.staging)
+        fs.create_dir(root, recursive=True)
 
     @property
     def staging(self) -> str:
@@ -59,7 +63,7 @@ class FileWriter(DataSourceArrowWriter):
                 if name in names or not name or "/" in name:
                     raise ValueError(f"no file can be named {name!r} here")
                 if not names:
-                    fs.create_dir(root, recursive=True)
+                    fs.create_dir(root, recursive=False)  # an error if the job has ended
                 names.add(name)
                 with fs.open_output_stream(f"{root}/{name}") as f:
                     f.write(content)
@@ -75,7 +79,8 @@ class FileWriter(DataSourceArrowWriter):
     def abort(self, messages: list) -> None:
         fs, root = pafs.FileSystem.from_uri(self.staging)
         if fs.get_file_info(root).type == pafs.FileType.Directory:
-            fs.delete_dir(root)
+            fs.move(root, f"{root}-ended")  # tasks that still run find no folder to write to
+            fs.delete_dir(f"{root}-ended")
 
 
 class Files(DataSource):

@@ -40,6 +40,31 @@ def test_failed_jobs_leave_nothing(spark, tmp_path, why):
     assert everything(tmp_path) == {}
 
 
+def test_tasks_that_outlive_their_job_leave_nothing(tmp_path):
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"name": [name], "content": [b"x"]}) for name in ("a", "b")]
+    for end in ("abort", "commit"):
+        writer = files.FileWriter(f"file://{tmp_path}/{end}")
+        kept = writer.write(iter([pa.record_batch({"name": ["kept"], "content": [b"y"]})]))
+
+        def late():
+            yield batches[0]
+            getattr(writer, end)([kept])  # noqa: B023
+            yield batches[1]
+
+        for task in (late(), iter(batches)):
+            with pytest.raises(OSError):
+                writer.write(task)
+        assert everything(tmp_path / end) == ({"kept": b"y"} if end == "commit" else {})
+
+
+def test_no_files_are_written_and_read(spark, tmp_path):
+    files.register(spark)
+    spark.createDataFrame([("none", None)], "name string, content binary").write.format("tessera_files").mode("append").save(f"file://{tmp_path}/out")
+    assert spark.read.format("tessera_headers").load(f"file://{tmp_path}/out").collect() == []
+
+
 def test_headers_are_read_by_ranges(spark, tmp_path):
     files.register(spark)
     exif = b"\xff\xe1" + (2 + 6 + 60_000).to_bytes(2, "big") + b"Exif\0\0" + bytes(60_000)
